@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import encode
+from . import encode, split
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -15,12 +15,20 @@ def _t(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+def p1_pieces(spark: SparkSession, sf: str) -> DataFrame:
+    return split.split_oversized(_t(spark, sf, "chunks")).drop("blocks")
+
+
+def p1_found(spark: SparkSession, sf: str) -> DataFrame:
+    return split.account_blocks(_t(spark, sf, "chunks"))
+
+
 def p6_ids(spark: SparkSession, sf: str) -> DataFrame:
     return encode.encode_corpus(_t(spark, sf, "documents"))
 
 
 def queries() -> dict[str, Query]:
-    return {"p6_ids": p6_ids}
+    return {"p1_pieces": p1_pieces, "p1_found": p1_found, "p6_ids": p6_ids}
 
 
 def oracle_sql() -> dict[str, str]:
