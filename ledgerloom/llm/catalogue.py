@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import encode, split
+from . import encode, pack, split
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -27,8 +27,12 @@ def p6_ids(spark: SparkSession, sf: str) -> DataFrame:
     return encode.encode_corpus(_t(spark, sf, "documents"))
 
 
+def p7_packed(spark: SparkSession, sf: str) -> DataFrame:
+    return pack.pack(_t(spark, sf, "documents"))
+
+
 def queries() -> dict[str, Query]:
-    return {"p1_pieces": p1_pieces, "p1_found": p1_found, "p6_ids": p6_ids}
+    return {"p1_pieces": p1_pieces, "p1_found": p1_found, "p6_ids": p6_ids, "p7_packed": p7_packed}
 
 
 def oracle_sql() -> dict[str, str]:
