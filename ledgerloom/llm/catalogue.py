@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import encode, pack, split
+from . import encode, pack, spans, split
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -31,9 +31,17 @@ def p7_packed(spark: SparkSession, sf: str) -> DataFrame:
     return pack.pack(_t(spark, sf, "documents"))
 
 
+def p8_found(spark: SparkSession, sf: str) -> DataFrame:
+    return spans.shared_spans(_t(spark, sf, "documents"))
+
+
+def p8_shares(spark: SparkSession, sf: str) -> DataFrame:
+    return spans.shared_shares(_t(spark, sf, "documents"))
+
+
 def queries() -> dict[str, Query]:
-    return {"p1_pieces": p1_pieces, "p1_found": p1_found, "p6_ids": p6_ids, "p7_packed": p7_packed}
+    return {"p1_pieces": p1_pieces, "p1_found": p1_found, "p6_ids": p6_ids, "p7_packed": p7_packed, "p8_found": p8_found, "p8_shares": p8_shares}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"p8_found": spans.FOUND_SQL}
