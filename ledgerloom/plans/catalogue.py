@@ -6,15 +6,34 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..operators import nested
+
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def _t(spark: SparkSession, sf: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf}/{name}.parquet")
+
+
+def p3_found(spark: SparkSession, sf: str) -> DataFrame:
+    return nested.links(nested.nodes(_t(spark, sf, "extractions")))
+
+
+def _p3(table: str) -> Query:
+    def query(spark: SparkSession, sf: str) -> DataFrame:
+        return nested.typed_table(nested.nodes(_t(spark, sf, "extractions")), table)
+
+    return query
+
+
 def queries() -> dict[str, Query]:
-    return {}
+    out: dict[str, Query] = {"p3_found": p3_found}
+    out.update({f"p3_{t}": _p3(t) for t in nested.TABLES})
+    return out
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"p3_found": nested.LINKS_SQL}
 
 
 def flagship(spark: SparkSession, sf: str) -> DataFrame:
