@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import encode, pack, spans, split
+from . import encode, pack, pii, spans, split
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -23,6 +23,14 @@ def p1_found(spark: SparkSession, sf: str) -> DataFrame:
     return split.account_blocks(_t(spark, sf, "chunks"))
 
 
+def p5_found(spark: SparkSession, sf: str) -> DataFrame:
+    return pii.find(_t(spark, sf, "files"))
+
+
+def p5_masked(spark: SparkSession, sf: str) -> DataFrame:
+    return pii.mask_pages(_t(spark, sf, "files"))
+
+
 def p6_ids(spark: SparkSession, sf: str) -> DataFrame:
     return encode.encode_corpus(_t(spark, sf, "documents"))
 
@@ -40,7 +48,7 @@ def p8_shares(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {"p1_pieces": p1_pieces, "p1_found": p1_found, "p6_ids": p6_ids, "p7_packed": p7_packed, "p8_found": p8_found, "p8_shares": p8_shares}
+    return {"p1_pieces": p1_pieces, "p1_found": p1_found, "p5_found": p5_found, "p5_masked": p5_masked, "p6_ids": p6_ids, "p7_packed": p7_packed, "p8_found": p8_found, "p8_shares": p8_shares}
 
 
 def oracle_sql() -> dict[str, str]:
