@@ -211,6 +211,21 @@ def nodes(df: DataFrame, id_col: str = "record_id", data_col: str = "data") -> D
     return src.mapInPandas(run, NODE_SCHEMA.format(id=src.schema["record_id"].dataType.simpleString())).withColumnRenamed("record_id", id_col)
 
 
+def party_blocks(df: DataFrame, field: str, data_col: str = "data") -> DataFrame:
+    """``(name, address)`` of the object in ``field`` of each record, where it is an object; values that aren't text are null."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            rows = []
+            for text in f["data"]:
+                block = (complete_record(text) or {}).get(field)
+                if isinstance(block, dict):
+                    rows.append(tuple(v if isinstance(v, str) else None for v in (block.get("name"), block.get("address"))))
+            yield pd.DataFrame(rows, columns=["name", "address"])
+
+    return df.select(df[data_col].alias("data")).filter("data is not null").mapInPandas(run, "name string, address string")
+
+
 def _typed(field: str, kind: str) -> Column:
     raw = F.col("fields")[field]
     return parse_amount(raw) if kind == "money" else raw

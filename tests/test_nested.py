@@ -71,3 +71,8 @@ def test_every_node_has_its_parent(spark, sf):
         if r.parent_path.endswith("]"):
             assert (r.record_id, r.parent_path) in known
     assert {r.variant for r in n} >= {"section_group", "section_leaf", "account_balance", "account_amount", "box12_item", "box14_item", "state_row", "local_row"}
+
+
+def test_party_blocks(spark):
+    rows = [(json.dumps({"employer": {"name": "A", "address": 5}}),), (json.dumps({"employer": None}),), ("broken {",), (None,)]
+    assert [tuple(r) for r in N.party_blocks(spark.createDataFrame(rows, "data string"), "employer").collect()] == [("A", None)]
