@@ -12,20 +12,14 @@ from pyspark.sql import functions as F
 from . import tables as T
 
 
-def _fold(hex_text: Column, modulus: int) -> Column:
-    # seven hex digits at a time: the running remainder times 16^7 stays within a long
-    out = F.lit(0).cast("long")
-    n = 7
-    for at in range(0, 32, n):
-        part = F.substring(hex_text, at + 1, n)
-        out = F.when(F.length(part) > 0, F.pmod(out * F.pow(F.lit(16.0), F.length(part)).cast("long") + F.conv(part, 16, 10).cast("long"), F.lit(modulus))).otherwise(out)
-    return out
-
-
 def md5_mod(c: Column, modulus: int, drop: int = 0) -> Column:
-    """``(md5(c) >> 4 * drop) mod modulus``."""
+    """``(md5(c) >> 4 * drop) mod modulus``, folded seven hex digits at a time (the remainder times 16^7 fits a long)."""
     h = F.md5(c.cast("binary"))
-    return _fold(F.substring(h, 1, 32 - drop) if drop else h, modulus)
+    out = F.lit(0).cast("long")
+    for at in range(0, 32 - drop, 7):
+        n = min(7, 32 - drop - at)
+        out = F.pmod(out * F.lit(16**n) + F.conv(F.substring(h, at + 1, n), 16, 10).cast("long"), F.lit(modulus).cast("long"))
+    return out
 
 
 def pick(pool: list[str], c: Column, offset: int) -> Column:
@@ -34,11 +28,11 @@ def pick(pool: list[str], c: Column, offset: int) -> Column:
 
 
 def fake_ssn(c: Column) -> Column:
-    return F.format_string("%03d-%02d-%04d", md5_mod(c, 99) + 900, md5_mod(c, 99, 2) + 1, md5_mod(c, 9999, 4) + 1)
+    return F.when(c.isNotNull(), F.format_string("%03d-%02d-%04d", md5_mod(c, 99) + 900, md5_mod(c, 99, 2) + 1, md5_mod(c, 9999, 4) + 1))
 
 
 def fake_phone(c: Column) -> Column:
-    return F.format_string("(555) %03d-%04d", md5_mod(c, 900) + 100, md5_mod(c, 10000, 3))
+    return F.when(c.isNotNull(), F.format_string("(555) %03d-%04d", md5_mod(c, 900) + 100, md5_mod(c, 10000, 3)))
 
 
 def fake_zip(c: Column) -> Column:
@@ -50,11 +44,11 @@ def fake_address(c: Column) -> Column:
 
 
 def fake_name(c: Column) -> Column:
-    return F.concat_ws(" ", pick(T.FIRST_NAMES, c, 0), pick(T.LAST_NAMES, c, 1))
+    return F.concat(pick(T.FIRST_NAMES, c, 0), F.lit(" "), pick(T.LAST_NAMES, c, 1))
 
 
 def fake_company(c: Column) -> Column:
-    return F.concat_ws(" ", pick(T.COMPANY_WORDS, c, 0), pick(T.COMPANY_SUFFIXES, c, 1))
+    return F.concat(pick(T.COMPANY_WORDS, c, 0), F.lit(" "), pick(T.COMPANY_SUFFIXES, c, 1))
 
 
 def fake_account_number(c: Column) -> Column:

@@ -8,6 +8,10 @@ from pyspark.sql import functions as F
 from . import tables as T
 
 
+#: White space of every kind, in a form that all engines read alike.
+WHITE = r"[\s\x{0B}\x{1C}-\x{1F}\x{85}\p{Z}]"
+
+
 def truthy(c: Column) -> Column:
     """The text unless it is empty (empty counts as missing, as null does)."""
     return F.when(c != "", c)
@@ -19,7 +23,7 @@ def strip_boilerplate(c: Column) -> Column:
 
 def meaningful_length(c: Column) -> Column:
     """Characters left without boilerplate, white space collapsed and trimmed; 0 for null."""
-    return F.coalesce(F.length(F.trim(F.regexp_replace(strip_boilerplate(c), r"\s+", " "))), F.lit(0))
+    return F.coalesce(F.length(F.trim(F.regexp_replace(strip_boilerplate(c), f"{WHITE}+", " "))), F.lit(0))
 
 
 def page_type(c: Column) -> Column:

@@ -27,11 +27,11 @@ def keyword_types(text: Column) -> Column:
     return F.array_compact(F.array(*labels))
 
 
-def _raw_scores(low: Column) -> dict[str, Column]:
-    """Sum of the weights of the type's matching patterns, at most 1; 0 where none matches."""
+def _raw_scores() -> dict[str, Column]:
+    """Sum of the weights of the type's matching patterns (columns ``_h0, _h1 ...``), at most 1; 0 where none matches."""
     out: dict[str, Column] = {}
-    for kind, weight, pattern in T.tax_signatures():
-        w = F.when(hit(low, pattern), F.lit(weight)).otherwise(F.lit(0.0))
+    for i, (kind, weight, _) in enumerate(T.tax_signatures()):
+        w = F.when(F.col(f"_h{i}"), F.lit(weight)).otherwise(F.lit(0.0))
         out[kind] = out[kind] + w if kind in out else w
     return {k: F.least(c, F.lit(1.0)) for k, c in out.items()}
 
@@ -46,7 +46,9 @@ def tax_scores(df: DataFrame, text_col: str = "text") -> DataFrame:
     raw = df.withColumn("_low", F.lower(F.col(text_col)))
     kinds = list(dict.fromkeys(k for k, _, _ in T.tax_signatures()))
     names = {k: f"_s{i}" for i, k in enumerate(kinds)}
-    raw = raw.withColumns({names[k]: c for k, c in _raw_scores(low).items()})
+    # a column for each pattern: so wide a projection is compiled in small methods, which the JVM optimises; one fused method isn't
+    hits = {f"_h{i}": hit(low, p) for i, (_, _, p) in enumerate(T.tax_signatures())}
+    raw = raw.withColumns(hits).withColumns({names[k]: c for k, c in _raw_scores().items()}).drop(*hits)
     s = {k: F.when(F.col(n) > 0, F.col(n)) for k, n in names.items()}
     zero = lambda k: F.col(names[k])
     fixed = dict(s)

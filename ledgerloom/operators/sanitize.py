@@ -21,7 +21,7 @@ def replace_matches(text: Column, pattern: str, make) -> Column:
     """``text`` with each match of ``pattern`` replaced by ``make(match)``."""
     found = F.regexp_extract_all(text, F.lit(pattern), 0)
     gaps = F.split(F.regexp_replace(text, pattern, _MARK), _MARK)
-    joined = F.array_join(F.transform(F.sequence(F.lit(0), F.size(found)), lambda i: F.concat(F.get(gaps, i), F.coalesce(make(F.get(found, i)), F.lit("")))), "")
+    joined = F.array_join(F.transform(F.sequence(F.lit(0), F.size(found)), lambda i: F.concat(F.get(gaps, i), F.when(i < F.size(found), make(F.get(found, i))).otherwise(F.lit("")))), "")
     return F.when(text.isNull(), None).when(F.size(found) == 0, text).otherwise(joined)
 
 
@@ -38,15 +38,19 @@ def sanitize_text(df: DataFrame, text_col: str = "text", out: str = "sanitized")
 
 def replacement_log(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``(id, ord, kind, original, replacement)``: each distinct original once, in order of the passes and of first appearance."""
-    df = df.select(id_col, F.col(text_col).alias("_t"))
+    df = df.select(id_col, F.col(text_col).alias("_t0"))
     parts = []
     for k, (kind, pattern, make) in enumerate(PASSES):
-        parts.append(F.transform(F.array_distinct(F.regexp_extract_all(F.col(f"_t{k}"), F.lit(pattern), 0)), lambda m, kind=kind, make=make: F.struct(F.lit(kind).alias("kind"), m.alias("original"), make(m).alias("replacement"))))
-        source = F.col("_t") if k == 0 else F.col(f"_r{k - 1}")
-        df = df.withColumn(f"_t{k}", source).withColumn(f"_r{k}", replace_matches(F.col(f"_t{k}"), pattern, make))
+        originals = F.array_distinct(F.regexp_extract_all(F.col(f"_t{k}"), F.lit(pattern), 0))
+        parts.append(F.transform(originals, _entry(kind, make)))
+        df = df.withColumn(f"_t{k + 1}", replace_matches(F.col(f"_t{k}"), pattern, make))
     return df.select(id_col, F.posexplode(F.concat(*parts)).alias("ord", "x")).select(id_col, "ord", "x.kind", "x.original", "x.replacement")
 
 
+def _entry(kind: str, make):
+    return lambda m: F.struct(F.lit(kind).alias("kind"), m.alias("original"), make(m).alias("replacement"))
+
+
 def sanitize_name(c: Column) -> Column:
     """Blank names stay."""
     return F.when(F.coalesce(F.trim(c), F.lit("")) == "", c).otherwise(H.fake_name(c))

@@ -1,40 +1,596 @@
-"""The query catalogue: one entry per operator, with the SQL that must give the same rows."""
+"""The query catalogue: one entry per operator, each over its whole tables, with the SQL that must give the same rows."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from ..operators import nested
+from .. import inference
+from ..functions import hashing as H
+from ..functions import tables as T
+from ..functions import text as X
+from ..functions.amounts import parse_amount
+from ..operators import chunking, classify, merging, nested, sanitize, sectionize, verify
+from ..sinks import layouts as L
+from ..sources import files as S
+from ..sources import xlsx
+from ..streaming import watch
+from . import sql as Q
 
 Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
+SQL: dict[str, str] = {}
 
 
 def _t(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+def query(sql: str | None = None, name: str | None = None) -> Callable[[Query], Query]:
+    def add(f: Query) -> Query:
+        QUERIES[name or f.__name__] = f
+        if sql:
+            SQL[name or f.__name__] = sql
+        return f
+
+    return add
+
+
+def queries() -> dict[str, Query]:
+    return dict(QUERIES)
+
+
+def oracle_sql() -> dict[str, str]:
+    return dict(SQL)
+
+
+# --- nested records -----------------------------------------------------------------------------------------------------
+
+
+@query(nested.LINKS_SQL)
 def p3_found(spark: SparkSession, sf: str) -> DataFrame:
     return nested.links(nested.nodes(_t(spark, sf, "extractions")))
 
 
 def _p3(table: str) -> Query:
-    def query(spark: SparkSession, sf: str) -> DataFrame:
-        return nested.typed_table(nested.nodes(_t(spark, sf, "extractions")), table)
+    return lambda spark, sf: nested.typed_table(nested.nodes(_t(spark, sf, "extractions")), table)
 
-    return query
 
+for _table in nested.TABLES:
+    query(name=f"p3_{_table}")(_p3(_table))
 
-def queries() -> dict[str, Query]:
-    out: dict[str, Query] = {"p3_found": p3_found}
-    out.update({f"p3_{t}": _p3(t) for t in nested.TABLES})
-    return out
 
+# --- classification -----------------------------------------------------------------------------------------------------
 
-def oracle_sql() -> dict[str, str]:
-    return {"p3_found": nested.LINKS_SQL}
+
+def _docs(spark: SparkSession, sf: str) -> DataFrame:
+    return _t(spark, sf, "documents").select("doc_id", "text")
+
+
+@query(Q.meaningful())
+def meaningful_chars(spark: SparkSession, sf: str) -> DataFrame:
+    return _docs(spark, sf).select("doc_id", X.meaningful_length(F.col("text")).alias("meaningful_chars"), X.page_type(F.col("text")).alias("page_type"))
+
+
+@query(Q.keyword_types())
+def keyword_doc_types(spark: SparkSession, sf: str) -> DataFrame:
+    return _docs(spark, sf).select("doc_id", F.array_join(classify.keyword_types(F.col("text")), ";").alias("types"))
+
+
+@query(Q.tax_scores())
+def tax_scores(spark: SparkSession, sf: str) -> DataFrame:
+    return classify.tax_scores(_docs(spark, sf)).select("doc_id", F.inline_outer("scores")).filter("type is not null")
+
+
+@query(Q.tax_detect())
+def tax_detect(spark: SparkSession, sf: str) -> DataFrame:
+    return classify.detect_tax(_docs(spark, sf)).drop("text", "scores", "notes")
+
+
+@query(Q.tax_notes())
+def tax_notes(spark: SparkSession, sf: str) -> DataFrame:
+    # outer: else the optimizer infers a filter on the array and computes all signatures twice
+    return classify.detect_tax(_docs(spark, sf)).select("doc_id", F.posexplode_outer("notes").alias("ord", "note")).filter("note is not null")
+
+
+@query(Q.financial_detect())
+def financial_type(spark: SparkSession, sf: str) -> DataFrame:
+    return classify.detect_financial(_docs(spark, sf)).select("doc_id", "financial_type")
+
+
+@query(Q.master_detect())
+def master_detect(spark: SparkSession, sf: str) -> DataFrame:
+    return classify.detect(_docs(spark, sf)).select("doc_id", "document_type", "document_family", "confidence")
+
+
+@query(f"SELECT doc_id, {Q.year_sql()} AS tax_year FROM documents")
+def tax_year(spark: SparkSession, sf: str) -> DataFrame:
+    return _docs(spark, sf).select("doc_id", X.tax_year(F.col("text")).alias("tax_year"))
+
+
+@query(Q.route_family())
+def resolve_family(spark: SparkSession, sf: str) -> DataFrame:
+    return classify.route_family(_docs(spark, sf)).select("doc_id", "family")
+
+
+@query()
+def extraction_strategy(spark: SparkSession, sf: str) -> DataFrame:
+    return classify.strategy(sectionize.pages(_t(spark, sf, "files")))
+
+
+@query(
+    "SELECT coalesce(document_type, '') AS document_type, "
+    + Q.family_case("document_type", "tax")
+    + " AS family, CAST(CASE "
+    + " ".join(f"WHEN document_type IN ({', '.join(Q.q(k.strip()) for k in ks.split('|'))}) THEN {n}" for n, ks in T.BUDGETS.items())
+    + f" ELSE {T.DEFAULT_BUDGET} END AS INTEGER) AS max_tokens, count(*) AS n FROM documents GROUP BY ALL"
+)
+def token_budget(spark: SparkSession, sf: str) -> DataFrame:
+    d = _t(spark, sf, "documents")
+    kind = F.coalesce("document_type", F.lit(""))
+    return d.groupBy(kind.alias("document_type"), classify.family(F.col("document_type"), "tax").alias("family"), inference.token_budget(F.col("document_type")).alias("max_tokens")).agg(F.count("*").alias("n"))
+
+
+# --- sections and chunks ------------------------------------------------------------------------------------------------
+
+
+def _pages(spark: SparkSession, sf: str) -> DataFrame:
+    return sectionize.pages(_t(spark, sf, "files"))
+
+
+@query(f"WITH {Q.headers_cte()} SELECT file_id, position, page, title, header_type, header_confidence FROM hs")
+def header_scan(spark: SparkSession, sf: str) -> DataFrame:
+    return sectionize.header_scan(_pages(spark, sf)).drop("text")
+
+
+@query(f"WITH {Q.sections_cte()} SELECT * FROM sec")
+def boundaries(spark: SparkSession, sf: str) -> DataFrame:
+    return sectionize.sections(_pages(spark, sf))
+
+
+@query(f"WITH {Q.sections_cte()} SELECT file_id, pg.position, page, section_no, document_type FROM pg JOIN sec USING (file_id) WHERE pg.position BETWEEN start_position AND end_position")
+def section_pages(spark: SparkSession, sf: str) -> DataFrame:
+    p = _pages(spark, sf)
+    return sectionize.section_pages(p, sectionize.sections(p)).drop("text")
+
+
+@query(f"WITH {Q.sections_cte()}, f AS (SELECT file_id, min(start_position) AS start FROM sec GROUP BY file_id) SELECT file_id, position, page FROM pg JOIN f USING (file_id) WHERE position < start")
+def unassigned_pages(spark: SparkSession, sf: str) -> DataFrame:
+    p = _pages(spark, sf)
+    return sectionize.unassigned_pages(p, sectionize.sections(p)).drop("text")
+
+
+@query(
+    f"WITH {Q.pages_cte()} SELECT file_id, string_agg('--- PAGE ' || page || ' ---' || chr(10) || text, chr(10) ORDER BY position) AS text FROM pg "
+    "WHERE trim(regexp_replace(text, '\\s+', ' ', 'g')) <> '' GROUP BY file_id"
+)
+def concat_pages(spark: SparkSession, sf: str) -> DataFrame:
+    return sectionize.concat_pages(_pages(spark, sf))
+
+
+@query(
+    "WITH s AS (SELECT doc_id, text, unnest(range(0, length(text), 630)) AS start FROM documents WHERE text <> '') "
+    "SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY start) - 1 AS INTEGER) AS chunk_index, substring(text, start + 1, 700) AS text FROM s"
+)
+def chunk_windows(spark: SparkSession, sf: str) -> DataFrame:
+    return _docs(spark, sf).select("doc_id", F.posexplode(chunking.fixed_windows(F.col("text"), F.lit(700))).alias("chunk_index", "text"))
+
+
+@query()
+def chunk_tiers(spark: SparkSession, sf: str) -> DataFrame:
+    return chunking.chunk(_t(spark, sf, "chunks").select("chunk_id", "text", "document_type"), "chunk_id", max_tokens=600)
+
+
+# --- scalars ------------------------------------------------------------------------------------------------------------
+
+_TOTALS = ("assets.total_assets", "liabilities.total_liabilities", "equity.total_equity_reported", "income.total", "expenses.total", "other_income.total")
+
+
+@query(
+    f"WITH {Q.record_cte('document_type <> ' + Q.q('W2'))}, t AS ("
+    + " UNION ALL ".join(f"SELECT record_id, {Q.q(p)} AS field, {Q.scalar_at(p)} AS raw FROM v WHERE json_type(v) = 'OBJECT'" for p in _TOTALS)
+    + f") SELECT record_id, field, {Q.amount('raw')} AS amount FROM t WHERE raw IS NOT NULL"
+)
+def parse_amounts(spark: SparkSession, sf: str) -> DataFrame:
+    d = L.parsed(_t(spark, sf, "extractions").filter("document_type <> 'W2'"))
+    pairs = F.array(*[F.struct(F.lit(p).alias("field"), L.at(p).alias("raw")) for p in _TOTALS])
+    return d.select("record_id", F.inline(pairs)).filter("raw is not null").select("record_id", "field", parse_amount(F.col("raw")).alias("amount"))
+
+
+@query(
+    f"WITH {Q.record_cte('document_type = ' + Q.q('BALANCE_SHEET'))}, t AS (SELECT record_id, {Q.amount(Q.scalar_at(_TOTALS[0]))} AS total_assets, {Q.amount(Q.scalar_at(_TOTALS[1]))} AS total_liabilities, "
+    f"{Q.amount(Q.scalar_at(_TOTALS[2]))} AS total_equity FROM v WHERE json_type(v) = 'OBJECT') SELECT *, total_assets - (total_liabilities + total_equity) AS difference, abs(total_assets - (total_liabilities + total_equity)) <= 0.02 AS balanced FROM t"
+)
+def statement_equation(spark: SparkSession, sf: str) -> DataFrame:
+    d = L.parsed(_t(spark, sf, "extractions").filter("document_type = 'BALANCE_SHEET'"))
+    totals = d.select("record_id", *[parse_amount(L.at(p)).alias(n) for p, n in zip(_TOTALS, ("total_assets", "total_liabilities", "total_equity"))])
+    return verify.balance_equation(totals).drop("note")
+
+
+@query(
+    f"WITH {Q.record_cte('document_type = ' + Q.q('INCOME_STATEMENT'))} SELECT record_id, {Q.amount(Q.scalar_at(_TOTALS[3]))} - {Q.amount(Q.scalar_at(_TOTALS[4]))} AS net_income FROM v WHERE json_type(v) = 'OBJECT'"
+)
+def statement_net_income(spark: SparkSession, sf: str) -> DataFrame:
+    d = L.parsed(_t(spark, sf, "extractions").filter("document_type = 'INCOME_STATEMENT'"))
+    return verify.net_income(d.select("record_id", parse_amount(L.at(_TOTALS[3])).alias("total_income"), parse_amount(L.at(_TOTALS[4])).alias("total_expenses")), "record_id")
+
+
+@query("SELECT record_id, trim(regexp_replace(regexp_replace(trim(data), '^```(?:json)?\\s*', ''), '\\s*```$', '')) AS text FROM extractions")
+def strip_fence(spark: SparkSession, sf: str) -> DataFrame:
+    return _t(spark, sf, "extractions").select("record_id", X.strip_fence(F.col("data")).alias("text"))
+
+
+@query(f"WITH {Q.pages_cte()} SELECT file_id, position, regexp_replace(text, '\\b(\\d{{3}})-(\\d{{2}})-(\\d{{4}})\\b', 'XXX-XX-\\3', 'g') AS text FROM pg")
+def redact_ssn(spark: SparkSession, sf: str) -> DataFrame:
+    return _pages(spark, sf).select("file_id", "position", X.redact_ssn(F.col("text")).alias("text"))
+
+
+_HASH = "('0x' || md5({}))::UHUGEINT"
+
+
+def _pool(pool: list[str], col: str, k: int) -> str:
+    return f"([{', '.join(map(Q.q, pool))}])[CAST({_HASH.format(f'{col} || {Q.q(str(k))}')} % {len(pool)} AS INTEGER) + 1]"
+
+
+_H = _HASH.format("name")
+_A = _HASH.format("address")
+
+
+@query(
+    f"SELECT party_id, printf('%03d-%02d-%04d', CAST(900 + {_H} % 99 AS INTEGER), CAST(({_H} // 256) % 99 + 1 AS INTEGER), CAST(({_H} // 65536) % 9999 + 1 AS INTEGER)) AS fake_ssn, "
+    f"printf('(555) %03d-%04d', CAST({_H} % 900 + 100 AS INTEGER), CAST(({_H} // 4096) % 10000 AS INTEGER)) AS fake_phone, "
+    f"{_pool(T.FIRST_NAMES, 'name', 0)} || ' ' || {_pool(T.LAST_NAMES, 'name', 1)} AS fake_name, {_pool(T.COMPANY_WORDS, 'name', 0)} || ' ' || {_pool(T.COMPANY_SUFFIXES, 'name', 1)} AS fake_company, "
+    f"CAST({_A} % 9999 + 1 AS VARCHAR) || ' ' || {_pool(T.STREETS, 'address', 0)} || ', ' || {_pool(T.CITIES, 'address', 1)} || ', ' || {_pool(T.STATES, 'address', 2)} || ' ' || CAST({_A} % 90000 + 10000 AS VARCHAR) AS fake_address "
+    "FROM parties WHERE name IS NOT NULL AND address IS NOT NULL"
+)
+def fake_values(spark: SparkSession, sf: str) -> DataFrame:
+    n, a = F.col("name"), F.col("address")
+    d = _t(spark, sf, "parties").filter("name is not null and address is not null")
+    return d.select("party_id", H.fake_ssn(n).alias("fake_ssn"), H.fake_phone(n).alias("fake_phone"), H.fake_name(n).alias("fake_name"), H.fake_company(n).alias("fake_company"), H.fake_address(a).alias("fake_address"))
+
+
+@query()
+def sanitize_text(spark: SparkSession, sf: str) -> DataFrame:
+    return sanitize.sanitize_text(_pages(spark, sf)).select("file_id", "position", "sanitized")
+
+
+@query()
+def replacement_log(spark: SparkSession, sf: str) -> DataFrame:
+    return sanitize.replacement_log(_pages(spark, sf).withColumn("id", F.struct("file_id", "position")), "id").select("id.file_id", "id.position", "ord", "kind", "original", "replacement")
+
+
+@query(
+    f"SELECT party_id, CASE WHEN trim(coalesce(name, '')) = '' THEN name ELSE {_pool(T.FIRST_NAMES, 'name', 0)} || ' ' || {_pool(T.LAST_NAMES, 'name', 1)} END AS name, "
+    f"CASE WHEN coalesce(ssn_last4, '') = '' THEN ssn_last4 ELSE 'XXX-XX-' || printf('%04d', CAST(({_HASH.format('ssn_last4')} // 65536) % 9999 + 1 AS INTEGER)) END AS ssn_last4 FROM parties"
+)
+def sanitize_records(spark: SparkSession, sf: str) -> DataFrame:
+    return sanitize.sanitize_records(_t(spark, sf, "parties").select("party_id", "name", "ssn_last4"), ["name", "ssn_last4"])
+
+
+# --- verification -------------------------------------------------------------------------------------------------------
+
+_ACCOUNTS_SQL = "acc AS (SELECT n_regionkey AS doc, n_nationkey AS path, CAST(c_acctbal AS DECIMAL(28,6)) AS value FROM customer JOIN nation ON n_nationkey = c_nationkey)"
+_SECTIONS_SQL = f"{_ACCOUNTS_SQL}, sec AS (SELECT doc, path, CASE path % 4 WHEN 0 THEN sum(value) WHEN 1 THEN sum(value) + 0.02 WHEN 2 THEN sum(value) + 0.03 END AS section_total FROM acc GROUP BY doc, path)"
+_CHECK_SQL = f"{_SECTIONS_SQL}, chk AS (SELECT doc, path, CAST(sum(value) AS DECIMAL(28,6)) AS computed, CAST(any_value(section_total) AS DECIMAL(28,6)) AS reported FROM acc JOIN sec USING (doc, path) WHERE section_total IS NOT NULL GROUP BY doc, path)"
+
+
+def _accounts(spark: SparkSession, sf: str) -> DataFrame:
+    n = F.broadcast(_t(spark, sf, "nation").select("n_nationkey", "n_regionkey"))  # 25 rows at every scale
+    return _t(spark, sf, "customer").join(n, F.col("c_nationkey") == F.col("n_nationkey")).select(F.col("n_regionkey").alias("doc"), F.col("n_nationkey").alias("path"), F.col("c_acctbal").cast(verify.MONEY).alias("value"))
+
+
+def _sections(accounts: DataFrame) -> DataFrame:
+    s = accounts.groupBy("doc", "path").agg(F.sum("value").cast(verify.MONEY).alias("s"))
+    k = F.col("path") % 4
+    return s.select("doc", "path", F.when(k == 0, F.col("s")).when(k == 1, F.col("s") + F.lit("0.02").cast(verify.MONEY)).when(k == 2, F.col("s") + F.lit("0.03").cast(verify.MONEY)).cast(verify.MONEY).alias("section_total"))
+
+
+@query(f"WITH {_CHECK_SQL} SELECT doc, path, computed, reported, computed - reported AS delta, abs(computed - reported) <= 0.02 AS matches FROM chk")
+def section_check(spark: SparkSession, sf: str) -> DataFrame:
+    a = _accounts(spark, sf)
+    return verify.section_check(_sections(a), a)
+
+
+@query(f"WITH {_CHECK_SQL} SELECT doc, path, computed, reported, computed - reported AS delta, false AS matches FROM chk WHERE abs(computed - reported) > 0.02")
+def mismatches(spark: SparkSession, sf: str) -> DataFrame:
+    return verify.mismatches(section_check(spark, sf))
+
+
+@query(f"WITH {_CHECK_SQL} SELECT doc, count(*) AS n_checked, count(*) FILTER (abs(computed - reported) > 0.02) AS n_mismatches, bool_and(abs(computed - reported) <= 0.02) AS verified FROM chk GROUP BY doc")
+def verified_flag(spark: SparkSession, sf: str) -> DataFrame:
+    a = _accounts(spark, sf)
+    return verify.verified(a.select("doc"), verify.section_check(_sections(a), a))
+
+
+@query()
+def statement_section_check(spark: SparkSession, sf: str) -> DataFrame:
+    """Section totals of the extracted statements against their own accounts."""
+    n = nested.nodes(_t(spark, sf, "extractions").filter("document_type <> 'W2'"))
+    sections = nested.typed_table(n, "sections").select("record_id", F.col("node_path").alias("path"), "section_total")
+    accounts = nested.typed_table(n, "accounts").select("record_id", F.col("parent_path").alias("path"), verify.account_value(F.col("balance"), F.col("amount")).alias("value"))
+    return verify.section_check(sections, accounts, ("record_id", "path"))
+
+
+@query(
+    "SELECT CAST(n_regionkey AS INTEGER) AS doc, CAST(100000 - sum(CAST(s_acctbal AS DECIMAL(28,6))) AS DECIMAL(28,6)) AS retained_earnings FROM supplier JOIN nation ON s_nationkey = n_nationkey GROUP BY n_regionkey"
+)
+def retained_earnings(spark: SparkSession, sf: str) -> DataFrame:
+    n = F.broadcast(_t(spark, sf, "nation").select("n_nationkey", "n_regionkey"))
+    own = _t(spark, sf, "supplier").join(n, F.col("s_nationkey") == F.col("n_nationkey")).select(F.col("n_regionkey").alias("doc"), F.col("s_acctbal").alias("value"))
+    return verify.retained_earnings(own.select("doc").distinct().withColumn("total_equity", F.lit(100000).cast(verify.MONEY)), own)
+
+
+@query(
+    "WITH r AS (SELECT s_nationkey AS doc, sum(CAST(s_acctbal AS DECIMAL(28,6))) AS reserve_total FROM supplier GROUP BY 1), b AS (SELECT c_nationkey AS doc, sum(CAST(c_acctbal AS DECIMAL(28,6))) AS bank_total FROM customer GROUP BY 1) "
+    "SELECT doc, CAST(coalesce(reserve_total, 0) AS DECIMAL(28,6)) AS reserve_total, CAST(coalesce(bank_total, 0) AS DECIMAL(28,6)) AS bank_total FROM r FULL JOIN b USING (doc)"
+)
+def reserve_totals(spark: SparkSession, sf: str) -> DataFrame:
+    return verify.reserve_totals(
+        _t(spark, sf, "supplier").select(F.col("s_nationkey").alias("doc"), F.col("s_acctbal").alias("current_balance")), _t(spark, sf, "customer").select(F.col("c_nationkey").alias("doc"), F.col("c_acctbal").alias("balance"))
+    )
+
+
+@query(
+    "WITH t AS (SELECT s_nationkey AS doc, CASE WHEN s_acctbal > 0 THEN CAST(s_acctbal AS DECIMAL(28,6)) END AS debit, CASE WHEN s_acctbal <= 0 THEN CAST(-s_acctbal AS DECIMAL(28,6)) END AS credit FROM supplier) "
+    "SELECT doc, CAST(coalesce(sum(debit), 0) AS DECIMAL(28,6)) AS debits, CAST(coalesce(sum(credit), 0) AS DECIMAL(28,6)) AS credits, abs(coalesce(sum(debit), 0) - coalesce(sum(credit), 0)) <= 0.02 AS balanced FROM t GROUP BY doc"
+)
+def trial_balance(spark: SparkSession, sf: str) -> DataFrame:
+    b = F.col("s_acctbal")
+    return verify.trial_balance(_t(spark, sf, "supplier").select(F.col("s_nationkey").alias("doc"), F.when(b > 0, b).alias("debit"), F.when(b <= 0, -b).alias("credit")))
+
+
+_LEDGER_KEY = "account_number"
+
+
+@query(
+    "WITH d AS (SELECT DISTINCT txn_id, client_code, account_number, posted_at, debit, credit, balance FROM gl_transactions WHERE row_type = 'transaction'), k AS (SELECT *, row_number() OVER (PARTITION BY txn_id ORDER BY posted_at, debit, credit, balance) AS rn FROM d), "
+    "w AS (SELECT txn_id, client_code, account_number, CAST(sum(coalesce(CAST(debit AS DECIMAL(28,6)), 0) - coalesce(CAST(credit AS DECIMAL(28,6)), 0)) OVER (PARTITION BY client_code, account_number ORDER BY posted_at, txn_id ROWS UNBOUNDED PRECEDING) AS DECIMAL(28,6)) AS running, "
+    "CAST(balance AS DECIMAL(28,6)) AS balance FROM k WHERE rn = 1) SELECT txn_id, running, abs(running - balance) <= 0.02 AS agrees FROM w"
+)
+def running_balance_check(spark: SparkSession, sf: str) -> DataFrame:
+    d = _t(spark, sf, "gl_transactions").filter("row_type = 'transaction'").select("txn_id", "client_code", "account_number", "posted_at", "debit", "credit", "balance").distinct()
+    once = merging.keep_first(d, ["txn_id"], ["posted_at", "debit", "credit", "balance"])
+    return verify.running_balance(once, ["client_code", "account_number"], ["posted_at", "txn_id"]).select("txn_id", "running", "agrees")
+
+
+# --- merging ------------------------------------------------------------------------------------------------------------
+
+_PARTS_SQL = (
+    "p AS (SELECT client_code AS doc, CAST(txn_id % 7 AS INTEGER) AS chunk_index, account_number, min(account_name) AS account_name, CAST(min(balance) AS DECIMAL(18,2)) AS beginning_balance, "
+    "CAST(max(CASE WHEN row_type = 'balance_footer' THEN balance END) AS DECIMAL(18,2)) AS ending_balance, count(*) AS n_transactions FROM gl_transactions GROUP BY 1, 2, 3)"
+)
+
+
+def _parts(spark: SparkSession, sf: str) -> DataFrame:
+    g = _t(spark, sf, "gl_transactions")
+    return g.groupBy(F.col("client_code").alias("doc"), (F.col("txn_id") % 7).cast("int").alias("chunk_index"), "account_number").agg(
+        F.min("account_name").alias("account_name"), F.min("balance").cast("decimal(18,2)").alias("beginning_balance"), F.max(F.when(F.col("row_type") == "balance_footer", F.col("balance"))).cast("decimal(18,2)").alias("ending_balance"), F.count("*").alias("n_transactions")
+    )
+
+
+@query(
+    f"WITH {_PARTS_SQL}, k AS (SELECT *, coalesce(nullif(account_number, ''), account_name) AS account_key FROM p), o AS (SELECT *, row_number() OVER (PARTITION BY doc, account_key ORDER BY chunk_index) AS rn, "
+    "row_number() OVER (PARTITION BY doc, account_key, ending_balance IS NULL ORDER BY chunk_index DESC) AS re FROM k WHERE account_number IS NOT NULL) "
+    "SELECT doc, account_key, min(chunk_index) AS first_chunk, max(CASE WHEN rn = 1 THEN beginning_balance END) AS beginning_balance, max(CASE WHEN re = 1 THEN ending_balance END) AS ending_balance, CAST(sum(n_transactions) AS BIGINT) AS n_transactions FROM o GROUP BY doc, account_key"
+)
+def merge_ledger(spark: SparkSession, sf: str) -> DataFrame:
+    return merging.merge_ledger(_parts(spark, sf).filter("account_number is not null")).drop("account_name")
+
+
+@query(
+    f"WITH {_PARTS_SQL} SELECT doc, account_number, account_name, chunk_index, n_transactions FROM (SELECT *, row_number() OVER (PARTITION BY doc, account_number, account_name ORDER BY chunk_index) AS rn FROM p) WHERE rn = 1"
+)
+def merge_lines(spark: SparkSession, sf: str) -> DataFrame:
+    parts = _parts(spark, sf).withColumn("ord", F.lit(0))
+    return merging.merge_lines(parts).select("doc", "account_number", "account_name", "chunk_index", "n_transactions")
+
+
+@query(
+    "WITH p AS (SELECT record_id, client_code AS doc, unnest(metadata.notes) AS note, generate_subscripts(metadata.notes, 1) - 1 AS ord FROM extractions), f AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY doc, note ORDER BY record_id, ord) AS rn FROM p WHERE note IS NOT NULL) WHERE rn = 1) "
+    "SELECT doc, row_number() OVER (PARTITION BY doc ORDER BY record_id, ord) - 1 AS ord, note FROM f"
+)
+def merge_notes(spark: SparkSession, sf: str) -> DataFrame:
+    p = _t(spark, sf, "extractions").select("record_id", F.col("client_code").alias("doc"), F.posexplode("metadata.notes").alias("ord", "note"))
+    return merging.merge_notes(p, order=("record_id", "ord"))
+
+
+@query(
+    "SELECT client_code AS doc, coalesce(bool_or(metadata.is_corrected), false) AS is_corrected, coalesce(bool_or(metadata.is_void), false) AS is_void FROM extractions GROUP BY client_code"
+)
+def merge_flags(spark: SparkSession, sf: str) -> DataFrame:
+    p = _t(spark, sf, "extractions").select(F.col("client_code").alias("doc"), "metadata.is_corrected", "metadata.is_void")
+    return merging.merge_flags(p, ["is_corrected", "is_void"])
+
+
+@query(
+    "WITH o AS (SELECT client_code AS doc, first(document_type ORDER BY record_id) FILTER (document_type IS NOT NULL) AS document_type, first(tax_year ORDER BY record_id) FILTER (tax_year IS NOT NULL) AS tax_year FROM extractions GROUP BY client_code) SELECT * FROM o"
+)
+def merge_scalars(spark: SparkSession, sf: str) -> DataFrame:
+    return merging.merge_scalars(_t(spark, sf, "extractions").withColumnRenamed("client_code", "doc"), ["document_type", "tax_year"], order="record_id")
+
+
+def _w2_parties(spark: SparkSession, sf: str) -> DataFrame:
+    d = L.parsed(_t(spark, sf, "extractions").filter("document_type = 'W2'"))
+    return d.select("record_id", "document_type", "tax_year", *[L.at(p).alias(p.replace(".", "_")) for p in ("employer.ein", "employer.name", "employee.ssn_last4", "employee.name")])
+
+
+@query(
+    f"WITH {Q.record_cte('document_type = ' + Q.q('W2'))}, p AS (SELECT record_id, document_type, tax_year, {', '.join(f'{Q.scalar_at(x)} AS ' + x.replace('.', '_') for x in ('employer.ein', 'employer.name', 'employee.ssn_last4', 'employee.name'))} FROM v WHERE json_type(v) = 'OBJECT'), "
+    "k AS (SELECT *, row_number() OVER (PARTITION BY coalesce(nullif(employer_ein, ''), nullif(employer_name, '')), coalesce(nullif(employee_ssn_last4, ''), nullif(employee_name, '')), tax_year ORDER BY record_id) AS rn FROM p) SELECT * EXCLUDE (rn) FROM k WHERE rn = 1"
+)
+def w2_dedup(spark: SparkSession, sf: str) -> DataFrame:
+    return merging.dedup_w2(_w2_parties(spark, sf))
+
+
+# --- layouts ------------------------------------------------------------------------------------------------------------
+
+
+@query(Q.w2_flat())
+def csv_w2_flat(spark: SparkSession, sf: str) -> DataFrame:
+    return L.w2_flat(_t(spark, sf, "extractions"))
+
+
+@query(Q.generic_tax())
+def csv_generic_tax(spark: SparkSession, sf: str) -> DataFrame:
+    return L.generic_tax(_t(spark, sf, "extractions"))
+
+
+@query()
+def csv_account_rows(spark: SparkSession, sf: str) -> DataFrame:
+    return L.account_rows(_t(spark, sf, "extractions"))
+
+
+@query(Q.import_w2())
+def lacerte_w2(spark: SparkSession, sf: str) -> DataFrame:
+    return L.import_w2(_t(spark, sf, "extractions"))
+
+
+@query(Q.exchange())
+def txf_records(spark: SparkSession, sf: str) -> DataFrame:
+    return L.exchange_records(_t(spark, sf, "extractions"))
+
+
+@query()
+def txf_lines(spark: SparkSession, sf: str) -> DataFrame:
+    return L.exchange_lines(_t(spark, sf, "extractions"), "01/31/2026")
+
+
+@query()
+def json_documents(spark: SparkSession, sf: str) -> DataFrame:
+    return L.json_text(_t(spark, sf, "extractions"))
+
+
+_FORMS_1099 = ("1099-NEC", "1099-INT", "1099-DIV", "1099-R")
+
+
+def _orders_as_1099(spark: SparkSession, sf: str) -> DataFrame:
+    """1099 records made of orders, to exercise the import layouts."""
+    o = _t(spark, sf, "orders").join(_t(spark, sf, "customer"), F.col("o_custkey") == F.col("c_custkey"))
+    amount = F.col("o_totalprice").cast("decimal(18,2)")
+    data = F.struct(
+        F.struct(F.col("c_name").alias("name"), F.lpad(F.col("c_custkey").cast("string"), 9, "0").alias("tin")).alias("payer"),
+        F.struct(F.right(F.col("o_orderkey").cast("string"), F.lit(4)).alias("tin_last4")).alias("recipient"),
+        *[amount.alias(f) for f in ("box1_nonemployee_compensation", "box1_interest_income", "box1a_total_ordinary_dividends", "box1_gross_distribution")],
+        F.array(F.struct(F.lit("TX").alias("state_abbr"), amount.alias("box6_state_withheld"))).alias("state"),
+    )
+    kind = F.element_at(F.array(*[F.lit(k) for k in _FORMS_1099]), (F.col("o_orderkey") % 4 + 1).cast("int"))
+    return o.select(F.col("o_orderkey").alias("record_id"), kind.alias("document_type"), F.lit(2024).alias("tax_year"), F.to_json(data).alias("data"))
+
+
+def _line_1099(kind: str) -> str:
+    money = "printf('%.2f', CAST(CAST(o_totalprice AS DECIMAL(18,2)) AS DOUBLE))"
+    cells = []
+    for f in L.IMPORT_FORMS[kind].split():
+        known = f[1:] in ("box1_nonemployee_compensation", "box1_interest_income", "box1a_total_ordinary_dividends", "box1_gross_distribution", "state.box6_state_withheld")
+        cells.append(money if f[0] == "$" and known else "'0.00'" if f[0] == "$" else "'TX'" if f == "state_abbr" else "''")
+    return f"WHEN {Q.q(kind)} THEN concat_ws(chr(9), 'XXXXX' || right(CAST(o_orderkey AS VARCHAR), 4), c_name, lpad(CAST(c_custkey AS VARCHAR), 9, '0'), {', '.join(cells)})"
+
+
+@query(
+    f"WITH r AS (SELECT *, ([{', '.join(map(Q.q, _FORMS_1099))}])[o_orderkey % 4 + 1] AS kind FROM orders JOIN customer ON o_custkey = c_custkey) SELECT o_orderkey AS record_id, CASE kind {' '.join(map(_line_1099, _FORMS_1099))} END AS line FROM r"
+)
+def lacerte_1099(spark: SparkSession, sf: str) -> DataFrame:
+    return L.import_1099(_orders_as_1099(spark, sf))
+
+
+@query(
+    "SELECT txn_id, coalesce(client_code, '') AS entity_name, coalesce(account_number, '') AS account_number, coalesce(account_name, '') AS account_name, coalesce(txn_date, '') AS date, coalesce(txn_type, '') AS type, coalesce(txn_number, '') AS number, "
+    "coalesce(name, '') AS name, coalesce(memo, '') AS memo, coalesce(split_account, '') AS split, coalesce(printf('%.2f', debit), '') AS debit, coalesce(printf('%.2f', credit), '') AS credit, coalesce(printf('%.2f', balance), '') AS balance, row_type FROM gl_transactions"
+)
+def csv_ledger_rows(spark: SparkSession, sf: str) -> DataFrame:
+    return L.ledger_rows(_t(spark, sf, "gl_transactions"))
+
+
+_AGE = "date_diff('day', CAST(o_orderdate AS DATE), DATE '1998-08-02')"
+_AGING_SQL = (
+    f"i AS (SELECT c_mktsegment AS report, c_name AS name, CAST(o_totalprice AS DECIMAL(18,2)) AS amount, CASE WHEN {_AGE} <= 0 THEN 'current' WHEN {_AGE} <= 30 THEN '1_to_30' WHEN {_AGE} <= 60 THEN '31_to_60' WHEN {_AGE} <= 90 THEN '61_to_90' ELSE 'over_90' END AS bucket "
+    "FROM orders JOIN customer ON o_custkey = c_custkey)"
+)
+_AGING_COLS = ", ".join(f"CAST(coalesce(sum(CASE WHEN bucket = {Q.q(b)} THEN amount END), 0) AS DECIMAL(18,2)) AS b_{b}" for b in L.AGING_BUCKETS)
+
+
+@query(
+    f"WITH {_AGING_SQL} SELECT report, name, {_AGING_COLS}, CAST(sum(amount) AS DECIMAL(18,2)) AS total, 'row' AS row_type FROM i GROUP BY report, name UNION ALL SELECT report, 'TOTAL' AS name, {_AGING_COLS}, CAST(sum(amount) AS DECIMAL(18,2)) AS total, 'total' AS row_type FROM i GROUP BY report"
+)
+def csv_aging_rows(spark: SparkSession, sf: str) -> DataFrame:
+    age = F.date_diff(F.lit("1998-08-02").cast("date"), F.col("o_orderdate").cast("date"))
+    bucket = F.when(age <= 0, "current").when(age <= 30, "1_to_30").when(age <= 60, "31_to_60").when(age <= 90, "61_to_90").otherwise("over_90")
+    o = _t(spark, sf, "orders").join(_t(spark, sf, "customer"), F.col("o_custkey") == F.col("c_custkey"))
+    return L.aging_rows(o.select(F.col("c_mktsegment").alias("report"), F.col("c_name").alias("name"), bucket.alias("bucket"), F.col("o_totalprice").cast("decimal(18,2)").alias("amount")), ["report"])
+
+
+@query(
+    "SELECT CAST(row_number() OVER (ORDER BY min(l_orderkey), min(l_linenumber)) - 1 AS INTEGER) AS ord, l_returnflag || l_linestatus AS key FROM (SELECT *, min(l_linenumber) OVER (PARTITION BY l_returnflag, l_linestatus, l_orderkey) AS ml FROM lineitem) "
+    "WHERE (l_returnflag || l_linestatus, l_orderkey) IN (SELECT l_returnflag || l_linestatus, min(l_orderkey) FROM lineitem GROUP BY 1) GROUP BY l_returnflag, l_linestatus"
+)
+def period_columns(spark: SparkSession, sf: str) -> DataFrame:
+    li = _t(spark, sf, "lineitem").select(F.col("l_orderkey").alias("doc"), F.col("l_linenumber").alias("ord"), F.concat("l_returnflag", "l_linestatus").alias("key"))
+    return L.period_columns(li)
+
+
+# --- sources ------------------------------------------------------------------------------------------------------------
+
+_CELLS = "SELECT p_brand AS sheet, CAST(p_partkey AS INTEGER) AS row, CAST(p_size % 3 AS INTEGER) AS col, p_name AS text, CAST(NULL AS DOUBLE) AS number FROM part UNION ALL SELECT p_brand, CAST(p_partkey AS INTEGER), CAST(p_size % 3 + 1 AS INTEGER), NULL, CAST(p_size AS DOUBLE) FROM part"
+
+
+@query("SELECT p_brand AS sheet, CAST(p_partkey AS INTEGER) AS row, repeat('  ', CAST(p_size % 3 AS INTEGER)) || trim(p_name) || chr(9) || CAST(p_size AS VARCHAR) AS line FROM part")
+def xlsx_lines(spark: SparkSession, sf: str) -> DataFrame:
+    p = _t(spark, sf, "part")
+    base = p.select(F.col("p_brand").alias("sheet"), F.col("p_partkey").cast("int").alias("row"), (F.col("p_size") % 3).cast("int").alias("col"), "p_name", F.col("p_size").cast("double").alias("n"))
+    cells = base.select("sheet", "row", "col", F.col("p_name").alias("text"), F.lit(None).cast("double").alias("number")).unionByName(base.select("sheet", "row", (F.col("col") + 1).alias("col"), F.lit(None).cast("string").alias("text"), F.col("n").alias("number")))
+    return xlsx.sheet_lines(cells, ["sheet"])
+
+
+@query(
+    "WITH w AS (SELECT l_orderkey AS page, CAST(round_even(l_quantity / 3, 0) * 3 AS INTEGER) AS y, l_linenumber AS ord, l_discount AS x0, l_shipmode AS text FROM (SELECT *, l_returnflag || l_linestatus AS l_shipmode FROM lineitem)) "
+    "SELECT page, y, string_agg(text, '  ' ORDER BY x0, ord, text) AS line FROM w GROUP BY page, y"
+)
+def word_lines(spark: SparkSession, sf: str) -> DataFrame:
+    words = _t(spark, sf, "lineitem").select(F.col("l_orderkey").alias("page"), F.col("l_quantity").alias("top"), F.col("l_discount").alias("x0"), F.col("l_linenumber").alias("ord"), F.concat("l_returnflag", "l_linestatus").alias("text"))
+    return S.word_lines(words, ["page"])
+
+
+@query(f"WITH {Q.pages_cte()}, m AS (SELECT *, {Q.meaningful_length()} AS n FROM pg) SELECT file_id, position, page, CASE WHEN n >= {T.TEXT_PAGE_CHARS} THEN 'text' ELSE 'image' END AS page_type, CASE WHEN n >= {T.TEXT_PAGE_CHARS} THEN 'text' ELSE 'ocr' END AS route FROM m")
+def page_routes(spark: SparkSession, sf: str) -> DataFrame:
+    return S.route(_pages(spark, sf)).drop("text")
+
+
+# --- event windows (an extension) ----------------------------------------------------------------------------------------
+
+
+@query("SELECT time_bucket(INTERVAL 1 HOUR, ts) AS window_start, event_type, count(*) AS n, sum(value) AS total FROM events GROUP BY ALL")
+def events_tumbling(spark: SparkSession, sf: str) -> DataFrame:
+    return watch.tumbling(_t(spark, sf, "events"))
+
+
+@query(
+    "WITH s AS (SELECT event_type, unnest([time_bucket(INTERVAL 15 MINUTE, ts) - k * INTERVAL 15 MINUTE for k in range(4)]) AS window_start FROM events) SELECT window_start, event_type, count(*) AS n FROM s GROUP BY ALL"
+)
+def events_sliding(spark: SparkSession, sf: str) -> DataFrame:
+    return watch.sliding(_t(spark, sf, "events"))
+
+
+@query(
+    "WITH g AS (SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) < INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS new FROM events), s AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM g) "
+    "SELECT user_id, min(ts) AS session_start, max(ts) + INTERVAL 30 MINUTE AS session_end, count(*) AS n FROM s GROUP BY user_id, k"
+)
+def events_sessions(spark: SparkSession, sf: str) -> DataFrame:
+    return watch.sessions(_t(spark, sf, "events"))
+
+
+# --- flagship -----------------------------------------------------------------------------------------------------------
+
+
+@query()
+def detect_documents(spark: SparkSession, sf: str) -> DataFrame:
+    return flagship(spark, sf)
 
 
 def flagship(spark: SparkSession, sf: str) -> DataFrame:
-    return spark.read.parquet(f"{sf}/documents.parquet").groupBy("document_type").count()
+    """Type, family, year, records and phone numbers of every document: one scan, no shuffle."""
+    d = classify.detect(_docs(spark, sf))
+    phones = F.size(F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(T.PHONE), 0))
+    return d.select("doc_id", "document_type", "document_family", "confidence", "tax_year", "estimated_record_count", phones.alias("n_phones"))
