@@ -56,9 +56,9 @@ def sanitize_name(c: Column) -> Column:
     return F.when(F.coalesce(F.trim(c), F.lit("")) == "", c).otherwise(H.fake_name(c))
 
 
-def sanitize_field(field: str, c: Column) -> Column:
+def sanitize_field(field: str, c: Column) -> Column | None:
     """One text field of a record tree by its name: skipped keys stay, names and addresses are replaced whole, last four digits are
-    replaced inside their mask, other text goes through the patterns."""
+    replaced inside their mask; None for other text, which goes through the patterns."""
     if field in T.SKIP_KEYS:
         return c
     if field == "name":
@@ -67,14 +67,15 @@ def sanitize_field(field: str, c: Column) -> Column:
         return F.when(F.coalesce(F.trim(c), F.lit("")) == "", c).otherwise(H.fake_address(c))
     if field in ("ssn_last4", "tin_last4"):
         return F.when(F.coalesce(c, F.lit("")) == "", c).otherwise(F.concat(F.lit("XXX-XX-"), F.right(H.fake_ssn(c), F.lit(4))))
-    for _, pattern, make in PASSES:
-        c = replace_matches(c, pattern, make)
-    return c
+    return None
 
 
 def sanitize_records(df: DataFrame, fields: list[str]) -> DataFrame:
     """The record table with the named text columns sanitised by their names; all others unchanged."""
-    return df.withColumns({f: sanitize_field(f, F.col(f)) for f in fields})
+    for f in fields:
+        by_name = sanitize_field(f, F.col(f))
+        df = sanitize_text(df, f, f) if by_name is None else df.withColumn(f, by_name)
+    return df
 
 
 def redact_records(df: DataFrame, fields: list[str]) -> DataFrame:
