@@ -71,7 +71,9 @@ def chunk(df: DataFrame, id_col: str, text_col: str = "text", type_col: str = "d
     """``(id, chunk_index, total_chunks, text, account_context, tier)``. Null texts have no chunk; an empty one has one."""
     size = max_chars(F.lit(max_tokens))
     c = df.select(id_col, chunk_array(F.col(text_col), F.coalesce(F.col(type_col), F.lit("")), size).alias("c"))
-    return c.select(id_col, F.size("c").alias("total_chunks"), F.posexplode("c").alias("chunk_index", "k")).select(id_col, "chunk_index", "total_chunks", "k.text", "k.account_context", "k.tier")
+    # outer: else the optimizer infers a filter on the array and computes it twice
+    k = c.select(id_col, F.size("c").alias("total_chunks"), F.posexplode_outer("c").alias("chunk_index", "k"))
+    return k.filter("k is not null").select(id_col, "chunk_index", "total_chunks", "k.text", "k.account_context", "k.tier")
 
 
 def prompt_text(chunks: DataFrame, type_col: str = "document_type") -> DataFrame:

@@ -44,7 +44,8 @@ def replacement_log(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
         originals = F.array_distinct(F.regexp_extract_all(F.col(f"_t{k}"), F.lit(pattern), 0))
         parts.append(F.transform(originals, _entry(kind, make)))
         df = df.withColumn(f"_t{k + 1}", replace_matches(F.col(f"_t{k}"), pattern, make))
-    return df.select(id_col, F.posexplode(F.concat(*parts)).alias("ord", "x")).select(id_col, "ord", "x.kind", "x.original", "x.replacement")
+    found = df.select(id_col, F.posexplode_outer(F.concat(*parts)).alias("ord", "x")).filter("x is not null")
+    return found.select(id_col, "ord", "x.kind", "x.original", "x.replacement")
 
 
 def _entry(kind: str, make):
