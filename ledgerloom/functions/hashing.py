@@ -13,13 +13,16 @@ from . import tables as T
 
 
 def md5_mod(c: Column, modulus: int, drop: int = 0) -> Column:
-    """``(md5(c) >> 4 * drop) mod modulus``, folded seven hex digits at a time (the remainder times 16^7 fits a long)."""
+    """``(md5(c) >> 4 * drop) mod modulus``, from the upper 64 bits and the rest."""
     h = F.md5(c.cast("binary"))
-    out = F.lit(0).cast("long")
-    for at in range(0, 32 - drop, 7):
-        n = min(7, 32 - drop - at)
-        out = F.pmod(out * F.lit(16**n) + F.conv(F.substring(h, at + 1, n), 16, 10).cast("long"), F.lit(modulus).cast("long"))
-    return out
+    wide = lambda part: F.conv(part, 16, 10).cast("decimal(20,0)")
+    m = F.lit(modulus).cast("decimal(12,0)")
+    upper = (wide(F.substring(h, 1, 16)) % m).cast("long") * F.lit(pow(16, 16 - drop, modulus))
+    rest = (wide(F.substring(h, 17, 16 - drop)) % m).cast("long")
+    if modulus > 2**31:  # the product needs more than a long
+        upper = (wide(F.substring(h, 1, 16)) % m).cast("decimal(12,0)") * F.lit(pow(16, 16 - drop, modulus)).cast("decimal(12,0)")
+        return ((upper + rest) % m).cast("long")
+    return (upper + rest) % F.lit(modulus).cast("long")
 
 
 def pick(pool: list[str], c: Column, offset: int) -> Column:

@@ -21,7 +21,8 @@ def replace_matches(text: Column, pattern: str, make) -> Column:
     """``text`` with each match of ``pattern`` replaced by ``make(match)``."""
     found = F.regexp_extract_all(text, F.lit(pattern), 0)
     gaps = F.split(F.regexp_replace(text, pattern, _MARK), _MARK)
-    joined = F.array_join(F.transform(F.sequence(F.lit(0), F.size(found)), lambda i: F.concat(F.get(gaps, i), F.when(i < F.size(found), make(F.get(found, i))).otherwise(F.lit("")))), "")
+    # zipped, so that the pattern runs once for a text, not for each match; the last gap has no match
+    joined = F.array_join(F.zip_with(gaps, found, lambda g, m: F.concat(g, F.when(m.isNotNull(), make(m)).otherwise(F.lit("")))), "")
     return F.when(text.isNull(), None).when(F.size(found) == 0, text).otherwise(joined)
 
 
