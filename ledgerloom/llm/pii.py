@@ -286,15 +286,15 @@ def train(pages: list[tuple[str, list[tuple[str, int, int]]]], rounds: int = 90,
     gold_w = np.zeros((made, m))
     for c in cols:
         np.add.at(gold_w, (c, gold), 1)
-    flat = cols.ravel()
-    by = np.argsort(flat, kind="stable")
-    cut = np.flatnonzero(np.r_[True, np.diff(flat[by]) > 0])
-    names, token = flat[by][cut], by % n_tok
+    low = [int(c.min()) for c in cols]  # a template's features are numbered together
+    ends = [int(c.max()) + 1 for c in cols]
     allowed = _allowed().astype(float)
     begin = np.where([x[0] == "I" for x in LABELS], -1e4, 0.0)
     state = [(np.zeros_like(x), np.zeros_like(x)) for x in (w, pairs)]
     for step in range(1, rounds + 1):
-        s = w[cols].sum(0)
+        s = np.zeros((n_tok, m))
+        for c in cols:
+            s += w[c]
         trans = pairs + allowed
         # forward and backward over all pages at once, normalised at each position
         alpha = np.zeros((n_tok, m))
@@ -326,7 +326,10 @@ def train(pages: list[tuple[str, list[tuple[str, int, int]]]], rounds: int = 90,
         p = alpha * beta
         p /= p.sum(1, keepdims=True)
         exp_w = np.zeros((made, m))
-        exp_w[names] = np.add.reduceat(p[token], cut, axis=0)
+        columns_p = np.ascontiguousarray(p.T)
+        for c, a0, b0 in zip(cols, low, ends):
+            for j in range(m):
+                exp_w[a0:b0, j] = np.bincount(c - a0, columns_p[j], b0 - a0)
         rate = 0.15 * (1 - step / (rounds + 1))
         for x, g, (m1, m2) in ((w, gold_w - exp_w - penalty * w, state[0]), (pairs, gold_pairs - expected - penalty * pairs, state[1])):
             m1 += 0.1 * (g - m1)
