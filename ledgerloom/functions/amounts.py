@@ -22,6 +22,11 @@ def parse_amount(c: Column, kind: str = "decimal(18,2)") -> Column:
     return F.when(t.isin(*BLANKS), F.lit(None).cast(kind)).when(negative, -value).otherwise(value).cast(kind)
 
 
+def parse_amount_map(c: Column) -> Column:
+    """A map of texts with each value as an amount; null values stay null (null isn't zero)."""
+    return F.transform_values(c, lambda _, v: parse_amount(v))
+
+
 def money_text(c: Column, blank: str = "") -> Column:
     """Two decimals; ``blank`` for null; text that isn't a number as it is."""
     n = c.cast("string").try_cast("double")

@@ -18,6 +18,14 @@ from .functions import tables as T
 from .operators.nested import complete_record
 from .session import written
 
+#: What the model is asked for, by family; a deployment may pass its own.
+INSTRUCTIONS = {
+    "tax": "Return one JSON object with the boxes, parties, state and local rows of this tax form. Use null for what is not on it.",
+    "financial_simple": "Return one JSON object with the entity, sides, sections, accounts and totals of this statement, amounts as printed.",
+    "financial_multicolumn": "Return one JSON object with the entity, columns and line items; each item has a value for each column, null where blank.",
+    "financial_transaction": "Return one JSON object with the entity and its accounts, transactions or aging rows in printed order.",
+    "financial_reserve": "Return one JSON object with the entity, reserve components and bank accounts.",
+}
 ANSWER_SCHEMA = "json string, finish_reason string, prompt_tokens long, completion_tokens long, retries int, error string"
 
 
@@ -42,6 +50,15 @@ def token_budget(kind: Column, override: int | None = None) -> Column:
     return out
 
 
+def instruction(family: Column, templates: dict[str, str] | None = None) -> Column:
+    """The instruction of a family; that of simple statements for an unknown one."""
+    texts = templates or INSTRUCTIONS
+    out = F.lit(texts["financial_simple"])
+    for name, text in texts.items():
+        out = F.when(family == name, F.lit(text)).otherwise(out)
+    return out
+
+
 def ask(backend: Backend, prompt: str, max_tokens: int, retries: int = 2) -> tuple[str | None, str | None, int, int, int, str | None]:
     """One prompt to valid JSON: an invalid answer's error is appended to the prompt; a cut-off answer gets half as many tokens more."""
     error, sent, answer = None, prompt, None

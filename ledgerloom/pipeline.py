@@ -64,7 +64,7 @@ def prompts(texts: DataFrame, options: Options = Options()) -> DataFrame:
     hint = F.lit("")
     for kind, text in options.hints.items():
         hint = F.when(F.col("document_type") == kind, F.lit(text + "\n")).otherwise(hint)
-    return p.select("key.file_id", "key.section_no", "chunk_index", "total_chunks", "document_type", "family", F.concat(hint, "prompt").alias("prompt"), inference.token_budget(F.col("document_type"), options.max_output_tokens).alias("max_tokens"))
+    return p.select("key.file_id", "key.section_no", "chunk_index", "total_chunks", "document_type", "family", F.concat(inference.instruction(F.col("family")), F.lit("\n"), hint, "prompt").alias("prompt"), inference.token_budget(F.col("document_type"), options.max_output_tokens).alias("max_tokens"))
 
 
 def extract(files: DataFrame, backend: inference.Backend, options: Options = Options()) -> dict[str, DataFrame]:

@@ -12,8 +12,8 @@ from .. import inference
 from ..functions import hashing as H
 from ..functions import tables as T
 from ..functions import text as X
-from ..functions.amounts import parse_amount
-from ..operators import chunking, classify, merging, nested, sanitize, sectionize, verify
+from ..functions.amounts import parse_amount, parse_amount_map
+from ..operators import chunking, classify, merging, nested, sanitize, sectionize, validate, verify
 from ..sinks import layouts as L
 from ..sources import files as S
 from ..sources import xlsx
@@ -218,6 +218,33 @@ def statement_net_income(spark: SparkSession, sf: str) -> DataFrame:
     return verify.net_income(d.select("record_id", parse_amount(L.at(_TOTALS[3])).alias("total_income"), parse_amount(L.at(_TOTALS[4])).alias("total_expenses")), "record_id")
 
 
+@query(
+    f"WITH {Q.record_cte('document_type = ' + Q.q('W2'))}, k AS (SELECT record_id, json_extract(v, '$.federal') AS f, unnest(json_keys(v, '$.federal')) AS box FROM v WHERE json_type(v, '$.federal') = 'OBJECT'), "
+    f"t AS (SELECT record_id, box, json_extract_string(f, '$.' || box) AS raw FROM k) SELECT record_id, box, {Q.amount('raw')} AS amount FROM t"
+)
+def amount_map(spark: SparkSession, sf: str) -> DataFrame:
+    d = L.parsed(_t(spark, sf, "extractions").filter("document_type = 'W2'"))
+    return d.select("record_id", F.explode(parse_amount_map(L.at("federal", "map<string,string>"))).alias("box", "amount"))
+
+
+@query(
+    "WITH r AS (SELECT record_id, document_type, regexp_extract(data, '(?s)[{].*[}]') AS rec FROM extractions), v AS (SELECT record_id, document_type, CASE WHEN rec <> '' AND json_valid(rec) THEN rec::JSON END AS v FROM r) "
+    "SELECT record_id, concat_ws(';', CASE WHEN document_type IS NULL OR document_type NOT IN ("
+    + ", ".join(map(Q.q, validate.known_types()))
+    + ") THEN 'unknown type' END, CASE WHEN v IS NULL THEN 'no record' END, "
+    + ", ".join(
+        f"CASE WHEN document_type = {Q.q(k)} AND v IS NOT NULL AND "
+        + (f"coalesce({Q.scalar_at(p)}, '') = ''" if p == "entity.name" else f"coalesce(json_type(v, '$.{p}'), '') <> 'OBJECT'")
+        + f" THEN 'missing {p}' END"
+        for k in validate.known_types()
+        for p in validate.required(k)
+    )
+    + ") AS problems FROM v"
+)
+def validation(spark: SparkSession, sf: str) -> DataFrame:
+    return validate.validated(_t(spark, sf, "extractions")).select("record_id", F.array_join("problems", ";").alias("problems"))
+
+
 @query("SELECT record_id, trim(regexp_replace(regexp_replace(trim(data), '^```(?:json)?\\s*', ''), '\\s*```$', '')) AS text FROM extractions")
 def strip_fence(spark: SparkSession, sf: str) -> DataFrame:
     return _t(spark, sf, "extractions").select("record_id", X.strip_fence(F.col("data")).alias("text"))

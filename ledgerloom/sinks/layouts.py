@@ -244,6 +244,21 @@ def account_rows(records: DataFrame) -> DataFrame:
     return base.select("record_id", "document_type", "entity_name").join(reduce(DataFrame.unionByName, [rows, subtotals, *totals]), "record_id")
 
 
+def line_items(records: DataFrame) -> DataFrame:
+    """Multi-column statements: ``record_id, ord, account_number, account_name, row_type, period, value``, a row for each line
+    item and period; periods without a value have no row (null isn't zero)."""
+    d = parsed(records.filter(F.col("document_type").isin("INCOME_STATEMENT_COMPARISON", "BUDGET_VS_ACTUAL")))
+    items = d.select("record_id", F.posexplode(at("line_items", "array<variant>")).alias("ord", "i"))
+    cell = lambda p: F.coalesce(at(p, v="i"), F.lit(""))
+    long = items.select("record_id", "ord", cell("account_number").alias("account_number"), cell("account_name").alias("account_name"), cell("row_type").alias("row_type"), F.explode(at("values", "map<string,string>", "i")).alias("period", "raw"))
+    return long.select("record_id", "ord", "account_number", "account_name", "row_type", "period", parse_amount(F.col("raw")).alias("value"))
+
+
+def wide_line_items(records: DataFrame, periods: list[str]) -> DataFrame:
+    """The same with a column for each period."""
+    return line_items(records).groupBy("record_id", "ord", "account_number", "account_name", "row_type").pivot("period", periods).agg(F.first("value"))
+
+
 def period_columns(columns: DataFrame) -> DataFrame:
     """``(key, ord)``: period keys of all documents in order of first appearance; ``columns`` has ``doc, ord, key``."""
     first = columns.filter("key is not null").groupBy("key").agg(F.min(F.struct("doc", "ord")).alias("first"))
@@ -264,8 +279,10 @@ def ledger_rows(lines: DataFrame, entity: str = "client_code") -> DataFrame:
 def aging_rows(items: DataFrame, by: list[str]) -> DataFrame:
     """A row for each name with the sums of its buckets and their total, and a TOTAL row for each report.
 
-    ``items`` has the columns ``by``, ``name, bucket, amount``.
+    ``items`` has the columns ``by``, ``name, bucket, amount``; buckets may go by their field names too.
     """
+    for header, name in BUCKET_FIELDS.items():
+        items = items.replace(name, header, subset=["bucket"])
     sums = [F.coalesce(F.sum(F.when(F.col("bucket") == b, F.col("amount"))), F.lit(0)).cast("decimal(18,2)").alias(f"b_{b}") for b in AGING_BUCKETS]
     total = F.sum("amount").cast("decimal(18,2)").alias("total")
     rows = items.groupBy(*by, "name").agg(*sums, total).withColumn("row_type", F.lit("row"))

@@ -84,6 +84,11 @@ def word_lines(words: DataFrame, keys: list[str]) -> DataFrame:
     return words.groupBy(*keys, y.alias("y")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("x0", "ord", "text"))), lambda w: w["text"]), "  ").alias("line"))
 
 
+def page_confidence(words: DataFrame, keys: list[str], low: float = 0.6) -> DataFrame:
+    """``(keys, confidence, doubtful)``: mean of the words' confidences; null, and not doubtful, where an engine gives none."""
+    return words.groupBy(*keys).agg(F.avg("confidence").alias("confidence")).withColumn("doubtful", F.coalesce(F.col("confidence") < low, F.lit(False)))
+
+
 def table_text(rows: Column) -> Column:
     """Text of a table given as rows of cells: cells two blanks apart (null as empty), rows on lines."""
     return F.array_join(F.transform(rows, lambda r: F.array_join(r, "  ", "")), "\n")

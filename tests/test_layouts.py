@@ -50,3 +50,30 @@ def test_account_rows(spark):
     assert L.shape(r) == "account"
     got = {(x.row_type, x.section, x.subsection, x.account_name, str(x.value)) for x in L.account_rows(r).collect()}
     assert got == {("account", "ASSETS", "Cash", "Op", "-5.00"), ("subtotal", "ASSETS", "Cash", "Total Cash", "5.00"), ("total", "ASSETS", "", "Total Assets", "5.00")}
+
+
+def test_line_items_and_aging(spark):
+    data = {"columns": [{"key": "a"}], "line_items": [{"account_name": "Rent", "values": {"a": "1,000", "b": None}}, {"account_number": 7, "values": {"b": 2}}, "n/a"]}
+    r = records(spark, ("BUDGET_VS_ACTUAL", data), ("BUDGET_VS_ACTUAL", {}), ("W2", data))
+    got = sorted((x.ord, x.account_number, x.account_name, x.period, None if x.value is None else float(x.value)) for x in L.line_items(r).collect())
+    assert got == [(0, "", "Rent", "a", 1000.0), (0, "", "Rent", "b", None), (1, "7", "", "b", 2.0)]
+    assert [(x.a, x.b) for x in L.wide_line_items(r, ["a", "b"]).orderBy("ord").collect()] == [(1000, None), (None, 2)]
+    items = spark.createDataFrame([("AR", "X", "days_1_30", 5.0), ("AR", "X", "1_to_30", 1.0), ("AR", "Y", "over_90", 2.0)], "report string, name string, bucket string, amount double")
+    rows = {(x.name, x.row_type): (float(x.b_1_to_30), float(x.b_over_90), float(x.total)) for x in L.aging_rows(items, ["report"]).collect()}
+    assert rows == {("X", "row"): (6.0, 0.0, 6.0), ("Y", "row"): (0.0, 2.0, 2.0), ("TOTAL", "total"): (6.0, 2.0, 8.0)}
+
+
+def test_validation(spark):
+    from ledgerloom.operators import validate
+
+    assert len(validate.known_types()) == 30
+    r = records(spark, ("W2", W2), ("W2", {"employer": {}}), ("BALANCE_SHEET", {"entity": {"name": ""}}), ("X", {}), ("K-1 1041", "broken {"), (None, None), ("TRIAL_BALANCE", {"entity": {"name": "E"}}))
+    got = {x.record_id: x.problems for x in validate.validated(r).collect()}
+    assert got == {0: [], 1: ["missing employee"], 2: ["missing entity.name"], 3: ["unknown type"], 4: ["no record"], 5: ["unknown type", "no record"], 6: []}
+
+
+def test_page_confidence(spark):
+    from ledgerloom.sources.files import page_confidence
+
+    w = spark.createDataFrame([(1, 0.9), (1, 0.1), (2, None)], "page int, confidence double")
+    assert {x.page: (x.confidence, x.doubtful) for x in page_confidence(w, ["page"]).collect()} == {1: (0.5, True), 2: (None, False)}
