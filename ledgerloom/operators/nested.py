@@ -243,9 +243,9 @@ def links(node_rows: DataFrame, id_col: str = "record_id") -> DataFrame:
     return node_rows.select(id_col, "node_path", "parent_path")
 
 
-#: The same links in SQL.
-LINKS_SQL = """
-WITH RECURSIVE base AS (
+#: The same nodes in SQL, as common table expressions that end with ``nodes``.
+NODES_CTE = """
+RECURSIVE base AS (
   SELECT record_id, regexp_extract(data, '(?s)[{].*[}]') AS rec FROM extractions
 ), t AS (
   SELECT record_id, '' AS path, '' AS parent, rec::JSON AS obj, false AS el FROM base WHERE rec <> '' AND json_valid(rec)
@@ -267,5 +267,6 @@ WITH RECURSIVE base AS (
     )
   ) WHERE json_type(o) = 'OBJECT'
 )
-SELECT record_id, path AS node_path, parent AS parent_path FROM t WHERE el
+, nodes AS (SELECT record_id, path AS node_path, parent AS parent_path, regexp_extract(path, '([a-z0-9_]+)\\[[0-9]+\\]$', 1) AS field, obj FROM t WHERE el)
 """
+LINKS_SQL = f"WITH {NODES_CTE} SELECT record_id, node_path, parent_path FROM nodes"

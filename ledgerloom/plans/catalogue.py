@@ -332,7 +332,7 @@ def verified_flag(spark: SparkSession, sf: str) -> DataFrame:
     return verify.verified(a.select("doc"), verify.section_check(_sections(a), a))
 
 
-@query()
+@query(Q.section_check())
 def statement_section_check(spark: SparkSession, sf: str) -> DataFrame:
     """Section totals of the extracted statements against their own accounts."""
     n = nested.nodes(_t(spark, sf, "extractions").filter("document_type <> 'W2'"))
@@ -480,7 +480,7 @@ def txf_records(spark: SparkSession, sf: str) -> DataFrame:
     return L.exchange_records(_t(spark, sf, "extractions"))
 
 
-@query()
+@query(Q.exchange_lines("01/31/2026", "ledgerloom"))
 def txf_lines(spark: SparkSession, sf: str) -> DataFrame:
     return L.exchange_lines(_t(spark, sf, "extractions"), "01/31/2026")
 
@@ -611,7 +611,7 @@ def events_sessions(spark: SparkSession, sf: str) -> DataFrame:
 # --- flagship -----------------------------------------------------------------------------------------------------------
 
 
-@query()
+@query(Q.flagship())
 def detect_documents(spark: SparkSession, sf: str) -> DataFrame:
     return flagship(spark, sf)
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from ..functions import tables as T
 from ..functions.text import WHITE
-from ..operators import sectionize
+from ..operators import nested, sectionize
 from ..sinks import layouts as L
 
 
@@ -231,6 +231,26 @@ SELECT record_id, document_type, CAST(tax_year AS VARCHAR) AS tax_year, {blank(c
 {blank(case(2, lambda p: scalar_at(p + '.name')))} AS party_b_name, {blank(case(2, last4))} AS party_b_last4, {money('main')} AS primary_amount, {case(4, q)} AS primary_label FROM p"""
 
 
+def exchange_lines(made_on: str, program: str) -> str:
+    nl = "chr(10)"
+    return f"""SELECT record_id, ord, 'T' || code || {nl} || 'P' || payer || {nl} || '$' || amount || {nl} || '^' AS lines FROM ({exchange()})
+UNION ALL SELECT NULL, -1, 'V042' || {nl} || 'A{program}' || {nl} || 'D{made_on}' || {nl} || '^'"""
+
+
+def section_check() -> str:
+    value = lambda f: amount(f"CASE WHEN json_type(obj, '$.{f}') NOT IN ('ARRAY', 'OBJECT') THEN json_extract_string(obj, '$.{f}') END")
+    return f"""WITH {nested.NODES_CTE}, st AS (SELECT n.* FROM nodes n JOIN extractions e USING (record_id) WHERE e.document_type <> 'W2'),
+a AS (SELECT record_id, parent_path AS path, sum(CAST(coalesce({value('balance')}, {value('amount')}, 0) AS DECIMAL(28,6))) AS s FROM st WHERE field = 'accounts' GROUP BY ALL),
+c AS (SELECT record_id, node_path AS path, CAST({value('section_total')} AS DECIMAL(28,6)) AS reported FROM st WHERE field IN ('sections', 'subsections')),
+d AS (SELECT record_id, path, CAST(coalesce(s, 0) AS DECIMAL(28,6)) AS computed, reported FROM c LEFT JOIN a USING (record_id, path) WHERE reported IS NOT NULL)
+SELECT record_id, path, computed, reported, CAST(computed - reported AS DECIMAL(28,6)) AS delta, abs(computed - reported) <= 0.02 AS matches FROM d"""
+
+
+def flagship() -> str:
+    return f"""SELECT m.doc_id, m.document_type, m.document_family, m.confidence, t.tax_year, t.estimated_record_count, CAST(len(regexp_extract_all(coalesce(d.text, ''), {q(T.PHONE)})) AS INTEGER) AS n_phones
+FROM ({master_detect()}) m JOIN ({tax_detect()}) t USING (doc_id) JOIN documents d USING (doc_id)"""
+
+
 def exchange() -> str:
     rows = []
     for kind, table in L.EXCHANGE.items():
