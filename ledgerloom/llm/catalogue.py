@@ -79,4 +79,4 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"p8_found": spans.FOUND_SQL}
+    return {"p8_found": spans.FOUND_SQL, "p8_shares": spans.SHARES_SQL}

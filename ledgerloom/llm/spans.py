@@ -274,3 +274,7 @@ g AS (SELECT doc_id, i, CASE WHEN i - lag(i) OVER (PARTITION BY doc_id ORDER BY
 n AS (SELECT doc_id, i, sum(new) OVER (PARTITION BY doc_id ORDER BY i) AS run FROM g)
 SELECT doc_id, CAST(min(i) - 1 AS INTEGER) AS start_char, CAST(max(i) + 199 AS INTEGER) AS end_char FROM n GROUP BY doc_id, run
 """
+SHARES_SQL = f"""
+WITH f AS ({FOUND_SQL}), s AS (SELECT doc_id, sum(end_char - start_char) AS c FROM f GROUP BY doc_id)
+SELECT doc_id, length(text) AS n_chars, CAST(coalesce(c, 0) AS BIGINT) AS shared_chars, CASE WHEN length(text) > 0 THEN coalesce(c, 0) / length(text) END AS shared_share FROM documents LEFT JOIN s USING (doc_id)
+"""
