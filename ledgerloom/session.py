@@ -10,7 +10,8 @@ import atexit
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
 _FOLDERS: dict[int, str] = {}
 
@@ -62,12 +63,22 @@ def _drop(spark: SparkSession, path: str) -> None:
 
 
 class Written:
-    """A written table: ``df`` reads it back; ``drop()`` removes it once nothing reads it any more."""
+    """A written table: ``df`` reads it back; ``drop()`` removes it once nothing reads it any more.
 
-    def __init__(self, df: DataFrame, name: str = "t"):
+    ``counts``: conditions by name; how many rows meet each is in ``seen`` afterwards, counted while writing.
+    """
+
+    def __init__(self, df: DataFrame, name: str = "t", **counts: Column):
         self._spark = df.sparkSession
         self.path = f"{shared_folder(self._spark)}/{name}-{uuid.uuid4().hex[:8]}"
-        df.write.mode("overwrite").parquet(self.path)
+        self.seen: dict[str, int] = {}
+        watched, out = None, df
+        if counts:
+            watched = Observation()
+            out = df.observe(watched, *[F.count_if(c).alias(n) for n, c in counts.items()])
+        out.write.mode("overwrite").parquet(self.path)
+        if watched is not None:
+            self.seen = dict(watched.get)
         self.df = self._spark.read.schema(df.schema).parquet(self.path)
 
     def drop(self) -> None:
