@@ -287,6 +287,13 @@ def _fitting(pairs: DataFrame, forms: DataFrame) -> DataFrame:
     return both.select("ra", "rb", "evidence", "pa", "pb").mapInPandas(run, "pa long, pb long, sure boolean, short long").groupBy("pa", "pb").agg(F.max("sure").alias("sure"), F.max("short").alias("short"))
 
 
+def place_keys(addresses: DataFrame) -> DataFrame:
+    """``(address, place)``: box number, or house number, direction, unit and the initials of the street's words. With a name that
+    fits, that is evidence enough; misspelt streets and missing cities don't matter to it."""
+    initials = F.array_join(F.array_sort(F.transform(F.split("street", " "), lambda w: F.left(w, F.lit(1)))), "")
+    return places.read(addresses).select("address", F.when(F.col("box") != "", F.concat(F.lit("box "), "box")).otherwise(F.concat_ws("|", "number", "point", "unit", initials)).alias("place"))
+
+
 def _organisation(role: str) -> F.Column:
     return F.when(F.col(role).isin(*ORGANISATION_ROLES), True).when(F.col(role).isin(*PERSON_ROLES), False)
 
@@ -305,9 +312,8 @@ def entities(df: DataFrame, more: DataFrame | None = None, id_col: str = "party_
         none = F.lit(None).cast("string")
         own = own.unionByName(more.select(F.lit(None).cast("long").alias("id"), "name", F.lit(True).alias("org"), "address", none.alias("phone"), none.alias("l4")).distinct())
     own = Written(own.filter("trim(name) <> ''"), "rows").df
-    place = places.locations(own.select("address"))
     read = Written(readings(own), "readings").df
-    placed = own.join(place, "address", "left").withColumnRenamed("location_id", "place")
+    placed = own.join(place_keys(own.select("address")), "address", "left")
     rows = placed.join(read.withColumnRenamed("org", "is_org"), "name").filter("org is null or org = is_org")
     # equal readings are one profile; a reading without full given name, or one seen with several numbers, only with equal evidence
     weak = F.expr("kind = 'p' and length(first) < 2")
@@ -316,7 +322,7 @@ def entities(df: DataFrame, more: DataFrame | None = None, id_col: str = "party_
     rows = rows.join(numbers, PARTS).withColumn("apart", F.when(weak, F.xxhash64("l4", "phone", "place", "address")).when(F.coalesce("several", F.lit(False)), F.xxhash64("l4")))
     rows = Written(rows.withColumn("node", F.xxhash64(*PARTS, "apart")).select("id", "node", "l4", "phone", "place", *PARTS), "nodes").df
     forms = Written(rows.select("node", *PARTS).distinct().join(common, "last", "left").withColumn("common", F.coalesce("common", F.lit(0))), "forms").df
-    evidence = rows.select("node", F.explode(F.array(F.concat(F.lit("t"), "phone"), F.concat(F.lit("n"), "l4"), F.concat(F.lit("a"), F.col("place").cast("string")))).alias("ev")).filter("ev is not null").distinct()
+    evidence = rows.select("node", F.explode(F.array(F.concat(F.lit("t"), "phone"), F.concat(F.lit("n"), "l4"), F.concat(F.lit("a"), "place"))).alias("ev")).filter("ev is not null").distinct()
     evidence = Written(evidence, "evidence").df
     numbered = rows.filter("l4 is not null").select("node", "l4").distinct()
     by_name = Written(_keyed(forms, PARTS, name_keys).select("node", F.xxhash64("key").alias("key")), "name-keys").df
@@ -325,7 +331,7 @@ def entities(df: DataFrame, more: DataFrame | None = None, id_col: str = "party_
     def members(profiles: DataFrame) -> DataFrame:
         return rows.filter("id is not null").join(profiles, "node").select("id", F.col("profile").alias("location_id")).distinct()
 
-    label = Written(forms.select("node", F.col("node").alias("profile")), "profiles")
+    label, left = Written(forms.select("node", F.col("node").alias("profile")), "profiles"), -1
     while True:
         p = label.df
         mids = forms.filter("mid <> ''").join(p, "node").groupBy("profile").agg(F.min("mid").alias("m1"), F.max("mid").alias("m2"))
@@ -342,18 +348,19 @@ def entities(df: DataFrame, more: DataFrame | None = None, id_col: str = "party_
             for t, names in ((mids, ("m1", "m2")), (nums, ("n1", "n2"))):
                 fit = fit.join(t.withColumnsRenamed({"profile": f"p{x}", **{n: n + x for n in names}}), f"p{x}", "left")
         clear = "coalesce(least(m1a, m1b) = greatest(m2a, m2b) or m1a is null or m1b is null, true) and coalesce(least(n1a, n1b) = greatest(n2a, n2b) or n1a is null or n1b is null, true)"
-        found = Written(fit.filter(clear).select(F.col("pa").alias("a"), F.col("pb").alias("b"), "sure", "short"), "merges").df
-        edges = found.filter("sure")
-        if not edges.limit(1).count():
-            # at the end, a nickname of several names counts where only one profile fits it
-            one = found.groupBy("short").agg(F.count("*").alias("n")).filter("n = 1").select("short")
-            edges = found.join(one, "short", "left_semi")
-            if not edges.limit(1).count():
+        found = Written(fit.filter(clear).select(F.col("pa").alias("a"), F.col("pb").alias("b"), "sure", "short"), "merges", sure=F.col("sure"), short=F.col("short").isNotNull())
+        edges = found.df.filter("sure")
+        if not found.seen["sure"]:
+            if not found.seen["short"]:
                 return members(p)
+            # at the end, a nickname of several names counts where only one profile fits it
+            one = found.df.groupBy("short").agg(F.count("*").alias("n")).filter("n = 1").select("short")
+            edges = found.df.join(one, "short", "left_semi")
         merged = components(edges.select("a", "b"))
         new = p.join(merged, p["profile"] == merged["id"], "left").select("node", F.coalesce("root", "profile").alias("root"))
-        label, old = Written(_without_conflict(new, numbered, forms), "profiles"), label
-        if not label.df.join(old.df.withColumnRenamed("profile", "was"), "node").filter("profile <> was").limit(1).count():
+        label = Written(_without_conflict(new, numbered, forms), "profiles")
+        before, left = left, label.df.select("profile").distinct().count()
+        if left == before:
             return members(label.df)
 
 

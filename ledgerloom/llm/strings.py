@@ -76,14 +76,17 @@ def components(edges: DataFrame) -> DataFrame:
     logarithm of a component's width. Each round is written, so lost executors cost one round at most.
     """
     both = Written(edges.select("a", "b").union(edges.select("b", "a")).filter("a <> b").distinct(), "edges")
-    labels = Written(both.df.groupBy(F.col("a").alias("id")).agg(F.least(F.min("b"), F.first("a")).alias("root")), "labels")
+    labels = both.df.groupBy(F.col("a").alias("id")).agg(F.least(F.min("b"), F.first("a")).alias("root"))
+    held: Written | None = None
     while True:
-        near = both.df.join(labels.df, both.df["b"] == labels.df["id"]).groupBy(F.col("a").alias("id")).agg(F.min("root").alias("near"))
-        step = labels.df.join(near, "id").select("id", F.col("root").alias("old"), F.least("root", "near").alias("root"))
-        up = labels.df.select(F.col("id").alias("root"), F.col("root").alias("top"))
-        new = Written(step.join(up, "root", "left").select("id", F.least("root", F.coalesce("top", "root")).alias("root"), "old"), "labels")
-        moved = new.df.filter("root <> old").limit(1).count()
-        labels.drop()
-        labels = new
-        if not moved:
-            return labels.df.select("id", "root")
+        near = both.df.join(labels, both.df["b"] == labels["id"]).groupBy(F.col("a").alias("id")).agg(F.min("root").alias("near"))
+        step = labels.join(near, "id").select("id", F.col("root").alias("old"), F.least("root", "near").alias("root"))
+        up = labels.select(F.col("id").alias("root"), F.col("root").alias("top"))
+        jumped = step.join(up, "root", "left").select("id", F.least("root", F.coalesce("top", "root")).alias("root"), "old")
+        new = Written(jumped, "labels", moved=F.col("root") != F.col("old"))
+        if held:
+            held.drop()
+        held, labels = new, new.df.select("id", "root")
+        if not new.seen["moved"]:
+            both.drop()
+            return labels
