@@ -334,8 +334,8 @@ def entities(df: DataFrame, more: DataFrame | None = None, id_col: str = "party_
     label, left = Written(forms.select("node", F.col("node").alias("profile")), "profiles"), -1
     while True:
         p = label.df
-        mids = forms.filter("mid <> ''").join(p, "node").groupBy("profile").agg(F.min("mid").alias("m1"), F.max("mid").alias("m2"))
-        nums = numbered.join(p, "node").groupBy("profile").agg(F.min("l4").alias("n1"), F.max("l4").alias("n2"))
+        marks = p.join(forms.select("node", F.nullif("mid", F.lit("")).alias("mid")), "node").join(numbered, "node", "left")
+        marks = marks.groupBy("profile").agg(F.min("mid").alias("m1"), F.max("mid").alias("m2"), F.min("l4").alias("n1"), F.max("l4").alias("n2"))
         # every spelling of a profile meets every phone, number and place of the profile
         united = evidence.join(p, "node").select("profile", "ev").distinct()
         with_ev = beside.join(p, "node").join(united, "profile").select("node", "profile", F.xxhash64("ev", "key").alias("key"), F.lit(True).alias("evidence"))
@@ -345,8 +345,7 @@ def entities(df: DataFrame, more: DataFrame | None = None, id_col: str = "party_
         pairs = a.join(b, F.expr("a.key = b.key and a.evidence = b.evidence and a.profile < b.profile")).groupBy(F.col("a.node").alias("a"), F.col("b.node").alias("b"), F.col("a.profile").alias("pa"), F.col("b.profile").alias("pb")).agg(F.max("a.evidence").alias("evidence"))
         fit = _fitting(pairs, forms)
         for x in "ab":
-            for t, names in ((mids, ("m1", "m2")), (nums, ("n1", "n2"))):
-                fit = fit.join(t.withColumnsRenamed({"profile": f"p{x}", **{n: n + x for n in names}}), f"p{x}", "left")
+            fit = fit.join(marks.withColumnsRenamed({"profile": f"p{x}", **{n: n + x for n in ("m1", "m2", "n1", "n2")}}), f"p{x}")
         clear = "coalesce(least(m1a, m1b) = greatest(m2a, m2b) or m1a is null or m1b is null, true) and coalesce(least(n1a, n1b) = greatest(n2a, n2b) or n1a is null or n1b is null, true)"
         found = Written(fit.filter(clear).select(F.col("pa").alias("a"), F.col("pb").alias("b"), "sure", "short"), "merges", sure=F.col("sure"), short=F.col("short").isNotNull())
         edges = found.df.filter("sure")
