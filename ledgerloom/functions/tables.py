@@ -434,5 +434,5 @@ def headers() -> list[tuple[float, str, str]]:
     return out
 
 
-def by_type(table: dict, swap: bool = True) -> dict[str, object]:
+def by_type(table: dict) -> dict[str, object]:
     return {t.strip(): k for k, ts in table.items() for t in ts.split("|")}
