@@ -1,6 +1,6 @@
 """Personal information in free text, by a linear-chain conditional random field over word shapes.
 
-The field is trained on the driver from a small labelled table (``pii_labelled.txt``, about a hundred pages, invented
+The field is trained on the driver from a small labelled table (``pii_labelled.txt``, about two hundred pages, invented
 content) by maximum likelihood, and broadcast: its size follows the table's, not the corpus. Executors cut pages into tokens,
 look up the weights of each token's features and decode pages in batches with a vectorised Viterbi.
 
