@@ -59,7 +59,7 @@ def _p3(table: str) -> Query:
 
 
 for _table in nested.TABLES:
-    query(name=f"p3_{_table}")(_p3(_table))
+    query(Q.typed_table(_table) if _table != "sections" else None, name=f"p3_{_table}")(_p3(_table))
 
 
 # --- classification -----------------------------------------------------------------------------------------------------
@@ -549,7 +549,7 @@ def csv_aging_rows(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query(
-    "SELECT CAST(row_number() OVER (ORDER BY min(l_orderkey), min(l_linenumber)) - 1 AS INTEGER) AS ord, l_returnflag || l_linestatus AS key FROM (SELECT *, min(l_linenumber) OVER (PARTITION BY l_returnflag, l_linestatus, l_orderkey) AS ml FROM lineitem) "
+    "SELECT CAST(row_number() OVER (ORDER BY min(l_orderkey), min(l_linenumber), l_returnflag || l_linestatus) - 1 AS INTEGER) AS ord, l_returnflag || l_linestatus AS key FROM (SELECT *, min(l_linenumber) OVER (PARTITION BY l_returnflag, l_linestatus, l_orderkey) AS ml FROM lineitem) "
     "WHERE (l_returnflag || l_linestatus, l_orderkey) IN (SELECT l_returnflag || l_linestatus, min(l_orderkey) FROM lineitem GROUP BY 1) GROUP BY l_returnflag, l_linestatus"
 )
 def period_columns(spark: SparkSession, sf: str) -> DataFrame:

@@ -237,6 +237,20 @@ def exchange_lines(made_on: str, program: str) -> str:
 UNION ALL SELECT NULL, -1, 'V042' || {nl} || 'A{program}' || {nl} || 'D{made_on}' || {nl} || '^'"""
 
 
+def typed_table(table: str) -> str:
+    """A typed table of elements that hold no sections; states by the automaton's rules for such objects."""
+    feeds, columns = nested.TABLES[table]
+    has = lambda *names: f"list_has_any(keys, [{', '.join(map(q, names))}])"
+    variant = "CASE WHEN " + has("section_name", "section_total", "accounts", "subsections") + " THEN 'section_empty'"
+    for name, fields in (("account_balance", ("balance",)), ("state_row", ("state_abbr", "box16_state_wages", "box17_state_withheld")), ("local_row", ("locality_name", "box18_local_wages", "box19_local_withheld")), ("box12_item", ("code",)), ("box14_item", ("label",))):
+        variant += f" WHEN {has(*fields)} THEN {q(name)}"
+    variant += f" WHEN {has('account_name', 'account_number')} THEN CASE WHEN {has('amount')} THEN 'account_amount' ELSE 'account_bare' END ELSE 'object' END"
+    raw = lambda f: f"CASE WHEN json_type(obj, '$.{f}') <> 'NULL' THEN json_extract_string(obj, '$.{f}') END"
+    cols = ", ".join(f"{amount(raw(f)) if k == 'money' else raw(f)} AS {c}" for c, f, k in columns)
+    return f"""WITH {nested.NODES_CTE}, k AS (SELECT *, json_keys(obj) AS keys FROM nodes WHERE field IN ({', '.join(map(q, feeds))}))
+SELECT record_id, node_path, parent_path, CAST(regexp_extract(node_path, '([0-9]+)\\]$', 1) AS INTEGER) AS position, CAST(CASE WHEN parent_path = '' THEN 0 ELSE len(string_split(parent_path, '.')) END AS INTEGER) AS depth, {variant} AS variant, {cols} FROM k"""
+
+
 def section_check() -> str:
     value = lambda f: amount(f"CASE WHEN json_type(obj, '$.{f}') NOT IN ('ARRAY', 'OBJECT') THEN json_extract_string(obj, '$.{f}') END")
     return f"""WITH {nested.NODES_CTE}, st AS (SELECT n.* FROM nodes n JOIN extractions e USING (record_id) WHERE e.document_type <> 'W2'),

@@ -264,7 +264,7 @@ def period_columns(columns: DataFrame) -> DataFrame:
     first = columns.filter("key is not null").groupBy("key").agg(F.min(F.struct("doc", "ord")).alias("first"))
     from pyspark.sql.window import Window
 
-    return first.select("key", (F.row_number().over(Window.orderBy("first")) - 1).alias("ord"))  # as many rows as there are period keys
+    return first.select("key", (F.row_number().over(Window.orderBy("first", "key")) - 1).alias("ord"))  # as many rows as there are period keys
 
 
 def ledger_rows(lines: DataFrame, entity: str = "client_code") -> DataFrame:
