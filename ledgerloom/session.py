@@ -88,3 +88,9 @@ class Written:
 def written(df: DataFrame, name: str = "t") -> DataFrame:
     """``df`` written to the shared folder and read back."""
     return Written(df, name).df
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` over all cores: for few bytes that cost much Python time a row, which size-based partitions would put into one task."""
+    spark = df.sparkSession
+    return df.repartition(max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))))
