@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import Written
+from ..session import Written, spread
 from .strings import assign, components, deletions, distance, records
 
 # Words of postal writing.
@@ -234,7 +234,8 @@ def read(addresses: DataFrame) -> DataFrame:
             rows = [(x, *(p[k] for k in FIELDS)) for x in f["address"] if (p := parse(x))]
             yield pd.DataFrame(rows, columns=["address", *FIELDS])
 
-    parsed = addresses.select("address").filter("address is not null").distinct().mapInPandas(run, "address string, " + ", ".join(f"{k} string" for k in FIELDS))
+    texts = spread(addresses.select("address").filter("address is not null").distinct())
+    parsed = texts.mapInPandas(run, "address string, " + ", ".join(f"{k} string" for k in FIELDS))
     return parsed.withColumn("form_id", F.xxhash64(*FIELDS))
 
 

@@ -23,7 +23,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import Written
+from ..session import Written, spread
 from . import address as places
 from .strings import assign, components, deletions, distance, records
 
@@ -257,7 +257,7 @@ def readings(rows: DataFrame) -> DataFrame:
                     out.append((name, bool(org), *(p.get(k, "") for k in PARTS)))
             yield pd.DataFrame(out, columns=["name", "org", *PARTS])
 
-    names = rows.select("name", "org").distinct()
+    names = spread(rows.select("name", "org").distinct())
     return names.mapInPandas(run, "name string, org boolean, " + ", ".join(f"{k} string" for k in PARTS))
 
 
