@@ -1,14 +1,25 @@
 """Merging of the partial results of a document's chunks, and keep-first de-duplication.
 
-Everything is an aggregation over explicit ordinals, so the order in which chunks finish never shows.
+Everything is an aggregation over explicit ordinals, so the order in which chunks finish never shows. The ``merge_*`` of rows
+and ``fold`` of whole records keep the same rules.
 """
 
 from __future__ import annotations
 
+import json
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .chunking import LEDGERS
+from .nested import complete_record
+
+#: Types whose line items are distinct by number and name, under columns that stand once.
+MULTICOLUMN = ("INCOME_STATEMENT_COMPARISON", "BUDGET_VS_ACTUAL", "QB_PROFIT_LOSS")
+FLAGS = ("encoding_broken", "is_corrected", "is_void", "is_summary_sheet")
+
 
 def keep_first(df: DataFrame, keys: list[Column | str], order: list[Column | str]) -> DataFrame:
     """The first row of each key; null keys are one key."""
@@ -84,6 +95,118 @@ def merge_usage(parts: DataFrame, doc: str = "doc", order: str = "chunk_index")
     return parts.groupBy(doc).agg(*[F.sum(c).alias(c) for c in ("prompt_tokens", "completion_tokens", "retries")], F.count("*").alias("calls"), F.max_by("finish_reason", order).alias("finish_reason"))
 
 
+# --- whole records --------------------------------------------------------------------------------------------------
+
+
+def _list(value: object) -> list:
+    return value if isinstance(value, list) else [] if value is None else [value]
+
+
+def _concat(values: list) -> list:
+    return [x for v in values for x in _list(v)]
+
+
+def _distinct(values: list) -> list:
+    seen: dict = {}
+    for x in values:
+        if x is not None:
+            seen.setdefault(json.dumps(x, sort_keys=True), x)
+    return list(seen.values())
+
+
+def _known(values: list) -> object:
+    return next((v for v in values if v is not None), None)
+
+
+def _any(values: list) -> object:
+    """Objects and arrays of all chunks together, of anything else the first known value."""
+    first = _known(values)
+    if isinstance(first, dict):
+        return _together([v for v in values if isinstance(v, dict)])
+    return _concat(values) if isinstance(first, list) else first
+
+
+def _together(objects: list[dict], **rules) -> dict:
+    """One object with the fields of all, each by its rule, else by ``_any``."""
+    names = dict.fromkeys(k for o in objects for k in o)
+    return {k: rules.get(k, _any)([o[k] for o in objects if k in o]) for k in names}
+
+
+def _grouped(values: list, key, unite) -> list:
+    """Elements of all chunks by key in order of first appearance; those that aren't objects stay as they are."""
+    groups: dict = {}
+    for x in _concat(values):
+        groups.setdefault(key(x) if isinstance(x, dict) else ("", len(groups)), []).append(x)
+    return [g[0] if len(g) == 1 else unite(g) for g in groups.values()]
+
+
+def _account(parts: list[dict]) -> dict:
+    out = _together(parts, transactions=_concat, ending_balance=lambda v: _known(v[::-1]))
+    if "beginning_balance" in out:  # a later part begins at the balance carried, not at the account's
+        out["beginning_balance"] = parts[0].get("beginning_balance")
+    return out
+
+
+def _accounts(values: list) -> list:
+    return _grouped(values, lambda a: str(a.get("account_number") or a.get("account_name") or ""), _account)
+
+
+def _section(parts: list[dict]) -> dict:
+    return _together(parts, accounts=_concat, sections=_sections, subsections=_sections, section_total=lambda v: _known(v[::-1]))
+
+
+def _sections(values: list) -> list:
+    return _grouped(values, lambda s: str(s.get("section_name") or ""), _section)
+
+
+def _side(values: list) -> object:
+    sides = [v for v in values if isinstance(v, dict)]
+    return _section(sides) if any("sections" in s for s in sides) else _any(values)
+
+
+def _lines(values: list) -> list:
+    return _grouped(values, lambda x: json.dumps([x.get("account_number"), x.get("account_name")]), lambda g: g[0])
+
+
+def _entity(values: list) -> object:
+    return next((v for v in values if isinstance(v, dict) and v.get("name")), values[0])
+
+
+def _metadata(values: list) -> dict:
+    flags = dict.fromkeys(FLAGS, lambda v: True if any(v) else _known(v))
+    rotated = lambda v: sorted(_distinct(_concat(v)), key=lambda x: (str(type(x)), x if isinstance(x, (int, float)) else str(x)))
+    return _together([v for v in values if isinstance(v, dict)], notes=lambda v: _distinct(_concat(v)), pages_rotated=rotated, **flags)
+
+
+def fold(records: list[dict], kind: str | None) -> dict:
+    """One record of a document's partial records in chunk order; a single one stays as it is.
+
+    Ledger accounts meet by number, else name, and sections and subsections by name (as in ``merge_ledger`` and
+    ``merge_sections``); line items are distinct; the entity is the first named; notes are distinct, flags true where any chunk
+    says so; other arrays are concatenated, and of other values the first known stays.
+    """
+    if len(records) < 2:
+        return records[0] if records else {}
+    rules = dict(entity=_entity, metadata=_metadata, **dict.fromkeys(("assets", "liabilities", "equity", "income", "expenses", "other_income", "other_expenses"), _side), sections=_sections)
+    if kind in LEDGERS:
+        rules["accounts"] = _accounts
+    if kind in MULTICOLUMN:
+        rules |= {"columns": lambda v: next((x for x in v if x), v[0]), "line_items": _lines}
+    return _together(records, **rules)
+
+
+def merge_records(parts: DataFrame, keys: list[str], kind: str = "document_type", order: str = "chunk_index", data: str = "json") -> DataFrame:
+    """``(keys, n_parts, data)``: the partial records of each key as one (see ``fold``). All parts of a key come to one task."""
+
+    @F.pandas_udf("string")
+    def folded(kinds: pd.Series, texts: pd.Series) -> pd.Series:
+        return pd.Series([json.dumps(fold([r for r in map(complete_record, t) if r is not None], k), ensure_ascii=False) for k, t in zip(kinds, texts)], dtype=object)
+
+    held = parts.filter(F.col(data).isNotNull()).groupBy(*keys).agg(F.count("*").alias("n_parts"), ordered(data, order).alias("_t"))
+    one = held.filter("n_parts = 1").select(*keys, "n_parts", F.col("_t")[0].alias("data"))
+    return one.unionByName(held.filter("n_parts > 1").select(*keys, "n_parts", folded(kind, "_t").alias("data")))
+
+
 def failed_documents(docs: DataFrame, parts: DataFrame, doc: str = "doc") -> DataFrame:
     """Documents of which no chunk gave a result, as placeholders."""
     return docs.join(parts.select(doc).distinct(), doc, "left_anti").select(doc, F.lit("EXTRACTION FAILED").alias("entity_name"))

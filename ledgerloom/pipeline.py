@@ -68,20 +68,36 @@ def prompts(texts: DataFrame, options: Options = Options()) -> DataFrame:
 
 
 def extract(files: DataFrame, backend: inference.Backend, options: Options = Options()) -> dict[str, DataFrame]:
-    """``partials`` (one answer for each prompt, with errors), ``records`` (one for each answer, W-2 de-duplicated, numbers
-    redacted), ``usage`` and, of statements, ``checks`` of section totals."""
+    """``partials`` (one answer for each prompt, with errors), ``records`` (one for each section: its partials merged, W-2
+    de-duplicated, numbers redacted), ``failed`` (sections without any answer, a placeholder each; those of the financial
+    families stand in ``records`` too), ``usage`` and, of statements, ``checks`` of section totals.
+
+    ``n_parts`` of ``total_chunks`` chunks gave what is in a record.
+    """
     asked = prompts(section_texts(files), options)
-    keys = ["file_id", "section_no", "chunk_index", "document_type", "family"]
+    section = ["file_id", "section_no", "total_chunks", "document_type", "family"]
+    keys = [*section, "chunk_index"]
     partials = inference.infer(asked, backend, keys, retries=options.retries, parallel=options.parallel)
-    good = partials.filter("json is not null").select(F.xxhash64("file_id", "section_no", "chunk_index").alias("record_id"), *keys, F.col("json").alias("data"))
+    by_doc = partials.withColumn("doc", F.struct("file_id", "section_no"))
+    usage = merging.merge_usage(by_doc)
+    some = partials.filter("json is not null")
+    # a section of one chunk is its answer, and needs no shuffle; both branches read the merged once
+    whole = some.filter("total_chunks = 1").select(*section, F.lit(1).cast("long").alias("n_parts"), F.col("json").alias("data"))
+    merged = written(whole.unionByName(merging.merge_records(some.filter("total_chunks > 1"), section)), "merged")
+    failed = merging.failed_documents(by_doc.select("doc").distinct(), by_doc.filter("json is not null"))
+    failed = failed.join(usage, "doc").join(by_doc.groupBy("doc", *section[2:]).agg(F.max_by("error", "chunk_index").alias("error")), "doc").select("doc.*", *section[2:], "entity_name", "calls", "retries", "finish_reason", "error")
+    said = F.concat_ws("", F.lit("no chunk gave a result: "), F.col("calls").cast("string"), F.lit(" call(s), "), F.col("retries").cast("string"), F.lit(" retry(ies), last finish_reason "), F.coalesce("finish_reason", F.lit("n/a")))
+    empty = F.to_json(F.struct(F.struct(F.col("entity_name").alias("name")).alias("entity"), F.struct(F.array(said).alias("notes")).alias("metadata")))
+    placeholders = failed.filter("family <> 'tax'").select(*section, F.lit(0).cast("long").alias("n_parts"), empty.alias("data"))
+    section.append("n_parts")
+    good = merged.unionByName(placeholders).select(F.xxhash64("file_id", "section_no", F.lit(0)).alias("record_id"), *section, "data")
     if options.redact:
         good = sanitize.redact_records(good, ["data"])
     parsed = layouts.parsed(good)
     year = F.coalesce(layouts.at("tax_year", "int"), F.lit(2025))
-    records = parsed.select("record_id", *keys, "data", year.alias("tax_year"), *[layouts.at(p).alias(p.replace(".", "_")) for p in ("employer.ein", "employer.name", "employee.ssn_last4", "employee.name")])
+    records = parsed.select("record_id", *section, "data", year.alias("tax_year"), *[layouts.at(p).alias(p.replace(".", "_")) for p in ("employer.ein", "employer.name", "employee.ssn_last4", "employee.name")])
     records = merging.dedup_w2(records, list(options.dedup_scope))
-    usage = merging.merge_usage(partials.withColumn("doc", F.struct("file_id", "section_no")))
-    out = {"partials": partials, "records": records, "usage": usage}
+    out = {"partials": partials, "records": records, "failed": failed, "usage": usage}
     if options.verify:
         n = nested.nodes(good.filter("family <> 'tax'"))
         accounts = nested.typed_table(n, "accounts").select("record_id", F.col("parent_path").alias("path"), verify.account_value(F.col("balance"), F.col("amount")).alias("value"))
