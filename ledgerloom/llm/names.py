@@ -281,10 +281,10 @@ def _fitting(pairs: DataFrame, forms: DataFrame) -> DataFrame:
             sure = [fits(i, j, bool(e)) for i, j, e in zip(a, b, x["evidence"])]
             # the profile with the nickname of several names, where that is all there is
             short = [None if s or not unsure(i, j) else p if len(given(i["first"])) > 1 else q for s, i, j, p, q in zip(sure, a, b, x["pa"], x["pb"])]
-            out = pd.DataFrame({"pa": x["pa"], "pb": x["pb"], "sure": sure, "short": pd.array(short, dtype="Int64")})
+            out = pd.DataFrame({"pa": x["pa"], "pb": x["pb"], "sure": sure, "short": pd.array(short, dtype="Int64"), "backed": [s and bool(e) for s, e in zip(sure, x["evidence"])]})
             yield out[out["sure"] | out["short"].notna()]
 
-    return both.select("ra", "rb", "evidence", "pa", "pb").mapInPandas(run, "pa long, pb long, sure boolean, short long").groupBy("pa", "pb").agg(F.max("sure").alias("sure"), F.max("short").alias("short"))
+    return both.select("ra", "rb", "evidence", "pa", "pb").mapInPandas(run, "pa long, pb long, sure boolean, short long, backed boolean").groupBy("pa", "pb").agg(*[F.max(c).alias(c) for c in ("sure", "short", "backed")])
 
 
 def place_keys(addresses: DataFrame) -> DataFrame:
@@ -335,7 +335,7 @@ def entities(df: DataFrame, more: DataFrame | None = None, id_col: str = "party_
     while True:
         p = label.df
         marks = p.join(forms.select("node", F.nullif("mid", F.lit("")).alias("mid")), "node").join(numbered, "node", "left")
-        marks = marks.groupBy("profile").agg(F.min("mid").alias("m1"), F.max("mid").alias("m2"), F.min("l4").alias("n1"), F.max("l4").alias("n2"))
+        marks = marks.groupBy("profile").agg(F.min("mid").alias("m1"), F.max("mid").alias("m2"), F.min("l4").alias("n1"), F.max("l4").alias("n2"), F.count("*").alias("n"))
         # every spelling of a profile meets every phone, number and place of the profile
         united = evidence.join(p, "node").select("profile", "ev").distinct()
         with_ev = beside.join(p, "node").join(united, "profile").select("node", "profile", F.xxhash64("ev", "key").alias("key"), F.lit(True).alias("evidence"))
@@ -345,9 +345,9 @@ def entities(df: DataFrame, more: DataFrame | None = None, id_col: str = "party_
         pairs = a.join(b, F.expr("a.key = b.key and a.evidence = b.evidence and a.profile < b.profile")).groupBy(F.col("a.node").alias("a"), F.col("b.node").alias("b"), F.col("a.profile").alias("pa"), F.col("b.profile").alias("pb")).agg(F.max("a.evidence").alias("evidence"))
         fit = _fitting(pairs, forms)
         for x in "ab":
-            fit = fit.join(marks.withColumnsRenamed({"profile": f"p{x}", **{n: n + x for n in ("m1", "m2", "n1", "n2")}}), f"p{x}")
+            fit = fit.join(marks.withColumnsRenamed({"profile": f"p{x}", **{n: n + x for n in ("m1", "m2", "n1", "n2", "n")}}), f"p{x}")
         clear = "coalesce(least(m1a, m1b) = greatest(m2a, m2b) or m1a is null or m1b is null, true) and coalesce(least(n1a, n1b) = greatest(n2a, n2b) or n1a is null or n1b is null, true)"
-        found = Written(fit.filter(clear).select(F.col("pa").alias("a"), F.col("pb").alias("b"), "sure", "short"), "merges", sure=F.col("sure"), short=F.col("short").isNotNull())
+        found = Written(fit.filter(clear).select(F.col("pa").alias("a"), F.col("pb").alias("b"), "sure", "short", "backed", *[F.col(f"{n}1{x}").alias(f"{c}{x}") for n, c in (("n", "l4"), ("m", "mid")) for x in "ab"], "na", "nb"), "merges", sure=F.col("sure"), short=F.col("short").isNotNull())
         edges = found.df.filter("sure")
         if not found.seen["sure"]:
             if not found.seen["short"]:
@@ -355,22 +355,57 @@ def entities(df: DataFrame, more: DataFrame | None = None, id_col: str = "party_
             # at the end, a nickname of several names counts where only one profile fits it
             one = found.df.groupBy("short").agg(F.count("*").alias("n")).filter("n = 1").select("short")
             edges = found.df.join(one, "short", "left_semi")
-        merged = components(edges.select("a", "b"))
-        new = p.join(merged, p["profile"] == merged["id"], "left").select("node", F.coalesce("root", "profile").alias("root"))
-        label = Written(_without_conflict(new, numbered, forms), "profiles")
+        merged = _without_conflict(edges)
+        label = Written(p.join(merged, p["profile"] == merged["id"], "left").select("node", F.coalesce("root", "profile").alias("profile")), "profiles")
         before, left = left, label.df.select("profile").distinct().count()
         if left == before:
             return members(label.df)
 
 
-def _without_conflict(merged: DataFrame, numbered: DataFrame, forms: DataFrame) -> DataFrame:
-    """Profiles of the merged roots; where a chain of merges joined different last four digits or middle initials, the root
-    is divided by them, and nodes without go to the part with most nodes."""
-    known = merged.join(numbered, "node", "left").join(forms.select("node", F.nullif("mid", F.lit("")).alias("mid")), "node")
-    known = known.groupBy("node", "root").agg(F.min("l4").alias("l4"), F.min("mid").alias("mid"))
-    mode = known.groupBy("root").agg(F.mode("l4").alias("l4m"), F.mode("mid").alias("midm"), (F.min("l4") != F.max("l4")).alias("d1"), (F.min("mid") != F.max("mid")).alias("d2"))
-    parts = known.join(mode, "root").withColumn("part", F.xxhash64("root", F.when(F.col("d1"), F.coalesce("l4", "l4m")), F.when(F.col("d2"), F.coalesce("mid", "midm"))))
-    return parts.select("node", F.when(F.coalesce("d1", F.lit(False)) | F.coalesce("d2", F.lit(False)), F.col("part")).otherwise(F.col("root")).alias("profile"))
+def _divide(edges: pd.DataFrame) -> pd.DataFrame:
+    """``(id, root)``: the profiles of ``edges`` in parts without different last four digits or middle initials; root is the
+    least profile of the part.
+
+    Parts grow along the edges: first where both ends have the same digits or initial, then from what has most evidence and
+    most nodes, ties by least id. Profiles stay whole, and no edge is left between two parts that could be one.
+    """
+    edges = edges.astype({c: object for c in ("l4a", "l4b", "mida", "midb")}).where(edges.notna(), None)
+    root: dict[int, int] = {}
+    marks: dict[int, list] = {}
+    for x in "ab":
+        for i, *mark in zip(*(edges[f"{c}{x}" if c != "id" else x] for c in ("id", "l4", "mid", "n"))):
+            root[i], marks[i] = i, mark
+
+    def find(i: int) -> int:
+        while root[i] != i:
+            root[i] = i = root[root[i]]
+        return i
+
+    def unite(i: int, j: int) -> None:
+        i, j = sorted((find(i), find(j)))
+        a, b = marks[i], marks[j]
+        if i != j and not any(u is not None and v is not None and u != v for u, v in zip(a[:2], b[:2])):
+            root[j], marks[i] = i, [b[0] if a[0] is None else a[0], b[1] if a[1] is None else a[1], a[2] + b[2]]
+
+    rows = list(zip(edges["a"], edges["b"], edges["backed"]))
+    alike = lambda k: [r for r in rows if marks[r[0]][k] is not None and marks[r[0]][k] == marks[r[1]][k]]
+    for group in (alike(0), alike(1), [r for r in rows if r[2]], rows):
+        parts = [(*sorted((find(i), find(j))), i, j) for i, j, _ in group]
+        for *_, i, j in sorted((-marks[x][2] - marks[y][2], x, y, i, j) for x, y, i, j in parts):
+            unite(i, j)
+    return pd.DataFrame({"id": list(root), "root": [find(i) for i in root]}, dtype="int64")
+
+
+def _without_conflict(edges: DataFrame) -> DataFrame:
+    """``(id, root)`` of the profiles of the edges. Where a chain of merges would join different last four digits or middle
+    initials, it is divided (``_divide``, one task for each such chain); no profile is taken apart again, so every round with edges
+    has fewer profiles after it."""
+    roots = components(edges.select("a", "b"))
+    held = edges.join(roots, edges["a"] == roots["id"]).drop("id")
+    differ = lambda c: F.coalesce(F.least(F.min(f"{c}a"), F.min(f"{c}b")) != F.greatest(F.max(f"{c}a"), F.max(f"{c}b")), F.lit(False))
+    torn = held.groupBy("root").agg((differ("l4") | differ("mid")).alias("torn")).filter("torn").select("root")
+    parts = held.join(torn, "root", "left_semi").groupBy("root").applyInPandas(_divide, "id long, root long")
+    return roots.join(torn, "root", "left_anti").select("id", "root").unionByName(parts)
 
 
 def same_party(df: DataFrame, more: DataFrame | None = None, id_col: str = "party_id") -> DataFrame:

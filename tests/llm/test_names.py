@@ -80,3 +80,14 @@ def test_chain_with_conflicting_numbers_is_divided(spark):
 def test_empty(spark):
     assert pairs(spark, [(1, "employee", "A B")]) == set()
     assert N.same_party(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def test_division_keeps_profiles_and_observed_parts(spark):
+    """Digits 1 have the initials A once and B twice by different people; what has no initial isn't cut off into (1, B)."""
+    cols = "a long, b long, sure boolean, short long, backed boolean, l4a string, l4b string, mida string, midb string, na long, nb long"
+    row = lambda a, b, backed=False: (a, b, True, None, backed, *[m for x in zip(marks[a], marks[b]) for m in x])
+    marks = {1: ("1", "a", 1), 2: ("1", None, 1), 3: ("2", "b", 2), 4: (None, None, 1), 5: (None, None, 1), 6: (None, None, 1)}
+    edges = [row(1, 2), row(1, 4), row(3, 4), row(4, 5), row(3, 5, True)]
+    got = {r.id: r.root for r in N._without_conflict(spark.createDataFrame(edges, cols)).collect()}
+    assert got == {1: 1, 2: 1, 3: 3, 4: 3, 5: 3}
+    assert {r.id: r.root for r in N._without_conflict(spark.createDataFrame([row(1, 4), row(4, 6)], cols)).collect()} == {1: 1, 4: 1, 6: 1}
