@@ -331,7 +331,8 @@ def entities(df: DataFrame, more: DataFrame | None = None, id_col: str = "party_
     def members(profiles: DataFrame) -> DataFrame:
         return rows.filter("id is not null").join(profiles, "node").select("id", F.col("profile").alias("location_id")).distinct()
 
-    label, left = Written(forms.select("node", F.col("node").alias("profile")), "profiles"), -1
+    label = Written(forms.select("node", F.col("node").alias("profile")), "profiles")
+    # ends: each round with edges unites at least two profiles, takes none apart, and leaves no edge that a veto refuses to be found again
     while True:
         p = label.df
         marks = p.join(forms.select("node", F.nullif("mid", F.lit("")).alias("mid")), "node").join(numbered, "node", "left")
@@ -357,9 +358,6 @@ def entities(df: DataFrame, more: DataFrame | None = None, id_col: str = "party_
             edges = found.df.join(one, "short", "left_semi")
         merged = _without_conflict(edges)
         label = Written(p.join(merged, p["profile"] == merged["id"], "left").select("node", F.coalesce("root", "profile").alias("profile")), "profiles")
-        before, left = left, label.df.select("profile").distinct().count()
-        if left == before:
-            return members(label.df)
 
 
 def _divide(edges: pd.DataFrame) -> pd.DataFrame:

@@ -91,3 +91,12 @@ def test_division_keeps_profiles_and_observed_parts(spark):
     got = {r.id: r.root for r in N._without_conflict(spark.createDataFrame(edges, cols)).collect()}
     assert got == {1: 1, 2: 1, 3: 3, 4: 3, 5: 3}
     assert {r.id: r.root for r in N._without_conflict(spark.createDataFrame([row(1, 4), row(4, 6)], cols)).collect()} == {1: 1, 4: 1, 6: 1}
+
+
+def test_stuck_conflict_leaves_nicknames_linked(spark):
+    """1 to 4 fit 5 alike but not each other (the commonest digits and the commonest initial are no one's pair); the nickname of
+    several names, 6, still finds the one name that fits."""
+    people = [("A", "1111"), ("C", "1111"), ("B", "2222"), ("B", "3333")]
+    rows = [(i, "employee", f"Peter {mid} Elk", None, None, l4) for i, (mid, l4) in enumerate(people, 1)]
+    got = pairs(spark, [*rows, (5, "employee", "Peter Elk"), (6, "employee", "Nat Brenolkirk"), (7, "employee", "Nathaniel Brenolkirk")])
+    assert (6, 7) in got and len(got) == 2 and len(got & {(i, 5) for i in range(1, 5)}) == 1
