@@ -6,8 +6,9 @@ the start. Then rounds: each profile enters blocking with all its spellings, ini
 profiles with fitting names merge; the merged profile unites what both had, so it meets spellings and places that neither
 met alone. Rounds end when nothing merges.
 
-A full given name and surname identify a person by themselves (spellings one edit apart too, where one of the surnames is
-rare beside the other); an initial or a nickname of several names only with a shared phone, last four digits or place. Sr and
+A full given name and surname identify a person by themselves (spellings one edit apart too, where one of the surnames has at
+most a fifth of the other's rows, or is seen with one or two given names whatever its rows: neither changes when the table is
+repeated); an initial or a nickname of several names only with a shared phone, last four digits or place. Sr and
 Jr, different middle initials and different last four digits are vetoes.
 """
 
@@ -179,7 +180,8 @@ def unsure(a: dict, b: dict) -> bool:
 
 
 def fits(a: dict, b: dict, evidence: bool) -> bool:
-    """Whether two readings may be one party's. ``common``: how often the surname is written so."""
+    """Whether two readings may be one party's. ``common``: with how many given names the surname is written so; ``rows``: how
+    often, where it is known."""
     if a["kind"] != b["kind"]:
         return False
     if a["kind"] == "o":
@@ -211,8 +213,8 @@ def fits(a: dict, b: dict, evidence: bool) -> bool:
         return f == g and d == 0
     if d == 0:
         return True
-    low, high = sorted((a["common"], b["common"]))
-    return low <= 2 or low * 10 <= high
+    low, high = sorted((a.get("rows", a["common"]), b.get("rows", b["common"])))
+    return low * 5 <= high or min(a["common"], b["common"]) <= 2
 
 
 def name_keys(r: dict) -> list[str]:
@@ -242,7 +244,8 @@ PARTS = ["kind", "first", "mid", "last", "suffix", "own", "trades"]
 
 
 def readings(rows: DataFrame) -> DataFrame:
-    """``name, organisation`` to the parts of the name; names without words are left out."""
+    """``name, organisation`` to the parts of the name, with ``full``, the full given name (the first of several); names without
+    words are left out."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
@@ -254,11 +257,12 @@ def readings(rows: DataFrame) -> DataFrame:
                 p = organisation(name) if org else person(name)
                 if p:
                     p = {"kind": "o" if org else "p", **p}
-                    out.append((name, bool(org), *(p.get(k, "") for k in PARTS)))
-            yield pd.DataFrame(out, columns=["name", "org", *PARTS])
+                    first = p.get("first", "")
+                    out.append((name, bool(org), given(first)[0] if len(first) > 1 else "", *(p.get(k, "") for k in PARTS)))
+            yield pd.DataFrame(out, columns=["name", "org", "full", *PARTS])
 
     names = spread(rows.select("name", "org").distinct())
-    return names.mapInPandas(run, "name string, org boolean, " + ", ".join(f"{k} string" for k in PARTS))
+    return names.mapInPandas(run, "name string, org boolean, full string, " + ", ".join(f"{k} string" for k in PARTS))
 
 
 def _keyed(forms: DataFrame, fields: list[str], make) -> DataFrame:
@@ -272,7 +276,7 @@ def _keyed(forms: DataFrame, fields: list[str], make) -> DataFrame:
 
 def _fitting(pairs: DataFrame, forms: DataFrame) -> DataFrame:
     """Of the pairs of nodes ``(a, b, pa, pb, evidence)``, the pairs of profiles whose names fit."""
-    f = forms.select("node", F.struct(*PARTS, "common").alias("r"))
+    f = forms.select("node", F.struct(*PARTS, "common", "rows").alias("r"))
     both = pairs.join(f.withColumnsRenamed({"node": "a", "r": "ra"}), "a").join(f.withColumnsRenamed({"node": "b", "r": "rb"}), "b")
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -318,10 +322,10 @@ def entities(df: DataFrame, more: DataFrame | None = None, id_col: str = "party_
     # equal readings are one profile; a reading without full given name, or one seen with several numbers, only with equal evidence
     weak = F.expr("kind = 'p' and length(first) < 2")
     numbers = rows.groupBy(*PARTS).agg((F.min("l4") != F.max("l4")).alias("several"), F.count("*").alias("n"))
-    common = rows.filter("kind = 'p'").groupBy("last").agg(F.count("*").alias("common"))
+    common = rows.filter("kind = 'p'").groupBy("last", "full").agg(F.count("*").alias("n")).groupBy("last").agg(F.count_if(F.col("full") != "").alias("common"), F.sum("n").alias("rows"))
     rows = rows.join(numbers, PARTS).withColumn("apart", F.when(weak, F.xxhash64("l4", "phone", "place", "address")).when(F.coalesce("several", F.lit(False)), F.xxhash64("l4")))
     rows = Written(rows.withColumn("node", F.xxhash64(*PARTS, "apart")).select("id", "node", "l4", "phone", "place", *PARTS), "nodes").df
-    forms = Written(rows.select("node", *PARTS).distinct().join(common, "last", "left").withColumn("common", F.coalesce("common", F.lit(0))), "forms").df
+    forms = Written(rows.select("node", *PARTS).distinct().join(common, "last", "left").fillna(0, ["common", "rows"]), "forms").df
     evidence = rows.select("node", F.explode(F.array(F.concat(F.lit("t"), "phone"), F.concat(F.lit("n"), "l4"), F.concat(F.lit("a"), "place"))).alias("ev")).filter("ev is not null").distinct()
     evidence = Written(evidence, "evidence").df
     numbered = rows.filter("l4 is not null").select("node", "l4").distinct()

@@ -100,3 +100,13 @@ def test_stuck_conflict_leaves_nicknames_linked(spark):
     rows = [(i, "employee", f"Peter {mid} Elk", None, None, l4) for i, (mid, l4) in enumerate(people, 1)]
     got = pairs(spark, [*rows, (5, "employee", "Peter Elk"), (6, "employee", "Nat Brenolkirk"), (7, "employee", "Nathaniel Brenolkirk")])
     assert (6, 7) in got and len(got) == 2 and len(got & {(i, 5) for i in range(1, 5)}) == 1
+
+
+def test_rare_spellings_do_not_depend_on_size(spark):
+    r = lambda t, rows, common: {"kind": "p", "own": "", "trades": "", "common": common, "rows": rows, **N.person(t)}
+    for k in (1, 10, 1000):
+        assert N.fits(r("Peter Oaobourne", 2 * k, 9), r("Peter Oakobourne", 15 * k, 15), False) and not N.fits(r("Peter Oaobourne", 9 * k, 9), r("Peter Oakobourne", 15 * k, 15), False)
+    rows = [("Peter Oaobourne", 1), ("Peter Oakobourne", 2), ("Daniel Oakobourne", 3)]
+    for k in (1, 10):
+        some = [(i + 10 * j, "employee", name) for name, i in rows for j in range(k)]
+        assert {(a % 10, b % 10) for a, b in pairs(spark, some) if a % 10 < b % 10} == {(1, 2)}, k
