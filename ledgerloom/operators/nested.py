@@ -2,8 +2,9 @@
 
 A bottom-up tree automaton gives every JSON object a state: leaves have a state by their type, an object's state follows
 from its field names and the states of their values. The states are structural variants (``section_group``,
-``account_balance``, ``box12_item`` ...); each variant belongs to one typed table. All tables share the keys of the common
-supertype: record, own path, parent's path, field, index and variant.
+``account_balance``, ``box12_item`` ...). They only label the rows: an object's typed table follows from the array that holds
+it, whatever its variant. All tables share the keys of the common supertype: record, own path, parent's path, index, depth and
+variant.
 
 Records are walked where they lie (a map without shuffle); the typed tables are projections of that one node table.
 """

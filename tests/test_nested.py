@@ -76,3 +76,10 @@ def test_every_node_has_its_parent(spark, sf):
 def test_party_blocks(spark):
     rows = [(json.dumps({"employer": {"name": "A", "address": 5}}),), (json.dumps({"employer": None}),), ("broken {",), (None,)]
     assert [tuple(r) for r in N.party_blocks(spark.createDataFrame(rows, "data string"), "employer").collect()] == [("A", None)]
+
+
+def test_tables_follow_the_array(spark):
+    """An account that looks like a box 12 item keeps its table; the variant only labels it."""
+    df = spark.createDataFrame([(1, '{"accounts": [{"code": "D", "balance": 1}, {"code": "D"}, {"x": 1}]}')], "record_id long, data string")
+    rows = N.typed_table(N.nodes(df), "accounts").orderBy("position").collect()
+    assert [r.variant for r in rows] == ["account_balance", "box12_item", "object"] and N.typed_table(N.nodes(df), "box12").count() == 0
