@@ -40,8 +40,9 @@ _HEAD = re.compile(
     rf"(?P<open>[ \t]+(?:Beginning|Opening) Balance[ \t]+{_AMOUNT})?[ \t]*$",
     re.M | re.I,
 )
-#: Lines that begin like a heading but are totals, entries with an amount, or references to an account.
-_NOT_HEAD = re.compile(r"(?:^(?:Sub-?total|Total|Ending Balance|Closing Balance|Beginning Balance|Opening Balance|REF\b|memo\b|Balance\b|Reclass)|\breport\b)", re.I)
+#: Lines that begin like a heading but are totals, entries with an amount, references to an account, or a report's title: a
+#: year, then what kind of report. Accounts whose name holds the word are headings.
+_NOT_HEAD = re.compile(r"(?:^(?:Sub-?total|Total|Ending Balance|Closing Balance|Beginning Balance|Opening Balance|REF\b|memo\b|Balance\b|Reclass)|^\d{4}[ \t]+(?:(?:Interim|Quarterly|Monthly|Yearly|Financial)[ \t]+)*Report\b)", re.I)
 _TRAILING_AMOUNT = re.compile(r"[ \t](?=[($\d-]*\d[\d,]*\.\d\d[)-]?$)")
 _TOTAL = re.compile(rf"^(?:Total(?: for)?|Ending Balance)[ \t]+(?P<acct>{_NUMBER}[ \t]+[^\n]*?)[ \t]{{2,}}{_AMOUNT}[ \t]*$", re.M | re.I)
 _PAGE = re.compile(r"^(?:-{2,}[ \t]*(?:PAGE|SHEET)\b[^\n]*-{2,}|[-=_*]{5,})[ \t]*$", re.M | re.I)

@@ -108,3 +108,8 @@ def test_whole_table(spark, sf):
     assert {r.chunk_id for r in out} == set(src)
     for r in out:
         assert r.end_char - r.start_char <= max(src[r.chunk_id].max_chars, 0) and r.text == src[r.chunk_id].text[r.start_char : r.end_char]
+
+
+def test_accounts_with_the_word_report():
+    text = "6120-00 Credit Report Fees\nx 1.00\n2010 Credit Report Fees\n6130-00 Office\n2023 Annual Report of the Board\n2023 Quarterly Financial Report\n2023 Report\n"
+    assert [h for _, h, _ in S.headings(text)] == ["6120-00 Credit Report Fees", "2010 Credit Report Fees", "6130-00 Office"]
