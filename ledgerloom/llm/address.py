@@ -5,6 +5,11 @@ number), whatever their order. Forms that agree in the hard parts (number, direc
 street word up to one deletion inside a postal-code or neighbouring-locality block. Street words are paired by the
 optimal assignment under edit distance; a different number, direction, unit or street kind is a veto. Complete forms make
 up the locations; a form without street kind or locality is assigned to the location that fits it best.
+
+The index reaches all that the comparison accepts: of a street's words at least one is within one edit; a city of eight
+letters and more may have two edits, one of fewer one; a postal code without a city to back it may have digits swapped. A
+form with the code alone meets forms with the city alone by the city that the code has most often elsewhere, and a form with
+neither meets all forms of its hard parts and street.
 """
 
 from __future__ import annotations
@@ -18,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import Written, spread
-from .strings import assign, components, deletions, distance, records
+from .strings import END, LONG, assign, components, distance, records
 
 # Words of postal writing.
 KINDS = {
@@ -29,6 +34,10 @@ POINTS = {
     "n": "n no north", "s": "s so south", "e": "e east", "w": "w west", "ne": "ne northeast", "nw": "nw northwest", "se": "se southeast", "sw": "sw southwest",
 }
 UNITS = "apt apartment unit suite ste room rm"
+#: Designators that are part of the unit's label, with their short forms.
+PARTS = {"floor": "floor fl flr", "building": "building bldg", "lot": "lot", "space": "space spc", "trailer": "trailer trlr", "department": "dept", "hangar": "hangar hngr", "slip": "slip", "pier": "pier"}
+#: Units that stand without a label.
+WHOLE_UNITS = {"basement": "basement bsmt", "front": "frnt", "lobby": "lbby", "lower": "lowr", "upper": "uppr", "penthouse": "penthouse ph"}
 STATES = {
     "alabama": "al", "alaska": "ak", "arizona": "az", "arkansas": "ar", "california": "ca", "colorado": "co", "connecticut": "ct", "delaware": "de", "florida": "fl", "georgia": "ga",
     "hawaii": "hi", "idaho": "id", "illinois": "il", "indiana": "in", "iowa": "ia", "kansas": "ks", "kentucky": "ky", "louisiana": "la", "maine": "me", "maryland": "md", "massachusetts": "ma",
@@ -50,6 +59,13 @@ for _i, _t in enumerate(TENS, 2):
 
 _BOX = re.compile(r"\b(?:p\.? ?o\.? ?box|p\.? ?o\.? ?b|post office box|box)\W{0,3}(\d[\do]*)\b")
 _UNIT = re.compile(rf"(?:\b(?:{'|'.join(UNITS.split())})\b\.?\s*#?\s*|#\s*|\b(?:no|num|number)\b\.?\s*(?=\d+[a-z]?\b)(?!\d+(?:st|nd|rd|th)\b))([a-z]?\d+[a-z]?|[a-z])\b")
+_PART = {w: k for k, ws in PARTS.items() for w in ws.split()}
+_WHOLE = {w: k for k, ws in WHOLE_UNITS.items() for w in ws.split()}
+_PART_UNIT = re.compile(
+    rf"\b(?:(?P<nth>\d{{1,3}})(?:st|nd|rd|th)\s+(?P<after>floor|flr|fl)\b\.?"
+    rf"|(?P<part>{'|'.join(w for w in _PART if w != 'fl')}|fl(?=\.?\s*#?\s*\d{{1,2}}\s*(?:[,;\n]|$)))\b\.?\s*(?:#|\b(?:no|num|number)\b\.?)?\s*(?P<label>[a-z]?-?\d{{1,4}}-?[a-z]?|[a-z](?=\s*(?:[,;\n]|$)))(?![\w-])"
+    rf"|(?P<whole>{'|'.join(_WHOLE)})\b\.?(?=\s*(?:[,;\n]|$)))"
+)
 _ZIP = re.compile(r"(?<![\w-])([\doil]{5})(?:\s?-\s?([\doil]{4}))?(?![\w-])")
 _CARE = re.compile(r"^\s*(?:c/o|attn|attention|care of)\b[^,;\n]*[,;\n]+")
 _STATE_NAME = re.compile(r"\b(" + "|".join(sorted(STATES, key=len, reverse=True)) + r")\b")
@@ -74,9 +90,14 @@ def parse(text: str | None) -> dict[str, str] | None:
     if m := _BOX.search(t):
         out["box"] = _digits(m[1])
         t = f"{t[: m.start()]} , {t[m.end() :]}"
+    units = []
+    while m := _PART_UNIT.search(t):
+        units.append(_WHOLE[m["whole"]] if m["whole"] else f"{_PART[m['part'] or m['after']]} {(m['nth'] or m['label']).replace('-', '').upper()}")
+        t = f"{t[: m.start()]} , {t[m.end() :]}"
     if m := _UNIT.search(t):
-        out["unit"] = m[1].upper()
+        units.append(m[1].upper())
         t = f"{t[: m.start()]} , {t[m.end() :]}"
+    out["unit"] = " ".join(sorted(units))
     zips = [m for m in _ZIP.finditer(t) if sum(c.isdigit() for c in m[1]) >= 2]
     if zips:
         # first of all where the locality comes first, else the last; a lone number before street words is the house's
@@ -177,9 +198,9 @@ def _locality(a: dict, b: dict) -> float | None:
         known += 1
     city = distance(a["city"].replace(" ", ""), b["city"].replace(" ", ""), 3) if a["city"] and b["city"] else None
     code = distance(a["zip"], b["zip"], 2) if a["zip"] and b["zip"] else None
-    if city is not None and city > 2:
+    if city is not None and city > (2 if min(len(a["city"]), len(b["city"])) > 7 else 1):
         return None
-    if code is not None and (code > 2 or (code > 1 and city is None)):
+    if code is not None and (code > 2 or (city is None and (code > 1 or sorted(a["zip"]) != sorted(b["zip"])))):
         return None
     if (city or 0) > 0 and (code or 0) > 1:
         return None
@@ -200,30 +221,37 @@ def cost(a: dict, b: dict) -> float | None:
     if (a["number"], a["point"], a["unit"]) != (b["number"], b["point"], b["unit"]) or (a["kind"] and b["kind"] and a["kind"] != b["kind"]):
         return None
     x, y = a["street"].split(), b["street"].split()
-    street = assign(x, y, _word_cost) if len(x) == len(y) else float(distance("".join(x), "".join(y), 2)) + 1
-    if street > 4 or (len(x) != len(y) and street > 2):
-        return None
+    if len(x) == len(y):
+        street = assign(x, y, _word_cost)
+        if street > 4 or (street > 1 and not any(_word_cost(i, j) <= 1 for i in x for j in y)):
+            return None
+    else:
+        street = float(distance("".join(x), "".join(y), 1)) + 1
+        if street > 2:
+            return None
     return far + street + (0 if a["kind"] and b["kind"] else 0.5)
 
 
-def blocks(a: dict) -> list[str]:
-    """Postal-code block (digits in order of size, so that swapped digits stay) and neighbouring-locality blocks (ends of the city's name)."""
-    out = []
-    if a["zip"]:
-        out.append("z" + "".join(sorted(a["zip"])))
-    if a["city"]:
-        c = a["city"].replace(" ", "")
-        out += ["p" + c[:4], "s" + c[-4:]]
-    return out
+def _word_variants(words: F.Column) -> F.Column:
+    """Index words of an array of words: each word, and each with one character less (long ones: their ends; digits: as they are)."""
+    n = F.length
+    cut = lambda w: F.transform(F.sequence(F.lit(1), n(w)), lambda i: F.concat(F.substring(w, F.lit(1), i - 1), F.substring(w, i + 1, n(w))))
+    few = lambda w: F.when(w.rlike(r"^\d+$") | (n(w) == 0), F.array(w)).when(n(w) <= LONG + 1, F.array_append(cut(w), w)).otherwise(F.array().cast("array<string>"))
+    both = lambda w: F.when((n(w) >= LONG) & ~w.rlike(r"^\d+$"), F.array(F.concat(F.lit("<"), F.left(w, F.lit(END))), F.concat(F.lit(">"), F.right(w, F.lit(END))))).otherwise(F.array().cast("array<string>"))
+    return F.array_distinct(F.flatten(F.transform(words, lambda w: F.concat(few(w), both(w)))))
+
 
+def _city_blocks(city: F.Column) -> F.Column:
+    """Neighbouring-locality blocks: the first four letters up to a deletion, and the last four (see ``strings.ends``)."""
+    c = F.replace(city, F.lit(" "), F.lit(""))
+    head = F.left(c, F.lit(4))
+    heads = F.transform(F.array_append(F.transform(F.sequence(F.lit(1), F.length(head)), lambda i: F.concat(F.left(head, i - 1), F.substring(head, i + 1, F.lit(4)))), head), lambda h: F.concat(F.lit("p"), h))
+    return F.when(city != "", F.array_distinct(F.array_append(heads, F.concat(F.lit("s"), F.right(c, F.lit(4)))))).otherwise(F.array().cast("array<string>"))
 
-def keys(a: dict) -> list[str]:
-    """Index keys: hard parts, block, and a street word or one of its deletions."""
-    if a["box"]:
-        return [f"box|{a['box']}|{b}" for b in [*blocks(a), "*"]]
-    hard = f"{a['number']}|{a['point']}|{a['unit']}"
-    words = set().union(*(deletions(w) if not w.isdigit() else {w} for w in [*a["street"].split(), a["street"].replace(" ", "")]))
-    return [f"{hard}|{b}|{w}" for b in [*blocks(a), "*"] for w in words]
+
+def _code_blocks(code: F.Column) -> F.Column:
+    """Postal-code block: digits in order of size, so that swapped digits stay."""
+    return F.when(code != "", F.array(F.concat(F.lit("z"), F.array_join(F.array_sort(F.split(code, "")), "")))).otherwise(F.array().cast("array<string>"))
 
 
 def read(addresses: DataFrame) -> DataFrame:
@@ -239,36 +267,68 @@ def read(addresses: DataFrame) -> DataFrame:
     return parsed.withColumn("form_id", F.xxhash64(*FIELDS))
 
 
-def _keyed(forms: DataFrame) -> DataFrame:
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            rows = []
-            for r in f.to_dict("records"):
-                rows += [(k, r["form_id"], not r["zip"], not r["city"]) for k in keys(r)]
-            yield pd.DataFrame(rows, columns=["key", "form_id", "no_zip", "no_city"])
-
-    return forms.select("form_id", *FIELDS).mapInPandas(run, "key string, form_id long, no_zip boolean, no_city boolean")
-
-
-def compared(forms: DataFrame) -> DataFrame:
-    """``(a, b, cost)`` of the pairs of forms that may denote one location."""
-    indexed = _keyed(forms).select(F.xxhash64("key").alias("key"), F.col("key").contains("|*").alias("anywhere"), "form_id", "no_zip", "no_city")
-    left, right = indexed.alias("l"), indexed.alias("r")
-    # the block without locality is for pairs that share neither a known postal code nor a known city
-    near = left.join(right, F.expr("l.key = r.key and l.form_id < r.form_id and (not l.anywhere or ((l.no_zip or r.no_zip) and (l.no_city or r.no_city)))"))
-    pairs = near.select(F.col("l.form_id").alias("a"), F.col("r.form_id").alias("b")).distinct()
+def candidates(forms: DataFrame) -> DataFrame:
+    """``(a, b)``, ``a < b``, of the pairs of forms that share hard parts, a street word up to a deletion, and a block."""
+    usual = forms.filter("zip <> '' and city <> ''").groupBy("zip", "city").agg(F.count("*").alias("n")).groupBy("zip").agg(F.max_by("city", F.struct("n", "city")).alias("usual"))
+    lone = forms.filter("zip <> '' and city = ''").join(usual, "zip", "left").select("form_id", *FIELDS, F.coalesce("usual", F.lit("")).alias("near"))
+    placed = forms.filter("zip = '' or city <> ''").select("form_id", *FIELDS, F.col("city").alias("near")).unionByName(lone)
+    words = F.array_append(F.split("street", " "), F.replace("street", F.lit(" "), F.lit("")))
+    hard = F.when(F.col("box") != "", F.concat(F.lit("box|"), "box")).otherwise(F.concat_ws("|", "number", "point", "unit"))
+    indexed = placed.select(
+        "form_id", hard.alias("hard"), F.when(F.col("box") != "", F.array(F.lit(""))).otherwise(_word_variants(words)).alias("words"),
+        F.concat(_code_blocks(F.col("zip")), _city_blocks(F.col("near"))).alias("blocks"), F.expr("zip = '' and city = ''").alias("adrift"),
+    )
+    indexed = Written(indexed, "indexed").df
+    entries = indexed.select("form_id", "hard", F.explode("words").alias("word"), "blocks").select("form_id", "hard", "word", F.explode("blocks").alias("block")).select(F.xxhash64("hard", "block", "word").alias("key"), "form_id")
+    near = entries.alias("l").join(entries.alias("r"), F.expr("l.key = r.key and l.form_id < r.form_id")).select(F.col("l.form_id").alias("a"), F.col("r.form_id").alias("b"))
+    # a form without any locality asks everywhere; no other form does
+    anywhere = indexed.select("form_id", "adrift", "hard", F.explode("words").alias("word")).select(F.xxhash64("hard", "word").alias("key"), "form_id", "adrift")
+    far = anywhere.filter("adrift").alias("l").join(anywhere.alias("r"), F.expr("l.key = r.key and l.form_id <> r.form_id")).select(F.least("l.form_id", "r.form_id").alias("a"), F.greatest("l.form_id", "r.form_id").alias("b"))
+    return near.unionByName(far).distinct()
+
+
+def _costs(pairs: DataFrame, forms: DataFrame) -> DataFrame:
+    """``(a, b, ..., cost)``: the pairs with how far the two forms are apart, null where they can't be one location."""
     f = forms.select("form_id", F.struct(*FIELDS).alias("p"))
     both = pairs.join(f.withColumnsRenamed({"form_id": "a", "p": "pa"}), "a").join(f.withColumnsRenamed({"form_id": "b", "p": "pb"}), "b")
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for x in frames:
             c = [cost(a, b) for a, b in zip(records(x["pa"]), records(x["pb"]))]
-            out = pd.DataFrame({"a": x["a"], "b": x["b"], "cost": pd.array(c, dtype="Float64")})
-            yield out[out["cost"].notna()]
+            yield pd.DataFrame({"a": x["a"], "b": x["b"], "cost": pd.array(c, dtype="Float64")})
 
     return both.mapInPandas(run, "a long, b long, cost double")
 
 
+def compared(forms: DataFrame) -> DataFrame:
+    """``(a, b, cost)`` of the pairs of forms that may denote one location."""
+    return _costs(candidates(forms), forms).filter("cost is not null")
+
+
+def _centred(core: DataFrame, edges: DataFrame, forms: DataFrame) -> DataFrame:
+    """``(form_id, location_id, n)`` of whole forms: components of the edges in which every form fits the centre, the form with most
+    edges (of equals the one written most, then the one with most parts, then the least id). Forms that don't are taken out and
+    make up components of their own, so a chain of typos doesn't drift."""
+    parts = sum((F.col(c) != "").cast("int") for c in FIELDS)
+    ends = edges.select(F.col("a").alias("form_id")).unionByName(edges.select(F.col("b").alias("form_id"))).groupBy("form_id").agg(F.count("*").alias("edges"))
+    weight = forms.select("form_id", parts.alias("parts")).join(ends, "form_id")
+    done: DataFrame | None = None
+    while True:
+        held = core.join(weight, "form_id")
+        centre = held.groupBy("location_id").agg(F.min_by("form_id", F.struct(-F.col("edges"), -F.col("n"), -F.col("parts"), "form_id")).alias("b"), F.count("*").alias("forms")).filter("forms > 2")
+        asked = core.join(centre, "location_id").select(F.col("form_id").alias("a"), "b").filter("a <> b")
+        off = Written(_costs(asked, forms).filter("cost is null").select(F.col("a").alias("form_id")), "off", any=F.lit(True))
+        kept = core.join(off.df, "form_id", "left_anti")
+        done = kept if done is None else done.unionByName(kept)
+        if not off.seen["any"]:
+            return done
+        out = off.df
+        among = edges.join(out.withColumnRenamed("form_id", "a"), "a", "left_semi").join(out.withColumnRenamed("form_id", "b"), "b", "left_semi")
+        roots = components(among)
+        again = core.join(out, "form_id", "left_semi").select("form_id", "n")
+        core = Written(again.join(roots, again["form_id"] == roots["id"], "left").select("form_id", F.coalesce("root", "form_id").alias("location_id"), "n"), "core").df
+
+
 def locations(addresses: DataFrame) -> DataFrame:
     """``(address, location_id)`` of every address that names a place; addresses with one ``location_id`` denote one location."""
     parsed = Written(read(addresses), "parsed").df
@@ -276,8 +336,10 @@ def locations(addresses: DataFrame) -> DataFrame:
     pairs = Written(compared(forms), "pairs").df
     whole = forms.select(F.col("form_id").alias("a"), F.col("whole").alias("wa"))
     marked = Written(pairs.join(whole, "a").join(whole.withColumnsRenamed({"a": "b", "wa": "wb"}), "b"), "marked").df
-    core = components(marked.filter("wa and wb").select("a", "b"))
+    sure = marked.filter("wa and wb").select("a", "b")
+    core = components(sure)
     core = Written(forms.filter("whole").join(core, forms["form_id"] == core["id"], "left").select("form_id", F.coalesce("root", "form_id").alias("location_id"), "n"), "core").df
+    core = Written(_centred(core, sure, forms), "centred").df
     size = core.groupBy("location_id").agg(F.sum("n").alias("size"))
     part = marked.filter("wa <> wb").select(F.expr("if(wa, b, a)").alias("form_id"), F.expr("if(wa, a, b)").alias("to"), "cost")
     best = (

@@ -4,7 +4,12 @@ Names are read into parts: a person's given name (nicknames stand for the full n
 surname and Sr/Jr; an organisation's own words and its trade words, without legal form. Equal readings are one profile from
 the start. Then rounds: each profile enters blocking with all its spellings, initials, phones, numbers and places;
 profiles with fitting names merge; the merged profile unites what both had, so it meets spellings and places that neither
-met alone. Rounds end when nothing merges.
+met alone. Rounds end when nothing merges. Names are compared by themselves once; after the first round only profiles that have
+merged enter again, with the keys that are new to them, against all that ever entered.
+
+The index reaches all that the comparison accepts (``name_keys``, ``evidence_keys``): by the name alone one edit in a surname or
+in each of up to two words of an organisation, or in words run together; beside evidence two edits in long words, short forms
+that begin a word, and initials.
 
 A full given name and surname identify a person by themselves (spellings one edit apart too, where one of the surnames has at
 most a fifth of the other's rows, or is seen with one or two given names whatever its rows: neither changes when the table is
@@ -17,7 +22,7 @@ from __future__ import annotations
 import re
 import unicodedata
 from functools import lru_cache
-from itertools import permutations
+from itertools import product
 from typing import Iterator
 
 import pandas as pd
@@ -26,7 +31,7 @@ from pyspark.sql import functions as F
 
 from ..session import Written, spread
 from . import address as places
-from .strings import assign, components, deletions, distance, records
+from .strings import FAR, assign, components, distance, ends, joined_cost, records, variants
 
 ORGANISATION_ROLES = ("employer", "payer", "filer", "lender")
 PERSON_ROLES = ("employee", "recipient", "partner", "borrower")
@@ -166,11 +171,28 @@ def _edits(word: str) -> int:
     return 0 if len(word) < 4 else 1 if len(word) < 7 else 2
 
 
-def _own_cost(a: str, b: str | None) -> float:
+def _alone_cost(a: str, b: str | None) -> float:
+    """Edits between two own words: one at most."""
     if b is None:
-        return 9.0
+        return FAR
+    d = distance(a, b, 1)
+    return float(d) if d <= min(1, _edits(a), _edits(b)) else FAR
+
+
+def _edited_cost(a: str, b: str | None) -> float:
+    """Edits between the only own words of names that share evidence: two at most."""
+    d = FAR if b is None else distance(a, b, 2)
+    return float(d) if b is not None and d <= min(_edits(a), _edits(b)) else FAR
+
+
+def _backed_cost(a: str, b: str | None) -> float:
+    """Edits between two own words of names that share evidence: two at most; a word's first letters, three or more, count as one."""
+    if b is None:
+        return FAR
     d = distance(a, b, 2)
-    return float(d) if d <= min(_edits(a), _edits(b)) else 9.0
+    if d <= min(_edits(a), _edits(b)):
+        return float(d)
+    return 1.0 if min(len(a), len(b)) >= 3 and (a.startswith(b) or b.startswith(a)) else FAR
 
 
 def unsure(a: dict, b: dict) -> bool:
@@ -189,9 +211,10 @@ def fits(a: dict, b: dict, evidence: bool) -> bool:
         if len(x) != len(y):
             # words run together or apart
             few, many = sorted((x, y), key=len)
-            if len(few) != 1 or len(many) > 4 or min(distance(few[0], "".join(p), 2) for p in permutations(many)) > (2 if evidence else 1):
+            most = 2 if evidence else 1
+            if len(few) != 1 or joined_cost(few[0], many, most) > most:
                 return False
-        elif assign(x, y, _own_cost) > 3:
+        elif (assign(x, y, _backed_cost if len(x) > 1 else _edited_cost) > 3) if evidence else (assign(x, y, _alone_cost) > 2):
             return False
         return a["trades"] == b["trades"] or (evidence and bool(a["trades"]) and bool(b["trades"]) and (set(a["trades"].split()) <= set(b["trades"].split()) or set(b["trades"].split()) <= set(a["trades"].split())))
     if a["suffix"] != b["suffix"] or (a["mid"] and b["mid"] and a["mid"] != b["mid"]):
@@ -206,7 +229,7 @@ def fits(a: dict, b: dict, evidence: bool) -> bool:
         return evidence and bool({f[0], *(x[0] for x in given(f))} & {g[0], *(x[0] for x in given(g))})
     ga, gb = given(f), given(g)
     if not set(ga) & set(gb):
-        return evidence and distance(f, g, 2) <= min(_edits(f), _edits(g))
+        return evidence and f[0] == g[0] and distance(f, g, 2) <= min(_edits(f), _edits(g))
     if evidence:
         return True
     if len(ga) > 1 or len(gb) > 1:
@@ -218,26 +241,27 @@ def fits(a: dict, b: dict, evidence: bool) -> bool:
 
 
 def name_keys(r: dict) -> list[str]:
-    """Blocking by the name alone: given name and surname up to a deletion; two own words, one up to a deletion."""
+    """Blocking by the name alone: given name and surname up to an edit; an organisation's words up to an edit in each of two, or, with
+    more words, one of them up to an edit and another as it is; all its letters in order of the alphabet up to one, for words run
+    together."""
     if r["kind"] == "o":
         own = r["own"].split()
-        out = {f"o|{v}" for p in (permutations(own) if len(own) < 4 else [own]) for v in deletions("".join(p))}
-        if len(own) == 1:
-            out |= {f"o|{v}|{r['trades']}" for v in deletions(own[0])}
-        for i, x in enumerate(own):
-            for j, y in enumerate(own):
-                if i != j:
-                    out |= {f"o|{v}|{y}" for v in deletions(x)}
-        return sorted(out)
-    return [f"p|{r['suffix']}|{g}|{v}" for g in given(r["first"]) for v in deletions(r["last"])] if len(r["first"]) > 1 else []
+        letters = "".join(sorted("".join(own)))
+        out = {letters, *(letters.replace(c, "", 1) for c in set(letters))}
+        if len(own) == 2:
+            out |= {"|".join(sorted(p)) for p in product(variants(own[0]), variants(own[1]))}
+        elif len(own) > 2:
+            out |= {f"{v}|{y}" for i, x in enumerate(own) for v in variants(x) for y in {*own[:i], *own[i + 1 :]}}
+        return sorted(f"o|{r['trades']}|{v}" for v in out)
+    return [f"p|{r['suffix']}|{g}|{v}" for g in given(r["first"]) for v in variants(r["last"])] if len(r["first"]) > 1 else []
 
 
 def evidence_keys(r: dict) -> list[str]:
-    """What is appended to a shared phone, number or place: parts of the name that a fitting name shares."""
+    """What is appended to a shared phone, number or place: ends of the words of which a fitting name shares one."""
     if r["kind"] == "o":
-        return sorted({f"o|{v}" for w in [*r["own"].split(), r["own"].replace(" ", "")] for v in deletions(w)})
-    firsts = {g[0] for g in given(r["first"])} | {r["first"][0]} if r["first"] else {"?"}
-    return sorted({f"p|{r['suffix']}|{i}|{v}" for i in firsts for v in deletions(r["last"])})
+        return sorted({f"o|{v}" for w in r["own"].split() or [""] for v in ends(w)})
+    firsts = {g[0] for g in given(r["first"])} | {r["first"][0]} if r["first"] else set()
+    return sorted({f"p|{r['suffix']}|?|{r['last']}", *(f"p|{r['suffix']}|{i}|{v}" for i in firsts for v in ends(r["last"]))})
 
 
 PARTS = ["kind", "first", "mid", "last", "suffix", "own", "trades"]
@@ -265,17 +289,19 @@ def readings(rows: DataFrame) -> DataFrame:
     return names.mapInPandas(run, "name string, org boolean, full string, " + ", ".join(f"{k} string" for k in PARTS))
 
 
-def _keyed(forms: DataFrame, fields: list[str], make) -> DataFrame:
+def _keyed(forms: DataFrame) -> DataFrame:
+    """``(node, alone, beside)``: the name's keys, and those that go with evidence."""
+
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
-            rows = [(r["node"], k) for r in f.to_dict("records") for k in make(r)]
-            yield pd.DataFrame(rows, columns=["node", "key"])
+            rows = [(r["node"], name_keys(r), evidence_keys(r)) for r in f.to_dict("records")]
+            yield pd.DataFrame(rows, columns=["node", "alone", "beside"])
 
-    return forms.select("node", *PARTS).mapInPandas(run, "node long, key string")
+    return spread(forms.select("node", *PARTS)).mapInPandas(run, "node long, alone array<string>, beside array<string>")
 
 
 def _fitting(pairs: DataFrame, forms: DataFrame) -> DataFrame:
-    """Of the pairs of nodes ``(a, b, pa, pb, evidence)``, the pairs of profiles whose names fit."""
+    """Of the pairs of nodes ``(a, b, evidence)``, those whose names fit: ``(a, b, sure, short, backed)``."""
     f = forms.select("node", F.struct(*PARTS, "common", "rows").alias("r"))
     both = pairs.join(f.withColumnsRenamed({"node": "a", "r": "ra"}), "a").join(f.withColumnsRenamed({"node": "b", "r": "rb"}), "b")
 
@@ -283,12 +309,17 @@ def _fitting(pairs: DataFrame, forms: DataFrame) -> DataFrame:
         for x in frames:
             a, b = records(x["ra"]), records(x["rb"])
             sure = [fits(i, j, bool(e)) for i, j, e in zip(a, b, x["evidence"])]
-            # the profile with the nickname of several names, where that is all there is
-            short = [None if s or not unsure(i, j) else p if len(given(i["first"])) > 1 else q for s, i, j, p, q in zip(sure, a, b, x["pa"], x["pb"])]
-            out = pd.DataFrame({"pa": x["pa"], "pb": x["pb"], "sure": sure, "short": pd.array(short, dtype="Int64"), "backed": [s and bool(e) for s, e in zip(sure, x["evidence"])]})
+            # the name with the nickname of several names, where that is all there is
+            short = [None if s or not unsure(i, j) else p if len(given(i["first"])) > 1 else q for s, i, j, p, q in zip(sure, a, b, x["a"], x["b"])]
+            out = pd.DataFrame({"a": x["a"], "b": x["b"], "sure": sure, "short": pd.array(short, dtype="Int64"), "backed": [s and bool(e) for s, e in zip(sure, x["evidence"])]})
             yield out[out["sure"] | out["short"].notna()]
 
-    return both.select("ra", "rb", "evidence", "pa", "pb").mapInPandas(run, "pa long, pb long, sure boolean, short long, backed boolean").groupBy("pa", "pb").agg(*[F.max(c).alias(c) for c in ("sure", "short", "backed")])
+    return both.select("ra", "rb", "evidence", "a", "b").mapInPandas(run, "a long, b long, sure boolean, short long, backed boolean")
+
+
+def _meeting(entries: DataFrame) -> DataFrame:
+    """``(a, b)``, ``a < b``: nodes that share a key."""
+    return entries.alias("l").join(entries.alias("r"), F.expr("l.key = r.key and l.node < r.node")).select(F.col("l.node").alias("a"), F.col("r.node").alias("b"))
 
 
 def place_keys(addresses: DataFrame) -> DataFrame:
@@ -329,39 +360,53 @@ def entities(df: DataFrame, more: DataFrame | None = None, id_col: str = "party_
     evidence = rows.select("node", F.explode(F.array(F.concat(F.lit("t"), "phone"), F.concat(F.lit("n"), "l4"), F.concat(F.lit("a"), "place"))).alias("ev")).filter("ev is not null").distinct()
     evidence = Written(evidence, "evidence").df
     numbered = rows.filter("l4 is not null").select("node", "l4").distinct()
-    by_name = Written(_keyed(forms, PARTS, name_keys).select("node", F.xxhash64("key").alias("key")), "name-keys").df
-    beside = Written(_keyed(forms, PARTS, evidence_keys), "evidence-keys").df
+    keyed = Written(_keyed(forms), "keys").df
+    alone = keyed.select("node", F.explode("alone").alias("key")).select("node", F.xxhash64("key").alias("key"))
+    beside = keyed.select("node", F.explode("beside").alias("key"))
+    #: all that ever entered beside evidence: the node, or the profile's first node, with evidence and key
+    entered = Written(evidence.join(keyed, "node").select("node", "ev", F.explode("beside").alias("key")).select("node", F.xxhash64("ev", "key").alias("met")), "entered").df
+    met = _meeting(entered.select("node", F.col("met").alias("key")))
+    pairs = _meeting(alone).withColumn("evidence", F.lit(False)).unionByName(met.withColumn("evidence", F.lit(True)))
+    edges = Written(_fitting(pairs.groupBy("a", "b").agg(F.max("evidence").alias("evidence")), forms), "edges").df
 
     def members(profiles: DataFrame) -> DataFrame:
         return rows.filter("id is not null").join(profiles, "node").select("id", F.col("profile").alias("location_id")).distinct()
 
     label = Written(forms.select("node", F.col("node").alias("profile")), "profiles")
-    # ends: each round with edges unites at least two profiles, takes none apart, and leaves no edge that a veto refuses to be found again
+    # ends: each round with links unites at least two profiles, takes none apart, and leaves no link that a veto refuses to be found again
     while True:
         p = label.df
         marks = p.join(forms.select("node", F.nullif("mid", F.lit("")).alias("mid")), "node").join(numbered, "node", "left")
         marks = marks.groupBy("profile").agg(F.min("mid").alias("m1"), F.max("mid").alias("m2"), F.min("l4").alias("n1"), F.max("l4").alias("n2"), F.count("*").alias("n"))
-        # every spelling of a profile meets every phone, number and place of the profile
-        united = evidence.join(p, "node").select("profile", "ev").distinct()
-        with_ev = beside.join(p, "node").join(united, "profile").select("node", "profile", F.xxhash64("ev", "key").alias("key"), F.lit(True).alias("evidence"))
-        alone = by_name.join(p, "node").select("node", "profile", "key", F.lit(False).alias("evidence"))
-        entered = with_ev.unionByName(alone)
-        a, b = entered.alias("a"), entered.alias("b")
-        pairs = a.join(b, F.expr("a.key = b.key and a.evidence = b.evidence and a.profile < b.profile")).groupBy(F.col("a.node").alias("a"), F.col("b.node").alias("b"), F.col("a.profile").alias("pa"), F.col("b.profile").alias("pb")).agg(F.max("a.evidence").alias("evidence"))
-        fit = _fitting(pairs, forms)
+        of = lambda n: p.withColumnsRenamed({"node": n, "profile": f"p{n}"})
+        fit = edges.join(of("a"), "a").join(of("b"), "b").filter("pa <> pb").withColumn("ps", F.expr("if(short = a, pa, if(short = b, pb, null))"))
+        fit = fit.groupBy(F.least("pa", "pb").alias("pa"), F.greatest("pa", "pb").alias("pb")).agg(F.max("sure").alias("sure"), F.max("ps").alias("short"), F.max("backed").alias("backed"))
         for x in "ab":
             fit = fit.join(marks.withColumnsRenamed({"profile": f"p{x}", **{n: n + x for n in ("m1", "m2", "n1", "n2", "n")}}), f"p{x}")
         clear = "coalesce(least(m1a, m1b) = greatest(m2a, m2b) or m1a is null or m1b is null, true) and coalesce(least(n1a, n1b) = greatest(n2a, n2b) or n1a is null or n1b is null, true)"
         found = Written(fit.filter(clear).select(F.col("pa").alias("a"), F.col("pb").alias("b"), "sure", "short", "backed", *[F.col(f"{n}1{x}").alias(f"{c}{x}") for n, c in (("n", "l4"), ("m", "mid")) for x in "ab"], "na", "nb"), "merges", sure=F.col("sure"), short=F.col("short").isNotNull())
-        edges = found.df.filter("sure")
+        links = found.df.filter("sure")
         if not found.seen["sure"]:
             if not found.seen["short"]:
                 return members(p)
             # at the end, a nickname of several names counts where only one profile fits it
-            one = found.df.groupBy("short").agg(F.count("*").alias("n")).filter("n = 1").select("short")
-            edges = found.df.join(one, "short", "left_semi")
-        merged = _without_conflict(edges)
-        label = Written(p.join(merged, p["profile"] == merged["id"], "left").select("node", F.coalesce("root", "profile").alias("profile")), "profiles")
+            one = found.df.filter("not sure").groupBy("short").agg(F.count("*").alias("n")).filter("n = 1").select("short")
+            links = found.df.join(one, "short", "left_semi")
+        merged = Written(_without_conflict(links), "merged", moved=F.col("id") != F.col("root"))
+        if not merged.seen["moved"]:
+            return members(p)
+        label = Written(p.join(merged.df, p["profile"] == merged.df["id"], "left").select("node", F.coalesce("root", "profile").alias("profile")), "profiles")
+        # the merged profiles enter again: every spelling of a profile meets every phone, number and place of the profile
+        grown = label.df.join(merged.df.filter("id <> root").select(F.col("root").alias("profile")).distinct(), "profile", "left_semi")
+        spelt = grown.join(beside, "node").select("profile", "key").distinct()
+        united = grown.join(evidence, "node").select("profile", "ev").distinct()
+        again = Written(united.join(spelt, "profile").select("profile", "key", F.xxhash64("ev", "key").alias("met")), "entered").df
+        entered = entered.unionByName(again.select(F.col("profile").alias("node"), "met"))
+        near = again.join(entered, "met").join(label.df.withColumnRenamed("profile", "other"), "node").filter("profile <> other").select("profile", "other", "key").distinct()
+        spelling = beside.join(label.df, "node")
+        near = near.join(spelling.withColumnRenamed("node", "x"), ["profile", "key"]).join(spelling.select(F.col("node").alias("y"), F.col("profile").alias("other"), "key"), ["other", "key"])
+        near = near.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct().withColumn("evidence", F.lit(True))
+        edges = edges.unionByName(Written(_fitting(near, forms), "edges").df)
 
 
 def _divide(edges: pd.DataFrame) -> pd.DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from itertools import permutations
+from collections import Counter
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -16,23 +16,40 @@ def records(column) -> list:
 
 
 def distance(a: str, b: str, most: int = 2) -> int:
-    """Edits between ``a`` and ``b`` (insert, delete, replace, swap of neighbours); ``most + 1`` where there are more."""
+    """Edits between ``a`` and ``b`` (insert, delete, replace, swap of neighbours); ``most + 1`` where there are more.
+
+    Only the diagonals within ``most`` are filled, so long words cost their length.
+    """
     if a == b:
         return 0
     if abs(len(a) - len(b)) > most:
         return most + 1
-    before, last = [], list(range(len(b) + 1))
+    lo, ha, hb = 0, len(a), len(b)
+    while lo < ha and lo < hb and a[lo] == b[lo]:
+        lo += 1
+    while ha > lo and hb > lo and a[ha - 1] == b[hb - 1]:
+        ha, hb = ha - 1, hb - 1
+    a, b = a[lo:ha], b[lo:hb]
+    far = most + 1
+    m = len(b)
+    before, last = [], [min(j, far) for j in range(m + 1)]
     for i, x in enumerate(a, 1):
-        row = [i]
-        for j, y in enumerate(b, 1):
+        row = [far] * (m + 1)
+        if i <= most:
+            row[0] = i
+        best = row[0]
+        for j in range(max(1, i - most), min(m, i + most) + 1):
+            y = b[j - 1]
             d = min(last[j] + 1, row[j - 1] + 1, last[j - 1] + (x != y))
             if i > 1 and j > 1 and x == b[j - 2] and a[i - 2] == y:
                 d = min(d, before[j - 2] + 1)
-            row.append(d)
-        if min(row) > most:
-            return most + 1
+            row[j] = d if d < far else far
+            if d < best:
+                best = d
+        if best > most:
+            return far
         before, last = last, row
-    return min(last[-1], most + 1)
+    return min(last[-1], far)
 
 
 def deletions(word: str) -> set[str]:
@@ -40,33 +57,125 @@ def deletions(word: str) -> set[str]:
     return {word, *(word[:i] + word[i + 1 :] for i in range(len(word)))}
 
 
+#: Words from ``LONG`` characters on are known by their ends, shorter ones and those of ``LONG`` or one more by deletions.
+LONG, END = 40, 16
+
+
+def variants(word: str) -> set[str]:
+    """Index words: two words within one edit share one. An edit of a long word leaves one of its ends as it is."""
+    out = deletions(word) if len(word) <= LONG + 1 else set()
+    if len(word) >= LONG:
+        out |= {f"<{word[:END]}", f">{word[-END:]}"}
+    return out
+
+
+def ends(word: str, size: int = 3) -> set[str]:
+    """Index words: two words within two edits share one, for words over twice ``size``; within one edit, for any.
+
+    Either at most one edit falls among the first ``size`` characters, then these share a deletion, or none among the last.
+    """
+    return {*(f"<{v}" for v in deletions(word[:size])), f">{word[-size:]}"}
+
+
+FAR = 9.0
+
+
 def assign(a: list[str], b: list[str], cost) -> float:
     """Least total cost of pairing the parts of ``a`` with parts of ``b``; parts left over cost what ``cost(part, None)`` says.
 
-    Exact over all pairings up to seven parts; beyond that each part takes the cheapest that is left, cheapest pair first.
+    Exact at every size. Parts that both sides hold pair with each other, unless they are near (``cost`` under ``FAR``) to a
+    part that only one side holds, directly or by a chain of such parts; these are settled by the Hungarian method. ``cost`` is
+    symmetric, 0 for equal parts and at most ``FAR``.
     """
     if len(a) > len(b):
         a, b = b, a
-    if len(b) <= 7:
-        best = None
-        spare = {x: cost(x, None) for x in b}
-        table = [[cost(x, y) for y in b] for x in a]
-        total = sum(spare.values())
-        for p in permutations(range(len(b)), len(a)):
-            c = total + sum(table[i][j] - spare[b[j]] for i, j in enumerate(p))
-            if best is None or c < best:
-                best = c
-        return best or 0
-    pairs = sorted((cost(x, y), i, j) for i, x in enumerate(a) for j, y in enumerate(b))
-    used_a: set[int] = set()
-    used_b: set[int] = set()
-    out = 0.0
-    for c, i, j in pairs:
-        if i not in used_a and j not in used_b:
-            used_a.add(i)
-            used_b.add(j)
-            out += c
-    return out + sum(cost(y, None) for j, y in enumerate(b) if j not in used_b)
+    left, right = list(a), list(b)
+    common: list[str] = []
+    for x in a:
+        if x in right:
+            right.remove(x)
+            left.remove(x)
+            common.append(x)
+    if not right:
+        return 0.0
+    if common and left:
+        reach, known = [*left, *right], set(common)
+        while reach and known:
+            w = reach.pop()
+            near = {c for c in known if cost(w, c) < FAR}
+            known -= near
+            reach += near
+            for c in near:
+                n = common.count(c)
+                left += [c] * n
+                right += [c] * n
+    if len(left) == 1 == len(right):
+        return float(cost(left[0], right[0]))
+    spare = [float(cost(y, None)) for y in right]
+    table = [[float(cost(x, y)) for y in right] for x in left] + [spare] * (len(right) - len(left))
+    return _hungarian(table)
+
+
+def _hungarian(table: list[list[float]]) -> float:
+    """Least total of one entry from each row and column of a square table: shortest augmenting paths with potentials."""
+    n = len(table)
+    row_of = [-1] * n
+    u, v = [0.0] * n, [0.0] * n
+    for i in range(n):
+        slack, came, done = [float("inf")] * n, [-1] * n, [False] * n
+        at, r = -1, i
+        while True:
+            delta, nxt = float("inf"), -1
+            for j in range(n):
+                if not done[j]:
+                    c = table[r][j] - u[r] - v[j]
+                    if c < slack[j]:
+                        slack[j], came[j] = c, at
+                    if slack[j] < delta:
+                        delta, nxt = slack[j], j
+            u[i] += delta
+            for j in range(n):
+                if done[j]:
+                    u[row_of[j]] += delta
+                    v[j] -= delta
+                else:
+                    slack[j] -= delta
+            at = nxt
+            done[at] = True
+            if row_of[at] < 0:
+                break
+            r = row_of[at]
+        while at >= 0:
+            back = came[at]
+            row_of[at] = row_of[back] if back >= 0 else i
+            at = back
+    return sum(table[row_of[j]][j] for j in range(n))
+
+
+def joined_cost(whole: str, parts: list[str], most: int) -> int:
+    """Least edits between ``whole`` and the parts run together in any order, each edit within one part; ``most + 1`` beyond.
+
+    The characters are counted first; then parts are laid along ``whole``, each way to reach a place once.
+    """
+    if abs(len(whole) - sum(map(len, parts))) > most or not whole:
+        return most + 1
+    have, want = Counter(whole), Counter("".join(parts))
+    if (have - want).total() > most or (want - have).total() > most:
+        return most + 1
+    state = {(0, tuple(sorted(parts))): 0}
+    for _ in parts:
+        new: dict = {}
+        for (at, rest), spent in state.items():
+            for k, w in enumerate(rest):
+                if k and rest[k - 1] == w:
+                    continue
+                left = (*rest[:k], *rest[k + 1 :])
+                for end in range(max(at, at + len(w) - most + spent), min(len(whole), at + len(w) + most - spent) + 1):
+                    d = spent + distance(whole[at:end], w, most - spent)
+                    if d <= most and d < new.get((end, left), most + 1):
+                        new[end, left] = d
+        state = new
+    return min((d for (at, _), d in state.items() if at == len(whole)), default=most + 1)
 
 
 def components(edges: DataFrame) -> DataFrame:

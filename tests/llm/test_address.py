@@ -96,3 +96,71 @@ def test_same_as_all_against_all(spark, sf):
                 near += 1
                 assert loc[a] == loc[b], (a, b)
     assert near > 10
+
+
+def test_units_with_any_designator_are_vetoes():
+    base = "12 Oak St{}, Elkmead, NY 11111"
+    units = ["", " Floor 3", " Fl 4", ", 5th Floor", " Bldg 3", " Building 4", " Lot 3", " Bldg 3 Apt 5", ", Bsmt", " Apt 3"]
+    for i, u in enumerate(units):
+        for v in units[i + 1 :]:
+            assert cost(base.format(u), base.format(v)) is None, (u, v)
+    assert cost(base.format(" Floor 3"), base.format(", 3rd Fl.")) == 0 and cost(base.format(" Bldg. 3, #5"), base.format(" Apt 5, Building 3")) == 0
+    assert A.parse("Larkholm FL 12 Timber Bend Pl")["unit"] == A.parse("Graniteport FL 3816O 816 East Fallen Oak Wy")["unit"] == ""
+
+
+def test_assignment_of_many_parts_is_exact():
+    import random
+    from itertools import permutations
+
+    from ledgerloom.llm.strings import assign, distance, joined_cost
+
+    rnd = random.Random(5)
+    c = lambda x, y: 9.0 if y is None or distance(x, y, 2) > 2 else float(distance(x, y, 2))
+    word = lambda n: "".join(rnd.choice("ab") for _ in range(rnd.randint(2, n)))
+    for n in (3, 5, 6, 8):
+        for _ in range(40 if n < 8 else 4):
+            a, b = [word(5) for _ in range(n)], [word(5) for _ in range(n)]
+            b[: n // 2] = a[: n // 2]
+            assert assign(a, b, c) == min(sum(c(x, y) for x, y in zip(a, p)) for p in permutations(b))
+    long = [f"w{i:05d}" for i in range(2000)]
+    assert assign(long, [*reversed(long[1:]), "w0000"], c) == 1
+    assert joined_cost("alderbirhcedardogwoodelm", ["elm", "dogwood", "cedar", "birch", "alder"], 1) == 1
+    assert joined_cost("alderbirchcedardogwood", ["oak", "dogwood", "cedar", "birch"], 2) == 3 and joined_cost("a" * 40, ["a"] * 40, 1) == 0
+
+
+def test_index_reaches_what_is_accepted(spark):
+    """Random spellings of one street and city: every pair that the comparison accepts shares a key."""
+    import random
+
+    rnd = random.Random(3)
+
+    def typo(w):
+        w, i = list(w), rnd.randrange(len(w) - 1)
+        kind = rnd.randrange(4)
+        w[i : i + 2] = [[w[i + 1], w[i]], [w[i + 1]], [w[i], "q", w[i + 1]], ["q", w[i + 1]]][kind]
+        return "".join(w)
+
+    texts = set()
+    for k in range(400):
+        words = ["hidden", "lantern"] if k % 3 else ["lorancombe"]
+        words = [typo(w) if rnd.random() < 0.7 else w for w in words]
+        city = "copperview" if k % 2 else "elkmead"
+        for _ in range(rnd.randrange(3)):
+            city = typo(city)
+        where = [f"{city}, NY 11111", f"{city} NY", "NY 11111", city, "NY 11101", ""][rnd.randrange(6)]
+        texts.add(f"12 {' '.join(words)} St, {where}")
+    df = spark.createDataFrame([(t,) for t in sorted(texts)], "address string")
+    forms = A.read(df).select("form_id", *A.FIELDS).distinct()
+    near = {tuple(r) for r in A.candidates(forms).collect()}
+    rows = {r.form_id: r.asDict() for r in forms.collect()}
+    lone = lambda x: bool(x["zip"]) != bool(x["city"])
+    wanted = {(a, b) for a in rows for b in rows if a < b and A.cost(rows[a], rows[b]) is not None and not (lone(rows[a]) and lone(rows[b]) and bool(rows[a]["zip"]) != bool(rows[b]["zip"]))}
+    assert len(wanted) > 1000 and wanted <= near
+
+
+def test_chains_do_not_drift(spark):
+    """Each step is two edits of the city: neighbours fit, the ends don't, and no centre has both."""
+    steps = ["Copperview", "Coppervi", "Copperqqvi", "Copqqperqqvi"]
+    rows = [(i, f"12 Oak St, {c}, NY") for i, c in enumerate(steps, 1)] + [(9, "12 Oak Street, Copperview, NY")]
+    got = {tuple(r) for r in A.same_location(spark.createDataFrame(rows, "party_id long, address string")).collect()}
+    assert (1, 9) in got and got & {(1, 2), (2, 3), (3, 4)} and (1, 4) not in got

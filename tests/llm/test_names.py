@@ -110,3 +110,59 @@ def test_rare_spellings_do_not_depend_on_size(spark):
     for k in (1, 10):
         some = [(i + 10 * j, "employee", name) for name, i in rows for j in range(k)]
         assert {(a % 10, b % 10) for a, b in pairs(spark, some) if a % 10 < b % 10} == {(1, 2)}, k
+
+
+def test_words_run_together_at_any_number():
+    o = lambda t: {"kind": "o", "common": 0, **N.organisation(t)}
+    for n in range(2, 8):
+        words = "alder birch cedar dogwood elmwood fir ginkgo".split()[:n]
+        a, b = o("".join(words) + " llc"), o(" ".join(reversed(words)) + " inc")
+        assert N.fits(a, b, False) and set(N.name_keys(a)) & set(N.name_keys(b)), n
+
+
+def test_index_reaches_what_fits():
+    """Random misspellings: whatever fits by the name alone shares a name key, whatever fits beside evidence an evidence key."""
+    import random
+
+    rnd = random.Random(8)
+
+    def typo(w):
+        i = rnd.randrange(max(1, len(w) - 1))
+        return [w[:i] + w[i + 1 :], w[:i] + "q" + w[i:], w[:i] + "q" + w[i + 1 :], w[:i] + w[i + 1 : i + 2] + w[i : i + 1] + w[i + 2 :]][rnd.randrange(4)]
+
+    def spell(w):
+        for _ in range(rnd.choice([0, 0, 1, 1, 2])):
+            w = typo(w)
+        return w
+
+    kinds = [["lorancombe", "thistle"], ["lorancombe"], ["alder", "birch", "cedarwood"]]
+    made = []
+    for k in range(500):
+        words = [spell(w) for w in kinds[k % 3]]
+        rnd.shuffle(words)
+        made.append({"kind": "o", "own": " ".join(sorted(("".join(words) if rnd.random() < 0.1 else " ".join(words)).split())), "trades": "bakery", "common": 9})
+    for k in range(300):
+        made.append({"kind": "p", "first": rnd.choice(["peter", "p", "", "petr", "daniel"]), "mid": "", "last": spell("lorancombe"), "suffix": "", "own": "", "trades": "", "common": rnd.choice([1, 9])})
+    alone, beside = [set(N.name_keys(r)) for r in made], [set(N.evidence_keys(r)) for r in made]
+    seen = 0
+    for i, a in enumerate(made):
+        for j in range(i + 1, len(made)):
+            b = made[j]
+            if N.fits(a, b, True):
+                seen += 1
+                assert beside[i] & beside[j], (a, b)
+                if N.fits(a, b, False):
+                    assert alone[i] & alone[j], (a, b)
+    assert seen > 3000
+
+
+def test_merged_profile_enters_with_what_is_new(spark):
+    """1 and 2 merge by the name; only then 2's phone meets 3's surname, two edits from 1's; 3's place brings 4."""
+    rows = [
+        (1, "employee", "Catherine Lorancombe"),
+        (2, "partner", "Lorancombe, Catherine", None, "(555) 555-0101"),
+        (3, "borrower", "C. Lorncomeb", "12 Oak St, Elkmead, NY 11111", "555.555.0101"),
+        (4, "recipient", "Lorncomeb", "12 Oak Street, Elkmead"),
+        (5, "recipient", "Lorncomeb", "14 Oak Street, Elkmead"),
+    ]
+    assert pairs(spark, rows) == {(i, j) for i in range(1, 5) for j in range(i + 1, 5)}
