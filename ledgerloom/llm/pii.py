@@ -1,15 +1,18 @@
 """Personal information in free text, by a linear-chain conditional random field over word shapes.
 
-The field is trained on the driver from a small labelled table (``pii_labelled.txt``, about two hundred pages, invented
-content) by maximum likelihood, and broadcast: its size follows the table's, not the corpus. Executors cut pages into tokens,
-look up the weights of each token's features and decode pages in batches with a vectorised Viterbi.
+The field is trained from a small labelled table (``pii_labelled.txt``, 560 pages of invented content made by ``pii_pages``) by
+maximum likelihood. Its weights are kept beside the table under the table's hash (``python -m ledgerloom.llm.pii`` writes
+them; with another table, training runs on the driver), and broadcast: their size follows the table's, not the corpus. Executors
+cut pages into tokens, look up the weights of each distinct token window and decode pages in batches with a vectorised Viterbi.
 
 Labels are B/I tags of NAME, ADDRESS, PHONE, EMAIL and ID_NUMBER. A short exact check on the decoded pieces follows: it
-trims punctuation and drops pieces that can't be of their kind (a phone without digits, an identity number without nine).
+trims punctuation and drops pieces that can't be of their kind (a phone with too few or too many digits, see ``PHONE_DIGITS``;
+an identity number without nine digits).
 """
 
 from __future__ import annotations
 
+import hashlib
 import os
 import re
 import unicodedata
@@ -24,6 +27,9 @@ from pyspark.sql import functions as F
 KINDS = ("NAME", "ADDRESS", "PHONE", "EMAIL", "ID_NUMBER")
 LABELS = ("O", *(f"{p}-{k}" for k in KINDS for p in "BI"))
 TABLE = os.path.join(os.path.dirname(__file__), "pii_labelled.txt")
+WEIGHTS = os.path.join(os.path.dirname(__file__), "pii_weights.npz")
+#: Digits that a phone number may have: a national number with its area code, up to the longest international one.
+PHONE_DIGITS = (10, 15)
 
 # Word lists of postal and personal writing.
 STATES = "AL AK AZ AR CA CO CT DE FL GA HI ID IL IN IA KS KY LA ME MD MA MI MN MS MO MT NE NV NH NJ NM NY NC ND OH OK OR PA RI SC SD TN TX UT VT VA WA WV WI WY DC".split()
@@ -82,7 +88,7 @@ def shape(w: str) -> str:
         return "\n"
     if w[0].isdigit():
         n = len(w)
-        return f"d{n}" if n < 6 else "d9" if n == 9 else "d6" if n < 9 else "d10"
+        return ("9" if n in (3, 9) and w[0] == "9" else "") + (f"d{n}" if n < 6 else "d9" if n == 9 else "d6" if n < 9 else "d10")
     if not w[0].isalpha():
         return "-" if w in "-–—‑‐" else w if ord(w) < 128 else "?"
     if len(w) == 1:
@@ -93,26 +99,37 @@ def shape(w: str) -> str:
 class Lexicon:
     """Numbers of words, shapes and word classes; a word that the table doesn't hold often enough is known by its shape."""
 
-    def __init__(self, words: list[str], least: int = 2):
+    def __init__(self, known: list[str], shapes: list[str]):
+        self.word = {w: i for i, w in enumerate(known)}
+        self.shape = {s: i for i, s in enumerate(shapes)}
+        self.sizes = (len(self.word) + len(self.shape) + 2, len(self.shape) + 2, len(_CLASSES) + 2)  # the last number is beyond a page's ends
+        self._clear()
+
+    @classmethod
+    def of(cls, words: list[str], least: int = 3) -> "Lexicon":
         counts: dict[str, int] = {}
         for w in words:
             counts[w.lower()] = counts.get(w.lower(), 0) + 1
-        known = [w for w, n in counts.items() if n >= least and not w[0].isdigit()]
-        self.word = {w: i for i, w in enumerate(sorted(known))}
-        self.shape = {s: i for i, s in enumerate(sorted({shape(w) for w in words}))}
-        self.sizes = (len(self.word) + len(self.shape) + 2, len(self.shape) + 2, len(_CLASSES) + 2)  # the last number is beyond a page's ends
-        self._seen: dict[str, tuple[int, int, int]] = {}
-
-    def codes(self, words: list[str]) -> np.ndarray:
-        """``(n, 3)``: word, shape, class."""
-        seen = self._seen
-        if len(seen) > 500_000:
-            seen.clear()
+        return cls(sorted(w for w, n in counts.items() if n >= least and not w[0].isdigit()), sorted({shape(w) for w in words}))
+
+    def _clear(self) -> None:
+        self._seen: dict[str, int] = {}
+        self._number: dict[tuple[int, int, int], int] = {}
+        self.triples = np.array([[n - 1 for n in self.sizes]], np.int32)  # 0 is beyond a page's ends
+
+    def ids(self, words: list[str]) -> np.ndarray:
+        """The number of each word's row of ``triples``: word, shape, class."""
+        if len(self._seen) > 500_000:
+            self._clear()
+        seen, number = self._seen, self._number
         for w in set(words) - seen.keys():
             s = self.shape.get(shape(w), len(self.shape))
             low = w.lower()
-            seen[w] = (self.word.get(low, len(self.word) + s), s, _CLASS.get(low, 0))
-        return np.array([seen[w] for w in words], np.int32).reshape(-1, 3)
+            triple = (self.word.get(low, len(self.word) + s), s, _CLASS.get(low, 0))
+            seen[w] = number.setdefault(triple, len(number) + 1)
+        if len(number) >= len(self.triples):
+            self.triples = np.array([[n - 1 for n in self.sizes], *number], np.int32)
+        return np.fromiter(map(seen.__getitem__, words), np.int32, len(words))
 
 
 #: Feature templates: offsets of words, shapes and classes alone and in pairs; the gap before a token.
@@ -120,29 +137,34 @@ _ONES = [(a, o) for a, reach in ((0, 3), (1, 2), (2, 2)) for o in range(-reach,
 _TWOS = [((1, -1), (1, 0)), ((1, 0), (1, 1)), ((0, -1), (1, 0)), ((1, 0), (0, 1)), ((0, -2), (0, -1)), ((0, 1), (0, 2)), ((1, -2), (1, -1)), ((1, 1), (1, 2)), ((2, 0), (1, 1)), ((2, 0), (2, 1)), ((2, -1), (2, 0))]
 
 
-def features(lex: Lexicon, t: Tokens) -> list[tuple[np.ndarray, int]]:
-    """For each template, the number of every token's feature, and how many numbers there are."""
-    codes = lex.codes(t.words)
-    n = len(codes)
-    out, shifted = [], {}
-    for a in range(3):
-        for o in range(-3, 4):
-            col = np.full(n, lex.sizes[a] - 1, np.int32)
-            if o == 0:
-                col = codes[:, a].copy()
-            elif abs(o) < n:
-                src, dst = (slice(0, n + o), slice(-o, n)) if o < 0 else (slice(o, n), slice(0, n - o))
-                same = t.text[src] == t.text[dst]
-                col[dst] = np.where(same, codes[src, a], lex.sizes[a] - 1)
-            shifted[a, o] = col
+_REACH = 3
+_MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3], np.uint64)
+
+
+def windows(lex: Lexicon, t: Tokens) -> np.ndarray:
+    """``(8, n)``: the numbers of the tokens from three before to three after each token, and the gaps around it."""
+    ids = lex.ids(t.words)
+    n = len(ids)
+    out = np.zeros((2 * _REACH + 2, n), np.int32)
+    for o in range(-_REACH, _REACH + 1):
+        if o == 0:
+            out[_REACH] = ids
+        elif abs(o) < n:
+            src, dst = (slice(0, n + o), slice(-o, n)) if o < 0 else (slice(o, n), slice(0, n - o))
+            out[o + _REACH, dst] = np.where(t.text[src] == t.text[dst], ids[src], 0)
+    out[-1] = t.gap * 3 + (np.r_[t.gap[1:], 0].astype(np.int32) if n else t.gap)
+    return out
+
+
+def features(lex: Lexicon, w: np.ndarray) -> Iterator[tuple[np.ndarray, int]]:
+    """For each template, the number of every window's feature, and how many numbers there are."""
+    code = {(a, o): lex.triples[w[o + _REACH], a] for a in range(3) for o in range(-_REACH, _REACH + 1)}
     for a, o in _ONES:
-        out.append((shifted[a, o], lex.sizes[a]))
+        yield code[a, o], lex.sizes[a]
     for (a, o), (b, p) in _TWOS:
-        out.append((shifted[a, o] * lex.sizes[b] + shifted[b, p], lex.sizes[a] * lex.sizes[b]))
-    gap_after = np.r_[t.gap[1:], 0].astype(np.int32) if n else t.gap
-    out.append((t.gap * 3 + gap_after, 9))
-    out.append((shifted[1, 0] * 9 + t.gap * 3 + gap_after, lex.sizes[1] * 9))
-    return out
+        yield code[a, o] * lex.sizes[b] + code[b, p], lex.sizes[a] * lex.sizes[b]
+    yield w[-1], 9
+    yield code[1, 0] * 9 + w[-1], lex.sizes[1] * 9
 
 
 def _allowed() -> np.ndarray:
@@ -163,12 +185,40 @@ class Field:
         self.lex, self.index, self.weights, self.pairs = lex, index, weights, pairs
 
     def scores(self, t: Tokens) -> np.ndarray:
-        out = np.zeros((len(t.words), len(LABELS)), np.float32)
-        for (col, _), index in zip(features(self.lex, t), self.index):
+        """Scores of every token's labels: those of each distinct window, looked up once."""
+        w = windows(self.lex, t)
+        key = (w.astype(np.uint64) * _MIX[:, None]).sum(0)
+        _, first, which = np.unique(key ^ (key >> np.uint64(29)), return_index=True, return_inverse=True)
+        out = np.zeros((len(first), len(LABELS)), np.float32)
+        for (col, _), index in zip(features(self.lex, w[:, first]), self.index):
             out += self.weights[index[col]]
-        return out
-
-    def decode(self, t: Tokens, batch: int = 256) -> np.ndarray:
+        return out[which]
+
+    def save(self, path: str, key: str) -> None:
+        seen = [np.flatnonzero(x).astype(np.int32) for x in self.index]
+        rank = np.concatenate([x[s] for x, s in zip(self.index, seen)])
+        np.savez_compressed(path, key=np.array(key), words=np.array("\0".join(self.lex.word)), shapes=np.array("\0".join(self.lex.shape)), seen=np.concatenate(seen), size=np.array([len(s) for s in seen]), weights=self.weights[rank].astype(np.float16), pairs=self.pairs)
+
+    @classmethod
+    def load(cls, path: str, key: str) -> "Field | None":
+        """The field saved under ``key``; None where there is none."""
+        if not os.path.exists(path):
+            return None
+        with np.load(path) as z:
+            if str(z["key"]) != key:
+                return None
+            lex = Lexicon(str(z["words"]).split("\0"), str(z["shapes"]).split("\0"))
+            weights = np.r_[np.zeros((1, len(LABELS)), np.float32), z["weights"].astype(np.float32)]
+            index, made = [], 1
+            empty = np.zeros((_REACH * 2 + 2, 0), np.int32)
+            for (_, size), seen in zip(features(lex, empty), np.split(z["seen"], np.cumsum(z["size"])[:-1])):
+                look = np.zeros(size, np.int32)
+                look[seen] = np.arange(made, made + len(seen))
+                made += len(seen)
+                index.append(look)
+            return cls(lex, index, weights, z["pairs"])
+
+    def decode(self, t: Tokens, batch: int = 1024) -> np.ndarray:
         """The best label of every token: Viterbi over all texts of a batch at once, longest texts first."""
         scores = self.scores(t)
         labels = np.zeros(len(scores), np.int8)
@@ -177,29 +227,30 @@ class Field:
         order = np.argsort(-n, kind="stable")
         order = order[n[order] > 0]
         trans = (self.pairs + _allowed()).astype(np.float32)
+        onward = np.ascontiguousarray(trans.T)[:, :, None]
         start = np.where([x[0] == "I" for x in LABELS], -1e4, 0).astype(np.float32)
         for at in range(0, len(order), batch):
             some = order[at : at + batch]
             length, base = n[some], first[some]
-            best = scores[base] + start
-            back = np.zeros((length[0], len(some), len(LABELS)), np.int8)
-            final = np.zeros((len(some), len(LABELS)), np.float32)
+            best = (scores[base] + start).T
+            past = []  # best scores by label of the texts alive at each position: the way back is found from them
+            final = np.zeros((len(LABELS), len(some)), np.float32)
             alive = len(some)
             for i in range(1, length[0] + 1):
                 still = int(np.searchsorted(-length, -i, "left"))  # texts with more than i tokens
-                final[still:alive] = best[still:alive]
+                final[:, still:alive] = best[:, still:alive]
                 alive = still
                 if not alive:
                     break
-                via = best[:alive, :, None] + trans
-                back[i, :alive] = via.argmax(1)
-                best = via.max(1) + scores[base[:alive] + i]
-            last = final.argmax(1)
+                best = best[:, :alive]
+                past.append(best)
+                best = (best[None] + onward).max(1) + scores[base[:alive] + i].T
+            last = final.argmax(0)
             for i in range(length[0] - 1, -1, -1):
                 live = int(np.searchsorted(-length, -i, "left"))
                 labels[base[:live] + i] = last[:live]
                 if i:
-                    last[:live] = back[i, np.arange(live), last[:live]]
+                    last[:live] = (past[i - 1][:, :live] + trans[:, last[:live]]).argmax(0)
         return labels
 
 
@@ -256,7 +307,7 @@ def train(pages: list[tuple[str, list[tuple[str, int, int]]]], rounds: int = 90,
     """Maximum likelihood by full-batch gradient steps with adaptive rates; deterministic."""
     pages = pages + augmented(pages)
     t = Tokens([p for p, _ in pages])
-    lex = Lexicon(t.words)
+    lex = Lexicon.of(t.words)
     gold = np.zeros(len(t.words), np.int64)
     for i, (_, spans) in enumerate(pages):
         base = t.text_start[i]
@@ -265,7 +316,7 @@ def train(pages: list[tuple[str, list[tuple[str, int, int]]]], rounds: int = 90,
             gold[a:b] = LABELS.index(f"I-{kind}")
             gold[a] = LABELS.index(f"B-{kind}")
     index, columns, made = [], [], 1
-    for col, size in features(lex, t):
+    for col, size in features(lex, windows(lex, t)):
         seen = np.unique(col)
         look = np.zeros(size, np.int32)
         look[seen] = np.arange(made, made + len(seen))
@@ -336,12 +387,19 @@ def train(pages: list[tuple[str, list[tuple[str, int, int]]]], rounds: int = 90,
             m2 += 0.01 * (g * g - m2)
             x += rate * (m1 / (1 - 0.9**step)) / (np.sqrt(m2 / (1 - 0.99**step)) + 1e-8)
     w[0] = 0
-    return Field(lex, index, w.astype(np.float32), pairs.astype(np.float32))
+    return Field(lex, index, w.astype(np.float16).astype(np.float32), pairs.astype(np.float32))
+
+
+def _key(path: str) -> str:
+    """Hash of the table and of the features, under which weights are kept."""
+    with open(path, "rb") as f:
+        return hashlib.sha256(f.read() + repr((LABELS, _ONES, _TWOS, _CLASSES)).encode()).hexdigest()
 
 
 @lru_cache(maxsize=2)
-def field(path: str = TABLE) -> Field:
-    return train(labelled(path))
+def field(path: str = TABLE, weights: str = WEIGHTS) -> Field:
+    """The field of a labelled table: its kept weights, else trained here."""
+    return Field.load(weights, _key(path)) or train(labelled(path))
 
 
 # --- pieces --------------------------------------------------------------------------------------------------------
@@ -376,9 +434,9 @@ def _checked(kind: str, text: str, s: int, e: int) -> tuple[int, int] | None:
     elif text[s:e].endswith(".") and not (kind == "NAME" and re.search(r"(?:\b[A-Z]|Jr|Sr)\.$", text[s:e])):
         e -= 1
     piece = text[s:e]
-    digits = sum(c.isdigit() for c in piece)
+    digits = sum(map(str.isdigit, piece))
     if kind == "PHONE":
-        ok = 10 <= digits <= 15
+        ok = PHONE_DIGITS[0] <= digits <= PHONE_DIGITS[1]
     elif kind == "ID_NUMBER":
         ok = digits == 9
     elif kind == "EMAIL":
@@ -431,8 +489,8 @@ def _run(df: DataFrame, table: str, masked: bool) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for at in range(0, b.num_rows, 1000):
-                part = b.slice(at, 1000)
+            for at in range(0, b.num_rows, 2000):
+                part = b.slice(at, 2000)
                 texts = part.column(3).to_pylist()
                 found = find_in([x or "" for x in texts], shared.value)
                 if masked:
@@ -457,3 +515,7 @@ def find(df: DataFrame, id_col: str = "file_id", pages_col: str = "pages", table
 def mask_pages(df: DataFrame, id_col: str = "file_id", pages_col: str = "pages", table: str = TABLE) -> DataFrame:
     """``(id, position, page, text)``: every page, in its place of the list, with typed placeholders. Null texts stay null."""
     return _run(_pages(df, id_col, pages_col), table, True).withColumnRenamed("id", id_col)
+
+
+if __name__ == "__main__":
+    train(labelled()).save(WEIGHTS, _key(TABLE))
