@@ -1,11 +1,13 @@
 """Splitting of oversized texts at natural boundaries.
 
-Every position where a piece may begin has a strength: account heading > page break > paragraph > line > sentence > word.
-A sparse table over the strengths answers, for any window of permissible piece ends, which cut is strongest (the rightmost
-of equals) in constant time. The next piece steps back from the cut by the overlap.
-
-Ledger texts are divided by account headings; these are reported with the pieces, as each piece carries the heading of the
-account in which it begins.
+Every position where a piece may begin has a strength: account heading > heading that carries an account on > page break >
+paragraph > line > sentence > word. A sparse table over the strengths answers, for any window of permissible piece ends,
+which cut is strongest (the rightmost of equals) in constant time. The next piece steps back from the cut by the overlap.
+
+Ledger texts are divided by account headings. How strong a line is follows from evidence: the form of its number, a balance
+that opens it, a total that names it further on, and what speaks for a report's title. The cuts of heading strength are read
+off the same table, by range-maximum queries on either side of each one found; they are reported with the pieces, as each
+piece carries the heading of the account in which it begins.
 """
 
 from __future__ import annotations
@@ -20,7 +22,7 @@ from pyspark.sql import functions as F
 
 LEDGERS = ("GENERAL_LEDGER", "QB_GENERAL_LEDGER")
 CONTEXT_CHARS = 80
-WORD, SENTENCE, LINE, PARAGRAPH, PAGE, HEADING = range(1, 7)
+WORD, SENTENCE, LINE, PARAGRAPH, PAGE, CARRIED, HEADING = range(1, 8)
 
 _NUMBER = r"\d{4}(?:-\d{2,4}|\.\d{2})"
 _AMOUNT = r"\(?-?\$?\(?\d[\d,]*(?:\.\d+)?\)?-?"
@@ -33,18 +35,21 @@ _HEAD = re.compile(
     rf"|\*{{2,}}[ \t]*{_NUMBER}[^\n]*?\*{{2,}}[^\n]*?"
     rf"|GL[ ]?\d{{4}}(?:-\d{{4}})?[ \t]+[^\n]*?\(Ledger\)[^\n]*?"
     rf"|{_NUMBER}[ \t]+(?:[·•|-][ \t]+)?[A-Za-z][^\n]*?"
-    r"|\d{4}[ \t]+(?!Annual\b)[A-Za-z][^\n]*?"
+    r"|(?P<bare>\d{4})[ \t]+[A-Za-z][^\n]*?"
     rf"|[A-Za-z][^\n()]*?[ ]\({_NUMBER}\)[^\n]*?"
     r"))"
     r"(?P<more>[ \t]*(?:\((?:cont(?:inued|'?d|\.)?)\)|[-–—][ \t]*(?:cont(?:inued|'?d|\.)?))\.?)?"
     rf"(?P<open>[ \t]+(?:Beginning|Opening) Balance[ \t]+{_AMOUNT})?[ \t]*$",
     re.M | re.I,
 )
-#: Lines that begin like a heading but are totals, entries with an amount, references to an account, or a report's title: a
-#: year, then what kind of report. Accounts whose name holds the word are headings.
-_NOT_HEAD = re.compile(r"(?:^(?:Sub-?total|Total|Ending Balance|Closing Balance|Beginning Balance|Opening Balance|REF\b|memo\b|Balance\b|Reclass)|^\d{4}[ \t]+(?:(?:Interim|Quarterly|Monthly|Yearly|Financial)[ \t]+)*Report\b)", re.I)
+#: Lines that begin like a heading but are totals, entries with an amount or references to an account.
+_NOT_HEAD = re.compile(r"^(?:Sub-?total|Total|Ending Balance|Closing Balance|Beginning Balance|Opening Balance|REF\b|memo\b|Balance\b|Reclass)", re.I)
+_MONTH = "(?:Jan|Feb|Mar|Apr|May|Jun|Jul|Aug|Sep|Oct|Nov|Dec)[a-z]*"
+#: What follows a year in a report's title: what kind of report, or the period it is of.
+_TITLE = re.compile(rf"^(?:19|20)\d{{2}}[ \t]+(?:(?:(?:Interim|Annual|Quarterly|Monthly|Yearly|Financial)[ \t]+)*Report\b|(?:Annual|Fiscal|Calendar)\b|{_MONTH}\.?(?:[ \t]+\d{{1,2}},?)?[ \t]*(?:through|thru|to|until|-|–|$)|(?:First|Second|Third|Fourth|Q[1-4])\b[^\n]*\bQuarter|Year[ \t]+End)", re.I)
 _TRAILING_AMOUNT = re.compile(r"[ \t](?=[($\d-]*\d[\d,]*\.\d\d[)-]?$)")
 _TOTAL = re.compile(rf"^(?:Total(?: for)?|Ending Balance)[ \t]+(?P<acct>{_NUMBER}[ \t]+[^\n]*?)[ \t]{{2,}}{_AMOUNT}[ \t]*$", re.M | re.I)
+_OPENS = re.compile(rf"\s*(?:Beginning|Opening) Balance[ \t]+{_AMOUNT}", re.I)
 _PAGE = re.compile(r"^(?:-{2,}[ \t]*(?:PAGE|SHEET)\b[^\n]*-{2,}|[-=_*]{5,})[ \t]*$", re.M | re.I)
 
 
@@ -53,17 +58,29 @@ def _flat(text: str) -> str:
     return text.replace("\r\n", " \n").replace("\r", "\n") if "\r" in text else text
 
 
-def headings(text: str) -> list[tuple[int, str, bool]]:
-    """``(start, heading, carries on)`` of the lines that head an account, in order.
+def headings(text: str) -> list[tuple[int, str, int]]:
+    """``(start, heading, strength)`` of the lines that may head an account, in order: ``HEADING``, or ``CARRIED`` for one that goes on.
 
-    ``start`` is the first character of the line, after form feeds. An entry, total, reference or report title isn't one.
+    ``start`` is the first character of the line, after form feeds. Two points for a number in parts or beside a label, one for a
+    bare number; one more for a balance that opens the account, on the line or the next, and one for a total that names the
+    number further on; two less for what reads as a report's title. A line with a point left heads an account.
     """
+    flat = _flat(text)
     out = []
-    for m in _HEAD.finditer(_flat(text)):
+    totals: dict[str, int] | None = None
+    for m in _HEAD.finditer(flat):
         head = m["head"].rstrip()
         if _NOT_HEAD.search(head) or _TRAILING_AMOUNT.search(head):
             continue
-        out.append((m.start("head"), head, m["more"] is not None))
+        points = 1 if m["bare"] else 2
+        if m["bare"] and _TITLE.search(head):
+            points -= 2
+            points += bool(m["open"]) or bool(_OPENS.match(flat, m.end()))
+            if totals is None:
+                totals = {t["acct"][:4]: t.start() for t in _TOTAL.finditer(flat)}
+            points += totals.get(m["bare"], -1) > m.start()
+        if points > 0:
+            out.append((m.start("head"), head, CARRIED if m["more"] is not None else HEADING))
     return out
 
 
@@ -89,8 +106,24 @@ class Cuts:
         best = max(row[a], row[b - (1 << k)])
         return int(self.positions[best & 0xFFFFFFFF])
 
-
-def cuts(text: str, heads: list[int]) -> Cuts:
+    def all_of(self, least: int) -> list[int]:
+        """Positions of all cuts of strength ``least`` or more, in order: the strongest, then those on either side of it."""
+        out, open_ranges = [], [(0, len(self.positions))]
+        while open_ranges:
+            a, b = open_ranges.pop()
+            if a >= b:
+                continue
+            k = int(b - a).bit_length() - 1
+            row = self._level(k)
+            best = int(max(row[a], row[b - (1 << k)]))
+            if best >> 32 >= least:
+                at = best & 0xFFFFFFFF
+                out.append(int(self.positions[at]))
+                open_ranges += [(a, at), (at + 1, b)]
+        return sorted(out)
+
+
+def cuts(text: str, heads: list[tuple[int, str, int]]) -> Cuts:
     """All positions of ``text`` where a piece may begin, with their strengths."""
     flat = _flat(text)
     c = np.frombuffer(flat.encode("utf-32-le", "surrogatepass"), np.uint32)
@@ -113,9 +146,8 @@ def cuts(text: str, heads: list[int]) -> Cuts:
     for m in _PAGE.finditer(flat):
         if m.start():
             strength[m.start()] = PAGE
-    for h in heads:
-        if h:
-            strength[h] = HEADING
+    for h, _, how in heads:
+        strength[h] = how
     at = np.flatnonzero(strength)
     return Cuts(at, strength[at])
 
@@ -144,21 +176,22 @@ def pieces(text: str, limit: int, overlap: int, table: Cuts) -> list[tuple[int,
     return out
 
 
-def _context(first: str | None, heads: list[tuple[int, str, bool]], text: str, ledger: bool) -> str | None:
+def _context(first: str | None, heads: list[tuple[int, str, int]], text: str, ledger: bool) -> str | None:
     """Heading of the account in which the text begins: as given; else from a carry-on heading or total that comes first."""
     if first or not ledger:
         return first
     m = _TOTAL.search(_flat(text))
     if heads and (not m or heads[0][0] < m.start()):
-        return heads[0][1][:CONTEXT_CHARS] if heads[0][2] else None
+        return heads[0][1][:CONTEXT_CHARS] if heads[0][2] == CARRIED else None
     return m["acct"].rstrip()[:CONTEXT_CHARS] if m else None
 
 
 def split_text(text: str, limit: int, overlap: int, context: str | None = None, ledger: bool = False) -> tuple[list[tuple[int, int, str | None]], list[int]]:
     """Pieces as ``(start, end, account context)``, and the starts of the account blocks that begin in the text."""
     heads = headings(text) if ledger else []
-    begun = [s for s, _, more in heads if not more]
-    spans = pieces(text, limit, overlap, cuts(text, [h[0] for h in heads])) if len(text) > limit else [(0, len(text))]
+    table = cuts(text, heads) if heads or len(text) > limit else None
+    begun = table.all_of(HEADING) if heads else []
+    spans = pieces(text, limit, overlap, table) if len(text) > limit else [(0, len(text))]
     opening = _context(context, heads, text, ledger)
     at = np.array([h[0] for h in heads])
     out = []

@@ -15,6 +15,22 @@ def test_range_maximum_is_brute_force(strength, lo, hi):
     assert got == (max(inside)[1] if inside else None)
 
 
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.integers(1, 7), max_size=80), st.integers(1, 8))
+def test_cuts_of_a_strength_are_all_found(strength, least):
+    pos = np.cumsum(np.arange(len(strength)) % 4 + 1)
+    assert S.Cuts(pos, np.array(strength, np.int8)).all_of(least) == [p for v, p in zip(strength, pos.tolist()) if v >= least]
+
+
+def test_evidence_outweighs_a_title():
+    """An account numbered like a year, named like a report: a balance and a total of its own make it one."""
+    entry = "01/02/2020  Check  1  Somebody  1.00  2.00\n"
+    title, account = "2024 Annual Report Costs\n", "2024 Annual Report Costs   Beginning Balance  5.00\n"
+    assert S.headings(title + entry) == [] == S.headings(account + entry)
+    assert [h[1:] for h in S.headings(account + entry + "Total 2024-0000 Annual Report Costs   6.00\n")] == [("2024 Annual Report Costs", S.HEADING)]
+    assert S.split_text("2010 Receivables\n" + entry, 10, 0, None, True)[1] == [0]
+
+
 @settings(max_examples=150, deadline=None)
 @given(st.text(alphabet="ab. \n\r\té‍", max_size=300), st.integers(1, 60), st.integers(0, 70))
 def test_pieces_rebuild_the_text(text, limit, overlap):
@@ -54,6 +70,8 @@ OTHERS = [
     "01/12/2022  Invoice  51704  Garormore Compass  365.49  18,033.44-",
     "  Beginning Balance 31,624.31",
     "--- PAGE BREAK ---",
+    "2024 January through December",
+    "2021 Fiscal Year",
     "General Ledger",
     "      memo: Bank confirmation 217928 agrees to $4,955.53, less outstanding items of 92,605.30.",
 ]
@@ -65,8 +83,8 @@ def test_headings(end):
     lines = [x for t in zip(HEADS, OTHERS) for x in t] + OTHERS[len(HEADS) :] + MORE
     text = end.join(lines)
     found = S.headings(text)
-    assert [h for _, h, m in found if not m] == [h.lstrip("\f").split("   Beginning")[0] for h in HEADS]
-    assert sum(m for _, _, m in found) == len(MORE)
+    assert [h for _, h, m in found if m == S.HEADING] == [h.lstrip("\f").split("   Beginning")[0] for h in HEADS]
+    assert sum(m == S.CARRIED for _, _, m in found) == len(MORE)
     for s, h, _ in found:
         assert text[s:].startswith(h)
 
