@@ -74,9 +74,13 @@ def p8_shares(spark: SparkSession, sf: str) -> DataFrame:
     return spans.shared_shares(_t(spark, sf, "documents"))
 
 
+def p8_deduped(spark: SparkSession, sf: str) -> DataFrame:
+    return spans.without_repeats(_t(spark, sf, "documents"))
+
+
 def queries() -> dict[str, Query]:
-    return {"p1_pieces": p1_pieces, "p1_found": p1_found, "p2_found": p2_found, "p2_places": p2_places, "p4_found": p4_found, "p4_parties": p4_parties, "p5_found": p5_found, "p5_masked": p5_masked, "p6_ids": p6_ids, "p7_packed": p7_packed, "p8_found": p8_found, "p8_shares": p8_shares}
+    return {"p1_pieces": p1_pieces, "p1_found": p1_found, "p2_found": p2_found, "p2_places": p2_places, "p4_found": p4_found, "p4_parties": p4_parties, "p5_found": p5_found, "p5_masked": p5_masked, "p6_ids": p6_ids, "p7_packed": p7_packed, "p8_found": p8_found, "p8_shares": p8_shares, "p8_deduped": p8_deduped}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"p8_found": spans.FOUND_SQL, "p8_shares": spans.SHARES_SQL}
+    return {"p8_found": spans.FOUND_SQL, "p8_shares": spans.SHARES_SQL, "p8_deduped": spans.DEDUPED_SQL}

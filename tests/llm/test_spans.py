@@ -97,3 +97,41 @@ def test_boundaries_depend_on_near_characters_only():
         x, y = S.Block([a + p + text(90)]), S.Block([b + p + text(300)])
         inner = lambda k, o: {int(q) - o for q, f, l in zip(k.at, k.first, k.last) if l >= o + S.CONTEXT and f + S.WIDTH + S.CONTEXT <= o + 400}
         assert inner(x, len(a)) == inner(y, len(b))
+
+
+def brute_later(rows, n=S.LENGTH):
+    """Sentences that lie in characters which a smaller id holds too, dropped literally."""
+    import re
+
+    least = {}
+    for d, t in rows:
+        if d is not None and t:
+            for i in range(len(t) - n + 1):
+                w = t[i : i + n]
+                least[w] = min(least.get(w, d), d)
+    out = []
+    for d, t in rows:
+        kept, hit = t, [False] * len(t or "")
+        if d is not None and t:
+            for i in range(len(t) - n + 1):
+                if least[t[i : i + n]] < d:
+                    hit[i : i + n] = [True] * n
+            kept = "".join(m[0] for m in re.finditer(S.SENTENCE, t) if not all(hit[m.start() : m.end()]))
+        out.append((d, kept, len(t or "") - len(kept or "")))
+    return out
+
+
+@pytest.mark.parametrize("seed", [1, 4])
+def test_later_repeats_are_dropped(spark, seed):
+    rows = made(seed)
+    got = [tuple(r) for r in S.without_repeats(spark.createDataFrame([(*r, 1) for r in rows], "doc_id long, text string, spans int")).collect()]
+    key = lambda r: (r[0] is None, r[0] or 0, r[1] or "")
+    assert sorted(got, key=key) == sorted(brute_later(rows), key=key) and sum(r[2] for r in got) > 1000
+    assert {r[0]: r[1] for r in got}[1000] == ""
+
+
+def test_second_hash_is_independent():
+    k = S.Block(["abcabcabd" * 50])
+    a = S.np.arange(0, 300, 3)
+    one, two = k.hash(a, a + 9), k.hash(a, a + 9, S._C)
+    assert (one != two).all() and len(set(one)) == len(set(two)) == len({("abcabcabd" * 50)[i : i + 9] for i in a})
