@@ -1,17 +1,19 @@
 """Flat tables of deeply nested records, by structural variants.
 
-A bottom-up tree automaton gives every JSON object a state: leaves have a state by their type, an object's state follows
-from its field names and the states of their values. The states are structural variants (``section_group``,
-``account_balance``, ``box12_item`` ...). They only label the rows: an object's typed table follows from the array that holds
-it, whatever its variant. All tables share the keys of the common supertype: record, own path, parent's path, index, depth and
-variant.
-
-Records are walked where they lie (a map without shuffle); the typed tables are projections of that one node table.
+A bottom-up tree automaton gives every JSON value a state. Leaves have a state by their type, an array the set of its elements'
+states, an object's state follows from its fields and their states, and, for an element of one of ``ARRAYS``, from the array
+that holds it. The states of elements are the structural variants (``section_group``, ``account_balance``, ``box12_coded`` ...):
+they decide what becomes a row, and each is routed to its own typed subtype table. The subtypes of a kind make up the kind's
+table, and all share the keys of the common supertype: record, own path, parent's path, index, depth and variant.
+
+Records are walked where they lie (a map without shuffle), to any depth, without recursion; the typed tables are projections of
+that one node table.
 """
 
 from __future__ import annotations
 
 import json
+import re
 from typing import Iterator
 
 import pandas as pd
@@ -22,74 +24,182 @@ from ..functions.amounts import parse_amount
 
 #: The arrays whose elements become rows.
 ARRAYS = ("box12", "box14_other", "state", "local", "sections", "subsections", "accounts")
+#: Further arrays of statements, for the layouts.
+STATEMENT_ARRAYS = (*ARRAYS, "components", "bank_accounts")
 
 NODE_SCHEMA = (
     "record_id {id}, node_path string, parent_path string, field string, position int, depth int, variant string, fields map<string,string>"
 )
 
-#: Typed columns by table: name -> (fields of ARRAYS that feed it, [(column, field, type)]).
-TABLES: dict[str, tuple[tuple[str, ...], list[tuple[str, str, str]]]] = {
-    "box12": (("box12",), [("code", "code", "text"), ("amount", "amount", "money"), ("description", "description", "text")]),
-    "box14_other": (("box14_other",), [("label", "label", "text"), ("amount", "amount", "money")]),
-    "state": (("state",), [("state_abbr", "state_abbr", "text"), ("state_id", "state_id", "text"), ("state_wages", "box16_state_wages", "money"), ("state_withheld", "box17_state_withheld", "money")]),
-    "local": (("local",), [("locality_name", "locality_name", "text"), ("local_wages", "box18_local_wages", "money"), ("local_withheld", "box19_local_withheld", "money")]),
-    "sections": (("sections", "subsections"), [("section_name", "section_name", "text"), ("section_total", "section_total", "money")]),
-    "accounts": (("accounts",), [("account_number", "account_number", "text"), ("account_name", "account_name", "text"), ("balance", "balance", "money"), ("amount", "amount", "money")]),
+_SECTION = [("section_name", "section_name", "text"), ("section_total", "section_total", "money")]
+_ACCOUNT = [("account_number", "account_number", "text"), ("account_name", "account_name", "text")]
+#: Subtypes: variant -> (kind, typed columns (column, field, type)).
+SUBTYPES: dict[str, tuple[str, list[tuple[str, str, str]]]] = {
+    "box12_coded": ("box12", [("code", "code", "text"), ("amount", "amount", "money"), ("description", "description", "text")]),
+    "box12_bare": ("box12", [("amount", "amount", "money"), ("description", "description", "text")]),
+    "box14_labelled": ("box14_other", [("label", "label", "text"), ("amount", "amount", "money")]),
+    "box14_bare": ("box14_other", [("amount", "amount", "money")]),
+    "state_named": ("state", [("state_abbr", "state_abbr", "text"), ("state_id", "state_id", "text"), ("state_wages", "box16_state_wages", "money"), ("state_withheld", "box17_state_withheld", "money")]),
+    "state_bare": ("state", [("state_id", "state_id", "text"), ("state_wages", "box16_state_wages", "money"), ("state_withheld", "box17_state_withheld", "money")]),
+    "local_named": ("local", [("locality_name", "locality_name", "text"), ("local_wages", "box18_local_wages", "money"), ("local_withheld", "box19_local_withheld", "money")]),
+    "local_bare": ("local", [("local_wages", "box18_local_wages", "money"), ("local_withheld", "box19_local_withheld", "money")]),
+    "section_group": ("sections", _SECTION),
+    "section_leaf": ("sections", _SECTION),
+    "section_empty": ("sections", _SECTION),
+    "account_balance": ("accounts", [*_ACCOUNT, ("balance", "balance", "money"), ("amount", "amount", "money")]),
+    "account_amount": ("accounts", [*_ACCOUNT, ("amount", "amount", "money")]),
+    "account_sides": ("accounts", [*_ACCOUNT, ("debit", "debit", "money"), ("credit", "credit", "money")]),
+    "account_bare": ("accounts", _ACCOUNT),
+    "component": ("components", [("component_name", "component_name", "text"), ("current_balance", "current_balance", "money"), ("annual_funding", "annual_funding", "money"), ("ytd_funding", "ytd_funding", "money")]),
+    "bank_account": ("bank_accounts", [*_ACCOUNT, ("balance", "balance", "money")]),
 }
+#: Columns of a kind's table: those of its subtypes, first come first; a subtype without a column has null in it.
+TABLES: dict[str, list[tuple[str, str, str]]] = {}
+for _kind, _columns in SUBTYPES.values():
+    TABLES.setdefault(_kind, []).extend(c for c in _columns if c not in TABLES[_kind])
+TABLES["accounts"] = [c for c in TABLES["accounts"] if c[0] not in ("debit", "credit")] + [c for c in TABLES["accounts"] if c[0] in ("debit", "credit")]
 
 
 # --- the automaton -------------------------------------------------------------------------------------------------
 
-#: Transitions of the automaton for objects, first fit: (state, fields it has one of, fields with children it needs).
-_RULES: tuple[tuple[str, frozenset, frozenset], ...] = (
-    ("section_group", frozenset(("sections", "subsections")), frozenset(("section_group", "section_leaf", "section_empty", "section_like"))),
-    ("section_leaf", frozenset(("accounts",)), frozenset(("account_balance", "account_amount", "account_bare", "object"))),
-    ("section_empty", frozenset(("section_name", "section_total", "accounts", "subsections")), frozenset()),
-    ("account_balance", frozenset(("balance",)), frozenset()),
-    ("state_row", frozenset(("state_abbr", "box16_state_wages", "box17_state_withheld")), frozenset()),
-    ("local_row", frozenset(("locality_name", "box18_local_wages", "box19_local_withheld")), frozenset()),
-    ("box12_item", frozenset(("code",)), frozenset()),
-    ("box14_item", frozenset(("label",)), frozenset()),
-    ("account_bare", frozenset(("account_name", "account_number")), frozenset()),
-)
+#: Transitions for elements, by holding array and first fit: (variant, fields of which the object has one, whether that field must
+#: hold an element).
+_TRANSITIONS: dict[str, tuple[tuple[str, tuple[str, ...], bool], ...]] = {
+    "box12": (("box12_coded", ("code",), False), ("box12_bare", (), False)),
+    "box14_other": (("box14_labelled", ("label",), False), ("box14_bare", (), False)),
+    "state": (("state_named", ("state_abbr",), False), ("state_bare", (), False)),
+    "local": (("local_named", ("locality_name",), False), ("local_bare", (), False)),
+    "sections": (("section_group", ("sections", "subsections"), True), ("section_leaf", ("accounts",), True), ("section_empty", (), False)),
+    "accounts": (("account_balance", ("balance",), False), ("account_amount", ("amount",), False), ("account_sides", ("debit", "credit"), False), ("account_bare", (), False)),
+    "components": (("component", (), False),),
+    "bank_accounts": (("bank_account", (), False),),
+}
+_TRANSITIONS["subsections"] = _TRANSITIONS["sections"]
 
 
 class Automaton:
     """Deterministic, bottom-up; a transition is looked up once for each shape and kept."""
 
     def __init__(self) -> None:
-        self._known: dict[frozenset, str] = {}
+        self._known: dict[tuple, str] = {}
 
     def leaf(self, value: object) -> str:
         return "null" if value is None else "flag" if isinstance(value, bool) else "number" if isinstance(value, (int, float)) else "text"
 
-    def array(self, states: list[str]) -> str:
-        """An array is in the state of its objects where they agree on the first of them, else ``items``."""
-        objects = [s for s in states if s not in ("null", "flag", "number", "text", "items")]
-        return objects[0] if objects else "items"
-
-    def obj(self, children: frozenset) -> str:
-        """State of an object from its ``(field, state of the value)`` pairs."""
-        state = self._known.get(children)
+    def obj(self, children: frozenset, field: str | None = None) -> str:
+        """State of an object from its ``(field, state of the value)`` pairs, the state of an array being the set of its elements';
+        ``field``: the array whose element it is. An object that is no element is in the state ``object``."""
+        if field is None:
+            return "object"
+        state = self._known.get((field, children))
         if state is None:
             if len(self._known) > 100_000:  # unusual field names must not fill a worker's memory
                 self._known.clear()
-            state = self._known[children] = self._decide(children)
+            state = self._known[field, children] = self._decide(children, field)
         return state
 
     @staticmethod
-    def _decide(children: frozenset) -> str:
-        names = {n for n, _ in children}
-        for state, any_of, child in _RULES:
-            if names & any_of and (not child or any(n in any_of and s in child for n, s in children)):
-                if state == "account_bare" and "amount" in names:
-                    return "account_amount"
-                return state
-        return "object"
+    def _decide(children: frozenset, field: str) -> str:
+        for variant, any_of, element in _TRANSITIONS[field]:
+            if not any_of or any(n in any_of and (not element or (isinstance(s, frozenset) and bool(s & SUBTYPES.keys()))) for n, s in children):
+                return variant
+        raise AssertionError(field)
 
 
 # --- reading -------------------------------------------------------------------------------------------------------
 
+_TOKEN = re.compile(r'[ \t\n\r]*(?:([{}\[\],:])|(")|(-?(?:0|[1-9][0-9]*)(?:\.[0-9]+)?(?:[eE][-+]?[0-9]+)?)|(true|false|null))')
+_CONSTANTS = {"true": True, "false": False, "null": None}
+
+
+def read_deep(text: str, at: int = 0) -> tuple[object, int]:
+    """The JSON value at ``at`` and where it ends, however deep it is; ValueError where there is none."""
+    stack: list[list] = []  # [container, pending key]
+    want = "value"
+    while True:
+        m = _TOKEN.match(text, at)
+        if not m:
+            raise ValueError("no JSON value")
+        mark, at = m[1], m.end()
+        closed = mark is not None and mark in "}]"
+        if want == "key" or want == "first key":
+            if m[2]:
+                stack[-1][1], at = json.decoder.scanstring(text, at)
+                m = _TOKEN.match(text, at)
+                if not m or m[1] != ":":
+                    raise ValueError("no colon")
+                at, want = m.end(), "value"
+                continue
+            if not (mark == "}" and want == "first key"):
+                raise ValueError("no key")
+        elif want == "after":
+            if mark == ",":
+                want = "key" if isinstance(stack[-1][0], dict) else "value"
+                continue
+            if mark != ("}" if isinstance(stack[-1][0], dict) else "]"):
+                raise ValueError("no end")
+        elif mark == "{" or mark == "[":
+            stack.append([{} if mark == "{" else [], None])
+            want = "first key" if mark == "{" else "first"
+            continue
+        elif mark is not None and not (mark == "]" and want == "first"):
+            raise ValueError("no value")
+        if closed:
+            value = stack.pop()[0]
+        elif m[2]:
+            value, at = json.decoder.scanstring(text, at)
+        elif m[3] is not None:
+            value = float(m[3]) if any(c in m[3] for c in ".eE") else int(m[3])
+        else:
+            value = _CONSTANTS[m[4]]
+        if not stack:
+            return value, at
+        holder, key = stack[-1]
+        if isinstance(holder, dict):
+            holder[key] = value
+        else:
+            holder.append(value)
+        want = "after"
+
+
+def dump_deep(value: object) -> str:
+    """JSON text of a value, however deep it is."""
+    out: list[str] = []
+    open_values: list = [value]
+    while open_values:
+        v = open_values.pop()
+        if isinstance(v, _Raw):
+            out.append(v)
+        elif isinstance(v, (dict, list)) and v:
+            ends = "{}" if isinstance(v, dict) else "[]"
+            out.append(ends[0])
+            open_values.append(_Raw(ends[1]))
+            rows = [[x] for x in v] if isinstance(v, list) else [[_Raw(json.dumps(k, ensure_ascii=False) + ": "), x] for k, x in v.items()]
+            for i in range(len(rows) - 1, -1, -1):
+                open_values += [*reversed(rows[i]), *([_Raw(", ")] if i else [])]
+        else:
+            out.append(json.dumps(v, ensure_ascii=False))
+    return "".join(out)
+
+
+class _Raw(str):
+    """Text that is JSON already."""
+
+
+def loads(text: str, at: int = 0) -> tuple[object, int]:
+    """The JSON value at ``at`` and its end: by the fast reader, else, where it is too deep, by the one without recursion."""
+    try:
+        return json.JSONDecoder().raw_decode(text, at)
+    except RecursionError:
+        return read_deep(text, at)
+
+
+def dumps(value: object) -> str:
+    try:
+        return json.dumps(value, ensure_ascii=False)
+    except RecursionError:
+        return dump_deep(value)
+
 
 def complete_record(text: str | None) -> dict | None:
     """The first complete JSON object in ``text``; None where there is none.
@@ -102,8 +212,8 @@ def complete_record(text: str | None) -> dict | None:
     at = text.find("{")
     while at >= 0:
         try:
-            return json.JSONDecoder().raw_decode(text, at)[0]
-        except (ValueError, RecursionError):
+            return loads(text, at)[0]
+        except ValueError:
             end = _closing(text, at)
             if end < 0:
                 return None
@@ -139,56 +249,80 @@ def _elements(value: object) -> list | None:
     if isinstance(value, dict):
         return [value]
     if isinstance(value, str) and value.lstrip()[:1] == "[":
+        text = value.strip()
         try:
-            got = json.loads(value)
-        except (ValueError, RecursionError):
+            got, end = loads(text)
+        except ValueError:
             return None
-        return got if isinstance(got, list) else None
+        return got if isinstance(got, list) and end == len(text) else None
     return None
 
 
 def _text(value: object) -> str | None:
-    if value is None or isinstance(value, str):
-        return value
-    return json.dumps(value, ensure_ascii=False)
+    return value if value is None or isinstance(value, str) else dumps(value)
+
 
+class _Frame:
+    """An object on the way: its open children, the states found so far, and its place in the object that holds it."""
 
-def walk(record: dict, automaton: Automaton) -> list[tuple[str, str, str, int, int, str, dict]]:
-    """``(node path, parent path, field, position, depth, variant, scalar fields)`` of every element object, parents first."""
-    out: list = []
+    __slots__ = ("obj", "segment", "name", "field", "position", "children", "states", "arrays")
 
-    def visit(o: dict, path: str, depth: int) -> str:
-        states = set()
-        for name, value in o.items():
-            inner = f"{path}.{name}" if path else name
-            items = _elements(value) if name in ARRAYS else None
+    def __init__(self, obj: dict, segment: str, name: str | None, field: str | None, position: int, automaton: Automaton, arrays: frozenset):
+        self.obj, self.segment, self.name, self.field, self.position = obj, segment, name, field, position
+        self.children: list[tuple] = []
+        self.states: set = set()
+        self.arrays: dict[str, set] = {}
+        for key, value in obj.items():
+            items = _elements(value) if key in arrays else None
+            element = items is not None
+            if items is None and isinstance(value, list):
+                items = value
             if items is not None:
-                below = []
+                held = self.arrays[key] = set()
                 for i, x in enumerate(items):
                     if isinstance(x, dict):
-                        at = len(out)
-                        out.append(None)
-                        me = f"{inner}[{i}]"
-                        variant = visit(x, me, depth + 1)
-                        out[at] = (me, path, name, i, depth, variant, {k: _text(v) for k, v in x.items() if k not in ARRAYS})
-                        below.append(variant)
+                        self.children.append((x, f"{key}[{i}]", key, key if element else None, i))
                     else:
-                        below.append(automaton.leaf(x) if not isinstance(x, list) else "items")
-                states.add((name, automaton.array(below)))
+                        held.add("items" if isinstance(x, list) else automaton.leaf(x))
             elif isinstance(value, dict):
-                states.add((name, visit(value, inner, depth + 1)))
-            elif isinstance(value, list):
-                states.add((name, automaton.array([visit(x, f"{inner}[{i}]", depth + 1) if isinstance(x, dict) else "text" for i, x in enumerate(value)])))
+                self.children.append((value, key, key, None, 0))
             else:
-                states.add((name, automaton.leaf(value)))
-        return automaton.obj(frozenset(states))
-
-    visit(record, "", 0)
-    return out
-
-
-def nodes(df: DataFrame, id_col: str = "record_id", data_col: str = "data") -> DataFrame:
-    """One row for each element object of ``ARRAYS``, with the supertype's keys and its scalar fields as text.
+                self.states.add((key, automaton.leaf(value)))
+        self.children.reverse()
+
+
+def walk(record: dict, automaton: Automaton, arrays: tuple[str, ...] = ARRAYS) -> Iterator[tuple[str, str, str, int, int, str, dict]]:
+    """``(node path, parent path, field, position, depth, variant, scalar fields)`` of every element object of ``arrays``, children
+    before the object that holds them."""
+    known = frozenset(arrays)
+    stack = [_Frame(record, "", None, None, 0, automaton, known)]
+    while True:
+        top = stack[-1]
+        if top.children:
+            stack.append(_Frame(*top.children.pop(), automaton, known))
+            continue
+        children = frozenset(top.states | {(n, frozenset(s)) for n, s in top.arrays.items()})
+        state = automaton.obj(children, top.field)
+        stack.pop()
+        if not stack:
+            return
+        if top.field is not None:
+            holder = ".".join(f.segment for f in stack[1:])
+            path = f"{holder}.{top.segment}" if holder else top.segment
+            yield path, holder, top.field, top.position, len(stack) - 1, state, {k: _text(v) for k, v in top.obj.items() if k not in known}
+        above = stack[-1]
+        if top.name in above.arrays:
+            above.arrays[top.name].add(state)
+        else:
+            above.states.add((top.name, state))
+
+
+#: Characters of paths after which rows are handed on: paths grow with the depth.
+_BATCH_CHARS = 8_000_000
+
+
+def nodes(df: DataFrame, id_col: str = "record_id", data_col: str = "data", arrays: tuple[str, ...] = ARRAYS) -> DataFrame:
+    """One row for each element object of ``arrays``, with the supertype's keys and its scalar fields as text.
 
     Text around the record is ignored; null, empty and unreadable data give no rows. Elements that aren't objects keep
     their index and give no row. Rows that repeat are walked each. No shuffle.
@@ -199,14 +333,17 @@ def nodes(df: DataFrame, id_col: str = "record_id", data_col: str = "data") -> D
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         automaton = Automaton()
         for f in frames:
-            rows = []
+            rows, chars = [], 0
             for i, text in zip(f["record_id"], f["data"]):
                 record = complete_record(text)
-                if record is not None:
-                    rows += [(i, *n) for n in walk(record, automaton)]
-                if len(rows) > 50_000:
-                    yield pd.DataFrame(rows, columns=columns)
-                    rows = []
+                if record is None:
+                    continue
+                for n in walk(record, automaton, arrays):
+                    rows.append((i, *n))
+                    chars += len(n[0])
+                    if chars > _BATCH_CHARS:
+                        yield pd.DataFrame(rows, columns=columns)
+                        rows, chars = [], 0
             yield pd.DataFrame(rows, columns=columns)
 
     return src.mapInPandas(run, NODE_SCHEMA.format(id=src.schema["record_id"].dataType.simpleString())).withColumnRenamed("record_id", id_col)
@@ -232,11 +369,19 @@ def _typed(field: str, kind: str) -> Column:
     return parse_amount(raw) if kind == "money" else raw
 
 
+def subtype_table(node_rows: DataFrame, variant: str) -> DataFrame:
+    """The table of one variant: the supertype's keys, then the subtype's own columns."""
+    keys = [c for c in node_rows.columns if c not in ("fields", "field")]
+    return node_rows.filter(F.col("variant") == variant).select(*keys, *[_typed(f, k).alias(c) for c, f, k in SUBTYPES[variant][1]])
+
+
 def typed_table(node_rows: DataFrame, table: str) -> DataFrame:
-    """One typed table of the node table: the supertype's keys, then the table's own columns (null where absent)."""
-    feeds, columns = TABLES[table]
+    """A kind's table, all its subtypes together: the supertype's keys, then the kind's columns (null where a subtype has none)."""
     keys = [c for c in node_rows.columns if c not in ("fields", "field")]
-    return node_rows.filter(F.col("field").isin(*feeds)).select(*keys, *[_typed(f, k).alias(c) for c, f, k in columns])
+    variants = [v for v, (kind, _) in SUBTYPES.items() if kind == table]
+    has = lambda c: [v for v in variants if c in SUBTYPES[v][1]]
+    cells = [(_typed(c[1], c[2]) if has(c) == variants else F.when(F.col("variant").isin(*has(c)), _typed(c[1], c[2]))).alias(c[0]) for c in TABLES[table]]
+    return node_rows.filter(F.col("variant").isin(*variants)).select(*keys, *cells)
 
 
 def links(node_rows: DataFrame, id_col: str = "record_id") -> DataFrame:

@@ -58,8 +58,14 @@ def _p3(table: str) -> Query:
     return lambda spark, sf: nested.typed_table(nested.nodes(_t(spark, sf, "extractions")), table)
 
 
-for _table in nested.TABLES:
-    query(Q.typed_table(_table) if _table != "sections" else None, name=f"p3_{_table}")(_p3(_table))
+def _p3_variant(variant: str) -> Query:
+    return lambda spark, sf: nested.subtype_table(nested.nodes(_t(spark, sf, "extractions")), variant)
+
+
+for _table in ("box12", "box14_other", "state", "local", "sections", "accounts"):
+    query(Q.typed_table(_table), name=f"p3_{_table}")(_p3(_table))
+for _variant in ("section_group", "section_leaf", "section_empty", "account_balance", "account_amount", "account_bare"):
+    query(Q.typed_table(nested.SUBTYPES[_variant][0], _variant), name=f"p3_{_variant}")(_p3_variant(_variant))
 
 
 # --- classification -----------------------------------------------------------------------------------------------------

@@ -237,18 +237,25 @@ def exchange_lines(made_on: str, program: str) -> str:
 UNION ALL SELECT NULL, -1, 'V042' || {nl} || 'A{program}' || {nl} || 'D{made_on}' || {nl} || '^'"""
 
 
-def typed_table(table: str) -> str:
-    """A typed table of elements that hold no sections; states by the automaton's rules for such objects."""
-    feeds, columns = nested.TABLES[table]
+def typed_table(table: str, variant: str | None = None) -> str:
+    """A kind's table, or that of one of its variants; variants by the fields an object has and the elements below it."""
+    feeds = {"sections": ("sections", "subsections")}.get(table, (table,))
     has = lambda *names: f"list_has_any(keys, [{', '.join(map(q, names))}])"
-    variant = "CASE WHEN " + has("section_name", "section_total", "accounts", "subsections") + " THEN 'section_empty'"
-    for name, fields in (("account_balance", ("balance",)), ("state_row", ("state_abbr", "box16_state_wages", "box17_state_withheld")), ("local_row", ("locality_name", "box18_local_wages", "box19_local_withheld")), ("box12_item", ("code",)), ("box14_item", ("label",))):
-        variant += f" WHEN {has(*fields)} THEN {q(name)}"
-    variant += f" WHEN {has('account_name', 'account_number')} THEN CASE WHEN {has('amount')} THEN 'account_amount' ELSE 'account_bare' END ELSE 'object' END"
+    case = {
+        "box12": f"CASE WHEN {has('code')} THEN 'box12_coded' ELSE 'box12_bare' END",
+        "box14_other": f"CASE WHEN {has('label')} THEN 'box14_labelled' ELSE 'box14_bare' END",
+        "state": f"CASE WHEN {has('state_abbr')} THEN 'state_named' ELSE 'state_bare' END",
+        "local": f"CASE WHEN {has('locality_name')} THEN 'local_named' ELSE 'local_bare' END",
+        "sections": "CASE WHEN holds_sections THEN 'section_group' WHEN holds_accounts THEN 'section_leaf' ELSE 'section_empty' END",
+        "accounts": f"CASE WHEN {has('balance')} THEN 'account_balance' WHEN {has('amount')} THEN 'account_amount' WHEN {has('debit', 'credit')} THEN 'account_sides' ELSE 'account_bare' END",
+    }[table]
     raw = lambda f: f"CASE WHEN json_type(obj, '$.{f}') <> 'NULL' THEN json_extract_string(obj, '$.{f}') END"
+    columns = nested.SUBTYPES[variant][1] if variant else nested.TABLES[table]
     cols = ", ".join(f"{amount(raw(f)) if k == 'money' else raw(f)} AS {c}" for c, f, k in columns)
-    return f"""WITH {nested.NODES_CTE}, k AS (SELECT *, json_keys(obj) AS keys FROM nodes WHERE field IN ({', '.join(map(q, feeds))}))
-SELECT record_id, node_path, parent_path, CAST(regexp_extract(node_path, '([0-9]+)\\]$', 1) AS INTEGER) AS position, CAST(CASE WHEN parent_path = '' THEN 0 ELSE len(string_split(parent_path, '.')) END AS INTEGER) AS depth, {variant} AS variant, {cols} FROM k"""
+    below = ", below AS (SELECT record_id, parent_path AS node_path, bool_or(field IN ('sections', 'subsections')) AS holds_sections, bool_or(field = 'accounts') AS holds_accounts FROM nodes GROUP BY ALL)" if table == "sections" else ""
+    join = " LEFT JOIN below USING (record_id, node_path)" if below else ""
+    return f"""WITH {nested.NODES_CTE}{below}, k AS (SELECT *, json_keys(obj) AS keys FROM nodes{join} WHERE field IN ({', '.join(map(q, feeds))})), v AS (SELECT *, {case} AS variant FROM k)
+SELECT record_id, node_path, parent_path, CAST(regexp_extract(node_path, '([0-9]+)\\]$', 1) AS INTEGER) AS position, CAST(CASE WHEN parent_path = '' THEN 0 ELSE len(string_split(parent_path, '.')) END AS INTEGER) AS depth, variant, {cols} FROM v{f" WHERE variant = {q(variant)}" if variant else ""}"""
 
 
 def section_check() -> str:
