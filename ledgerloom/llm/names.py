@@ -348,7 +348,7 @@ def entities(df: DataFrame, more: DataFrame | None = None, id_col: str = "party_
         own = own.unionByName(more.select(F.lit(None).cast("long").alias("id"), "name", F.lit(True).alias("org"), "address", none.alias("phone"), none.alias("l4")).distinct())
     own = Written(own.filter("trim(name) <> ''"), "rows").df
     read = Written(readings(own), "readings").df
-    placed = own.join(place_keys(own.select("address")), "address", "left")
+    placed = own.join(Written(place_keys(own.select("address")), "places").df, "address", "left")
     rows = placed.join(read.withColumnRenamed("org", "is_org"), "name").filter("org is null or org = is_org")
     # equal readings are one profile; a reading without full given name, or one seen with several numbers, only with equal evidence
     weak = F.expr("kind = 'p' and length(first) < 2")
