@@ -470,11 +470,90 @@ def csv_generic_tax(spark: SparkSession, sf: str) -> DataFrame:
     return L.generic_tax(_t(spark, sf, "extractions"))
 
 
-@query()
+@query(Q.account_rows())
 def csv_account_rows(spark: SparkSession, sf: str) -> DataFrame:
     return L.account_rows(_t(spark, sf, "extractions"))
 
 
+def _grouped(df: DataFrame, key: str, kind: str, data: F.Column) -> DataFrame:
+    """Records of a type made of each fifty rows, to exercise layouts of types that the extractions don't hold."""
+    return df.groupBy(F.expr(f"{key} div 50").alias("record_id")).agg(F.to_json(data, {"ignoreNullFields": "false"}).alias("data")).select("record_id", F.lit(kind).alias("document_type"), "data")
+
+
+def _sorted(order: str, *cells: F.Column) -> F.Column:
+    return F.transform(F.array_sort(F.collect_list(F.struct(F.col(order).alias("_o"), F.struct(*cells).alias("_c")))), lambda x: x["_c"])
+
+
+_HEAD_SQL = "'' AS software, 'Accrual' AS accounting_basis, '' AS period_start, '2024-12-31' AS period_end"
+
+
+def _entity(name: F.Column) -> F.Column:
+    return F.struct(name.alias("name"), F.lit("Accrual").alias("accounting_basis"), F.lit("2024-12-31").alias("period_end"))
+
+
+@query(
+    f"SELECT s_suppkey // 50 AS record_id, 'TRIAL_BALANCE' AS document_type, 'Suppliers' AS entity_name, {_HEAD_SQL}, 'ACCOUNTS' AS section, '' AS subsection, CAST(s_suppkey AS VARCHAR) AS account_number, s_name AS account_name, 'account' AS row_type, "
+    "CASE WHEN s_acctbal > 0 THEN CAST(s_acctbal AS DECIMAL(18,2)) END AS debit, CASE WHEN s_acctbal <= 0 THEN CAST(-s_acctbal AS DECIMAL(18,2)) END AS credit, "
+    "'accounts[' || (row_number() OVER (PARTITION BY s_suppkey // 50 ORDER BY s_suppkey) - 1) || ']' AS node_path FROM supplier"
+)
+def csv_trial_balance(spark: SparkSession, sf: str) -> DataFrame:
+    b = F.col("s_acctbal").cast("decimal(18,2)")
+    accounts = _sorted("s_suppkey", F.col("s_suppkey").cast("string").alias("account_number"), F.col("s_name").alias("account_name"), F.when(b > 0, b).alias("debit"), F.when(b <= 0, -b).alias("credit"))
+    return L.account_rows(_grouped(_t(spark, sf, "supplier"), "s_suppkey", "TRIAL_BALANCE", F.struct(_entity(F.lit("Suppliers")).alias("entity"), accounts.alias("accounts"))))
+
+
+@query(
+    f"WITH p AS (SELECT *, row_number() OVER (PARTITION BY p_partkey // 50 ORDER BY p_partkey) - 1 AS i FROM part), h AS (SELECT p_partkey // 50 AS record_id, 'RESERVE_ALLOCATION' AS document_type, 'Parts' AS entity_name, {_HEAD_SQL}, * FROM p) "
+    "SELECT record_id, document_type, entity_name, software, accounting_basis, period_start, period_end, 'COMPONENTS' AS section, '' AS subsection, CAST(p_partkey AS VARCHAR) AS account_number, p_name AS account_name, 'account' AS row_type, CAST(p_retailprice AS DECIMAL(18,2)) AS balance, 'components[' || i || ']' AS node_path FROM h "
+    "UNION ALL SELECT record_id, document_type, entity_name, software, accounting_basis, period_start, period_end, 'BANK_ACCOUNTS', '', '', p_brand, 'account', CAST(p_size AS DECIMAL(18,2)), 'bank_accounts[' || i || ']' FROM h"
+)
+def csv_reserve(spark: SparkSession, sf: str) -> DataFrame:
+    components = _sorted("p_partkey", F.col("p_partkey").cast("string").alias("account_number"), F.col("p_name").alias("component_name"), F.col("p_retailprice").cast("decimal(18,2)").alias("current_balance"))
+    bank = _sorted("p_partkey", F.col("p_brand").alias("account_name"), F.col("p_size").alias("balance"))
+    return L.account_rows(_grouped(_t(spark, sf, "part"), "p_partkey", "RESERVE_ALLOCATION", F.struct(_entity(F.lit("Parts")).alias("entity"), components.alias("components"), bank.alias("bank_accounts"))))
+
+
+@query(
+    f"WITH o AS (SELECT *, row_number() OVER (PARTITION BY o_orderkey // 50 ORDER BY o_orderkey) - 1 AS i FROM orders) SELECT o_orderkey // 50 AS record_id, 'BUDGET_VS_ACTUAL' AS document_type, 'Orders' AS entity_name, {_HEAD_SQL}, o_orderpriority AS section, '' AS subsection, "
+    "CAST(o_orderkey AS VARCHAR) AS account_number, o_orderstatus AS account_name, CASE WHEN o_orderkey % 3 = 0 THEN 'total' ELSE 'account' END AS row_type, CAST(o_totalprice AS DECIMAL(18,2)) AS ytd_actual, CASE WHEN o_orderkey % 2 = 0 THEN CAST(o_totalprice + 1 AS DECIMAL(18,2)) END AS ytd_budget, 'line_items[' || i || ']' AS node_path FROM o"
+)
+def csv_line_items(spark: SparkSession, sf: str) -> DataFrame:
+    price = F.col("o_totalprice").cast("decimal(18,2)")
+    values = F.struct(price.alias("ytd_actual"), F.when(F.col("o_orderkey") % 2 == 0, (price + 1).cast("decimal(18,2)")).alias("ytd_budget"))
+    items = _sorted("o_orderkey", F.col("o_orderkey").cast("string").alias("account_number"), F.col("o_orderstatus").alias("account_name"), F.col("o_orderpriority").alias("section"), F.when(F.col("o_orderkey") % 3 == 0, "total").alias("row_type"), values.alias("values"))
+    columns = F.array(*[F.struct(F.lit(k).alias("key")) for k in ("ytd_actual", "ytd_budget")])
+    return L.account_rows(_grouped(_t(spark, sf, "orders"), "o_orderkey", "BUDGET_VS_ACTUAL", F.struct(_entity(F.lit("Orders")).alias("entity"), columns.alias("columns"), items.alias("line_items"))))
+
+
+_GL_LINES = "SELECT txn_id // 50 AS record_id, client_code, row_number() OVER (PARTITION BY txn_id // 50 ORDER BY txn_id, posted_at, debit, credit, balance, memo, name) - 1 AS i, g.* EXCLUDE (client_code) FROM gl_transactions g"
+
+
+@query(
+    f"WITH g AS ({_GL_LINES}), m AS (SELECT CAST(debit AS DECIMAL(18,2)) AS d, CAST(credit AS DECIMAL(18,2)) AS c, CAST(balance AS DECIMAL(18,2)) AS b, 'Ledger' AS entity_name, coalesce(account_number, '') AS n, coalesce(account_name, '') AS a, * FROM g) "
+    "SELECT record_id, entity_name, n AS account_number, a AS account_name, '' AS date, '' AS type, '' AS number, '' AS name, '' AS memo, '' AS split, '' AS debit, '' AS credit, coalesce(CAST(b AS VARCHAR), '') AS balance, 'balance_header' AS row_type FROM m "
+    "UNION ALL SELECT record_id, entity_name, n, a, coalesce(txn_date, ''), coalesce(txn_type, ''), coalesce(txn_number, ''), coalesce(name, ''), coalesce(memo, ''), coalesce(split_account, ''), coalesce(CAST(d AS VARCHAR), ''), coalesce(CAST(c AS VARCHAR), ''), coalesce(CAST(b AS VARCHAR), ''), coalesce(row_type, 'transaction') FROM m "
+    "UNION ALL SELECT record_id, entity_name, n, a, '', '', '', '', '', '', '', '', '', 'balance_footer' FROM m"
+)
+def csv_ledger_records(spark: SparkSession, sf: str) -> DataFrame:
+    cents = lambda c: F.col(c).cast("decimal(18,2)").cast("string")
+    fields = {"date": "txn_date", "type": "txn_type", "number": "txn_number", "name": "name", "memo": "memo", "split": "split_account", "row_type": "row_type"}
+    txn = F.struct(*[F.col(c).alias(k) for k, c in fields.items()], *[cents(c).alias(c) for c in ("debit", "credit", "balance")])
+    accounts = _sorted("txn_id", F.col("account_number"), F.col("account_name"), cents("balance").alias("beginning_balance"), F.array(txn).alias("transactions"))
+    g = _grouped(_t(spark, sf, "gl_transactions"), "txn_id", "GENERAL_LEDGER", F.struct(_entity(F.lit("Ledger")).alias("entity"), accounts.alias("accounts")))
+    return L.ledger_records(g).drop("ord")
+
+
+@query(
+    "WITH c AS (SELECT c_custkey // 50 AS record_id, CAST(c_acctbal AS DECIMAL(18,2)) AS v, * FROM customer) SELECT record_id, 'Customers' AS entity_name, 'AP' AS report_type, c_name AS name, CAST(v AS VARCHAR) AS current, '' AS \"1_to_30\", CAST(v + 1 AS VARCHAR) AS \"31_to_60\", '' AS \"61_to_90\", '' AS over_90, CAST(v AS VARCHAR) AS total, 'row' AS row_type FROM c "
+    "UNION ALL SELECT record_id, 'Customers', 'AP', 'TOTAL', CAST(sum(v) AS VARCHAR), '', '', '', '', '', 'total' FROM c GROUP BY record_id"
+)
+def csv_aging_records(spark: SparkSession, sf: str) -> DataFrame:
+    v = F.col("c_acctbal").cast("decimal(18,2)")
+    rows = _sorted("c_custkey", F.col("c_name").alias("name"), v.cast("string").alias("current"), (v + 1).cast("decimal(18,2)").cast("string").alias("days_31_60"), v.cast("string").alias("total"))
+    data = F.struct(_entity(F.lit("Customers")).alias("entity"), F.lit("AP").alias("report_type"), rows.alias("rows"), F.struct(F.sum(v).cast("string").alias("current")).alias("totals"))
+    return L.aging_records(_grouped(_t(spark, sf, "customer"), "c_custkey", "ACCOUNTS_PAYABLE_AGING", data)).drop("ord")
+
+
 @query(Q.import_w2())
 def lacerte_w2(spark: SparkSession, sf: str) -> DataFrame:
     return L.import_w2(_t(spark, sf, "extractions"))

@@ -281,3 +281,24 @@ def exchange() -> str:
             rows.append(f"SELECT record_id, {i} AS ord, {q(code)} AS code, {blank(scalar_at(payer))} AS payer, {import_money(scalar_at(path))} AS amount FROM v WHERE document_type = {q(kind)} AND json_type(v) = 'OBJECT'")
     kinds = ", ".join(map(q, L.EXCHANGE))
     return f"WITH {record_cte(f'document_type IN ({kinds})')} {' UNION ALL '.join(rows)}"
+
+
+def account_rows() -> str:
+    """Statement rows from the nodes: accounts with the name of the section that holds them, subtotals, totals of the sides."""
+    sides = [x for x in L.SIDES if x not in ("components", "bank_accounts", "accounts")]
+    side = "|".join(sides)
+    text = lambda f, o="n.obj": f"CASE WHEN json_type({o}, '$.{f}') NOT IN ('ARRAY', 'OBJECT', 'NULL') THEN json_extract_string({o}, '$.{f}') END"
+    head = ", ".join(f"coalesce({text('entity.' + k, 'rec')}, '') AS {n}" for k, n in (("name", "entity_name"), ("software", "software"), ("accounting_basis", "accounting_basis"), ("period_start", "period_start"), ("period_end", "period_end")))
+    totals = " UNION ALL ".join(
+        f"SELECT record_id, {q(s.upper())} AS section, '' AS subsection, '' AS account_number, {q(k.replace('_', ' ').title())} AS account_name, 'total' AS row_type, {text(f'{s}.{k}', 'rec')} AS balance, {text(f'{s}.{k}', 'rec')} AS amount, {q(f'{s}.{k}')} AS node_path FROM d WHERE json_type(rec, '$.{s}') = 'OBJECT' AND coalesce(json_type(rec, '$.{s}.{k}'), 'NULL') <> 'NULL'"
+        for s in sides
+        for k in L.TOTAL_KEYS
+    )
+    kinds = ", ".join(map(q, L.ACCOUNT_TYPES))
+    return f"""WITH {nested.NODES_CTE}, d AS (SELECT e.record_id, e.document_type, b.rec::JSON AS rec FROM extractions e JOIN base b USING (record_id) WHERE e.document_type IN ({kinds}) AND b.rec <> '' AND json_valid(b.rec) AND json_type(b.rec::JSON) = 'OBJECT'),
+secs AS (SELECT n.record_id, n.node_path, coalesce({text('section_name')}, '') AS name, n.obj FROM nodes n WHERE regexp_matches(n.node_path, '^({side})(\\.(sections|subsections)\\[[0-9]+\\])+$')),
+acc AS (SELECT n.record_id, upper(regexp_extract(n.node_path, '^[a-z_]+')) AS section, coalesce(secs.name, '') AS subsection, coalesce({text('account_number')}, '') AS account_number, coalesce(nullif({text('account_name')}, ''), {text('component_name')}, '') AS account_name, 'account' AS row_type,
+  coalesce({text('balance')}, {text('current_balance')}) AS balance, {text('amount')} AS amount, n.node_path FROM nodes n LEFT JOIN secs ON secs.record_id = n.record_id AND secs.node_path = n.parent_path WHERE regexp_matches(n.node_path, '^(({side})(\\.(sections|subsections)\\[[0-9]+\\])*\\.)?accounts\\[[0-9]+\\]$')),
+subt AS (SELECT n.record_id, upper(regexp_extract(n.node_path, '^[a-z_]+')) AS section, name AS subsection, '' AS account_number, 'Total ' || name AS account_name, 'subtotal' AS row_type, {text('section_total')} AS balance, {text('section_total')} AS amount, n.node_path FROM secs n WHERE coalesce(json_type(n.obj, '$.section_total'), 'NULL') <> 'NULL'),
+u AS (SELECT * FROM acc UNION ALL SELECT * FROM subt UNION ALL {totals})
+SELECT u.record_id, document_type, {head}, section, subsection, account_number, account_name, row_type, {amount('balance')} AS balance, {amount('amount')} AS amount, node_path FROM u JOIN d USING (record_id)"""

@@ -1,16 +1,18 @@
 """Records flattened to analysis and import layouts: CSV shapes, tab-delimited import rows, tax exchange records, JSON.
 
 Records come as ``record_id, document_type, tax_year, metadata, data`` with ``data`` as JSON text; text around the record is
-dropped and the rest is parsed to VARIANT once. Layouts are projections; only the statement layout joins (section names)
-and only totals aggregate.
+dropped and the rest is parsed to VARIANT once. Layouts are projections; statements, whose sections nest to any depth, are walked
+in one map. Nothing is joined.
 """
 
 from __future__ import annotations
 
-from functools import reduce
+from typing import Iterator
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.amounts import import_money_text, money_text, parse_amount
 from ..functions.text import checkbox, masked_last4, total_label
@@ -22,7 +24,10 @@ ACCOUNT_TYPES = "BALANCE_SHEET INCOME_STATEMENT INCOME_STATEMENT_COMPARISON BUDG
 LEDGER_TYPES = "GENERAL_LEDGER QB_GENERAL_LEDGER QB_TRANSACTION_LIST".split()
 AGING_TYPES = "ACCOUNTS_RECEIVABLE_AGING ACCOUNTS_PAYABLE_AGING QB_AR_AGING QB_AP_AGING".split()
 SIDES = "assets liabilities equity income expenses other_income other_expenses components bank_accounts accounts".split()
-TOTAL_KEYS = "total_assets total_liabilities total_equity total_equity_reported total".split()
+TOTAL_KEYS = "section_total total_assets total_liabilities total_equity_reported total_equity total total_income total_expenses".split()
+PERIOD_COLUMNS = {"BALANCE_SHEET": ["balance"], "RESERVE_ALLOCATION": ["balance"], "TRIAL_BALANCE": ["debit", "credit"]}
+OTHER_PERIOD_COLUMNS = ["amount"]
+LEDGER_FIELDS = "date type number name memo split".split()
 AGING_BUCKETS = "current 1_to_30 31_to_60 61_to_90 over_90".split()
 #: Bucket names of rows that stand for those of the header.
 BUCKET_FIELDS = {"1_to_30": "days_1_30", "31_to_60": "days_31_60", "61_to_90": "days_61_90"}
@@ -74,10 +79,20 @@ def forms() -> list[list[str]]:
     return [[x.strip() for x in ln.split("|")] for ln in TAX_FORMS.strip().split("\n")]
 
 
+@F.pandas_udf(T.StringType())
+def _first_record(texts: pd.Series) -> pd.Series:
+    return texts.map(lambda t: None if t is None or (r := nested.complete_record(t)) is None else nested.dumps(r))
+
+
 def parsed(records: DataFrame, data_col: str = "data") -> DataFrame:
-    """Records with ``v``, the parsed object; records without a complete one are left out."""
+    """Records with ``v``, the parsed object; records without a complete one are left out.
+
+    The first complete object counts, as in ``nested.complete_record``. Where the text from the first brace to the last is no JSON
+    (notes with braces), that reader finds it; other texts don't reach Python.
+    """
     text = F.regexp_extract(data_col, r"(?s)\{.*\}", 0)
-    return records.withColumn("v", F.try_parse_json(text)).filter("v is not null and schema_of_variant(v) like 'OBJECT%'")
+    d = records.withColumn("_v", F.try_parse_json(text)).withColumn("_w", _first_record(F.when(F.col("_v").isNull() & (text != ""), F.col(data_col))))
+    return d.withColumn("v", F.coalesce("_v", F.try_parse_json("_w"))).drop("_v", "_w").filter("v is not null and schema_of_variant(v) like 'OBJECT%'")
 
 
 def at(path: str, kind: str = "string", v: str = "v") -> Column:
@@ -216,47 +231,129 @@ def json_text(records: DataFrame) -> DataFrame:
     return d.select("record_id", F.to_json(doc, {"ignoreNullFields": "false", "pretty": "true"}).alias("json"))
 
 
-def account_rows(records: DataFrame) -> DataFrame:
-    """Statement rows: accounts, a subtotal for each section with a total, totals of each side.
+# --- statements ---------------------------------------------------------------------------------------------------------
+
+_ROW = "record_id {id}, document_type string, entity_name string, software string, accounting_basis string, period_start string, period_end string, section string, subsection string, account_number string, account_name string, row_type string, cells map<string,string>, node_path string"
+_NAMES = ("account_number", "account_name", "component_name")
+
+
+def _cells(account: dict) -> dict[str, str | None]:
+    out = {k: nested._text(v) for k, v in account.items() if v is not None and not isinstance(v, (dict, list)) and k not in _NAMES}
+    if "balance" not in out and "current_balance" in out:
+        out["balance"] = out["current_balance"]
+    return out
+
+
+def _title(key: str) -> str:
+    return key.replace("_", " ").title()
+
 
-    ``record_id, document_type, entity_name, section (side), subsection (name of the section), account_number, account_name,
-    row_type, value, node_path``; the path with the row type orders a document's rows.
+def _str(value: object) -> str:
+    return "" if value is None or isinstance(value, (dict, list)) else str(value)
+
+
+def statement_rows(record: dict) -> Iterator[tuple[str, str, str, str, str, dict, str]]:
+    """``(section, subsection, account_number, account_name, row_type, cells, node_path)`` of one record, in reading order.
+
+    Line items stand alone, without totals. Else each side in turn: its sections with their accounts, subsections to any depth and
+    subtotal, its own accounts, its totals. Totals go to the balance and to the amount column.
     """
-    docs = parsed(records.filter(F.col("document_type").isin(*ACCOUNT_TYPES)))
-    base = docs.select("record_id", "document_type", _blank(at("entity.name")).alias("entity_name"), "v")
-    n = nested.nodes(records.filter(F.col("document_type").isin(*ACCOUNT_TYPES)))
-    side = F.upper(F.regexp_extract("node_path", r"^([a-z_]+)", 1))
-    sections = nested.typed_table(n, "sections").select("record_id", F.col("node_path").alias("at"), F.col("section_name").alias("subsection"), "section_total")
-    accounts = nested.typed_table(n, "accounts").withColumn("value", F.coalesce("balance", "amount"))
-    rows = accounts.join(sections.drop("section_total"), (accounts["record_id"] == sections["record_id"]) & (accounts["parent_path"] == sections["at"]), "left").select(
-        accounts["record_id"], side.alias("section"), _blank(F.col("subsection")).alias("subsection"), _blank(F.col("account_number")).alias("account_number"), _blank(F.col("account_name")).alias("account_name"), F.lit("account").alias("row_type"), "value", "node_path"
-    )
-    subtotals = sections.filter("section_total is not null").select(
-        "record_id", F.upper(F.regexp_extract("at", r"^([a-z_]+)", 1)).alias("section"), _blank(F.col("subsection")).alias("subsection"), F.lit("").alias("account_number"),
-        F.concat(F.lit("Total "), _blank(F.col("subsection"))).alias("account_name"), F.lit("subtotal").alias("row_type"), F.col("section_total").alias("value"), F.col("at").alias("node_path"),
-    )
-    totals = [
-        base.select("record_id", F.lit(s.upper()).alias("section"), F.lit("").alias("subsection"), F.lit("").alias("account_number"), total_label(F.lit(k)).alias("account_name"), F.lit("total").alias("row_type"), parse_amount(at(f"{s}.{k}")).alias("value"), F.lit(s).alias("node_path")).filter("value is not null")
-        for s in SIDES[:7]
-        for k in TOTAL_KEYS
-        if k == "total" or k.split("_")[1] == s
-    ]
-    return base.select("record_id", "document_type", "entity_name").join(reduce(DataFrame.unionByName, [rows, subtotals, *totals]), "record_id")
+    items = record.get("line_items")
+    if isinstance(items, list):
+        for i, x in enumerate(items):
+            if isinstance(x, dict):
+                values = x.get("values") if isinstance(x.get("values"), dict) else {}
+                yield _str(x.get("section")), _str(x.get("subsection")), _str(x.get("account_number")), _str(x.get("account_name")), _str(x.get("row_type") or "account"), {k: nested._text(v) for k, v in values.items() if v is not None}, f"line_items[{i}]"
+        return
+    total = lambda v: {"balance": nested._text(v), "amount": nested._text(v)}
+
+    def accounts(side: str, name: str, holder: object, path: str):
+        for i, x in enumerate(nested._elements(holder) or []):
+            if isinstance(x, dict):
+                yield side, name, _str(x.get("account_number")), _str(x.get("account_name") or x.get("component_name")), "account", _cells(x), f"{path}[{i}]"
+
+    for key in SIDES:
+        side, value = key.upper(), record.get(key)
+        if key in ("components", "bank_accounts", "accounts"):
+            yield from accounts(side, "", value, key)
+            continue
+        if isinstance(value, list):
+            yield from accounts(side, "", value, key)
+            continue
+        if not isinstance(value, dict):
+            continue
+        # sections still to open, last first; a finished section comes again as its subtotal
+        todo = [("open", f"{key}.{f}[{i}]", x) for f in ("sections", "subsections") for i, x in enumerate(nested._elements(value.get(f)) or []) if isinstance(x, dict)][::-1]
+        while todo:
+            what, path, x = todo.pop()
+            name = _str(x.get("section_name"))
+            if what == "close":
+                yield side, name, "", f"Total {name}", "subtotal", total(x["section_total"]), path
+                continue
+            yield from accounts(side, name, x.get("accounts"), f"{path}.accounts")
+            if x.get("section_total") is not None:
+                todo.append(("close", path, x))
+            below = [("open", f"{path}.{f}[{i}]", y) for f in ("sections", "subsections") for i, y in enumerate(nested._elements(x.get(f)) or []) if isinstance(y, dict)]
+            todo += below[::-1]
+        yield from accounts(side, "", value.get("accounts"), f"{key}.accounts")
+        for k in TOTAL_KEYS:
+            if value.get(k) is not None:
+                yield side, "", "", _title(k), "total", total(value[k]), f"{key}.{k}"
+
+
+def account_cells(records: DataFrame) -> DataFrame:
+    """Statement rows in long form: fixed columns, ``cells`` (text by column) and ``node_path``. One map over the records, no shuffle.
+
+    ``section`` is the side, ``subsection`` the name of the section that holds the account; a null or unreadable record has no rows.
+    """
+    src = records.filter(F.col("document_type").isin(*ACCOUNT_TYPES)).select("record_id", "document_type", "data").filter("data is not null")
+    schema = _ROW.format(id=src.schema["record_id"].dataType.simpleString())
+    names = [c.split()[0] for c in schema.split(", ")]
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            rows = []
+            for i, kind, text in zip(f["record_id"], f["document_type"], f["data"]):
+                record = nested.complete_record(text)
+                if record is not None:
+                    entity = record.get("entity") if isinstance(record.get("entity"), dict) else {}
+                    head = (i, kind, *(_str(entity.get(k)) for k in ("name", "software", "accounting_basis", "period_start", "period_end")))
+                    rows += [(*head, *r) for r in statement_rows(record)]
+                if len(rows) > 20_000:
+                    yield pd.DataFrame(rows, columns=names)
+                    rows = []
+            yield pd.DataFrame(rows, columns=names)
+
+    return src.mapInPandas(run, schema)
+
+
+def statement_columns(records: DataFrame, most: int = 1000) -> list[str]:
+    """The period columns of all statements, in order of first appearance by record: the keys that a record lists, else those of its
+    type. More than ``most`` is an error, as no table has so many columns."""
+    d = parsed(records.filter(F.col("document_type").isin(*ACCOUNT_TYPES)).select("record_id", "document_type", "data"))
+    listed = F.filter(F.transform(F.coalesce(at("columns", "array<variant>"), F.array().cast("array<variant>")), lambda c: F.try_variant_get(c, "$.key", "string")), lambda k: k.isNotNull() & (k != ""))
+    usual = F.array(*map(F.lit, OTHER_PERIOD_COLUMNS))
+    for kind, cols in PERIOD_COLUMNS.items():
+        usual = F.when(F.col("document_type") == kind, F.array(*map(F.lit, cols))).otherwise(usual)
+    keys = d.select(F.col("record_id").alias("doc"), F.posexplode(F.when(F.size(listed) > 0, listed).otherwise(usual)).alias("ord", "key"))
+    found = period_columns(keys).limit(most + 1).collect()
+    if len(found) > most:
+        raise ValueError(f"more than {most} period columns")
+    return [r["key"] for r in sorted(found, key=lambda r: r["ord"])]
+
+
+def account_rows(records: DataFrame, columns: list[str] | None = None) -> DataFrame:
+    """Statement rows with a column for each period (``statement_columns`` where none are given), as amounts."""
+    d = account_cells(records)
+    columns = statement_columns(records) if columns is None else columns
+    return d.select(*[c for c in d.columns if c not in ("cells", "node_path")], *[parse_amount(F.col("cells")[c]).alias(c) for c in columns], "node_path")
 
 
 def line_items(records: DataFrame) -> DataFrame:
-    """Multi-column statements: ``record_id, ord, account_number, account_name, row_type, period, value``, a row for each line
+    """Multi-column statements: ``record_id, node_path, account_number, account_name, row_type, period, value``, a row for each line
     item and period; periods without a value have no row (null isn't zero)."""
-    d = parsed(records.filter(F.col("document_type").isin("INCOME_STATEMENT_COMPARISON", "BUDGET_VS_ACTUAL")))
-    items = d.select("record_id", F.posexplode(at("line_items", "array<variant>")).alias("ord", "i"))
-    cell = lambda p: F.coalesce(at(p, v="i"), F.lit(""))
-    long = items.select("record_id", "ord", cell("account_number").alias("account_number"), cell("account_name").alias("account_name"), cell("row_type").alias("row_type"), F.explode(at("values", "map<string,string>", "i")).alias("period", "raw"))
-    return long.select("record_id", "ord", "account_number", "account_name", "row_type", "period", parse_amount(F.col("raw")).alias("value"))
-
-
-def wide_line_items(records: DataFrame, periods: list[str]) -> DataFrame:
-    """The same with a column for each period."""
-    return line_items(records).groupBy("record_id", "ord", "account_number", "account_name", "row_type").pivot("period", periods).agg(F.first("value"))
+    long = account_cells(records).filter(F.col("node_path").startswith("line_items["))
+    return long.select("record_id", "node_path", "account_number", "account_name", "row_type", F.explode("cells").alias("period", "raw")).select("record_id", "node_path", "account_number", "account_name", "row_type", "period", parse_amount(F.col("raw")).alias("value"))
 
 
 def period_columns(columns: DataFrame) -> DataFrame:
@@ -267,6 +364,42 @@ def period_columns(columns: DataFrame) -> DataFrame:
     return first.select("key", (F.row_number().over(Window.orderBy("first", "key")) - 1).alias("ord"))  # as many rows as there are period keys
 
 
+def ledger_records(records: DataFrame) -> DataFrame:
+    """Rows of ledger records in the 13 columns of the transaction layout, with ``record_id, ord``: of each account its beginning
+    balance, its transactions and its ending balance, amounts as text."""
+    d = parsed(records.filter(F.col("document_type").isin(*LEDGER_TYPES)))
+    d = d.select("record_id", _blank(at("entity.name")).alias("entity_name"), F.posexplode(at("accounts", "array<variant>")).alias("_a", "a")).filter("schema_of_variant(a) like 'OBJECT%'")
+    text = lambda v, p: F.coalesce(F.try_variant_get(v, f"$.{p}", "string"), F.lit(""))
+    none = {k: F.lit("") for k in (*LEDGER_FIELDS, "debit", "credit", "balance")}
+    line = lambda kind, cells: F.struct(*[c.alias(k) for k, c in {**none, **cells}.items()], kind.alias("row_type"))
+    entry = lambda t: line(F.coalesce(F.try_variant_get(t, "$.row_type", "string"), F.lit("transaction")), {k: text(t, k) for k in (*LEDGER_FIELDS, "debit", "credit", "balance")})
+    txns = F.filter(F.coalesce(at("transactions", "array<variant>", "a"), F.array().cast("array<variant>")), lambda t: F.schema_of_variant(t).startswith("OBJECT"))
+    rows = F.concat(F.array(line(F.lit("balance_header"), {"balance": text("a", "beginning_balance")})), F.transform(txns, entry), F.array(line(F.lit("balance_footer"), {"balance": text("a", "ending_balance")})))
+    d = d.select("record_id", "entity_name", text("a", "account_number").alias("account_number"), text("a", "account_name").alias("account_name"), "_a", F.posexplode(rows).alias("_t", "t"))
+    return d.select("record_id", F.struct(F.col("_a").alias("account"), F.col("_t").alias("line")).alias("ord"), "entity_name", "account_number", "account_name", "t.*")
+
+
+def aging_records(records: DataFrame, buckets: list[str] | None = None) -> DataFrame:
+    """Rows of aging records, and of their totals: ``record_id, ord, entity_name, report_type, name, <buckets>, total, row_type``,
+    amounts as text. A bucket may go by its field name too."""
+    d = parsed(records.filter(F.col("document_type").isin(*AGING_TYPES)))
+    cell = lambda v, k: F.coalesce(F.try_variant_get(v, f"$['{k}']", "string"), *([F.try_variant_get(v, f"$.{BUCKET_FIELDS[k]}", "string")] if k in BUCKET_FIELDS else []), F.lit(""))
+    buckets = buckets or AGING_BUCKETS
+    line = lambda v, name, kind: F.struct(name.alias("name"), *[cell(v, b).alias(b) for b in buckets], cell(v, "total").alias("total"), F.lit(kind).alias("row_type"))
+    kept = F.filter(F.coalesce(at("rows", "array<variant>"), F.array().cast("array<variant>")), lambda r: F.schema_of_variant(r).startswith("OBJECT"))
+    totals = at("totals", "variant")
+    end = F.when(F.schema_of_variant(totals).startswith("OBJECT"), F.array(line(totals, F.lit("TOTAL"), "total"))).otherwise(F.array().cast(f"array<struct<name:string,{''.join(f'`{b}`:string,' for b in buckets)}total:string,row_type:string>>"))
+    rows = F.concat(F.transform(kept, lambda r: line(r, F.coalesce(F.try_variant_get(r, "$.name", "string"), F.lit("")), "row")), end)
+    return d.select("record_id", _blank(at("entity.name")).alias("entity_name"), F.coalesce(at("report_type"), F.lit("AR")).alias("report_type"), F.posexplode(rows).alias("ord", "r")).select("record_id", "ord", "entity_name", "report_type", "r.*")
+
+
+def aging_buckets(records: DataFrame) -> list[str]:
+    """The buckets that the first record by id lists, else the usual five."""
+    d = parsed(records.filter(F.col("document_type").isin(*AGING_TYPES)))
+    first = d.select(at("aging_buckets", "array<string>").alias("b"), "record_id").agg(F.min_by("b", "record_id").alias("b")).first()
+    return list(first["b"]) if first and first["b"] else AGING_BUCKETS
+
+
 def ledger_rows(lines: DataFrame, entity: str = "client_code") -> DataFrame:
     """Ledger lines in the 13 columns of the transaction layout, amounts as text; blank where a line has none."""
     text = lambda c: _blank(F.col(c).cast("string"))
@@ -291,6 +424,7 @@ def aging_rows(items: DataFrame, by: list[str]) -> DataFrame:
 
 
 FORMATS = ("json", "csv", "lacerte", "txf")
+MEDIA_TYPES = {"json": "application/json", "csv": "text/csv", "lacerte": "text/plain", "txf": "text/plain"}
 
 
 def format_records(records: DataFrame, fmt: str, made_on: str = "01/01/2025") -> dict[str, DataFrame]:
@@ -301,8 +435,10 @@ def format_records(records: DataFrame, fmt: str, made_on: str = "01/01/2025") ->
         kind = shape(records)
         if kind == "account":
             return {"accounts": account_rows(records)}
-        if kind in ("ledger", "aging"):
-            raise ValueError("ledger and aging records are formatted from their line tables")
+        if kind == "ledger":
+            return {"ledger": ledger_records(records)}
+        if kind == "aging":
+            return {"aging": aging_records(records, aging_buckets(records))}
         return {"w2": w2_flat(records), "tax": generic_tax(records.filter("document_type <> 'W2'"))}
     if fmt == "lacerte":
         check_importable(records)

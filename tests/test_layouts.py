@@ -45,24 +45,62 @@ def test_exchange_and_generic(spark):
 
 
 def test_account_rows(spark):
-    data = {"entity": {"name": "E"}, "assets": {"sections": [{"section_name": "Cash", "accounts": [{"account_number": "1", "account_name": "Op", "balance": "(5.00)"}], "section_total": 5}], "total_assets": 5}}
-    r = records(spark, ("BALANCE_SHEET", data))
-    assert L.shape(r) == "account"
-    got = {(x.row_type, x.section, x.subsection, x.account_name, str(x.value)) for x in L.account_rows(r).collect()}
-    assert got == {("account", "ASSETS", "Cash", "Op", "-5.00"), ("subtotal", "ASSETS", "Cash", "Total Cash", "5.00"), ("total", "ASSETS", "", "Total Assets", "5.00")}
+    deep = {"section_name": "Deep", "accounts": [{"account_name": "d", "current_balance": 3}], "section_total": "n/a"}
+    sections = [{"section_name": "Cash", "accounts": [{"account_number": 1, "account_name": "Op", "balance": "(5.00)"}, "n/a"], "subsections": [deep], "section_total": 5}, None]
+    data = {"entity": {"name": "E", "software": "S", "period_end": "2024-12-31"}, "assets": {"sections": sections, "accounts": {"account_name": "own", "balance": 1}, "total_assets": 5}, "equity": [{"component_name": "C", "balance": "x"}], "liabilities": None}
+    income = {"income": {"sections": [], "total": "7"}, "bank_accounts": [{"account_name": "B", "balance": 2}], "accounts": "none"}
+    r = records(spark, ("BALANCE_SHEET", data), ("INCOME_STATEMENT", income), ("BALANCE_SHEET", None), ("BALANCE_SHEET", "{broken"))
+    assert L.shape(r) == "account" and L.statement_columns(r) == ["balance", "amount"]
+    got = [(x.row_type, x.section, x.subsection, x.account_number, x.account_name, None if x.balance is None else float(x.balance), None if x.amount is None else float(x.amount), x.node_path) for x in L.account_rows(r).filter("record_id = 0").collect()]
+    assert got == [
+        ("account", "ASSETS", "Cash", "1", "Op", -5.0, None, "assets.sections[0].accounts[0]"),
+        ("account", "ASSETS", "Deep", "", "d", 3.0, None, "assets.sections[0].subsections[0].accounts[0]"),
+        ("subtotal", "ASSETS", "Deep", "", "Total Deep", None, None, "assets.sections[0].subsections[0]"),
+        ("subtotal", "ASSETS", "Cash", "", "Total Cash", 5.0, 5.0, "assets.sections[0]"),
+        ("account", "ASSETS", "", "", "own", 1.0, None, "assets.accounts[0]"),
+        ("total", "ASSETS", "", "", "Total Assets", 5.0, 5.0, "assets.total_assets"),
+        ("account", "EQUITY", "", "", "C", None, None, "equity[0]"),
+    ]
+    first = L.account_rows(r).first()
+    assert (first.entity_name, first.software, first.accounting_basis, first.period_end) == ("E", "S", "", "2024-12-31")
+    assert [(x.section, x.row_type, x.balance, x.amount) for x in L.account_rows(r).filter("record_id = 1").collect()] == [("INCOME", "total", 7, 7), ("BANK_ACCOUNTS", "account", 2, None)]
+    assert L.account_rows(r.limit(0)).count() == 0 and L.statement_columns(r.limit(0)) == []
+    with pytest.raises(ValueError):
+        L.statement_columns(r, most=1)
+
+
+def test_a_note_with_braces_after_the_record(spark):
+    r = records(spark, ("W2", json.dumps(W2) + " see {note}"), ("W2", "{it}: " + json.dumps(W2)), ("W2", "{it}"))
+    assert [x.record_id for x in L.w2_flat(r).orderBy("record_id").collect()] == [0, 1] and L.w2_flat(r).first().employer_name == "Acme"
 
 
 def test_line_items_and_aging(spark):
-    data = {"columns": [{"key": "a"}], "line_items": [{"account_name": "Rent", "values": {"a": "1,000", "b": None}}, {"account_number": 7, "values": {"b": 2}}, "n/a"]}
+    data = {"columns": [{"key": "a"}, {"key": "b"}, {}], "line_items": [{"account_name": "Rent", "section": "Expense", "values": {"a": "1,000", "b": None}}, {"account_number": 7, "row_type": "total", "values": {"b": 2}}, "n/a"], "income": {"total": 5}}
     r = records(spark, ("BUDGET_VS_ACTUAL", data), ("BUDGET_VS_ACTUAL", {}), ("W2", data))
-    got = sorted((x.ord, x.account_number, x.account_name, x.period, None if x.value is None else float(x.value)) for x in L.line_items(r).collect())
-    assert got == [(0, "", "Rent", "a", 1000.0), (0, "", "Rent", "b", None), (1, "7", "", "b", 2.0)]
-    assert [(x.a, x.b) for x in L.wide_line_items(r, ["a", "b"]).orderBy("ord").collect()] == [(1000, None), (None, 2)]
+    got = sorted((x.node_path, x.account_number, x.account_name, x.period, None if x.value is None else float(x.value)) for x in L.line_items(r).collect())
+    assert got == [("line_items[0]", "", "Rent", "a", 1000.0), ("line_items[1]", "7", "", "b", 2.0)]
+    wide = L.format_records(r.filter("document_type <> 'W2'"), "csv")["accounts"].collect()
+    assert [(x.section, x.account_name, x.row_type, x.a, x.b) for x in wide] == [("Expense", "Rent", "account", 1000, None), ("", "", "total", None, 2)]
     items = spark.createDataFrame([("AR", "X", "days_1_30", 5.0), ("AR", "X", "1_to_30", 1.0), ("AR", "Y", "over_90", 2.0)], "report string, name string, bucket string, amount double")
     rows = {(x.name, x.row_type): (float(x.b_1_to_30), float(x.b_over_90), float(x.total)) for x in L.aging_rows(items, ["report"]).collect()}
     assert rows == {("X", "row"): (6.0, 0.0, 6.0), ("Y", "row"): (0.0, 2.0, 2.0), ("TOTAL", "total"): (6.0, 2.0, 8.0)}
 
 
+def test_trial_balance_ledger_and_aging_records(spark):
+    tb = records(spark, ("TRIAL_BALANCE", {"accounts": [{"account_number": "1", "account_name": "Cash", "debit": 5, "credit": 0}]}))
+    assert [(x.section, x.debit, x.credit) for x in L.format_records(tb, "csv")["accounts"].collect()] == [("ACCOUNTS", 5, 0)]
+    gl = {"entity": {"name": "E"}, "accounts": [{"account_name": "Bank", "beginning_balance": 1.5, "transactions": [{"date": "d", "debit": "2.00", "row_type": None}, "x"], "ending_balance": None}, "n/a", {"account_number": 9}]}
+    rows = L.format_records(records(spark, ("GENERAL_LEDGER", gl), ("GENERAL_LEDGER", {})), "csv")["ledger"].orderBy("record_id", "ord").collect()
+    assert [(x.account_number, x.account_name, x.date, x.debit, x.balance, x.row_type) for x in rows] == [
+        ("", "Bank", "", "", "1.5", "balance_header"), ("", "Bank", "d", "2.00", "", "transaction"), ("", "Bank", "", "", "", "balance_footer"), ("9", "", "", "", "", "balance_header"), ("9", "", "", "", "", "balance_footer"),
+    ]
+    aging = {"aging_buckets": ["current", "91+"], "rows": [{"name": "X", "current": 5, "91+": "7", "total": 12}, 3], "totals": {"current": 5}}
+    r = records(spark, ("QB_AR_AGING", aging), ("QB_AR_AGING", {"rows": [{"name": "Y", "days_1_30": 1}]}))
+    rows = L.format_records(r, "csv")["aging"].orderBy("record_id", "ord").collect()
+    assert [(x.name, x.report_type, x.current, x["91+"], x.total, x.row_type) for x in rows] == [("X", "AR", "5", "7", "12", "row"), ("TOTAL", "AR", "5", "", "", "total"), ("Y", "AR", "", "", "", "row")]
+    assert L.aging_records(r).filter("name = 'Y'").first()["1_to_30"] == "1" and L.aging_buckets(r.limit(0)) == L.AGING_BUCKETS
+
+
 def test_validation(spark):
     from ledgerloom.operators import validate
 
