@@ -1,11 +1,13 @@
 """Invented replacements, chosen by the MD5 of the original.
 
 The hash is a 128-bit number; remainders are folded over its hex digits, so everything stays in SQL expressions. A shift
-by 4k bits drops the last k hex digits.
+by 4k bits drops the last k hex digits. The ``*_of`` functions give the same values for single texts.
 """
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -61,3 +63,33 @@ def fake_account_number(c: Column) -> Column:
     for n in range(6, 12):
         out = F.when(size == n, F.lpad(md5_mod(c, 10**n).cast("string"), n, "0")).otherwise(out)
     return out
+
+
+# --- single texts -------------------------------------------------------------------------------------------------------
+
+
+def _number(text: str) -> int:
+    return int(hashlib.md5(text.encode("utf-8", "surrogatepass"), usedforsecurity=False).hexdigest(), 16)
+
+
+def _pick_of(pool: list[str], text: str, offset: int) -> str:
+    return pool[_number(f"{text}{offset}") % len(pool)]
+
+
+def ssn_of(text: str) -> str:
+    n = _number(text)
+    return f"{n % 99 + 900:03d}-{(n >> 8) % 99 + 1:02d}-{(n >> 16) % 9999 + 1:04d}"
+
+
+def phone_of(text: str) -> str:
+    n = _number(text)
+    return f"(555) {n % 900 + 100:03d}-{(n >> 12) % 10000:04d}"
+
+
+def name_of(text: str) -> str:
+    return f"{_pick_of(T.FIRST_NAMES, text, 0)} {_pick_of(T.LAST_NAMES, text, 1)}"
+
+
+def address_of(text: str) -> str:
+    n = _number(text)
+    return f"{n % 9999 + 1} {_pick_of(T.STREETS, text, 0)}, {_pick_of(T.CITIES, text, 1)}, {_pick_of(T.STATES, text, 2)} {n % 90000 + 10000}"

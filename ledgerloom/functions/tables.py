@@ -223,6 +223,13 @@ SUMMARY_SIGNS = [
     r"\btotals\b.*\bfor\b.*\bcompany\b",
 ]
 
+# --- fixed values: notes of a detection -------------------------------------------------------------------------------
+
+NOTE_LOW_CONFIDENCE = ("Low-confidence detection (", "). Verify document type is ", ".")
+NOTE_SUMMARY = "Employer/issuer summary sheet detected. Individual employee copies may be in a separate file."
+NOTE_RECORDS = ("Estimated ", " records in this PDF.")
+NOTE_RUNNER_UP = ("Secondary match: ", " (", "). Verify if extraction looks wrong.")
+
 # --- fixed values: tax year, in order of trust -------------------------------------------------------------------------
 
 YEAR_PATTERNS = [

@@ -15,8 +15,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .functions import tables as T
-from .operators.nested import complete_record
+from .operators import trees, validate
+from .operators.nested import complete_record, dumps
+from .operators.sanitize import _DASHED
 from .session import written
+from .sinks import layouts
 
 #: What the model is asked for, by family; a deployment may pass its own.
 INSTRUCTIONS = {
@@ -26,6 +29,46 @@ INSTRUCTIONS = {
     "financial_transaction": "Return one JSON object with the entity and its accounts, transactions or aging rows in printed order.",
     "financial_reserve": "Return one JSON object with the entity, reserve components and bank accounts.",
 }
+_ENTITY = {"name": "text", "accounting_basis": "Cash or Accrual", "period_start": "YYYY-MM-DD", "period_end": "YYYY-MM-DD", "software": "text"}
+_ACCOUNT = {"account_number": "text or null", "account_name": "text"}
+
+
+def _side(total: str, value: str) -> dict:
+    return {"sections": [{"section_name": "text", "accounts": [{**_ACCOUNT, value: 0.0}], "subsections": [], "section_total": 0.0}], total: 0.0}
+
+
+def _shapes() -> dict[str, dict]:
+    lines = [{**_ACCOUNT, "section": "text", "row_type": "account or total", "values": {"key of a column": 0.0}}]
+    columns = [{"key": "short name", "label": "as printed", "column_type": "actual, budget or variance"}]
+    entry = {"date": "YYYY-MM-DD", "type": "text", "number": "text", "name": "text", "memo": "text", "split": "text", "debit": 0.0, "credit": 0.0, "balance": 0.0}
+    aging = {"as_of": "YYYY-MM-DD", "aging_buckets": layouts.AGING_BUCKETS, "rows": [{"name": "text", **dict.fromkeys(layouts.AGING_BUCKETS, 0.0), "total": 0.0}], "totals": {"total": 0.0}}
+    return {
+        "BALANCE_SHEET": {"assets": _side("total_assets", "balance"), "liabilities": _side("total_liabilities", "balance"), "equity": _side("total_equity_reported", "balance")},
+        "INCOME_STATEMENT": {"income": _side("total", "amount"), "expenses": _side("total", "amount"), "other_income": None},
+        "INCOME_STATEMENT_COMPARISON": {"columns": columns, "line_items": lines},
+        "BUDGET_VS_ACTUAL": {"columns": columns, "line_items": lines},
+        "TRIAL_BALANCE": {"accounts": [{**_ACCOUNT, "debit": 0.0, "credit": 0.0}], "total_debits": 0.0, "total_credits": 0.0},
+        "GENERAL_LEDGER": {"accounts": [{**_ACCOUNT, "beginning_balance": 0.0, "transactions": [entry], "ending_balance": 0.0}]},
+        "ACCOUNTS_RECEIVABLE_AGING": {"report_type": "AR", **aging},
+        "ACCOUNTS_PAYABLE_AGING": {"report_type": "AP", **aging},
+        "RESERVE_ALLOCATION": {"components": [{"account_number": "text or null", "component_name": "text", "current_balance": 0.0}], "bank_accounts": [{**_ACCOUNT, "balance": 0.0}]},
+    }
+
+
+def schema_hint(kind: str) -> str:
+    """The shape that a record of the type should have, as JSON; '' for a type without one."""
+    shape = _shapes().get(kind)
+    if shape is not None:
+        return json.dumps({"entity": _ENTITY, **shape, "metadata": {"notes": []}})
+    for f in layouts.forms():
+        if f[0] == kind:
+            shape = {f[1]: {"name": "text", "tin": "text", "address": "text"}, f[2]: {"name": "text", "tin_last4": "last four digits", "address": "text"}}
+            *path, leaf = f[3].split(".")
+            shape.update({path[0]: {leaf: 0.0}} if path else {leaf: 0.0})
+            return json.dumps({"tax_year": 2024, **shape, "state": [{"state_abbr": "text", "state_id": "text"}]})
+    return ""
+
+
 ANSWER_SCHEMA = "json string, finish_reason string, prompt_tokens long, completion_tokens long, retries int, error string"
 
 
@@ -50,17 +93,26 @@ def token_budget(kind: Column, override: int | None = None) -> Column:
     return out
 
 
-def instruction(family: Column, templates: dict[str, str] | None = None) -> Column:
-    """The instruction of a family; that of simple statements for an unknown one."""
+def instruction(family: Column, templates: dict[str, str] | None = None, kind: Column | None = None) -> Column:
+    """The instruction of a family, with the shape of the type's records; that of simple statements for an unknown family."""
     texts = templates or INSTRUCTIONS
     out = F.lit(texts["financial_simple"])
     for name, text in texts.items():
         out = F.when(family == name, F.lit(text)).otherwise(out)
-    return out
+    if kind is None:
+        return out
+    hint = F.lit("")
+    for k in validate.known_types():
+        if shape := schema_hint(k):
+            hint = F.when(kind == k, F.lit("\nShape: " + shape)).otherwise(hint)
+    return F.concat(out, hint)
+
 
+def ask(backend: Backend, prompt: str, max_tokens: int, retries: int = 2, kind: str | None = None, redact: bool = False) -> tuple[str | None, str | None, int, int, int, str | None]:
+    """One prompt to a valid record: what was wrong with an answer is appended to the prompt; a cut-off answer gets half as many tokens more.
 
-def ask(backend: Backend, prompt: str, max_tokens: int, retries: int = 2) -> tuple[str | None, str | None, int, int, int, str | None]:
-    """One prompt to valid JSON: an invalid answer's error is appended to the prompt; a cut-off answer gets half as many tokens more."""
+    With a ``kind``, the record must hold what its type requires, before numbers are redacted and after.
+    """
     error, sent, answer = None, prompt, None
     for attempt in range(retries + 1):
         try:
@@ -72,23 +124,31 @@ def ask(backend: Backend, prompt: str, max_tokens: int, retries: int = 2) -> tup
             max_tokens, error = int(max_tokens * 1.5), "cut off"
             continue
         record = complete_record(answer.text)
-        if record is not None:
-            return json.dumps(record, ensure_ascii=False), answer.finish_reason, answer.prompt_tokens, answer.completion_tokens, attempt, None
-        error = "no complete JSON object"
+        problems = ["no complete JSON object"] if record is None else validate.problems_of(record, kind)
+        if not problems and redact:
+            record = trees.map_texts(record, lambda _, v: _DASHED.sub(r"XXX-XX-\3", v))
+            problems = validate.problems_of(record, kind)
+        if not problems:
+            return dumps(record), answer.finish_reason, answer.prompt_tokens, answer.completion_tokens, attempt, None
+        error = "; ".join(problems)[:500]
         sent = f"{prompt}\n\nThe last answer was invalid: {error}"
     return None, answer.finish_reason if answer else None, answer.prompt_tokens if answer else 0, answer.completion_tokens if answer else 0, retries, error
 
 
-def infer(prompts: DataFrame, backend: Backend, keys: list[str], prompt_col: str = "prompt", budget_col: str = "max_tokens", retries: int = 2, parallel: int | None = None) -> DataFrame:
-    """``(keys, json, finish_reason, tokens, retries, error)`` for every prompt, written once so that no retry downstream calls again."""
-    src = prompts.select(*keys, F.col(prompt_col).alias("_p"), F.col(budget_col).cast("int").alias("_n"))
+def infer(prompts: DataFrame, backend: Backend, keys: list[str], prompt_col: str = "prompt", budget_col: str = "max_tokens", retries: int = 2, parallel: int | None = None, kind_col: str | None = None, redact: bool = False) -> DataFrame:
+    """``(keys, json, finish_reason, tokens, retries, error)`` for every prompt, written once so that no retry downstream calls again.
+
+    ``kind_col`` names the type whose requirements an answer must meet; null for none.
+    """
+    kind = F.col(kind_col) if kind_col else F.lit(None).cast("string")
+    src = prompts.select(*keys, F.col(prompt_col).alias("_p"), F.col(budget_col).cast("int").alias("_n"), kind.alias("_k"))
     if parallel:
         src = src.repartition(parallel)
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         names = [x.split()[0] for x in ANSWER_SCHEMA.split(", ")]
         for f in frames:
-            out = pd.DataFrame([ask(backend, p, int(n), retries) if p is not None and p.strip() else (None, None, 0, 0, 0, "empty prompt") for p, n in zip(f["_p"], f["_n"])], columns=names, index=f.index)
+            out = pd.DataFrame([ask(backend, p, int(n), retries, k, redact) if p is not None and p.strip() else (None, None, 0, 0, 0, "empty prompt") for p, n, k in zip(f["_p"], f["_n"], f["_k"])], columns=names, index=f.index)
             yield pd.concat([f[keys], out], axis=1)
 
     schema = ", ".join(f"`{k}` {src.schema[k].dataType.simpleString()}" for k in keys)
@@ -96,16 +156,35 @@ def infer(prompts: DataFrame, backend: Backend, keys: list[str], prompt_col: str
 
 
 class Rewriter:
-    """A backend that rewrites text, for sanitising by a model."""
-
-    def __init__(self, rewrite: Callable[[str], str]):
-        self._rewrite = rewrite
+    """A backend that rewrites text, for sanitising by a model.
 
-    def rewrite(self, df: DataFrame, text_col: str, out: str) -> DataFrame:
-        fn = self._rewrite
+    Each distinct text is asked once, with retries and a budget that follows its length; answers are written before they are
+    read. A text whose calls all fail gets a null answer, and ``error`` says why; ``usage`` sums up calls and retries.
+    """
 
-        @F.pandas_udf("string")
-        def go(s: pd.Series) -> pd.Series:
-            return s.map(lambda x: x if x is None else fn(x))
+    def __init__(self, rewrite: Callable[[str, int], str], retries: int = 2, chars_per_token: float = 3.5):
+        self._rewrite, self._retries, self._per = rewrite, retries, chars_per_token
+        self.usage: DataFrame | None = None
 
-        return df.withColumn(out, go(F.col(text_col)))
+    def rewrite(self, df: DataFrame, text_col: str, out: str) -> DataFrame:
+        fn, retries, per = self._rewrite, self._retries, self._per
+
+        def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for f in frames:
+                rows = []
+                for text in f["_t"]:
+                    answer = error = None
+                    for attempt in range(retries + 1):
+                        try:
+                            answer, error = fn(text, int(len(text) / per * 1.5) + 64), None
+                            break
+                        except Exception as e:  # noqa: BLE001
+                            error = f"{type(e).__name__}: {e}"[:500]
+                    rows.append((text, answer, attempt, error))
+                yield pd.DataFrame(rows, columns=["_t", "_a", "retries", "error"])
+
+        texts = df.select(F.col(text_col).alias("_t")).filter("_t is not null and trim(_t) <> ''").distinct()
+        answers = written(texts.mapInPandas(run, "_t string, _a string, retries int, error string"), "rewritten")
+        self.usage = answers.agg(F.count("*").alias("calls"), F.coalesce(F.sum("retries"), F.lit(0)).alias("retries"), F.count("error").alias("failed"))
+        held = df.join(answers.select("_t", "_a"), df[text_col] == F.col("_t"), "left")
+        return held.withColumn(out, F.when(F.col("_t").isNull(), F.col(text_col)).otherwise(F.col("_a"))).drop("_t", "_a")

@@ -5,6 +5,8 @@ All tiers are array expressions over one row's text; nothing is shuffled.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -45,8 +47,8 @@ def pack(parts: Column, size: Column, joint: str) -> Column:
 
 def account_parts(text: Column) -> Column:
     """Text cut before each account block; the blank line goes with the part before."""
-    marked = F.regexp_replace(text, ACCOUNT_START, "$0\u0000")
-    return F.split(marked, "\u0000")
+    gaps, blanks = F.split(text, ACCOUNT_START, -1), F.regexp_extract_all(text, F.lit(ACCOUNT_START), 0)
+    return F.zip_with(gaps, blanks, lambda g, b: F.concat(g, F.coalesce(b, F.lit(""))))
 
 
 def page_parts(text: Column) -> Column:
@@ -67,6 +69,33 @@ def chunk_array(text: Column, kind: Column, size: Column) -> Column:
     )
 
 
+def chunks_of(text: str, kind: str, size: int) -> list[tuple[str, str | None, str]]:
+    """``(text, account_context, tier)`` of one text's chunks: ``chunk_array`` for a single text."""
+
+    def packed(parts: list[str], joint: str) -> list[str]:
+        out: list[str] = []
+        held: str | None = None
+        for p in parts:
+            if held is not None and len(held) + len(joint) + len(p) <= size:
+                held += joint + p
+            else:
+                out += [] if held is None else [held]
+                held = p
+        return out + ([] if held is None else [held])
+
+    if len(text) <= size:
+        return [(text, None, "whole")]
+    starts = [0, *(m.end() for m in re.finditer(ACCOUNT_START, text)), len(text)]
+    if kind in LEDGERS and len(starts) > 3:
+        heads = [(t, re.match(r"\s*([\w-]{4,15}[ ]+[A-Z])", t)) for t in packed([text[a:b] for a, b in zip(starts, starts[1:])], "")]
+        return [(t, re.match(r"\s*([^\n]*)", t)[1].strip(" ")[:80] if m else None, "account") for t, m in heads]
+    pages = [p for p in re.split(PAGE_BREAK, text) if re.sub(r"\s+", " ", p).strip(" ")]
+    if len(pages) >= 2:
+        return [(t, None, "page") for t in packed(pages, "\n")]
+    step = max(1, int(size * (1 - OVERLAP)))
+    return [(text[i : i + size], None, "window") for i in range(0, len(text), step)]
+
+
 def chunk(df: DataFrame, id_col: str, text_col: str = "text", type_col: str = "document_type", max_tokens: int = 6000) -> DataFrame:
     """``(id, chunk_index, total_chunks, text, account_context, tier)``. Null texts have no chunk; an empty one has one."""
     size = max_chars(F.lit(max_tokens))

@@ -99,11 +99,12 @@ def detect_tax(df: DataFrame, text_col: str = "text") -> DataFrame:
         }
     )
     kind, conf = F.col("document_type"), F.col("confidence")
+    said = lambda texts, *values: F.concat(*[x for i, t in enumerate(texts) for x in ((F.lit(t), values[i]) if i < len(values) else (F.lit(t),))])
     notes = F.array(
-        F.when((conf < 0.7) & (kind != "UNKNOWN"), F.concat(F.lit("Low-confidence detection ("), X.percent_text(conf), F.lit("). Verify document type is "), kind, F.lit("."))),
-        F.when(F.col("is_summary_sheet"), F.lit("Employer/issuer summary sheet detected. Individual employee copies may be in a separate file.")),
-        F.when(F.col("estimated_record_count") > 1, F.concat(F.lit("Estimated "), F.col("estimated_record_count").cast("string"), F.lit(" records in this PDF."))),
-        F.when(F.col("runner_up_score") > 0.4, F.concat(F.lit("Secondary match: "), F.col("runner_up"), F.lit(" ("), X.percent_text(F.col("runner_up_score")), F.lit("). Verify if extraction looks wrong."))),
+        F.when((conf < 0.7) & (kind != "UNKNOWN"), said(T.NOTE_LOW_CONFIDENCE, X.percent_text(conf), kind)),
+        F.when(F.col("is_summary_sheet"), F.lit(T.NOTE_SUMMARY)),
+        F.when(F.col("estimated_record_count") > 1, said(T.NOTE_RECORDS, F.col("estimated_record_count").cast("string"))),
+        F.when(F.col("runner_up_score") > 0.4, said(T.NOTE_RUNNER_UP, F.col("runner_up"), X.percent_text(F.col("runner_up_score")))),
     )
     return d.withColumn("notes", F.array_compact(notes)).drop("_low", "_ranked")
 

@@ -58,6 +58,17 @@ def merge_ledger(parts: DataFrame, doc: str = "doc", order: str = "chunk_index")
     )
 
 
+def merge_transactions(lines: DataFrame, doc: str = "doc", order: tuple[str, ...] = ("chunk_index", "ord")) -> DataFrame:
+    """The transactions of all chunks under their merged accounts: the lines with ``account_key`` and ``ord``, their place in the account.
+
+    Long form, a row for each line, so that an account of any size is sorted and never gathered; a line without number and name
+    belongs to the account without key.
+    """
+    key = F.coalesce(F.nullif("account_number", F.lit("")), F.col("account_name"))
+    d = lines.withColumn("account_key", key)
+    return d.withColumn("ord", F.row_number().over(Window.partitionBy(doc, "account_key").orderBy(*order)) - 1)
+
+
 def merge_sections(parts: DataFrame, doc: str = "doc", order: str = "chunk_index") -> DataFrame:
     """Sections of all chunks by name: accounts together, last known total, in order of first appearance."""
     return parts.groupBy(doc, "side", "section_name").agg(F.min(order).alias("first_chunk"), F.sum("n_accounts").alias("n_accounts"), last_value("section_total", order).alias("section_total"))

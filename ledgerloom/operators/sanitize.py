@@ -7,20 +7,23 @@ replacements in every document without any lookup.
 
 from __future__ import annotations
 
+import re
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as K
 
 from ..functions import hashing as H
 from ..functions import tables as T
-from ..functions.text import redact_ssn
+from . import nested, trees
 
-_MARK = ""
 
 
 def replace_matches(text: Column, pattern: str, make) -> Column:
     """``text`` with each match of ``pattern`` replaced by ``make(match)``."""
     found = F.regexp_extract_all(text, F.lit(pattern), 0)
-    gaps = F.split(F.regexp_replace(text, pattern, _MARK), _MARK)
+    gaps = F.split(text, pattern, -1)
     # zipped, so that the pattern runs once for a text, not for each match; the last gap has no match
     joined = F.array_join(F.zip_with(gaps, found, lambda g, m: F.concat(g, F.when(m.isNotNull(), make(m)).otherwise(F.lit("")))), "")
     return F.when(text.isNull(), None).when(F.size(found) == 0, text).otherwise(joined)
@@ -80,8 +83,90 @@ def sanitize_records(df: DataFrame, fields: list[str]) -> DataFrame:
     return df
 
 
+_DASHED = re.compile(T.SSN_DASHED)
+
+
+@F.pandas_udf(K.StringType())
+def _redacted(texts: pd.Series) -> pd.Series:
+    def one(text: str | None) -> str | None:
+        if text is None or not _DASHED.search(text):
+            return text
+        record = nested.complete_record(text)
+        return _DASHED.sub(r"XXX-XX-\3", text) if record is None else nested.dumps(trees.map_texts(record, lambda _, v: _DASHED.sub(r"XXX-XX-\3", v)))
+
+    return texts.map(one)
+
+
 def redact_records(df: DataFrame, fields: list[str]) -> DataFrame:
-    return df.withColumns({f: redact_ssn(F.col(f)) for f in fields})
+    """Dashed social security numbers in the values of JSON records keep their last four digits; field names stay. Text that holds no
+    complete record is redacted as it is, and text with nothing to redact stays."""
+    return df.withColumns({f: _redacted(F.col(f)) for f in fields})
+
+
+_PASSES = tuple((kind, re.compile(p), make) for kind, p, make in (("ssn", T.SSN, H.ssn_of), ("phone", T.PHONE, H.phone_of), ("address", "(?i)" + T.ADDRESS, H.address_of)))
+
+
+def sanitized_tree(record: object) -> tuple[object, list[tuple[str, str, str]]]:
+    """A record with its texts sanitised, and the replacements ``(original, replacement, kind)`` in order of first appearance.
+
+    By field name: skipped names stay, names and addresses are replaced whole, last four digits inside their mask; other texts go
+    through the patterns. One original has one replacement in the whole record.
+    """
+    seen: dict[str, str] = {}
+    log: list[tuple[str, str, str]] = []
+
+    def once(text: str, make, kind: str) -> str:
+        if text not in seen:
+            seen[text] = make(text)
+            log.append((text, seen[text], kind))
+        return seen[text]
+
+    def one(field: str | None, text: str) -> str:
+        if field in T.SKIP_KEYS:
+            return text
+        if field == "name":
+            return once(text, H.name_of, "name") if text.strip() else text
+        if field == "address":
+            return once(text, H.address_of, "address") if text.strip() else text
+        if field in ("ssn_last4", "tin_last4"):
+            return once(text, lambda t: "XXX-XX-" + H.ssn_of(t)[-4:], "ssn")
+        for kind, pattern, make in _PASSES:
+            text = pattern.sub(lambda m: once(m[0], make, kind), text)
+        return text
+
+    return trees.map_texts(record, one, T.SKIP_KEYS), log
+
+
+LOG = "array<struct<original:string,replacement:string,kind:string>>"
+
+
+def sanitize_extractions(records: DataFrame, data_col: str = "data") -> DataFrame:
+    """Adds ``sanitized`` (the record as JSON text) and ``replacements``; both null where there is no complete record."""
+
+    @F.pandas_udf(f"sanitized string, replacements {LOG}")
+    def run(texts: pd.Series) -> pd.DataFrame:
+        out = []
+        for text in texts:
+            record = nested.complete_record(text)
+            if record is None:
+                out.append((None, None))
+            else:
+                tree, log = sanitized_tree(record)
+                out.append((nested.dumps(tree), [dict(zip(("original", "replacement", "kind"), x)) for x in log]))
+        return pd.DataFrame(out, columns=["sanitized", "replacements"])
+
+    return records.withColumn("_s", run(F.col(data_col))).withColumns({"sanitized": F.col("_s.sanitized"), "replacements": F.col("_s.replacements")}).drop("_s")
+
+
+def longest_first(replacements: Column) -> Column:
+    """Replacements in the order in which a writer must apply them: long originals before those they may hold, ties in first order."""
+    placed = F.transform(replacements, lambda r, i: F.struct((-F.length(r["original"])).alias("n"), i.alias("i"), r.alias("r")))
+    return F.transform(F.array_sort(placed), lambda x: x["r"])
+
+
+def apply_replacements(text: Column, replacements: Column) -> Column:
+    """The text with each original replaced, longest first: what a document writer does page by page."""
+    return F.aggregate(longest_first(replacements), text, lambda acc, r: F.replace(acc, r["original"], r["replacement"]))
 
 
 def sanitize(df: DataFrame, mode: str = "regex", text_col: str = "text", backend=None) -> DataFrame:
@@ -94,3 +179,22 @@ def sanitize(df: DataFrame, mode: str = "regex", text_col: str = "text", backend
         raise ValueError(f"sanitize mode {mode!r} needs a backend")
     source = df if mode == "llm" else sanitize_text(df, text_col, "_masked")
     return backend.rewrite(source, text_col if mode == "llm" else "_masked", "sanitized").drop("_masked")
+
+
+def sanitize_trees(records: DataFrame, mode: str = "regex", backend=None, data_col: str = "data") -> DataFrame:
+    """``sanitize`` for records: ``regex`` walks the tree, ``llm`` rewrites the record's text, ``hybrid`` both in turn; where the model's
+    answer is no record, the tree walk's result stands."""
+    if mode not in ("regex", "llm", "hybrid"):
+        raise ValueError(f"unknown sanitize mode {mode!r}")
+    walked = sanitize_extractions(records, data_col)
+    if mode == "regex":
+        return walked
+    if backend is None:
+        raise ValueError(f"sanitize mode {mode!r} needs a backend")
+    asked = backend.rewrite(walked, data_col if mode == "llm" else "sanitized", "_answer")
+    return asked.withColumn("sanitized", F.coalesce(_record_text(F.col("_answer")), "sanitized")).drop("_answer")
+
+
+@F.pandas_udf(K.StringType())
+def _record_text(texts: pd.Series) -> pd.Series:
+    return texts.map(lambda t: None if t is None or (r := nested.complete_record(t)) is None else nested.dumps(r))

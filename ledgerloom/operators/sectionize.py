@@ -15,11 +15,14 @@ HEADER_LINES = 20
 
 
 def pages(files: DataFrame, id_col: str = "file_id", pages_col: str = "pages") -> DataFrame:
-    """``(id, position, page, text)`` of every page of the files' lists, in order of page number; nulls lists give none.
+    """``(id, position, page, text)`` of every page of the files' lists, in order of page number; null lists and null pages give none.
 
-    Positions count from 0 by page number, whatever the list's order and wherever its numbers start.
+    Positions count from 0 by page number, whatever the list's order and wherever its numbers start. Pages without a number come
+    last, in the list's order.
     """
-    order = F.array_sort(F.filter(pages_col, lambda p: p["page"].isNotNull()), lambda a, b: F.when(a["page"] < b["page"], -1).when(a["page"] > b["page"], 1).otherwise(0))
+    placed = F.transform(F.filter(pages_col, lambda p: p.isNotNull()), lambda p, i: F.struct(p["page"].isNull().alias("lost"), p["page"].alias("page"), i.alias("i"), p["text"].alias("text")))
+    before = lambda a, b, c: F.when(a[c] < b[c], -1).when(a[c] > b[c], 1)
+    order = F.array_sort(placed, lambda a, b: F.coalesce(before(a, b, "lost"), before(a, b, "page"), before(a, b, "i"), F.lit(0)))
     return files.select(id_col, F.posexplode(order).alias("position", "p")).select(id_col, "position", F.col("p.page").alias("page"), F.col("p.text").alias("text"))
 
 
@@ -79,5 +82,5 @@ def concat_pages(pages_df: DataFrame, keys: list[str] | None = None) -> DataFram
     """``(keys, text)``: pages in order under ``--- PAGE n ---`` lines; blank pages are skipped; no row without any text."""
     keys = keys or ["file_id"]
     kept = pages_df.filter(F.trim(F.regexp_replace("text", r"\s+", " ")) != "")
-    marked = F.concat(F.lit("--- PAGE "), F.col("page").cast("string"), F.lit(" ---\n"), F.col("text"))
+    marked = F.concat(F.lit("--- PAGE "), F.coalesce(F.col("page").cast("string"), F.lit("?")), F.lit(" ---\n"), F.col("text"))
     return kept.groupBy(*keys).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("position", marked.alias("t")))), lambda x: x["t"]), "\n").alias("text"))

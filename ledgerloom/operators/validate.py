@@ -24,6 +24,22 @@ def known_types() -> list[str]:
     return [f[0] for f in L.forms()] + FINANCIAL
 
 
+def problems_of(record: object, kind: str | None) -> list[str]:
+    """``validated`` for one parsed record, without its type's own problem."""
+    if not isinstance(record, dict):
+        return ["no record"]
+    out = []
+    for path in required(kind or ""):
+        if path == "entity.name":
+            entity = record.get("entity")
+            name = entity.get("name") if isinstance(entity, dict) else None
+            if name is None or name == "" or isinstance(name, (dict, list)):
+                out.append(f"missing {path}")
+        elif not isinstance(record.get(path), dict):
+            out.append(f"missing {path}")
+    return out
+
+
 def validated(records: DataFrame, data_col: str = "data") -> DataFrame:
     """Adds ``problems``: array of ``unknown type``, ``no record``, ``missing PATH``; empty for a valid record.
 

@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.amounts import parse_amount
+
 TOLERANCE = "0.02"
 MONEY = "decimal(28,6)"
 
@@ -83,3 +85,65 @@ def running_balance(lines: DataFrame, by: list[str], order: list[str]) -> DataFr
     step = F.coalesce(F.col("debit").cast(MONEY), F.lit(0)) - F.coalesce(F.col("credit").cast(MONEY), F.lit(0))
     d = lines.withColumn("running", F.sum(step.cast(MONEY)).over(w).cast(MONEY))
     return d.withColumn("agrees", F.abs(F.col("running") - F.col("balance").cast(MONEY)) <= F.lit(TOLERANCE).cast(MONEY))
+
+
+# --- whole records ------------------------------------------------------------------------------------------------------
+
+
+def _at(path: str, v: str | Column = "v", kind: str = "string") -> Column:
+    return F.try_variant_get(v, f"$.{path}", kind)
+
+
+def _amount(path: str, v: str | Column = "v") -> Column:
+    return parse_amount(_at(path, v)).cast(MONEY)
+
+
+def _list(path: str, v: str | Column = "v") -> Column:
+    return F.coalesce(_at(path, v, "array<variant>"), F.array().cast("array<variant>"))
+
+
+def _total(path: str, *keys: str) -> Column:
+    """A total at the root of the record, else in its side; the first of the keys that is there."""
+    return F.coalesce(*[c for k in keys for c in (_amount(k), _amount(f"{path}.{k}"))])
+
+
+def _sum(values: Column, value) -> Column:
+    return F.aggregate(values, F.lit(0).cast(MONEY), lambda acc, x: (acc + F.coalesce(value(x), F.lit(0).cast(MONEY))).cast(MONEY))
+
+
+def statement_totals(parsed: DataFrame, key: str = "record_id") -> DataFrame:
+    """``(key, total_assets, total_liabilities, total_equity)`` of parsed balance sheets (column ``v``): totals at the root stand before
+    those of the sides, reported equity before the other."""
+    return parsed.select(key, _total("assets", "total_assets").alias("total_assets"), _total("liabilities", "total_liabilities").alias("total_liabilities"), _total("equity", "total_equity_reported", "total_equity").alias("total_equity"))
+
+
+def derived_fields(parsed: DataFrame, key: str = "record_id") -> DataFrame:
+    """What is computed and not read, by type: ``(key, retained_earnings, net_income, reserve_total, bank_total)``, null for other types.
+
+    Retained earnings: equity less the accounts of its top-level sections, those below them not counted; a missing equity is 0. Net
+    income: income less expenses where both are known, totals at the root first. Reserves: the sums of the components' and of the
+    bank accounts' balances. ``parsed`` has ``document_type`` and the parsed record ``v``; no join, no shuffle.
+    """
+    kind = F.col("document_type")
+    own = F.flatten(F.transform(_list("equity.sections"), lambda s: _list("accounts", s)))
+    value = lambda a: F.coalesce(_amount("balance", a), _amount("amount", a))
+    falsy = lambda c: F.nullif(c, F.lit(0).cast(MONEY))
+    equity = F.coalesce(falsy(_amount("equity.total_equity_reported")), _amount("equity.total_equity"), F.lit(0).cast(MONEY))
+    income, expenses = (F.coalesce(_amount("total"), _amount(f"{s}.total"), _amount(f"total_{s}")) for s in ("income", "expenses"))
+    return parsed.select(
+        key,
+        F.when(kind == "BALANCE_SHEET", (equity - _sum(own, value)).cast(MONEY)).alias("retained_earnings"),
+        F.when(kind.isin("INCOME_STATEMENT", "INCOME_STATEMENT_COMPARISON"), (income - expenses).cast(MONEY)).alias("net_income"),
+        F.when(kind == "RESERVE_ALLOCATION", _sum(_list("components"), lambda c: _amount("current_balance", c))).alias("reserve_total"),
+        F.when(kind == "RESERVE_ALLOCATION", _sum(_list("bank_accounts"), value)).alias("bank_total"),
+    )
+
+
+def verify_statements(parsed: DataFrame, sections: DataFrame, accounts: DataFrame, key: str = "record_id") -> dict[str, DataFrame]:
+    """``checks`` (section totals), ``equation`` (balance sheets), ``verified`` (a row for each record) and ``derived``.
+
+    ``sections`` has ``key, path, section_total``, ``accounts`` has ``key, path, value`` (see ``section_check``).
+    """
+    checks = section_check(sections, accounts, (key, "path"))
+    equation = balance_equation(statement_totals(parsed.filter("document_type = 'BALANCE_SHEET'"), key))
+    return {"checks": checks, "equation": equation, "verified": verified(parsed.select(key), checks, equation, key), "derived": derived_fields(parsed, key)}

@@ -169,7 +169,7 @@ def unassigned_pages(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query(
-    f"WITH {Q.pages_cte()} SELECT file_id, string_agg('--- PAGE ' || page || ' ---' || chr(10) || text, chr(10) ORDER BY position) AS text FROM pg "
+    f"WITH {Q.pages_cte()} SELECT file_id, string_agg('--- PAGE ' || coalesce(CAST(page AS VARCHAR), '?') || ' ---' || chr(10) || text, chr(10) ORDER BY position) AS text FROM pg "
     "WHERE trim(regexp_replace(text, '\\s+', ' ', 'g')) <> '' GROUP BY file_id"
 )
 def concat_pages(spark: SparkSession, sf: str) -> DataFrame:
@@ -250,6 +250,50 @@ def validation(spark: SparkSession, sf: str) -> DataFrame:
     return validate.validated(_t(spark, sf, "extractions")).select("record_id", F.array_join("problems", ";").alias("problems"))
 
 
+def _sum_sql(array: str, value: str) -> str:
+    return f"(SELECT coalesce(sum(CAST({value} AS DECIMAL(28,6))), 0) FROM (SELECT unnest(CASE WHEN json_type({array}) = 'ARRAY' THEN CAST(json_extract({array}, '$[*]') AS JSON[]) ELSE [] END) AS a))"
+
+
+_ACCOUNT_SQL = "coalesce(" + ", ".join(Q.amount(f"CASE WHEN json_type(a, '$.{f}') NOT IN ('ARRAY', 'OBJECT') THEN json_extract_string(a, '$.{f}') END") for f in ("balance", "amount")) + ")"
+_EQUITY_SQL = f"coalesce(nullif({Q.amount(Q.scalar_at('equity.total_equity_reported'))}, 0), {Q.amount(Q.scalar_at('equity.total_equity'))}, 0)"
+_SIDE_SQL = lambda s: f"coalesce({Q.amount(Q.scalar_at('total'))}, {Q.amount(Q.scalar_at(s + '.total'))}, {Q.amount(Q.scalar_at('total_' + s))})"
+
+
+@query(
+    f"WITH {Q.record_cte('document_type <> ' + Q.q('W2'))}, d AS (SELECT * FROM v WHERE json_type(v) = 'OBJECT'), s AS (SELECT record_id, unnest(CAST(json_extract(v, '$.equity.sections[*]') AS JSON[])) AS s FROM d WHERE document_type = 'BALANCE_SHEET' AND json_type(v, '$.equity.sections') = 'ARRAY'), "
+    "a AS (SELECT record_id, unnest(CAST(json_extract(s, '$.accounts[*]') AS JSON[])) AS a FROM s WHERE json_type(s, '$.accounts') = 'ARRAY'), "
+    f"e AS (SELECT record_id, sum(CAST({_ACCOUNT_SQL} AS DECIMAL(28,6))) AS own FROM a GROUP BY record_id) "
+    f"SELECT record_id, CAST(CASE WHEN document_type = 'BALANCE_SHEET' THEN {_EQUITY_SQL} - coalesce(own, 0) END AS DECIMAL(28,6)) AS retained_earnings, CAST(CASE WHEN document_type = 'INCOME_STATEMENT' THEN {_SIDE_SQL('income')} - {_SIDE_SQL('expenses')} END AS DECIMAL(28,6)) AS net_income FROM d LEFT JOIN e USING (record_id)"
+)
+def derived_fields(spark: SparkSession, sf: str) -> DataFrame:
+    return verify.derived_fields(L.parsed(_t(spark, sf, "extractions").filter("document_type <> 'W2'"))).drop("reserve_total", "bank_total")
+
+
+@query(
+    "SELECT p_partkey // 50 AS record_id, CAST(sum(CAST(p_retailprice AS DECIMAL(18,2))) AS DECIMAL(28,6)) AS reserve_total, CAST(sum(p_size) AS DECIMAL(28,6)) AS bank_total FROM part GROUP BY 1"
+)
+def derived_reserves(spark: SparkSession, sf: str) -> DataFrame:
+    components = _sorted("p_partkey", F.col("p_retailprice").cast("decimal(18,2)").alias("current_balance"))
+    bank = _sorted("p_partkey", F.col("p_size").alias("balance"))
+    g = _grouped(_t(spark, sf, "part"), "p_partkey", "RESERVE_ALLOCATION", F.struct(components.alias("components"), bank.alias("bank_accounts")))
+    return verify.derived_fields(L.parsed(g)).select("record_id", "reserve_total", "bank_total")
+
+
+_ROOT_SQL = lambda side, *keys: "coalesce(" + ", ".join(Q.amount(Q.scalar_at(p)) for k in keys for p in (k, f"{side}.{k}")) + ")"
+
+
+@query(
+    f"WITH c AS ({Q.section_check()}), {Q.record_cte('document_type <> ' + Q.q('W2'))}, d AS (SELECT record_id, document_type, {_ROOT_SQL('assets', 'total_assets')} AS ta, {_ROOT_SQL('liabilities', 'total_liabilities')} AS tl, {_ROOT_SQL('equity', 'total_equity_reported', 'total_equity')} AS te FROM v WHERE json_type(v) = 'OBJECT'), "
+    "n AS (SELECT record_id, count(*) AS n_checked, count(*) FILTER (NOT matches) AS bad FROM c GROUP BY record_id), f AS (SELECT record_id, coalesce(n_checked, 0) AS n_checked, coalesce(bad, 0) + CASE WHEN document_type = 'BALANCE_SHEET' AND abs(ta - (tl + te)) > 0.02 THEN 1 ELSE 0 END AS n_mismatches FROM d LEFT JOIN n USING (record_id)) "
+    "SELECT record_id, n_checked, n_mismatches, n_mismatches = 0 AS verified FROM f"
+)
+def verified_statements(spark: SparkSession, sf: str) -> DataFrame:
+    e = _t(spark, sf, "extractions").filter("document_type <> 'W2'")
+    n = nested.nodes(e)
+    accounts = nested.typed_table(n, "accounts").select("record_id", F.col("parent_path").alias("path"), verify.account_value(F.col("balance"), F.col("amount")).alias("value"))
+    return verify.verify_statements(L.parsed(e), nested.typed_table(n, "sections").select("record_id", F.col("node_path").alias("path"), "section_total"), accounts)["verified"]
+
+
 @query("SELECT record_id, trim(regexp_replace(regexp_replace(trim(data), '^```(?:json)?\\s*', ''), '\\s*```$', '')) AS text FROM extractions")
 def strip_fence(spark: SparkSession, sf: str) -> DataFrame:
     return _t(spark, sf, "extractions").select("record_id", X.strip_fence(F.col("data")).alias("text"))
@@ -284,22 +328,79 @@ def fake_values(spark: SparkSession, sf: str) -> DataFrame:
     return d.select("party_id", H.fake_ssn(n).alias("fake_ssn"), H.fake_phone(n).alias("fake_phone"), H.fake_name(n).alias("fake_name"), H.fake_company(n).alias("fake_company"), H.fake_address(a).alias("fake_address"))
 
 
-@query()
+@query(
+    f"SELECT party_id, CASE WHEN trim(coalesce(name, '')) = '' THEN name ELSE {_pool(T.FIRST_NAMES, 'name', 0)} || ' ' || {_pool(T.LAST_NAMES, 'name', 1)} END AS name, "
+    f"CASE WHEN coalesce(ssn_last4, '') = '' THEN ssn_last4 ELSE 'XXX-XX-' || printf('%04d', CAST(({_HASH.format('ssn_last4')} // 65536) % 9999 + 1 AS INTEGER)) END AS ssn_last4 FROM parties"
+)
+def sanitize_records(spark: SparkSession, sf: str) -> DataFrame:
+    return sanitize.sanitize_records(_t(spark, sf, "parties").select("party_id", "name", "ssn_last4"), ["name", "ssn_last4"])
+
+
+_NAME_SQL = f"{_pool(T.FIRST_NAMES, '{x}', 0)} || ' ' || {_pool(T.LAST_NAMES, '{x}', 1)}"
+_ADDRESS_SQL = (
+    f"CAST({_HASH.format('{x}')} % 9999 + 1 AS VARCHAR) || ' ' || {_pool(T.STREETS, '{x}', 0)} || ', ' || {_pool(T.CITIES, '{x}', 1)} || ', ' || {_pool(T.STATES, '{x}', 2)} || ' ' || CAST({_HASH.format('{x}')} % 90000 + 10000 AS VARCHAR)"
+)
+_SSN_SQL = f"printf('%03d-%02d-%04d', CAST(900 + {_HASH.format('{x}')} % 99 AS INTEGER), CAST(({_HASH.format('{x}')} // 256) % 99 + 1 AS INTEGER), CAST(({_HASH.format('{x}')} // 65536) % 9999 + 1 AS INTEGER))"
+_PHONE_SQL = f"printf('(555) %03d-%04d', CAST({_HASH.format('{x}')} % 900 + 100 AS INTEGER), CAST(({_HASH.format('{x}')} // 4096) % 10000 AS INTEGER))"
+
+
+def _fill(template: str, x: str) -> str:
+    return template.replace("{x}", x)
+
+
+def _tree_sql(path: str, how: str) -> str:
+    x = Q.at(path)
+    return f"CASE WHEN json_type(v, '$.{path}') IN ('ARRAY', 'OBJECT') THEN NULL WHEN json_type(v, '$.{path}') = 'VARCHAR' AND trim({x}) <> '' THEN {_fill(how, x)} ELSE {x} END AS {path.replace('.', '_')}"
+
+
+def _replaced_sql(col: str, pattern: str, how: str) -> str:
+    """A pass of function-valued replacement: gaps and matches, zipped."""
+    m = f"regexp_extract_all({col}, {Q.q(pattern)})"
+    g = f"string_split_regex({col}, {Q.q(pattern)})"
+    return f"CASE WHEN {col} IS NULL OR len({m}) = 0 THEN {col} ELSE array_to_string(list_transform(list_zip({g}, {m}), lambda z: z[1] || CASE WHEN z[2] IS NULL THEN '' ELSE {_fill(how, 'z[2]')} END), '') END"
+
+
+_PASS_SQL = (("ssn", T.SSN, "_SSN"), ("phone", T.PHONE, "_PHONE"), ("address", "(?i)" + T.ADDRESS, "_ADDRESS"))
+
+
+def _passes_cte() -> str:
+    out, col = [f"{Q.pages_cte()}, t0 AS (SELECT file_id, position, text AS x FROM pg)"], 0
+    for i, (_, pattern, how) in enumerate(_PASS_SQL):
+        out.append(f"t{i + 1} AS (SELECT file_id, position, {_replaced_sql('x', pattern, {'_SSN': _SSN_SQL, '_PHONE': _PHONE_SQL, '_ADDRESS': _ADDRESS_SQL}[how])} AS x FROM t{i})")
+    return ", ".join(out)
+
+
+@query(f"WITH {_passes_cte()} SELECT file_id, position, x AS sanitized FROM t3")
 def sanitize_text(spark: SparkSession, sf: str) -> DataFrame:
     return sanitize.sanitize_text(_pages(spark, sf)).select("file_id", "position", "sanitized")
 
 
-@query()
+def _log_sql() -> str:
+    parts = []
+    for i, (kind, pattern, how) in enumerate(_PASS_SQL):
+        m = f"regexp_extract_all(x, {Q.q(pattern)})"
+        parts.append(f"SELECT file_id, position, {i} AS pass, unnest({m}) AS original, generate_subscripts({m}, 1) AS k FROM t{i}")
+    made = {"_SSN": _SSN_SQL, "_PHONE": _PHONE_SQL, "_ADDRESS": _ADDRESS_SQL}
+    case = "CASE pass " + " ".join(f"WHEN {i} THEN {_fill(made[how], 'original')}" for i, (_, _, how) in enumerate(_PASS_SQL)) + " END"
+    kind = "CASE pass " + " ".join(f"WHEN {i} THEN {Q.q(k)}" for i, (k, _, _) in enumerate(_PASS_SQL)) + " END"
+    return (
+        f"WITH {_passes_cte()}, m AS ({' UNION ALL '.join(parts)}), d AS (SELECT file_id, position, pass, original, min(k) AS k FROM m GROUP BY ALL) "
+        f"SELECT file_id, position, CAST(row_number() OVER (PARTITION BY file_id, position ORDER BY pass, k) - 1 AS INTEGER) AS ord, {kind} AS kind, original, {case} AS replacement FROM d"
+    )
+
+
+@query(_log_sql())
 def replacement_log(spark: SparkSession, sf: str) -> DataFrame:
     return sanitize.replacement_log(_pages(spark, sf).withColumn("id", F.struct("file_id", "position")), "id").select("id.file_id", "id.position", "ord", "kind", "original", "replacement")
 
 
-@query(
-    f"SELECT party_id, CASE WHEN trim(coalesce(name, '')) = '' THEN name ELSE {_pool(T.FIRST_NAMES, 'name', 0)} || ' ' || {_pool(T.LAST_NAMES, 'name', 1)} END AS name, "
-    f"CASE WHEN coalesce(ssn_last4, '') = '' THEN ssn_last4 ELSE 'XXX-XX-' || printf('%04d', CAST(({_HASH.format('ssn_last4')} // 65536) % 9999 + 1 AS INTEGER)) END AS ssn_last4 FROM parties"
-)
-def sanitize_records(spark: SparkSession, sf: str) -> DataFrame:
-    return sanitize.sanitize_records(_t(spark, sf, "parties").select("party_id", "name", "ssn_last4"), ["name", "ssn_last4"])
+_TREE = {"employer.name": _NAME_SQL, "employer.address": _ADDRESS_SQL, "employee.name": _NAME_SQL, "employee.address": _ADDRESS_SQL, "employee.ssn_last4": "'XXX-XX-' || right(" + _SSN_SQL + ", 4)"}
+
+
+@query(f"WITH {Q.record_cte('document_type = ' + Q.q('W2'))} SELECT record_id, {', '.join(_tree_sql(p, how) for p, how in _TREE.items())} FROM v WHERE json_type(v) = 'OBJECT'")
+def sanitize_extractions(spark: SparkSession, sf: str) -> DataFrame:
+    d = sanitize.sanitize_extractions(_t(spark, sf, "extractions").filter("document_type = 'W2'").select("record_id", "data")).filter("sanitized is not null")
+    return L.parsed(d, "sanitized").select("record_id", *[L.at(p).alias(p.replace(".", "_")) for p in _TREE])
 
 
 # --- verification -------------------------------------------------------------------------------------------------------
@@ -405,11 +506,79 @@ def _parts(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(
     f"WITH {_PARTS_SQL}, k AS (SELECT *, coalesce(nullif(account_number, ''), account_name) AS account_key FROM p), o AS (SELECT *, row_number() OVER (PARTITION BY doc, account_key ORDER BY chunk_index) AS rn, "
-    "row_number() OVER (PARTITION BY doc, account_key, ending_balance IS NULL ORDER BY chunk_index DESC) AS re FROM k WHERE account_number IS NOT NULL) "
+    "row_number() OVER (PARTITION BY doc, account_key, ending_balance IS NULL ORDER BY chunk_index DESC) AS re FROM k) "
     "SELECT doc, account_key, min(chunk_index) AS first_chunk, max(CASE WHEN rn = 1 THEN beginning_balance END) AS beginning_balance, max(CASE WHEN re = 1 THEN ending_balance END) AS ending_balance, CAST(sum(n_transactions) AS BIGINT) AS n_transactions FROM o GROUP BY doc, account_key"
 )
 def merge_ledger(spark: SparkSession, sf: str) -> DataFrame:
-    return merging.merge_ledger(_parts(spark, sf).filter("account_number is not null")).drop("account_name")
+    return merging.merge_ledger(_parts(spark, sf)).drop("account_name")
+
+
+@query(
+    "WITH g AS (SELECT client_code AS doc, CAST(txn_id % 7 AS INTEGER) AS chunk_index, *, coalesce(nullif(account_number, ''), account_name) AS account_key FROM gl_transactions) "
+    "SELECT doc, account_key, txn_id, CAST(row_number() OVER (PARTITION BY doc, account_key ORDER BY chunk_index, txn_id, posted_at, row_type, debit, credit, balance, memo, name) - 1 AS INTEGER) AS ord, debit, credit FROM g"
+)
+def merge_transactions(spark: SparkSession, sf: str) -> DataFrame:
+    g = _t(spark, sf, "gl_transactions").withColumn("doc", F.col("client_code")).withColumn("chunk_index", (F.col("txn_id") % 7).cast("int"))
+    # nulls last, as in SQL
+    order = [F.col(c).asc_nulls_last() for c in ("chunk_index", "txn_id", "posted_at", "row_type", "debit", "credit", "balance", "memo", "name")]
+    return merging.merge_transactions(g, order=tuple(order)).select("doc", "account_key", "txn_id", "ord", "debit", "credit")
+
+
+_SEC_PARTS_SQL = "p AS (SELECT o_custkey AS doc, CAST(o_orderkey % 5 AS INTEGER) AS chunk_index, o_orderstatus AS side, o_orderpriority AS section_name, count(*) AS n_accounts, max(CASE WHEN o_orderkey % 3 = 0 THEN CAST(o_totalprice AS DECIMAL(18,2)) END) AS section_total FROM orders GROUP BY 1, 2, 3, 4)"
+
+
+@query(
+    f"WITH {_SEC_PARTS_SQL} SELECT doc, side, section_name, min(chunk_index) AS first_chunk, CAST(sum(n_accounts) AS BIGINT) AS n_accounts, arg_max(section_total, chunk_index) FILTER (section_total IS NOT NULL) AS section_total FROM p GROUP BY ALL"
+)
+def merge_sections(spark: SparkSession, sf: str) -> DataFrame:
+    o = _t(spark, sf, "orders")
+    parts = o.groupBy(F.col("o_custkey").alias("doc"), (F.col("o_orderkey") % 5).cast("int").alias("chunk_index"), F.col("o_orderstatus").alias("side"), F.col("o_orderpriority").alias("section_name")).agg(
+        F.count("*").alias("n_accounts"), F.max(F.when(F.col("o_orderkey") % 3 == 0, F.col("o_totalprice").cast("decimal(18,2)"))).alias("section_total")
+    )
+    return merging.merge_sections(parts)
+
+
+@query(
+    "WITH p AS (SELECT client_code AS doc, record_id, CASE WHEN record_id % 3 = 0 THEN document_type WHEN record_id % 3 = 1 THEN '' END AS entity_name FROM extractions) "
+    "SELECT doc, coalesce(arg_min(entity_name, record_id) FILTER (entity_name <> ''), (arg_min([entity_name], record_id))[1]) AS entity_name FROM p GROUP BY doc"
+)
+def merge_entity(spark: SparkSession, sf: str) -> DataFrame:
+    m = F.col("record_id") % 3
+    p = _t(spark, sf, "extractions").select("record_id", F.col("client_code").alias("doc"), F.when(m == 0, F.col("document_type")).when(m == 1, "").alias("entity_name"))
+    return merging.merge_entity(p, order="record_id")
+
+
+@query(
+    "SELECT o_custkey AS doc, CAST(sum(o_orderkey % 100) AS BIGINT) AS prompt_tokens, CAST(sum(o_orderkey % 7) AS BIGINT) AS completion_tokens, CAST(sum(o_orderkey % 2) AS BIGINT) AS retries, count(*) AS calls, arg_max(o_orderstatus, o_orderkey) AS finish_reason FROM orders GROUP BY o_custkey"
+)
+def merge_usage(spark: SparkSession, sf: str) -> DataFrame:
+    k = F.col("o_orderkey")
+    p = _t(spark, sf, "orders").select(F.col("o_custkey").alias("doc"), k.alias("chunk_index"), (k % 100).alias("prompt_tokens"), (k % 7).alias("completion_tokens"), (k % 2).alias("retries"), F.col("o_orderstatus").alias("finish_reason"))
+    return merging.merge_usage(p)
+
+
+@query("SELECT c_custkey AS doc, 'EXTRACTION FAILED' AS entity_name FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)")
+def failed_documents(spark: SparkSession, sf: str) -> DataFrame:
+    return merging.failed_documents(_t(spark, sf, "customer").select(F.col("c_custkey").alias("doc")), _t(spark, sf, "orders").select(F.col("o_custkey").alias("doc")))
+
+
+@query(
+    "WITH g AS (SELECT txn_id // 50 AS doc, CAST(txn_id % 7 AS INTEGER) AS c, *, coalesce(nullif(coalesce(account_number, ''), ''), account_name, '') AS k FROM gl_transactions), "
+    "o AS (SELECT *, row_number() OVER (PARTITION BY doc, k ORDER BY c, txn_id, posted_at, debit, credit, balance, memo, name) AS rn FROM g) "
+    "SELECT doc, k AS account_key, count(*) AS n_transactions, CAST(max(CASE WHEN rn = 1 THEN CAST(balance AS DECIMAL(18,2)) END) AS VARCHAR) AS beginning_balance FROM o GROUP BY doc, k"
+)
+def merge_documents(spark: SparkSession, sf: str) -> DataFrame:
+    """Ledger records of seven chunks each, folded to one: accounts meet by number, else name, with the transactions of all chunks."""
+    cents = lambda c: F.col(c).cast("decimal(18,2)").cast("string")
+    g = _t(spark, sf, "gl_transactions")
+    order = F.struct("txn_id", *[F.struct(F.col(c).isNull().alias("n"), F.col(c).alias("v")).alias(c) for c in ("posted_at", "debit", "credit", "balance", "memo", "name")])
+    account = F.struct("account_number", "account_name", cents("balance").alias("beginning_balance"), F.array(F.struct("txn_id")).alias("transactions"))
+    chunk = g.groupBy(F.expr("txn_id div 50").alias("doc"), (F.col("txn_id") % 7).cast("int").alias("chunk_index")).agg(F.transform(F.array_sort(F.collect_list(F.struct(order.alias("o"), account.alias("a")))), lambda x: x["a"]).alias("accounts"))
+    parts = chunk.select("doc", "chunk_index", F.lit("GENERAL_LEDGER").alias("document_type"), F.to_json(F.struct("accounts"), {"ignoreNullFields": "false"}).alias("json"))
+    merged = merging.merge_records(parts, ["doc", "document_type"])
+    accounts = F.from_json(F.get_json_object("data", "$.accounts"), "array<struct<account_number:string,account_name:string,beginning_balance:string,transactions:array<struct<txn_id:long>>>>")
+    d = merged.select("doc", F.inline(accounts))
+    return d.select("doc", F.coalesce(F.nullif(F.coalesce("account_number", F.lit("")), F.lit("")), "account_name", F.lit("")).alias("account_key"), F.size("transactions").cast("long").alias("n_transactions"), "beginning_balance")
 
 
 @query(

@@ -145,7 +145,7 @@ def meaningful() -> str:
 
 
 def pages_cte() -> str:
-    return """u AS (SELECT file_id, unnest(pages) AS p FROM files), pg AS (SELECT file_id, CAST(row_number() OVER (PARTITION BY file_id ORDER BY p.page) - 1 AS INTEGER) AS position, p.page AS page, p.text AS text FROM u WHERE p.page IS NOT NULL)"""
+    return """u AS (SELECT file_id, unnest(pages) AS p, generate_subscripts(pages, 1) AS k FROM files), pg AS (SELECT file_id, CAST(row_number() OVER (PARTITION BY file_id ORDER BY p.page NULLS LAST, k) - 1 AS INTEGER) AS position, p.page AS page, p.text AS text FROM u WHERE p IS NOT NULL)"""
 
 
 def headers_cte() -> str:

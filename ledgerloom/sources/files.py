@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import page_type
+from ..session import written
 
 MAX_BYTES = 50 * 1024 * 1024
 PAGE_SCHEMA = "path string, page int, text string, confidence double, rotated boolean, error string"
@@ -45,10 +46,18 @@ def choose_engine(wanted: str = "auto", accelerator: bool = False, available: di
 
 
 def list_files(spark: SparkSession, root: str, pattern: str = "*.pdf", max_bytes: int = MAX_BYTES) -> DataFrame:
-    """``path, modificationTime, length, content`` of all files below ``root`` that fit the pattern and the size."""
+    """``path, modificationTime, length, content`` of all files below ``root`` that fit the pattern and the size.
+
+    The size filter reaches the scan, so larger files' contents aren't read; nor are any where only the other columns are used.
+    """
     return spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).load(root).filter(F.col("length") <= max_bytes)
 
 
+def in_order(files: DataFrame) -> DataFrame:
+    """Files by path, for output that is read in order; the rest of a run doesn't depend on it."""
+    return files.orderBy("path")
+
+
 def read_pages(files: DataFrame, reader: str) -> DataFrame:
     """Pages of each file by a registered reader. A file that fails gives one row with its error and no text."""
     if reader not in _READERS:
@@ -78,6 +87,26 @@ def route(pages: DataFrame, broken: Column | None = None, vision: bool = False)
     return d.withColumn("route", F.when(ocr if broken is None else (ocr | F.coalesce(broken, F.lit(False))), "ocr").otherwise("text"))
 
 
+def gather(files: DataFrame, reader: str, image_reader: str | None = None, vision_reader: str | None = None, broken: Callable[[DataFrame], Column] | None = None) -> DataFrame:
+    """Pages of each file, each from the reader that its route names, as one table with ``route``.
+
+    With a ``vision_reader`` it reads all pages. Else ``reader`` reads the text layer; pages with little text, and all pages of
+    files where ``broken`` (a column made from the pages) says so, come from ``image_reader`` where there is one. Files are read
+    by the second reader only where a page of theirs needs it.
+    """
+    if vision_reader:
+        return read_pages(files, vision_reader).withColumn("route", F.lit("vision"))
+    layer = written(read_pages(files, reader), "layer")
+    layer = route(layer, broken(layer) if broken else None)
+    if not image_reader:
+        return layer.drop("page_type").withColumn("route", F.lit("text"))
+    wanted = layer.filter("route = 'ocr' and error is null").select("path", "page").distinct()
+    images = read_pages(files.join(wanted.select("path").distinct(), "path", "left_semi"), image_reader)
+    images = images.join(wanted, [images["path"] == wanted["path"], images["page"].eqNullSafe(wanted["page"]) | images["error"].isNotNull()], "left_semi")
+    kept = layer.filter("route = 'text' or error is not null").drop("page_type")
+    return kept.unionByName(images.withColumn("route", F.lit("ocr")))
+
+
 def word_lines(words: DataFrame, keys: list[str]) -> DataFrame:
     """``(keys, y, line)``: words on nearly one height, from left to right, two blanks between. ``words`` has ``top, x0, ord, text``."""
     y = (F.bround(F.col("top") / 3, 0) * 3).cast("int")

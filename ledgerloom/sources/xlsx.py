@@ -1,20 +1,20 @@
 """Workbooks as rows: a Python data source that reads cells with the standard library, and their text layout.
 
+    cells = read_workbooks(spark, "/folder")                            # path, sheet_no, sheet, row, col, number, text
     spark.dataSource.register(XlsxSource)
-    cells = spark.read.format("xlsx_cells").load("/folder")          # path, sheet_no, sheet, row, col, number, text
+    cells = spark.read.format("xlsx_cells").load("/shared/book.xlsx")
 """
 
 from __future__ import annotations
 
-import glob
 import io
-import os
 import re
 import zipfile
 from typing import Iterator
 from xml.etree import ElementTree
 
-from pyspark.sql import Column, DataFrame
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
@@ -61,27 +61,52 @@ def read_cells(content: bytes) -> Iterator[tuple[int, str, int, int, float | Non
                 yield no, sheet.get("name"), int(m[2]) - 1, col - 1, number, text
 
 
-class _File(InputPartition):
+CELL_SCHEMA = "path string, sheet_no int, sheet string, row int, col int, number double, text string"
+
+
+def cells_of(files: DataFrame) -> DataFrame:
+    """Cells of workbooks given as rows ``path, content`` (the binary file source, on any file system that Spark reads).
+
+    A workbook that can't be read gives one row with its error in ``text`` and no sheet.
+    """
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        columns = [c.split()[0] for c in CELL_SCHEMA.split(", ")]
+        for f in frames:
+            for path, content in zip(f["path"], f["content"]):
+                try:
+                    rows = [(path, *cell) for cell in read_cells(bytes(content))]
+                except Exception as e:  # noqa: BLE001  one bad file must not end the job
+                    rows = [(path, None, None, None, None, None, f"{type(e).__name__}: {e}"[:500])]
+                yield pd.DataFrame(rows, columns=columns).astype({"sheet_no": "Int64", "row": "Int64", "col": "Int64"})
+
+    return files.select("path", "content").mapInPandas(run, CELL_SCHEMA)
+
+
+def read_workbooks(spark: SparkSession, root: str, max_bytes: int = 50 * 1024 * 1024) -> DataFrame:
+    """Cells of all workbooks below ``root``."""
+    glob = "*.{" + ",".join(s[1:] for s in SUFFIXES) + "}"
+    return cells_of(spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", glob).load(root).filter(F.col("length") <= max_bytes))
+
+
+class _Whole(InputPartition):
     def __init__(self, path: str):
         self.path = path
 
 
 class XlsxReader(DataSourceReader):
-    """One partition for each workbook."""
+    """The cells of one workbook on a path that every machine sees; folders and object stores go through ``read_workbooks``."""
 
     def __init__(self, path: str):
         self.path = path
 
     def partitions(self) -> list[InputPartition]:
-        path = self.path.removeprefix("file:")
-        found = [path] if os.path.isfile(path) else sorted(p for p in glob.glob(f"{path}/**/*", recursive=True) if p.lower().endswith(SUFFIXES))
-        return [_File(p) for p in found] or [_File("")]
+        return [_Whole(self.path.removeprefix("file:"))]
 
-    def read(self, partition: _File) -> Iterator[tuple]:
-        if partition.path:
-            with open(partition.path, "rb") as f:
-                for cell in read_cells(f.read()):
-                    yield (partition.path, *cell)
+    def read(self, partition: _Whole) -> Iterator[tuple]:
+        with open(partition.path, "rb") as f:
+            for cell in read_cells(f.read()):
+                yield (partition.path, *cell)
 
 
 class XlsxSource(DataSource):
@@ -90,7 +115,7 @@ class XlsxSource(DataSource):
         return "xlsx_cells"
 
     def schema(self) -> str:
-        return "path string, sheet_no int, sheet string, row int, col int, number double, text string"
+        return CELL_SCHEMA
 
     def reader(self, schema) -> DataSourceReader:
         return XlsxReader(self.options["path"])

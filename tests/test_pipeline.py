@@ -33,7 +33,7 @@ def test_extract(spark):
     parts = {(r.file_id, r.section_no): r for r in out["partials"].collect()}
     assert set(parts) == {(1, 0), (1, 1), (2, 0)} and parts[2, 0].error.startswith("RuntimeError") and parts[1, 0].family == "tax"
     rec = {r.document_type: r for r in out["records"].collect()}
-    assert set(rec) == {"W2", "BALANCE_SHEET"} and "XXX-XX-6789" in rec["W2"].data and rec["W2"].tax_year == 2024 and rec["BALANCE_SHEET"].tax_year == 2025
+    assert set(rec) == {"W2", "BALANCE_SHEET"} and "XXX-XX-6789" in rec["W2"].data and rec["W2"].tax_year == 2024 and rec["BALANCE_SHEET"].tax_year is None
     assert [r.matches for r in out["checks"].collect()] == [False]
     assert sum(r.calls for r in out["usage"].collect()) == 3
 
