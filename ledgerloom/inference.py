@@ -6,6 +6,7 @@ become rows with an error. No endpoint or credential has a default.
 
 from __future__ import annotations
 
+import inspect
 import json
 from dataclasses import dataclass
 from typing import Callable, Iterator
@@ -159,11 +160,12 @@ class Rewriter:
     """A backend that rewrites text, for sanitising by a model.
 
     Each distinct text is asked once, with retries and a budget that follows its length; answers are written before they are
-    read. A text whose calls all fail gets a null answer, and ``error`` says why; ``usage`` sums up calls and retries.
+    read. ``rewrite`` takes the text, and the tokens that the answer may take if it has a second parameter. A text whose calls all fail gets a null answer, and ``error`` says why; ``usage`` sums up calls and retries.
     """
 
-    def __init__(self, rewrite: Callable[[str, int], str], retries: int = 2, chars_per_token: float = 3.5):
-        self._rewrite, self._retries, self._per = rewrite, retries, chars_per_token
+    def __init__(self, rewrite: Callable[..., str], retries: int = 2, chars_per_token: float = 3.5):
+        budgeted = len(inspect.signature(rewrite).parameters) > 1
+        self._rewrite, self._retries, self._per = rewrite if budgeted else lambda text, _: rewrite(text), retries, chars_per_token
         self.usage: DataFrame | None = None
 
     def rewrite(self, df: DataFrame, text_col: str, out: str) -> DataFrame:

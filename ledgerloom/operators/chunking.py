@@ -12,8 +12,8 @@ from pyspark.sql import functions as F
 
 CHARS_PER_TOKEN = 3.5
 OVERLAP = 0.1
-#: A page or sheet marker line.
-PAGE_BREAK = r"(?m)^-{3}\s*(?:PAGE BREAK|PAGE \d+|SHEET: .*?)\s*-{3}[ \t]*$"
+#: A page or sheet marker line, of either line end; lines end at newlines only.
+PAGE_BREAK = r"^-{3}\s*(?:PAGE BREAK|PAGE \d+|SHEET: .*?)\s*-{3}[ \t]*\r?$"
 #: Before a blank line, an account number and a capital.
 ACCOUNT_START = r"\n\s*\n(?=[\w-]{4,15}[ ]+[A-Z])"
 LEDGERS = ("GENERAL_LEDGER", "QB_GENERAL_LEDGER")
@@ -52,7 +52,7 @@ def account_parts(text: Column) -> Column:
 
 
 def page_parts(text: Column) -> Column:
-    return F.filter(F.split(text, PAGE_BREAK), lambda x: F.trim(F.regexp_replace(x, r"\s+", " ")) != "")
+    return F.filter(F.split(text, f"(?dm){PAGE_BREAK}"), lambda x: F.trim(F.regexp_replace(x, r"\s+", " ")) != "")
 
 
 def chunk_array(text: Column, kind: Column, size: Column) -> Column:
@@ -89,7 +89,7 @@ def chunks_of(text: str, kind: str, size: int) -> list[tuple[str, str | None, st
     if kind in LEDGERS and len(starts) > 3:
         heads = [(t, re.match(r"\s*([\w-]{4,15}[ ]+[A-Z])", t)) for t in packed([text[a:b] for a, b in zip(starts, starts[1:])], "")]
         return [(t, re.match(r"\s*([^\n]*)", t)[1].strip(" ")[:80] if m else None, "account") for t, m in heads]
-    pages = [p for p in re.split(PAGE_BREAK, text) if re.sub(r"\s+", " ", p).strip(" ")]
+    pages = [p for p in re.split(f"(?m){PAGE_BREAK}", text) if re.sub(r"\s+", " ", p).strip(" ")]
     if len(pages) >= 2:
         return [(t, None, "page") for t in packed(pages, "\n")]
     step = max(1, int(size * (1 - OVERLAP)))

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import tables as T
+from ..session import written
 
 HEADER_LINES = 20
 
@@ -47,7 +48,11 @@ def sections(pages_df: DataFrame, id_col: str = "file_id") -> DataFrame:
     A page opens a section if its best header is strong and of another type than the current section. A file without one
     is a single UNKNOWN section over all its pages; pages before the first strong header belong to none.
     """
-    scanned = header_scan(pages_df)
+    return sections_of(header_scan(pages_df), id_col)
+
+
+def sections_of(scanned: DataFrame, id_col: str = "file_id") -> DataFrame:
+    """``sections`` of pages whose headers are scanned already."""
     by = Window.partitionBy(id_col).orderBy("position")
     ends = scanned.groupBy(id_col).agg(F.min("position").alias("first"), F.max("position").alias("last"), F.max_by("title", -F.col("position")).alias("first_title"))
     strong = scanned.filter(F.col("header_confidence") >= T.STRONG).withColumn("before", F.lag("header_type").over(by)).filter("before is null or before <> header_type")
@@ -84,3 +89,10 @@ def concat_pages(pages_df: DataFrame, keys: list[str] | None = None) -> DataFram
     kept = pages_df.filter(F.trim(F.regexp_replace("text", r"\s+", " ")) != "")
     marked = F.concat(F.lit("--- PAGE "), F.coalesce(F.col("page").cast("string"), F.lit("?")), F.lit(" ---\n"), F.col("text"))
     return kept.groupBy(*keys).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("position", marked.alias("t")))), lambda x: x["t"]), "\n").alias("text"))
+
+
+def section_texts(files: DataFrame, id_col: str = "file_id") -> DataFrame:
+    """``(id, section_no, document_type, text)`` of every section with text. The scan of the pages is written once, as three steps read it."""
+    scanned = written(header_scan(pages(files, id_col)), "scanned")
+    held = section_pages(scanned.select(id_col, "position", "page", "text"), sections_of(scanned, id_col), id_col)
+    return concat_pages(held, [id_col, "section_no", "document_type"])

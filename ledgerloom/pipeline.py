@@ -37,9 +37,7 @@ class Options:
 
 def section_texts(files: DataFrame) -> DataFrame:
     """``(file_id, section_no, document_type, text)`` of every section with text."""
-    pages = sectionize.pages(files)
-    held = sectionize.section_pages(pages, sectionize.sections(pages))
-    return sectionize.concat_pages(held, ["file_id", "section_no", "document_type"])
+    return sectionize.section_texts(files)
 
 
 def detect(files: DataFrame) -> DataFrame:

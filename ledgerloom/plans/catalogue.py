@@ -121,7 +121,22 @@ def resolve_family(spark: SparkSession, sf: str) -> DataFrame:
     return classify.route_family(_docs(spark, sf)).select("doc_id", "family")
 
 
-@query()
+_ANCHORS_SQL = lambda c: " + ".join(f"CAST(contains(lower({c}), {Q.q(w)}) AS INTEGER)" for w in T.ANCHORS)
+_DENSITY_SQL = lambda c: f"CASE WHEN length({c}) > 0 THEN length(regexp_replace({c}, '[^\\p{{L}}\\p{{N}}]', '', 'g')) / length({c}) END"
+_UNPRINTED_SQL = lambda c: f"CASE WHEN length({c}) > 0 THEN length(regexp_replace({c}, '[^\\p{{Cc}}\\p{{Cs}}\\p{{Co}}]|[\\n\\t\\r]', '', 'g')) / length({c}) END"
+
+
+@query(f"SELECT doc_id, {_DENSITY_SQL('text')} AS density, {_UNPRINTED_SQL('text')} AS unprinted, CAST(coalesce({_ANCHORS_SQL('text')}, 0) AS INTEGER) AS anchors FROM documents")
+def text_quality(spark: SparkSession, sf: str) -> DataFrame:
+    t = F.col("text")
+    return _docs(spark, sf).select("doc_id", X.word_density(t).alias("density"), X.nonprintable_ratio(t).alias("unprinted"), X.anchor_hits(t).alias("anchors"))
+
+
+@query(
+    f"WITH {Q.pages_cte()}, f AS (SELECT file_id, coalesce(string_agg(coalesce(text, ''), chr(10) ORDER BY position) FILTER (position < 2), '') AS t, string_agg(coalesce(text, ''), chr(10) ORDER BY position) AS t3 FROM pg WHERE position < 3 GROUP BY file_id), "
+    f"r AS (SELECT file_id, CASE WHEN length(trim(t)) < {T.TEXT_PAGE_CHARS} THEN 1 WHEN {_UNPRINTED_SQL('t')} > 0.15 THEN 2 WHEN length(t) > 300 AND {_ANCHORS_SQL('t')} < 2 THEN 3 WHEN {_DENSITY_SQL('t3')} < 0.4 THEN 4 ELSE 5 END AS k FROM f) "
+    "SELECT file_id, CASE WHEN k < 4 THEN 'ocr' WHEN k = 4 THEN 'pdfplumber' ELSE 'text' END AS strategy, (['little text', 'unprintable characters', 'no known words', 'sparse layout', 'text layer'])[k] AS reason FROM r"
+)
 def extraction_strategy(spark: SparkSession, sf: str) -> DataFrame:
     return classify.strategy(sectionize.pages(_t(spark, sf, "files")))
 
@@ -184,7 +199,23 @@ def chunk_windows(spark: SparkSession, sf: str) -> DataFrame:
     return _docs(spark, sf).select("doc_id", F.posexplode(chunking.fixed_windows(F.col("text"), F.lit(700))).alias("chunk_index", "text"))
 
 
-@query()
+_SIZE = 2100
+_TIERS_SQL = (
+    "WITH RECURSIVE c AS (SELECT chunk_id AS id, text, coalesce(document_type, '') AS kind FROM chunks WHERE text IS NOT NULL), "
+    "p AS (SELECT *, string_split(regexp_replace(text, '(\\n\\s*\\n)([\\w-]{4,15}[ ]+[A-Z])', '\\1' || chr(1) || '\\2', 'g'), chr(1)) AS accounts, list_filter(string_split_regex(text, "
+    + Q.q(f"(?m){chunking.PAGE_BREAK}")
+    + "), lambda x: trim(regexp_replace(x, '\\s+', ' ', 'g')) <> '') AS pages FROM c), "
+    f"k AS (SELECT id, text, CASE WHEN length(text) <= {_SIZE} THEN 'whole' WHEN kind IN ('GENERAL_LEDGER', 'QB_GENERAL_LEDGER') AND len(accounts) >= 3 THEN 'account' WHEN len(pages) >= 2 THEN 'page' ELSE 'window' END AS tier, accounts, pages FROM p), "
+    "pk AS (SELECT id, tier, CASE tier WHEN 'account' THEN accounts ELSE pages END AS parts, CASE tier WHEN 'account' THEN '' ELSE chr(10) END AS joint, 1 AS i, CAST([] AS VARCHAR[]) AS done, CAST(NULL AS VARCHAR) AS held FROM k WHERE tier IN ('account', 'page') "
+    f"UNION ALL SELECT id, tier, parts, joint, i + 1, CASE WHEN held IS NULL OR length(held || joint || parts[i]) <= {_SIZE} THEN done ELSE list_append(done, held) END, CASE WHEN held IS NOT NULL AND length(held || joint || parts[i]) <= {_SIZE} THEN held || joint || parts[i] ELSE parts[i] END FROM pk WHERE i <= len(parts)), "
+    "l AS (SELECT id, tier, list_append(done, held) AS xs FROM pk WHERE i = len(parts) + 1 UNION ALL SELECT id, tier, [text] FROM k WHERE tier = 'whole' "
+    f"UNION ALL SELECT id, tier, list_transform(range(0, length(text), {int(_SIZE * (1 - chunking.OVERLAP))}), lambda s: substring(text, CAST(s + 1 AS BIGINT), {_SIZE})) FROM k WHERE tier = 'window'), "
+    "x AS (SELECT id, tier, len(xs) AS n, generate_subscripts(xs, 1) AS i, unnest(xs) AS text FROM l) "
+    "SELECT id AS chunk_id, CAST(i - 1 AS INTEGER) AS chunk_index, CAST(n AS INTEGER) AS total_chunks, text, CASE WHEN tier = 'account' AND regexp_matches(text, '^\\s*[\\w-]{4,15}[ ]+[A-Z]') THEN substring(trim(regexp_extract(text, '^\\s*([^\\n]*)', 1)), 1, 80) END AS account_context, tier FROM x"
+)
+
+
+@query(_TIERS_SQL)
 def chunk_tiers(spark: SparkSession, sf: str) -> DataFrame:
     return chunking.chunk(_t(spark, sf, "chunks").select("chunk_id", "text", "document_type"), "chunk_id", max_tokens=600)
 
@@ -776,6 +807,33 @@ def lacerte_1099(spark: SparkSession, sf: str) -> DataFrame:
     return L.import_1099(_orders_as_1099(spark, sf))
 
 
+_NUMBER_OF = lambda n: f"lpad(CAST({_HASH.format('name')} % {10**n} AS VARCHAR), {n}, '0')"
+
+
+@query("SELECT party_id, CASE CAST(" + _H + " % 6 + 6 AS INTEGER) " + " ".join(f"WHEN {n} THEN {_NUMBER_OF(n)}" for n in range(6, 12)) + " END AS number FROM parties")
+def fake_account_number(spark: SparkSession, sf: str) -> DataFrame:
+    return _t(spark, sf, "parties").select("party_id", H.fake_account_number(F.col("name")).alias("number"))
+
+
+@query(
+    "SELECT o_orderkey, CAST(CASE WHEN o_orderkey % 4 = 0 THEN 1999 WHEN TRY_CAST(regexp_extract(e, '^(\\d{4})', 1) AS INTEGER) BETWEEN 2010 AND 2035 THEN TRY_CAST(regexp_extract(e, '^(\\d{4})', 1) AS INTEGER) WHEN TRY_CAST(regexp_extract(s, '^(\\d{4})', 1) AS INTEGER) BETWEEN 2010 AND 2035 THEN TRY_CAST(regexp_extract(s, '^(\\d{4})', 1) AS INTEGER) END AS INTEGER) AS tax_year "
+    "FROM (SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN (2000 + o_orderkey % 40) || '-12-31' ELSE 'n/a' END AS e, CAST(o_orderdate AS DATE) + INTERVAL 7300 DAY AS d, strftime(CAST(o_orderdate AS DATE) + INTERVAL 7300 DAY, '%Y-%m-%d') AS s FROM orders)"
+)
+def period_year(spark: SparkSession, sf: str) -> DataFrame:
+    k = F.col("o_orderkey")
+    end = F.when(k % 3 == 0, F.concat((2000 + k % 40).cast("string"), F.lit("-12-31"))).otherwise("n/a")
+    start = F.date_format(F.date_add(F.col("o_orderdate").cast("date"), 7300), "yyyy-MM-dd")
+    return _t(spark, sf, "orders").select("o_orderkey", X.period_year(F.when(k % 4 == 0, "1999"), end, start).alias("tax_year"))
+
+
+@query(
+    f"WITH {Q.sections_cte()}, j AS (SELECT file_id, section_no, document_type, pg.position, page, text FROM pg JOIN sec USING (file_id) WHERE pg.position BETWEEN start_position AND end_position AND trim(regexp_replace(text, '\\s+', ' ', 'g')) <> '') "
+    "SELECT file_id, section_no, document_type, string_agg('--- PAGE ' || coalesce(CAST(page AS VARCHAR), '?') || ' ---' || chr(10) || text, chr(10) ORDER BY position) AS text FROM j GROUP BY ALL"
+)
+def section_texts(spark: SparkSession, sf: str) -> DataFrame:
+    return sectionize.section_texts(_t(spark, sf, "files"))
+
+
 @query(
     "SELECT txn_id, coalesce(client_code, '') AS entity_name, coalesce(account_number, '') AS account_number, coalesce(account_name, '') AS account_name, coalesce(txn_date, '') AS date, coalesce(txn_type, '') AS type, coalesce(txn_number, '') AS number, "
     "coalesce(name, '') AS name, coalesce(memo, '') AS memo, coalesce(split_account, '') AS split, coalesce(printf('%.2f', debit), '') AS debit, coalesce(printf('%.2f', credit), '') AS credit, coalesce(printf('%.2f', balance), '') AS balance, row_type FROM gl_transactions"
@@ -833,6 +891,53 @@ def word_lines(spark: SparkSession, sf: str) -> DataFrame:
     return S.word_lines(words, ["page"])
 
 
+@query("SELECT l_orderkey AS page, avg(l_discount) AS confidence, avg(l_discount) < 0.05 AS doubtful FROM lineitem GROUP BY 1")
+def page_confidence(spark: SparkSession, sf: str) -> DataFrame:
+    return S.page_confidence(_t(spark, sf, "lineitem").select(F.col("l_orderkey").alias("page"), F.col("l_discount").cast("double").alias("confidence")), ["page"], 0.05)
+
+
+@query("SELECT o_orderkey, concat_ws('  ', o_orderstatus, '', o_orderpriority) || chr(10) || concat_ws('  ', CAST(o_custkey AS VARCHAR), coalesce(o_clerk, '')) AS text FROM (SELECT *, CASE WHEN o_orderkey % 2 = 0 THEN o_orderpriority END AS o_clerk FROM orders)")
+def table_text(spark: SparkSession, sf: str) -> DataFrame:
+    rows = F.array(F.array("o_orderstatus", F.lit(None).cast("string"), "o_orderpriority"), F.array(F.col("o_custkey").cast("string"), F.when(F.col("o_orderkey") % 2 == 0, F.col("o_orderpriority"))))
+    return _t(spark, sf, "orders").select("o_orderkey", S.table_text(rows).alias("text"))
+
+
+@query(
+    "SELECT p_partkey, p_size % 3 = 0 AND p_partkey % 2 = 0 AS bad FROM part"
+)
+def bad_fonts(spark: SparkSession, sf: str) -> DataFrame:
+    """Font listings of a probe: broken where a two-byte font has no character map."""
+    p = F.col("p_partkey")
+    font = F.when(F.col("p_size") % 3 == 0, "Identity-H").otherwise("WinAnsi")
+    listing = F.concat(F.lit("name type encoding emb sub uni object ID\n----\nABC+Font CID TrueType "), font, F.lit(" yes yes "), F.when(p % 2 == 0, "no").otherwise("yes"), F.lit(" 12 0\nOther Type 1 WinAnsi no no no 5 0"))
+    return _t(spark, sf, "part").select("p_partkey", S.bad_fonts(listing).alias("bad"))
+
+
+_MADE_PAGES = "SELECT o_orderkey // 7 AS file, CAST(o_orderkey % 7 AS INTEGER) AS page, CASE WHEN o_orderkey % 3 = 0 THEN '' ELSE repeat(o_orderpriority || ' ', 12) END AS text FROM orders"
+
+
+@query(f"WITH p AS ({_MADE_PAGES}), m AS (SELECT *, length(trim(regexp_replace(text, '\\s+', ' ', 'g'))) >= {T.TEXT_PAGE_CHARS} AS ok FROM p) SELECT file, page, CASE WHEN ok THEN text ELSE 'image ' || file || '/' || page END AS text, CASE WHEN ok THEN 'text' ELSE 'ocr' END AS route FROM m")
+def gathered_pages(spark: SparkSession, sf: str) -> DataFrame:
+    """Text pages from the text reader, the others from the image reader, as one table; the readers here read made-up files."""
+    o = _t(spark, sf, "orders").select(F.expr("o_orderkey div 7").alias("file"), (F.col("o_orderkey") % 7).cast("int").alias("page"), F.when(F.col("o_orderkey") % 3 == 0, "").otherwise(F.repeat(F.concat("o_orderpriority", F.lit(" ")), 12)).alias("text"))
+    files = o.groupBy("file").agg(F.to_json(F.collect_list(F.struct("page", "text"))).cast("binary").alias("content")).select(F.col("file").cast("string").alias("path"), F.to_binary(F.concat(F.lit("{\"file\":"), F.col("file").cast("string"), F.lit(",\"pages\":"), F.col("content").cast("string"), F.lit("}")), F.lit("utf-8")).alias("content"))
+
+    def text_layer(content: bytes) -> list:
+        import json
+
+        return [(p["page"], p["text"], None, None) for p in json.loads(content)["pages"]]
+
+    def images(content: bytes) -> list:
+        import json
+
+        d = json.loads(content)
+        return [(p["page"], f"image {d['file']}/{p['page']}", 0.9, False) for p in d["pages"]]
+
+    S.register_reader("made-text", text_layer)
+    S.register_reader("made-image", images)
+    return S.gather(files, "made-text", "made-image").select(F.col("path").cast("long").alias("file"), "page", "text", "route")
+
+
 @query(f"WITH {Q.pages_cte()}, m AS (SELECT *, {Q.meaningful_length()} AS n FROM pg) SELECT file_id, position, page, CASE WHEN n >= {T.TEXT_PAGE_CHARS} THEN 'text' ELSE 'image' END AS page_type, CASE WHEN n >= {T.TEXT_PAGE_CHARS} THEN 'text' ELSE 'ocr' END AS route FROM m")
 def page_routes(spark: SparkSession, sf: str) -> DataFrame:
     return S.route(_pages(spark, sf)).drop("text")

@@ -4,6 +4,7 @@ import zipfile
 import pytest
 from pyspark.sql import functions as F
 
+from ledgerloom.functions import udtf
 from ledgerloom.sources import files as S
 from ledgerloom.sources import xlsx
 
@@ -32,12 +33,23 @@ def workbook(path, sheets):
 
 def test_workbook(spark, tmp_path):
     workbook(tmp_path / "a.xlsx", {"Export Tips": [["skip me"]], "BS": [["@0"], [None, "Cash", 195243.33, 0.0], [None, " ", None], [None, None, "Sub", 2454.0]], "Empty": [[" "]]})
-    spark.dataSource.register(xlsx.XlsxSource)
-    cells = spark.read.format("xlsx_cells").load(str(tmp_path))
+    (tmp_path / "sub").mkdir()
+    (tmp_path / "sub" / "bad.xlsx").write_bytes(b"no zip")
+    (tmp_path / "note.txt").write_bytes(b"x")
+    cells = xlsx.read_workbooks(spark, str(tmp_path))
+    assert [r.text.split(":")[0] for r in cells.filter("sheet is null").collect()] == ["BadZipFile"]
+    cells = cells.filter("sheet is not null")
     assert cells.count() == 9
+    spark.dataSource.register(xlsx.XlsxSource)
+    one = spark.read.format("xlsx_cells").load(str(tmp_path / "a.xlsx"))
+    assert sorted(map(tuple, one.drop("path").collect()), key=str) == sorted(map(tuple, cells.drop("path").collect()), key=str)
+    udtf.register(spark)
+    spark.read.format("binaryFile").load(str(tmp_path / "a.xlsx")).createOrReplaceTempView("books")
+    sql = spark.sql("SELECT l.sheet, l.row, l.line FROM books, LATERAL xlsx_lines(content) l ORDER BY l.row").collect()
+    assert [tuple(r) for r in sql] == [tuple(r) for r in xlsx.sheet_lines(cells).orderBy("row").select("sheet", "row", "line").collect()]
     assert [r.text for r in xlsx.workbook_text(cells).collect()] == ["--- SHEET: BS ---\nShared\n  Cash\t195243.33\t0\n    Sub\t2454\n"]
     os.makedirs(tmp_path / "none")
-    assert spark.read.format("xlsx_cells").load(str(tmp_path / "none")).count() == 0
+    assert xlsx.read_workbooks(spark, str(tmp_path / "none")).count() == 0
 
 
 def test_files_and_readers(spark, tmp_path):
@@ -59,6 +71,19 @@ def test_files_and_readers(spark, tmp_path):
     assert got == [("a.pdf", 1, "one", None), ("a.pdf", 2, "two", None), ("b.pdf", 0, None, "ValueError: broken")]
     with pytest.raises(KeyError):
         S.read_pages(found, "missing")
+    assert [os.path.basename(r.path) for r in S.in_order(found).collect()] == ["b.pdf", "a.pdf"]
+    long = "words that make a page of text " * 5
+
+    def layer(content):
+        return reader(content) if content == b"bad" else [(1, long, None, None), (2, "", None, None)]
+
+    S.register_reader("layer", layer)
+    S.register_reader("image", lambda content: [(1, "image 1", 0.5, False), (2, "image 2", 0.6, True)])
+    rows = lambda d: sorted((os.path.basename(r.path), r.page or 0, r.text, r.route) for r in d.collect())
+    assert rows(S.gather(found, "layer", "image")) == [("a.pdf", 1, long, "text"), ("a.pdf", 2, "image 2", "ocr"), ("b.pdf", 0, None, "ocr")]
+    assert [r[3] for r in rows(S.gather(found, "layer"))] == ["text", "text", "text"]
+    assert {r[2] for r in rows(S.gather(found, "layer", "image", broken=lambda d: F.lit(True)))} == {"image 1", "image 2", None}
+    assert {r[3] for r in rows(S.gather(found, "layer", vision_reader="image"))} == {"vision"}
 
 
 def test_engines():
