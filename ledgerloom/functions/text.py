@@ -6,6 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from . import tables as T
+from .patterns import may_hit
 
 
 #: White space of every kind, in a form that all engines read alike.
@@ -47,13 +48,17 @@ def anchor_hits(c: Column) -> Column:
     return out
 
 
-def tax_year(c: Column) -> Column:
-    """The year after the first fitting mark that lies in the window, else the first year of this century in the window."""
+def tax_year(c: Column, low: Column | None = None) -> Column:
+    """The year after the first fitting mark that lies in the window, else the first year of this century in the window.
+
+    ``low``: the text in lower case, where it is at hand; marks whose words it lacks aren't searched for.
+    """
     lo, hi = T.YEARS
     tries = []
     for p in T.YEAR_PATTERNS:
         y = F.regexp_extract(c, f"(?id){p}", 1).try_cast("int")
-        tries.append(F.when(y.between(lo, hi), y))
+        near = None if low is None else may_hit(low, p)
+        tries.append(F.when(y.between(lo, hi) if near is None else near & y.between(lo, hi), y))
     rest = F.filter(F.transform(F.regexp_extract_all(c, F.lit(r"\b(20\d{2})\b"), 1), lambda x: x.cast("int")), lambda y: y.between(lo, hi))
     return F.coalesce(*tries, F.get(rest, F.lit(0)))
 

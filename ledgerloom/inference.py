@@ -89,8 +89,8 @@ def token_budget(kind: Column, override: int | None = None) -> Column:
     if override:
         return F.lit(override)
     out = F.lit(T.DEFAULT_BUDGET)
-    for size, kinds in T.BUDGETS.items():
-        out = F.when(kind.isin(*[k.strip() for k in kinds.split("|")]), F.lit(size)).otherwise(out)
+    for size in sorted(set(T.BUDGETS.values())):
+        out = F.when(kind.isin(*[k for k, n in T.BUDGETS.items() if n == size]), F.lit(size)).otherwise(out)
     return out
 
 

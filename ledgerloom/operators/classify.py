@@ -19,7 +19,7 @@ def keyword_types(text: Column) -> Column:
     """All types whose every phrase occurs, in table order."""
     low = F.lower(text)
     labels = []
-    for kind, phrases in T.keywords():
+    for kind, phrases in T.KEYWORDS:
         both = low.contains(phrases[0])
         for p in phrases[1:]:
             both = both & low.contains(p)
@@ -30,7 +30,7 @@ def keyword_types(text: Column) -> Column:
 def _raw_scores() -> dict[str, Column]:
     """Sum of the weights of the type's matching patterns (columns ``_h0, _h1 ...``), at most 1; 0 where none matches."""
     out: dict[str, Column] = {}
-    for i, (kind, weight, _) in enumerate(T.tax_signatures()):
+    for i, (kind, weight, _) in enumerate(T.TAX_SIGNATURES):
         w = F.when(F.col(f"_h{i}"), F.lit(weight)).otherwise(F.lit(0.0))
         out[kind] = out[kind] + w if kind in out else w
     return {k: F.least(c, F.lit(1.0)) for k, c in out.items()}
@@ -44,10 +44,10 @@ def tax_scores(df: DataFrame, text_col: str = "text") -> DataFrame:
     """
     low = F.col("_low")
     raw = df.withColumn("_low", F.lower(F.col(text_col)))
-    kinds = list(dict.fromkeys(k for k, _, _ in T.tax_signatures()))
+    kinds = list(dict.fromkeys(k for k, _, _ in T.TAX_SIGNATURES))
     names = {k: f"_s{i}" for i, k in enumerate(kinds)}
     # a column for each pattern: so wide a projection is compiled in small methods, which the JVM optimises; one fused method isn't
-    hits = {f"_h{i}": hit(low, p) for i, (_, _, p) in enumerate(T.tax_signatures())}
+    hits = {f"_h{i}": hit(low, p) for i, (_, _, p) in enumerate(T.TAX_SIGNATURES)}
     raw = raw.withColumns(hits).withColumns({names[k]: c for k, c in _raw_scores().items()}).drop(*hits)
     s = {k: F.when(F.col(n) > 0, F.col(n)) for k, n in names.items()}
     zero = lambda k: F.col(names[k])
@@ -78,7 +78,7 @@ def record_count(text: Column, kind: Column) -> Column:
 
 
 def issuer(low: Column) -> Column:
-    return F.coalesce(*[F.when(hit(low, p), F.lit(name)) for name, p in T.issuers()])
+    return F.coalesce(*[F.when(hit(low, p), F.lit(name)) for name, p in T.ISSUERS])
 
 
 def detect_tax(df: DataFrame, text_col: str = "text") -> DataFrame:
@@ -90,7 +90,7 @@ def detect_tax(df: DataFrame, text_col: str = "text") -> DataFrame:
     second = F.get(F.filter("_ranked", lambda x: x["type"] != F.col("document_type")), F.lit(0))
     d = d.withColumns(
         {
-            "tax_year": X.tax_year(F.col(text_col)),
+            "tax_year": X.tax_year(F.col(text_col), F.col("_low")),
             "issuer_software": issuer(F.col("_low")),
             "is_summary_sheet": any_hit(F.col("_low"), T.SUMMARY_SIGNS),
             "estimated_record_count": record_count(F.col(text_col), F.col("document_type")),
@@ -111,7 +111,7 @@ def detect_tax(df: DataFrame, text_col: str = "text") -> DataFrame:
 
 def financial_counts(low: Column) -> dict[str, Column]:
     out = {}
-    for kind, patterns in T.financial_signatures():
+    for kind, patterns in T.FINANCIAL_SIGNATURES:
         n = F.lit(0)
         for p in patterns:
             n = n + hit(low, p).cast("int")
@@ -141,7 +141,7 @@ def family(kind: Column, default: str = "unknown") -> Column:
     """Family of a document type; the default differs by use (detection: unknown, routing: tax)."""
     out = F.lit(default)
     for fam, kinds in reversed(T.FAMILIES.items()):
-        out = F.when(kind.isin(*[k.strip() for k in kinds.split("|")]), F.lit(fam)).otherwise(out)
+        out = F.when(kind.isin(*kinds), F.lit(fam)).otherwise(out)
     return out
 
 

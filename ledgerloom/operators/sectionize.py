@@ -35,7 +35,7 @@ def header_scan(pages_df: DataFrame, text_col: str = "text") -> DataFrame:
     best = F.lit(None).cast("string")
     conf = F.lit(0.0)
     # from the least confident and last of the table to the first of the most confident
-    for c, kind, pattern in sorted(reversed(T.headers()), key=lambda x: x[0]):
+    for c, kind, pattern in sorted(reversed(T.HEADERS), key=lambda x: x[0]):
         found = F.col("_head").rlike(f"(?dm){pattern}")
         best = F.when(found, F.lit(kind)).otherwise(best)
         conf = F.when(found, F.lit(c)).otherwise(conf)

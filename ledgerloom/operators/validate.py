@@ -9,7 +9,7 @@ from ..functions import tables as T
 from ..sinks import layouts as L
 
 #: Money texts of these fields are normal in every type; other types' fields stay as they are.
-FINANCIAL = [k.strip() for fam, ks in T.FAMILIES.items() if fam != "tax" for k in ks.split("|")]
+FINANCIAL = [k for fam, ks in T.FAMILIES.items() if fam != "tax" for k in ks]
 
 
 def required(kind: str) -> list[str]:

@@ -13,6 +13,7 @@ from ..functions import tables as T
 from ..functions import text as X
 from ..functions.amounts import parse_amount, parse_amount_map
 from ..operators import chunking, classify, merging, nested, sanitize, sectionize, validate, verify
+from ..session import fan_out
 from ..sinks import layouts as L
 from ..sources import files as S
 from ..sources import xlsx
@@ -72,7 +73,7 @@ for _variant in ("section_group", "section_leaf", "section_empty", "account_bala
 
 
 def _docs(spark: SparkSession, sf: str) -> DataFrame:
-    return _t(spark, sf, "documents").select("doc_id", "text")
+    return fan_out(_t(spark, sf, "documents").select("doc_id", "text"))
 
 
 @query(Q.meaningful())
@@ -145,7 +146,7 @@ def extraction_strategy(spark: SparkSession, sf: str) -> DataFrame:
     "SELECT coalesce(document_type, '') AS document_type, "
     + Q.family_case("document_type", "tax")
     + " AS family, CAST(CASE "
-    + " ".join(f"WHEN document_type IN ({', '.join(Q.q(k.strip()) for k in ks.split('|'))}) THEN {n}" for n, ks in T.BUDGETS.items())
+    + " ".join(f"WHEN document_type = {Q.q(k)} THEN {n}" for k, n in T.BUDGETS.items())
     + f" ELSE {T.DEFAULT_BUDGET} END AS INTEGER) AS max_tokens, count(*) AS n FROM documents GROUP BY ALL"
 )
 def token_budget(spark: SparkSession, sf: str) -> DataFrame:
@@ -158,7 +159,7 @@ def token_budget(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _pages(spark: SparkSession, sf: str) -> DataFrame:
-    return sectionize.pages(_t(spark, sf, "files"))
+    return sectionize.pages(fan_out(_t(spark, sf, "files").select("file_id", "pages")))
 
 
 @query(f"WITH {Q.headers_cte()} SELECT file_id, position, page, title, header_type, header_confidence FROM hs")
@@ -793,10 +794,8 @@ def _orders_as_1099(spark: SparkSession, sf: str) -> DataFrame:
 
 def _line_1099(kind: str) -> str:
     money = "printf('%.2f', CAST(CAST(o_totalprice AS DECIMAL(18,2)) AS DOUBLE))"
-    cells = []
-    for f in L.IMPORT_FORMS[kind].split():
-        known = f[1:] in ("box1_nonemployee_compensation", "box1_interest_income", "box1a_total_ordinary_dividends", "box1_gross_distribution", "state.box6_state_withheld")
-        cells.append(money if f[0] == "$" and known else "'0.00'" if f[0] == "$" else "'TX'" if f == "state_abbr" else "''")
+    known = ("box1_nonemployee_compensation", "box1_interest_income", "box1a_total_ordinary_dividends", "box1_gross_distribution", "state[0].box6_state_withheld")
+    cells = [money if how == "money" and path in known else "'0.00'" if how == "money" else "'TX'" if path == "state[0].state_abbr" else "''" for path, how in L.IMPORT_FORMS[kind]]
     return f"WHEN {Q.q(kind)} THEN concat_ws(chr(9), 'XXXXX' || right(CAST(o_orderkey AS VARCHAR), 4), c_name, lpad(CAST(c_custkey AS VARCHAR), 9, '0'), {', '.join(cells)})"
 
 

@@ -27,8 +27,8 @@ def number(w: float) -> str:
 
 def tax_cte() -> str:
     """``raw`` (sums), then ``fixed`` (after the resolvers): one column s0.. for each type, null where absent."""
-    kinds = list(dict.fromkeys(k for k, _, _ in T.tax_signatures()))
-    sums = {k: " + ".join(f"CASE WHEN {hit(p)} THEN {number(w)} ELSE {number(0.0)} END" for kk, w, p in T.tax_signatures() if kk == k) for k in kinds}
+    kinds = list(dict.fromkeys(k for k, _, _ in T.TAX_SIGNATURES))
+    sums = {k: " + ".join(f"CASE WHEN {hit(p)} THEN {number(w)} ELSE {number(0.0)} END" for kk, w, p in T.TAX_SIGNATURES if kk == k) for k in kinds}
     raw = ", ".join(f"least({number(1.0)}, {s}) AS r{i}" for i, s in enumerate(sums.values()))
     at = {k: f"r{i}" for i, k in enumerate(kinds)}
     fixed = {k: f"CASE WHEN {at[k]} > 0 THEN {at[k]} END" for k in kinds}
@@ -53,7 +53,7 @@ def year_sql(col: str = "text") -> str:
 
 
 def tax_detect() -> str:
-    issuer = "coalesce(" + ", ".join(f"CASE WHEN {hit(p, 'd.low')} THEN {q(n)} END" for n, p in T.issuers()) + ")"
+    issuer = "coalesce(" + ", ".join(f"CASE WHEN {hit(p, 'd.low')} THEN {q(n)} END" for n, p in T.ISSUERS) + ")"
     summary = " OR ".join(hit(p, "d.low") for p in T.SUMMARY_SIGNS)
     ssn = r"regexp_extract_all(d.text, '\b\d{3}-\d{2}-\d{4}\b')"
     return f"""WITH {tax_cte()},
@@ -81,8 +81,8 @@ def tax_scores() -> str:
 
 
 def financial_cte() -> str:
-    counts = ", ".join(f"{' + '.join(f'CAST({hit(p)} AS INTEGER)' for p in ps)} AS n{i}" for i, (_, ps) in enumerate(T.financial_signatures()))
-    names = [k for k, _ in T.financial_signatures()]
+    counts = ", ".join(f"{' + '.join(f'CAST({hit(p)} AS INTEGER)' for p in ps)} AS n{i}" for i, (_, ps) in enumerate(T.FINANCIAL_SIGNATURES))
+    names = [k for k, _ in T.FINANCIAL_SIGNATURES]
     base = names.index("INCOME_STATEMENT")
     cols = [f"CASE WHEN n{i} >= 2 AND n{base} > 0 AND n{i} < n{base} THEN n{base} + 1 ELSE n{i} END AS m{i}" if i < 2 else f"n{i} AS m{i}" for i in range(len(names))]
     best = f"greatest({', '.join(f'm{i}' for i in range(len(names)))})"
@@ -95,7 +95,7 @@ def financial_detect() -> str:
 
 
 def family_case(col: str, default: str) -> str:
-    whens = " ".join(f"WHEN {col} IN ({', '.join(q(k.strip()) for k in ks.split('|'))}) THEN {q(f)}" for f, ks in T.FAMILIES.items())
+    whens = " ".join(f"WHEN {col} IN ({', '.join(map(q, ks))}) THEN {q(f)}" for f, ks in T.FAMILIES.items())
     return f"CASE {whens} ELSE {q(default)} END"
 
 
@@ -131,7 +131,7 @@ SELECT record_id, CAST(i AS INTEGER) AS state_no, concat_ws(chr(9), {', '.join(c
 
 
 def keyword_types() -> str:
-    parts = ", ".join(f"CASE WHEN {' AND '.join(f'contains(low, {q(p)})' for p in ps)} THEN {q(k)} END" for k, ps in T.keywords())
+    parts = ", ".join(f"CASE WHEN {' AND '.join(f'contains(low, {q(p)})' for p in ps)} THEN {q(k)} END" for k, ps in T.KEYWORDS)
     return f"SELECT doc_id, concat_ws(';', {parts}) AS types FROM (SELECT doc_id, lower(text) AS low FROM documents)"
 
 
@@ -149,7 +149,7 @@ def pages_cte() -> str:
 
 
 def headers_cte() -> str:
-    order = sorted(enumerate(T.headers()), key=lambda x: (-x[1][0], x[0]))
+    order = sorted(enumerate(T.HEADERS), key=lambda x: (-x[1][0], x[0]))
     kind = " ".join(f"WHEN regexp_matches(head, {q('(?m)' + p)}) THEN {q(k)}" for _, (_, k, p) in order)
     conf = " ".join(f"WHEN regexp_matches(head, {q('(?m)' + p)}) THEN {number(c)}" for _, (c, _, p) in order)
     return f"""{pages_cte()}, b AS (SELECT *, trim(regexp_replace(coalesce(text, ''), '^\\s+|\\s+$', '', 'g')) AS body FROM pg),
@@ -276,8 +276,7 @@ def exchange() -> str:
     rows = []
     for kind, table in L.EXCHANGE.items():
         payer = "employer.name" if kind == "W2" else "payer.name"
-        for i, x in enumerate(table.split("|")):
-            code, path = x.split()
+        for i, (code, path) in enumerate(table):
             rows.append(f"SELECT record_id, {i} AS ord, {q(code)} AS code, {blank(scalar_at(payer))} AS payer, {import_money(scalar_at(path))} AS amount FROM v WHERE document_type = {q(kind)} AND json_type(v) = 'OBJECT'")
     kinds = ", ".join(map(q, L.EXCHANGE))
     return f"WITH {record_cte(f'document_type IN ({kinds})')} {' UNION ALL '.join(rows)}"

@@ -94,3 +94,13 @@ def spread(df: DataFrame) -> DataFrame:
     """``df`` over all cores: for few bytes that cost much Python time a row, which size-based partitions would put into one task."""
     spark = df.sparkSession
     return df.repartition(max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))))
+
+
+def fan_out(scan: DataFrame) -> DataFrame:
+    """A scan of fewer files than there are cores, dealt over all cores; other scans as they are.
+
+    For steps that cost much time a byte. The files are counted by name, without a job; a large table has files enough and isn't
+    shuffled.
+    """
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan.repartition(cores) if len(scan.inputFiles()) < cores else scan

@@ -34,49 +34,89 @@ BUCKET_FIELDS = {"1_to_30": "days_1_30", "31_to_60": "days_31_60", "61_to_90": "
 
 # --- fixed values: parties and main amount of each tax form -------------------------------------------------------------
 
-TAX_FORMS = """
-W2 | employer | employee | federal.box1_wages | Box 1 wages
-1099-NEC | payer | recipient | box1_nonemployee_compensation | Box 1 nonemployee comp
-1099-MISC | payer | recipient | box1_rents | Box 1 rents
-1099-INT | payer | recipient | box1_interest_income | Box 1 interest
-1099-DIV | payer | recipient | box1a_total_ordinary_dividends | Box 1a ordinary dividends
-1099-B | payer | recipient | summary.total_proceeds | Total proceeds
-1099-R | payer | recipient | box1_gross_distribution | Box 1 gross distribution
-1099-G | payer | recipient | box1_unemployment_compensation | Box 1 unemployment
-1099-SA | payer | recipient | box1_gross_distribution | Box 1 gross distribution
-1099-K | payer | recipient | box1a_gross_payment_card_transactions | Box 1a gross payments
-1099-S | filer | transferor | box2_gross_proceeds | Box 2 gross proceeds
-1099-C | creditor | debtor | box2_amount_of_debt_discharged | Box 2 debt discharged
-1099-A | lender | borrower | box2_balance_of_principal_outstanding | Box 2 principal
-1098 | recipient | payer | box1_mortgage_interest | Box 1 mortgage interest
-1098-T | filer | student | box1_payments_received | Box 1 tuition payments
-1098-E | recipient | borrower | box1_student_loan_interest | Box 1 student loan interest
-SSA-1099 | payer | beneficiary | box5_net_benefits | Box 5 net benefits
-RRB-1099 | payer | recipient | box1_railroad_retirement_tier1 | Box 1 tier 1
-K-1 1065 | partnership | partner | box1_ordinary_business_income | Box 1 ordinary bus. income
-K-1 1120-S | corporation | shareholder | box1_ordinary_business_income | Box 1 ordinary bus. income
-K-1 1041 | estate_or_trust | beneficiary | box1_interest_income | Box 1 interest income
-"""
+#: (type, party that pays, party that receives, path of the main amount, its label)
+TAX_FORMS = (
+    ("W2", "employer", "employee", "federal.box1_wages", "Box 1 wages"),
+    ("1099-NEC", "payer", "recipient", "box1_nonemployee_compensation", "Box 1 nonemployee comp"),
+    ("1099-MISC", "payer", "recipient", "box1_rents", "Box 1 rents"),
+    ("1099-INT", "payer", "recipient", "box1_interest_income", "Box 1 interest"),
+    ("1099-DIV", "payer", "recipient", "box1a_total_ordinary_dividends", "Box 1a ordinary dividends"),
+    ("1099-B", "payer", "recipient", "summary.total_proceeds", "Total proceeds"),
+    ("1099-R", "payer", "recipient", "box1_gross_distribution", "Box 1 gross distribution"),
+    ("1099-G", "payer", "recipient", "box1_unemployment_compensation", "Box 1 unemployment"),
+    ("1099-SA", "payer", "recipient", "box1_gross_distribution", "Box 1 gross distribution"),
+    ("1099-K", "payer", "recipient", "box1a_gross_payment_card_transactions", "Box 1a gross payments"),
+    ("1099-S", "filer", "transferor", "box2_gross_proceeds", "Box 2 gross proceeds"),
+    ("1099-C", "creditor", "debtor", "box2_amount_of_debt_discharged", "Box 2 debt discharged"),
+    ("1099-A", "lender", "borrower", "box2_balance_of_principal_outstanding", "Box 2 principal"),
+    ("1098", "recipient", "payer", "box1_mortgage_interest", "Box 1 mortgage interest"),
+    ("1098-T", "filer", "student", "box1_payments_received", "Box 1 tuition payments"),
+    ("1098-E", "recipient", "borrower", "box1_student_loan_interest", "Box 1 student loan interest"),
+    ("SSA-1099", "payer", "beneficiary", "box5_net_benefits", "Box 5 net benefits"),
+    ("RRB-1099", "payer", "recipient", "box1_railroad_retirement_tier1", "Box 1 tier 1"),
+    ("K-1 1065", "partnership", "partner", "box1_ordinary_business_income", "Box 1 ordinary bus. income"),
+    ("K-1 1120-S", "corporation", "shareholder", "box1_ordinary_business_income", "Box 1 ordinary bus. income"),
+    ("K-1 1041", "estate_or_trust", "beneficiary", "box1_interest_income", "Box 1 interest income"),
+)
 
 # --- fixed values: federal boxes and import fields ----------------------------------------------------------------------
 
 FEDERAL = "box1_wages box2_federal_withheld box3_ss_wages box4_ss_withheld box5_medicare_wages box6_medicare_withheld box7_ss_tips box8_allocated_tips box10_dependent_care box11_nonqualified_plans".split()
+#: Fields of a line after the parties: (path, how it is written).
 IMPORT_FORMS = {
-    "1099-NEC": "$box1_nonemployee_compensation $box4_federal_withheld state_abbr state_id $state.box5_state_income $state.box6_state_withheld",
-    "1099-INT": "$box1_interest_income $box2_early_withdrawal_penalty $box3_us_savings_bond_interest $box4_federal_withheld $box8_tax_exempt_interest state_abbr state_id $state.box16_state_income $state.box17_state_withheld",
-    "1099-DIV": "$box1a_total_ordinary_dividends $box1b_qualified_dividends $box2a_total_capital_gain $box4_federal_withheld $box5_section199a_dividends state_abbr state_id $state.box14_state_income $state.box15_state_withheld",
-    "1099-R": "$box1_gross_distribution $box2a_taxable_amount $box4_federal_withheld box7_distribution_code ?box7_ira_sep_simple - box15_state_id $box14_state_withheld $box16_state_distribution",
+    "1099-NEC": (
+        ("box1_nonemployee_compensation", "money"),
+        ("box4_federal_withheld", "money"),
+        ("state[0].state_abbr", "text"),
+        ("state[0].state_id", "text"),
+        ("state[0].box5_state_income", "money"),
+        ("state[0].box6_state_withheld", "money"),
+    ),
+    "1099-INT": (
+        ("box1_interest_income", "money"),
+        ("box2_early_withdrawal_penalty", "money"),
+        ("box3_us_savings_bond_interest", "money"),
+        ("box4_federal_withheld", "money"),
+        ("box8_tax_exempt_interest", "money"),
+        ("state[0].state_abbr", "text"),
+        ("state[0].state_id", "text"),
+        ("state[0].box16_state_income", "money"),
+        ("state[0].box17_state_withheld", "money"),
+    ),
+    "1099-DIV": (
+        ("box1a_total_ordinary_dividends", "money"),
+        ("box1b_qualified_dividends", "money"),
+        ("box2a_total_capital_gain", "money"),
+        ("box4_federal_withheld", "money"),
+        ("box5_section199a_dividends", "money"),
+        ("state[0].state_abbr", "text"),
+        ("state[0].state_id", "text"),
+        ("state[0].box14_state_income", "money"),
+        ("state[0].box15_state_withheld", "money"),
+    ),
+    "1099-R": (
+        ("box1_gross_distribution", "money"),
+        ("box2a_taxable_amount", "money"),
+        ("box4_federal_withheld", "money"),
+        ("box7_distribution_code", "text"),
+        ("box7_ira_sep_simple", "flag"),
+        ("", "blank"),
+        ("box15_state_id", "text"),
+        ("box14_state_withheld", "money"),
+        ("box16_state_distribution", "money"),
+    ),
 }
+#: (code, path)
 EXCHANGE = {
-    "W2": "0511 federal.box1_wages | 0512 federal.box2_federal_withheld | 0513 federal.box3_ss_wages | 0514 federal.box4_ss_withheld | 0515 federal.box5_medicare_wages | 0516 federal.box6_medicare_withheld",
-    "1099-INT": "0612 box1_interest_income | 0613 box2_early_withdrawal_penalty | 0614 box3_us_savings_bond_interest | 0617 box4_federal_withheld | 0620 box8_tax_exempt_interest",
-    "1099-DIV": "0624 box1a_total_ordinary_dividends | 0625 box1b_qualified_dividends | 0627 box2a_total_capital_gain | 0630 box4_federal_withheld",
-    "1099-R": "0521 box1_gross_distribution | 0522 box2a_taxable_amount | 0523 box4_federal_withheld",
+    "W2": (("0511", "federal.box1_wages"), ("0512", "federal.box2_federal_withheld"), ("0513", "federal.box3_ss_wages"), ("0514", "federal.box4_ss_withheld"), ("0515", "federal.box5_medicare_wages"), ("0516", "federal.box6_medicare_withheld")),
+    "1099-INT": (("0612", "box1_interest_income"), ("0613", "box2_early_withdrawal_penalty"), ("0614", "box3_us_savings_bond_interest"), ("0617", "box4_federal_withheld"), ("0620", "box8_tax_exempt_interest")),
+    "1099-DIV": (("0624", "box1a_total_ordinary_dividends"), ("0625", "box1b_qualified_dividends"), ("0627", "box2a_total_capital_gain"), ("0630", "box4_federal_withheld")),
+    "1099-R": (("0521", "box1_gross_distribution"), ("0522", "box2a_taxable_amount"), ("0523", "box4_federal_withheld")),
 }
 
 
-def forms() -> list[list[str]]:
-    return [[x.strip() for x in ln.split("|")] for ln in TAX_FORMS.strip().split("\n")]
+def forms() -> tuple[tuple[str, ...], ...]:
+    return TAX_FORMS
 
 
 @F.pandas_udf(T.StringType())
@@ -183,18 +223,17 @@ def import_1099(records: DataFrame) -> DataFrame:
     """``(record_id, line)`` of 1099-NEC, INT, DIV and R; state fields from the first state row."""
     d = parsed(records.filter(F.col("document_type").isin(*IMPORT_FORMS)))
 
-    def cell(f: str) -> Column:
-        if f == "-":
+    def cell(path: str, how: str) -> Column:
+        if how == "blank":
             return F.lit("")
-        if f[0] == "?":
-            return F.when(at(f[1:], "boolean"), "Y").otherwise("")
-        path = f.lstrip("$").replace("state.", "state[0].") if f != "state_abbr" and f != "state_id" else f"state[0].{f}"
-        return import_money_text(at(path)) if f[0] == "$" else _blank(at(path))
+        if how == "flag":
+            return F.when(at(path, "boolean"), "Y").otherwise("")
+        return import_money_text(at(path)) if how == "money" else _blank(at(path))
 
     party = [masked_last4(at("recipient.tin_last4")), _blank(at("payer.name")), _blank(at("payer.tin"))]
     line = F.lit(None).cast("string")
     for kind, fields in IMPORT_FORMS.items():
-        line = F.when(F.col("document_type") == kind, F.concat_ws("\t", *party, *[cell(f) for f in fields.split()])).otherwise(line)
+        line = F.when(F.col("document_type") == kind, F.concat_ws("\t", *party, *[cell(*f) for f in fields])).otherwise(line)
     return d.select("record_id", line.alias("line"))
 
 
@@ -210,8 +249,7 @@ def exchange_records(records: DataFrame) -> DataFrame:
     d = parsed(records.filter(F.col("document_type").isin(*EXCHANGE)))
     entries = F.lit(None).cast("array<struct<code:string,amount:string>>")
     for kind, table in EXCHANGE.items():
-        items = [x.split() for x in table.split("|")]
-        entries = F.when(F.col("document_type") == kind, F.array(*[F.struct(F.lit(c).alias("code"), import_money_text(at(p)).alias("amount")) for c, p in items])).otherwise(entries)
+        entries = F.when(F.col("document_type") == kind, F.array(*[F.struct(F.lit(c).alias("code"), import_money_text(at(p)).alias("amount")) for c, p in table])).otherwise(entries)
     payer = F.when(F.col("document_type") == "W2", at("employer.name")).otherwise(at("payer.name"))
     return d.select("record_id", _blank(payer).alias("payer"), F.posexplode(entries).alias("ord", "e")).select("record_id", "ord", "e.code", "payer", "e.amount")
 

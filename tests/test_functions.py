@@ -20,12 +20,23 @@ def test_parse_amount(spark, value, want):
     assert one(spark, value, amounts.parse_amount) == (None if want is None else Decimal(want))
 
 
-def test_required_literal():
-    for p, want in [(r"nonemployee\s+compensation", "compensation"), (r"form\s+w-?2\b", "form"), (r"(?:ytd|x)\s+b", "b"), (r"a|bc", ""), (r"soc(?:ial)?x*", "soc"), (r"net\s+benefits\s+for\s+\d{4}", "benefits"), (r"1099.nec\b", "1099")]:
-        assert patterns.required_literal(p) == want, p
-    for _, _, p in tables.tax_signatures():
-        lit = patterns.required_literal(p)
-        assert lit and re.sub(r"\W", "", lit)
+def test_required_literals():
+    wanted = {
+        r"nonemployee\s+compensation": (("compensation",), ("nonemployee",)),
+        r"form\s+w-?2\b": (("form",),),
+        r"(?:ytd|year.to.date)\s+(?:actual|budget)": (("actual", "budget"),),
+        r"(?:ytd|x)\s+b": (),
+        r"abc|bcd": (("abc", "bcd"),),
+        r"soc(?:ial)?x*": (("soc",),),
+        r"(?:abc)+d{0,2}(?!xyz)": (("abc",),),
+        r"net\s+benefits\s+for\s+\d{4}": (("benefits",), ("for",), ("net",)),
+    }
+    for p, want in wanted.items():
+        assert sorted(patterns.required(p)) == sorted(want), p
+    texts = ["form w2 2024", "ytd  actual", "year to date budget", "1099-nec", "total assets", ""]
+    for p in [p for _, _, p in tables.TAX_SIGNATURES] + [p for _, ps in tables.FINANCIAL_SIGNATURES for p in ps]:
+        for t in texts:
+            assert not re.search(p, t) or all(any(x in t for x in g) for g in patterns.required(p)), (p, t)
 
 
 @pytest.mark.parametrize("seed", ["123-45-6789", "(415) 555-1234", "456 Elm St", "", "ñ"])
@@ -54,3 +65,9 @@ def test_text(spark):
     assert one(spark, "ab\u0001\n", text.nonprintable_ratio) == 0.25
     assert one(spark, 0.125, text.percent_text, "double") == "12%"
     assert one(spark, 1234.5, amounts.money_text, "double") == "1234.50" and one(spark, "x", amounts.money_text) == "x" and one(spark, "x", amounts.import_money_text) == "0.00"
+
+
+@pytest.mark.parametrize("seed", ["123-45-6789", "(415) 555-1234", "456 Elm St", "", "ñ"])
+def test_single_texts_have_the_same_replacements(spark, seed):
+    for column, text in ((hashing.fake_ssn, hashing.ssn_of), (hashing.fake_phone, hashing.phone_of), (hashing.fake_name, hashing.name_of), (hashing.fake_address, hashing.address_of)):
+        assert one(spark, seed, column) == text(seed)

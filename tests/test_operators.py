@@ -189,3 +189,113 @@ def test_inference(spark):
     assert {r.id: r.max_tokens for r in df.collect()} == {1: 2048, 2: 8000, 3: 4096}
     got = {r.id: (r.json, r.error) for r in I.infer(df, stub, ["id"]).collect()}
     assert got == {1: ('{"p": "a"}', None), 2: (None, "empty prompt"), 3: ('{"p": "b"}', None)}
+
+
+# --- record trees -----------------------------------------------------------------------------------------------------
+
+
+def test_sanitised_trees(spark):
+    import json
+
+    from ledgerloom.functions import hashing as H
+
+    record = {
+        "document_type": "call 415-555-1234", "entity": {"name": "Ann", "address": "1 Oak St", "phone": "415-555-1234"}, "rows": ["415-555-1234", {"name": "Ann", "label": "123-45-6789", "ssn_last4": "XXX-XX-1234"}, 5, None, True],
+        "name": " ", "address": 7, "123-45-6789": "x 123-45-6789", "description": {"name": "Bob"},
+    }
+    got, log = Z.sanitized_tree(record)
+    phone = H.phone_of("415-555-1234")
+    assert got["document_type"] == record["document_type"] and got["name"] == " " and got["address"] == 7 and got["description"] == {"name": "Bob"}
+    assert got["entity"] == {"name": H.name_of("Ann"), "address": H.address_of("1 Oak St"), "phone": phone}
+    assert got["rows"] == [phone, {"name": H.name_of("Ann"), "label": "123-45-6789", "ssn_last4": "XXX-XX-" + H.ssn_of("XXX-XX-1234")[-4:]}, 5, None, True]
+    assert got["123-45-6789"] == "x " + H.ssn_of("123-45-6789")
+    assert [x[2] for x in log] == ["name", "address", "phone", "ssn", "ssn"] and list(got) == list(record)
+    df = spark.createDataFrame([(json.dumps(record),), ("note " + json.dumps({"name": "Ann"}) + " end",), (None,), ("broken {",)], "data string")
+    rows = Z.sanitize_trees(df).collect()
+    assert json.loads(rows[0].sanitized) == got and [tuple(r) for r in rows[1].replacements] == [("Ann", H.name_of("Ann"), "name")] and (rows[2].sanitized, rows[3].replacements) == (None, None)
+    text = spark.createDataFrame([("Ann Annex Ann",)], "t string").select(Z.apply_replacements(F.col("t"), F.expr("array(named_struct('original', 'Ann', 'replacement', 'X', 'kind', ''), named_struct('original', 'Annex', 'replacement', 'Y', 'kind', ''))")).alias("t"))
+    assert text.first().t == "X Y X"
+
+
+def test_model_sanitising_of_trees(spark):
+    from ledgerloom.inference import Rewriter
+
+    df = spark.createDataFrame([(1, '{"name": "Ann", "memo": "of Bob"}'), (2, '{"memo": "fails"}'), (3, None)], "id long, data string")
+
+    def model(text, tokens):
+        if "fails" in text:
+            raise RuntimeError("down")
+        return "Sure: " + text.replace("Bob", "[NAME]")
+
+    up = Rewriter(model, retries=1)
+    got = {r.id: r.sanitized for r in Z.sanitize_trees(df, "hybrid", up).collect()}
+    assert "[NAME]" in got[1] and "Ann" not in got[1] and got[2] == '{"memo": "fails"}' and got[3] is None
+    assert tuple(up.usage.first()) == (2, 1, 1)
+    assert "Ann" in {r.id: r.sanitized for r in Z.sanitize_trees(df, "llm", up).collect()}[1]
+    for bad in (("llm", None), ("other", up)):
+        with pytest.raises(ValueError):
+            Z.sanitize_trees(df, *bad)
+
+
+def test_redaction_leaves_field_names(spark):
+    got = Z.redact_records(spark.createDataFrame([('{"123-45-6789": ["123-45-6789", {"a": "12-3456789"}]}',), (None,)], "m string"), ["m"]).collect()
+    assert [r.m for r in got] == ['{"123-45-6789": ["XXX-XX-6789", {"a": "12-3456789"}]}', None]
+
+
+def test_pages_without_a_number_come_last(spark):
+    rows = [(1, [(None, "x"), (2, "b"), (None, "y"), (1, None)]), (2, None), (3, [])]
+    got = [(r.file_id, r.position, r.page, r.text) for r in S.pages(spark.createDataFrame(rows, "file_id long, pages array<struct<page:int,text:string>>")).orderBy("file_id", "position").collect()]
+    assert got == [(1, 0, 1, None), (1, 1, 2, "b"), (1, 2, None, "x"), (1, 3, None, "y")]
+    assert S.concat_pages(S.pages(spark.createDataFrame(rows, "file_id long, pages array<struct<page:int,text:string>>"))).first().text == "--- PAGE 2 ---\nb\n--- PAGE ? ---\nx\n--- PAGE ? ---\ny"
+
+
+def test_table_function_gives_the_same_chunks(spark):
+    from ledgerloom.functions import udtf
+
+    udtf.register(spark)
+    ledger = "".join(f"\n\n10{i}0-0000 Cash\n{'entry ' * 60}" for i in range(10, 16))
+    paged = "".join(f"--- PAGE {i} ---\r\n{'word ' * 40}\n" for i in range(1, 8))
+    rows = [(1, ledger, "GENERAL_LEDGER"), (2, paged, None), (3, "x" * 2000, "GENERAL_LEDGER"), (4, "", "A"), (5, None, "A"), (6, ledger, "OTHER"), (7, "short", None), (8, "a\x00b" * 300, None)]
+    df = spark.createDataFrame(rows, "id long, text string, document_type string")
+    df.createOrReplaceTempView("texts")
+    want = sorted(map(tuple, C.chunk(df, "id", max_tokens=100).select("id", "chunk_index", "total_chunks", "text", "account_context", "tier").collect()))
+    got = sorted(map(tuple, spark.sql("SELECT id, c.* FROM texts, LATERAL chunk_text(text, document_type, 100) c").collect()))
+    assert got == want and {r[5] for r in got} == {"account", "page", "window", "whole"}
+
+
+def test_answers_are_validated_before_and_after_redaction():
+    from ledgerloom import inference as I
+    from ledgerloom.operators import validate
+
+    asked = []
+
+    def backend(prompt, tokens):
+        asked.append(prompt)
+        return I.Answer('{"employer": "x"}' if len(asked) == 1 else '{"employer": {"tin": "123-45-6789"}, "employee": {}}')
+
+    text, _, _, _, retries, error = I.ask(backend, "p", 10, 2, "W2", True)
+    assert text == '{"employer": {"tin": "XXX-XX-6789"}, "employee": {}}' and retries == 1 and error is None and "missing employer; missing employee" in asked[1]
+    assert I.ask(lambda p, n: I.Answer("{}"), "p", 10, 0, "BALANCE_SHEET")[5] == "missing entity.name" and I.ask(lambda p, n: I.Answer("{}"), "p", 10, 0)[5] is None
+    assert all(I.schema_hint(k).startswith("{") for k in ("W2", "1099-B", "K-1 1041", "BALANCE_SHEET", "GENERAL_LEDGER", "RESERVE_ALLOCATION")) and I.schema_hint("X") == ""
+    assert validate.problems_of([], "W2") == ["no record"]
+
+
+def test_statements_are_verified_and_derived(spark):
+    import json
+
+    from ledgerloom import pipeline as P
+    from ledgerloom.sinks import layouts as L
+
+    acc = lambda n, v: {"account_name": n, "balance": v}
+    section = {"section_name": "S", "accounts": [acc("a", "10.00")], "section_total": 10, "subsections": [{"section_name": "T", "accounts": [acc("b", 99)], "section_total": 98}]}
+    sheet = {"total_assets": 50, "assets": {"total_assets": 7}, "liabilities": {"total_liabilities": 20}, "equity": {"sections": [section], "total_equity_reported": None, "total_equity": "30.00"}}
+    rows = [
+        (1, "BALANCE_SHEET", json.dumps(sheet)), (2, "INCOME_STATEMENT", '{"income": {"total": 9}, "total_expenses": 4}'), (3, "INCOME_STATEMENT", '{"income": {"total": 9}}'),
+        (4, "RESERVE_ALLOCATION", '{"components": [{"current_balance": 5}, {"current_balance": null}], "bank_accounts": [{"balance": "2"}]}'), (5, "BALANCE_SHEET", None), (6, "BALANCE_SHEET", "{}"),
+    ]
+    r = spark.createDataFrame(rows, "record_id long, document_type string, data string")
+    out = {k: {x.record_id: x for x in d.collect()} for k, d in P.verified(L.parsed(r), r).items() if k != "checks"}
+    d = out["derived"]
+    assert (d[1].retained_earnings, d[2].net_income, d[3].net_income, d[4].reserve_total, d[4].bank_total, d[6].retained_earnings) == (20, 5, None, 5, 2, 0) and 5 not in d
+    assert out["equation"][1].balanced and out["equation"][6].balanced is None
+    assert (out["verified"][1].n_checked, out["verified"][1].n_mismatches, out["verified"][1].verified) == (2, 1, False) and out["verified"][3].verified
