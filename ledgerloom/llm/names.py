@@ -360,6 +360,7 @@ def entities(df: DataFrame, more: DataFrame | None = None, id_col: str = "party_
     evidence = rows.select("node", F.explode(F.array(F.concat(F.lit("t"), "phone"), F.concat(F.lit("n"), "l4"), F.concat(F.lit("a"), "place"))).alias("ev")).filter("ev is not null").distinct()
     evidence = Written(evidence, "evidence").df
     numbered = rows.filter("l4 is not null").select("node", "l4").distinct()
+    marked = Written(forms.select("node", F.nullif("mid", F.lit("")).alias("mid")).join(numbered, "node", "left"), "marks").df
     keyed = Written(_keyed(forms), "keys").df
     alone = keyed.select("node", F.explode("alone").alias("key")).select("node", F.xxhash64("key").alias("key"))
     beside = keyed.select("node", F.explode("beside").alias("key"))
@@ -376,8 +377,7 @@ def entities(df: DataFrame, more: DataFrame | None = None, id_col: str = "party_
     # ends: each round with links unites at least two profiles, takes none apart, and leaves no link that a veto refuses to be found again
     while True:
         p = label.df
-        marks = p.join(forms.select("node", F.nullif("mid", F.lit("")).alias("mid")), "node").join(numbered, "node", "left")
-        marks = marks.groupBy("profile").agg(F.min("mid").alias("m1"), F.max("mid").alias("m2"), F.min("l4").alias("n1"), F.max("l4").alias("n2"), F.count("*").alias("n"))
+        marks = p.join(marked, "node").groupBy("profile").agg(F.min("mid").alias("m1"), F.max("mid").alias("m2"), F.min("l4").alias("n1"), F.max("l4").alias("n2"), F.count("*").alias("n"))
         of = lambda n: p.withColumnsRenamed({"node": n, "profile": f"p{n}"})
         fit = edges.join(of("a"), "a").join(of("b"), "b").filter("pa <> pb").withColumn("ps", F.expr("if(short = a, pa, if(short = b, pb, null))"))
         fit = fit.groupBy(F.least("pa", "pb").alias("pa"), F.greatest("pa", "pb").alias("pb")).agg(F.max("sure").alias("sure"), F.max("ps").alias("short"), F.max("backed").alias("backed"))
@@ -395,7 +395,7 @@ def entities(df: DataFrame, more: DataFrame | None = None, id_col: str = "party_
         merged = Written(_without_conflict(links), "merged", moved=F.col("id") != F.col("root"))
         if not merged.seen["moved"]:
             return members(p)
-        label = Written(p.join(merged.df, p["profile"] == merged.df["id"], "left").select("node", F.coalesce("root", "profile").alias("profile")), "profiles")
+        old, label = label, Written(p.join(merged.df, p["profile"] == merged.df["id"], "left").select("node", F.coalesce("root", "profile").alias("profile")), "profiles")
         # the merged profiles enter again: every spelling of a profile meets every phone, number and place of the profile
         grown = label.df.join(merged.df.filter("id <> root").select(F.col("root").alias("profile")).distinct(), "profile", "left_semi")
         spelt = grown.join(beside, "node").select("profile", "key").distinct()
@@ -407,6 +407,8 @@ def entities(df: DataFrame, more: DataFrame | None = None, id_col: str = "party_
         near = near.join(spelling.withColumnRenamed("node", "x"), ["profile", "key"]).join(spelling.select(F.col("node").alias("y"), F.col("profile").alias("other"), "key"), ["other", "key"])
         near = near.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct().withColumn("evidence", F.lit(True))
         edges = edges.unionByName(Written(_fitting(near, forms), "edges").df)
+        for done in (old, found, merged):
+            done.drop()
 
 
 def _divide(edges: pd.DataFrame) -> pd.DataFrame:

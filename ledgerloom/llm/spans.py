@@ -301,12 +301,24 @@ def without_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     return held.mapInArrow(cut, f"id {kind}, text string, removed_chars int").withColumnRenamed("id", id_col)
 
 
+#: Ranges are first united within stretches of so many characters, so that a long text's ranges don't meet in one task one by one.
+STRETCH = 65_536
+
+
 def merge_ranges(ranges: DataFrame) -> DataFrame:
-    """``(doc, start_char, end_char)``: the union of each document's ranges ``(s, e)`` as maximal runs."""
-    order = Window.partitionBy("doc").orderBy("s", "e")
-    before = F.max("e").over(order.rowsBetween(Window.unboundedPreceding, -1))
-    run = F.sum(F.when(F.col("s") <= F.col("before"), 0).otherwise(1)).over(order)
-    return ranges.withColumn("before", before).withColumn("run", run).groupBy("doc", "run").agg(F.min("s").cast("int").alias("start_char"), F.max("e").cast("int").alias("end_char")).drop("run")
+    """``(doc, start_char, end_char)``: the union of each document's ranges ``(s, e)`` as maximal runs.
+
+    Ranges unite by the stretch of the text in which they begin, then the few runs of each stretch by document.
+    """
+
+    def united(r: DataFrame, *by: str) -> DataFrame:
+        order = Window.partitionBy(*by).orderBy("s", "e")
+        before = F.max("e").over(order.rowsBetween(Window.unboundedPreceding, -1))
+        run = F.sum(F.when(F.col("s") <= F.col("before"), 0).otherwise(1)).over(order)
+        return r.withColumn("before", before).withColumn("run", run).groupBy(*by, "run").agg(F.min("s").alias("s"), F.max("e").alias("e")).drop("run")
+
+    parts = united(ranges.select("doc", "s", "e", F.expr(f"s div {STRETCH}").alias("stretch")), "doc", "stretch")
+    return united(parts.drop("stretch"), "doc").select("doc", F.col("s").cast("int").alias("start_char"), F.col("e").cast("int").alias("end_char"))
 
 
 def shared_shares(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
