@@ -97,3 +97,28 @@ def test_command_line(spark, tmp_path, capsys):
         assert cli.main([what, src, str(tmp_path / what)]) == 0
     assert spark.read.parquet(str(tmp_path / "detect")).count() == 2
     assert cli.main(["capabilities"]) == 0 and "formats" in capsys.readouterr().out
+
+
+def test_extract_and_batch_on_the_command_line(spark, tmp_path, capsys):
+    src = str(tmp_path / "files")
+    files(spark).write.parquet(src)
+    backend = ["--backend", "tests.stub_backend:answer", "--retries", "0"]
+    assert cli.main(["extract", src, str(tmp_path / "out"), *backend]) == 0
+    read = lambda name: spark.read.parquet(str(tmp_path / name))
+    assert [(r.document_type, r.tax_year) for r in read("out/records").collect()] == [("BALANCE_SHEET", 2023)] and read("out/partials").count() == 3
+    assert [r.verified for r in read("out/verified").collect()] == [True]
+    folder = tmp_path / "pdf"
+    folder.mkdir()
+    text = "Balance Sheet\n" + "Total assets " * 10
+    for name, content in (("a.pdf", text.encode()), ("bad.pdf", b"bad"), ("blank.pdf", b" "), ("note.txt", b"x")):
+        (folder / name).write_bytes(content)
+    args = ["batch", str(folder), str(tmp_path / "batch"), "--reader", "stub-pages", "--plugin", "tests.stub_backend", *backend, "--no-verify", "--format", "csv"]
+    assert cli.main(args) == 0
+    assert sorted((r.path.rsplit("/", 1)[1], r.error) for r in read("batch/errors").collect()) == [("bad.pdf", "ValueError: unreadable"), ("blank.pdf", "no text")]
+    csv = spark.read.option("header", True).csv(str(tmp_path / "batch" / "csv" / "accounts")).collect()
+    assert [(r.row_type, r.account_name, r.balance) for r in csv] == [("account", "a", "5.00"), ("subtotal", "Total Cash", "5.00"), ("total", "Total Assets", "5.00")]
+    records = str(tmp_path / "records")
+    P.formattable(read("out/records")).write.parquet(records)
+    assert cli.main(["verify", records, str(tmp_path / "v")]) == 0 and read("v/checks").first().matches
+    assert cli.main(["sanitize-records", records, str(tmp_path / "s")]) == 0 and json.loads(read("s").first().sanitized)["entity"]["name"] != "E"
+    assert cli.main([*args[:3], "--reader", "nobody", *backend]) == 1 and "nobody" in capsys.readouterr().err
