@@ -10,6 +10,9 @@ The index reaches all that the comparison accepts: of a street's words at least
 letters and more may have two edits, one of fewer one; a postal code without a city to back it may have digits swapped. A
 form with the code alone meets forms with the city alone by the city that the code has most often elsewhere, and a form with
 neither meets all forms of its hard parts and street.
+
+Every join is asked to be a sort-merge join. The sides grow with the rows, and a broadcast is built on the driver from sizes
+that say little: those of packed files before words and blocks are exploded.
 """
 
 from __future__ import annotations
@@ -270,7 +273,7 @@ def read(addresses: DataFrame) -> DataFrame:
 def candidates(forms: DataFrame) -> DataFrame:
     """``(a, b)``, ``a < b``, of the pairs of forms that share hard parts, a street word up to a deletion, and a block."""
     usual = forms.filter("zip <> '' and city <> ''").groupBy("zip", "city").agg(F.count("*").alias("n")).groupBy("zip").agg(F.max_by("city", F.struct("n", "city")).alias("usual"))
-    lone = forms.filter("zip <> '' and city = ''").join(usual, "zip", "left").select("form_id", *FIELDS, F.coalesce("usual", F.lit("")).alias("near"))
+    lone = forms.filter("zip <> '' and city = ''").join(usual.hint("merge"), "zip", "left").select("form_id", *FIELDS, F.coalesce("usual", F.lit("")).alias("near"))
     placed = forms.filter("zip = '' or city <> ''").select("form_id", *FIELDS, F.col("city").alias("near")).unionByName(lone)
     words = F.array_append(F.split("street", " "), F.replace("street", F.lit(" "), F.lit("")))
     hard = F.when(F.col("box") != "", F.concat(F.lit("box|"), "box")).otherwise(F.concat_ws("|", "number", "point", "unit"))
@@ -280,16 +283,16 @@ def candidates(forms: DataFrame) -> DataFrame:
     )
     indexed = Written(indexed, "indexed").df
     entries = indexed.select("form_id", "hard", F.explode("words").alias("word"), "blocks").select("form_id", "hard", "word", F.explode("blocks").alias("block")).select(F.xxhash64("hard", "block", "word").alias("key"), "form_id")
-    near = entries.alias("l").join(entries.alias("r"), F.expr("l.key = r.key and l.form_id < r.form_id")).select(F.col("l.form_id").alias("a"), F.col("r.form_id").alias("b"))
+    near = entries.alias("l").join(entries.alias("r").hint("merge"), F.expr("l.key = r.key and l.form_id < r.form_id")).select(F.col("l.form_id").alias("a"), F.col("r.form_id").alias("b"))
     # a form without any locality asks everywhere; no other form does
     anywhere = indexed.select("form_id", "adrift", "hard", F.explode("words").alias("word")).select(F.xxhash64("hard", "word").alias("key"), "form_id", "adrift")
-    far = anywhere.filter("adrift").alias("l").join(anywhere.alias("r"), F.expr("l.key = r.key and l.form_id <> r.form_id")).select(F.least("l.form_id", "r.form_id").alias("a"), F.greatest("l.form_id", "r.form_id").alias("b"))
+    far = anywhere.filter("adrift").alias("l").join(anywhere.alias("r").hint("merge"), F.expr("l.key = r.key and l.form_id <> r.form_id")).select(F.least("l.form_id", "r.form_id").alias("a"), F.greatest("l.form_id", "r.form_id").alias("b"))
     return near.unionByName(far).distinct()
 
 
 def _costs(pairs: DataFrame, forms: DataFrame) -> DataFrame:
     """``(a, b, ..., cost)``: the pairs with how far the two forms are apart, null where they can't be one location."""
-    f = forms.select("form_id", F.struct(*FIELDS).alias("p"))
+    f = forms.select("form_id", F.struct(*FIELDS).alias("p")).hint("merge")
     both = pairs.join(f.withColumnsRenamed({"form_id": "a", "p": "pa"}), "a").join(f.withColumnsRenamed({"form_id": "b", "p": "pb"}), "b")
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -311,20 +314,20 @@ def _centred(core: DataFrame, edges: DataFrame, forms: DataFrame) -> DataFrame:
     make up components of their own, so a chain of typos doesn't drift."""
     parts = sum((F.col(c) != "").cast("int") for c in FIELDS)
     ends = edges.select(F.col("a").alias("form_id")).unionByName(edges.select(F.col("b").alias("form_id"))).groupBy("form_id").agg(F.count("*").alias("edges"))
-    weight = forms.select("form_id", parts.alias("parts")).join(ends, "form_id")
+    weight = forms.select("form_id", parts.alias("parts")).join(ends.hint("merge"), "form_id").hint("merge")
     done: DataFrame | None = None
     while True:
         held = core.join(weight, "form_id")
         centre = held.groupBy("location_id").agg(F.min_by("form_id", F.struct(-F.col("edges"), -F.col("n"), -F.col("parts"), "form_id")).alias("b"), F.count("*").alias("forms")).filter("forms > 2")
-        asked = core.join(centre, "location_id").select(F.col("form_id").alias("a"), "b").filter("a <> b")
+        asked = core.join(centre.hint("merge"), "location_id").select(F.col("form_id").alias("a"), "b").filter("a <> b")
         off = Written(_costs(asked, forms).filter("cost is null").select(F.col("a").alias("form_id")), "off", any=F.lit(True))
-        kept = core.join(off.df, "form_id", "left_anti")
-        done = kept if done is None else done.unionByName(kept)
         if not off.seen["any"]:
-            return done
-        out = off.df
+            return core if done is None else Written(done.unionByName(core), "centred").df
+        out = off.df.hint("merge")
+        kept = Written(core.join(out, "form_id", "left_anti"), "kept").df
+        done = kept if done is None else done.unionByName(kept)
         among = edges.join(out.withColumnRenamed("form_id", "a"), "a", "left_semi").join(out.withColumnRenamed("form_id", "b"), "b", "left_semi")
-        roots = components(among)
+        roots = components(among).hint("merge")
         again = core.join(out, "form_id", "left_semi").select("form_id", "n")
         core = Written(again.join(roots, again["form_id"] == roots["id"], "left").select("form_id", F.coalesce("root", "form_id").alias("location_id"), "n"), "core").df
 
@@ -334,16 +337,16 @@ def locations(addresses: DataFrame) -> DataFrame:
     parsed = Written(read(addresses), "parsed").df
     forms = Written(parsed.groupBy("form_id", *FIELDS).agg(F.count("*").alias("n")).withColumn("whole", F.expr("(box <> '' or kind <> '') and (zip <> '' or city <> '')")), "forms").df
     pairs = Written(compared(forms), "pairs").df
-    whole = forms.select(F.col("form_id").alias("a"), F.col("whole").alias("wa"))
+    whole = forms.select(F.col("form_id").alias("a"), F.col("whole").alias("wa")).hint("merge")
     marked = Written(pairs.join(whole, "a").join(whole.withColumnsRenamed({"a": "b", "wa": "wb"}), "b"), "marked").df
     sure = marked.filter("wa and wb").select("a", "b")
-    core = components(sure)
+    core = components(sure).hint("merge")
     core = Written(forms.filter("whole").join(core, forms["form_id"] == core["id"], "left").select("form_id", F.coalesce("root", "form_id").alias("location_id"), "n"), "core").df
-    core = Written(_centred(core, sure, forms), "centred").df
-    size = core.groupBy("location_id").agg(F.sum("n").alias("size"))
+    core = _centred(core, sure, forms)
+    size = core.groupBy("location_id").agg(F.sum("n").alias("size")).hint("merge")
     part = marked.filter("wa <> wb").select(F.expr("if(wa, b, a)").alias("form_id"), F.expr("if(wa, a, b)").alias("to"), "cost")
     best = (
-        part.join(core.select(F.col("form_id").alias("to"), "location_id"), "to")
+        part.join(core.select(F.col("form_id").alias("to"), "location_id").hint("merge"), "to")
         .groupBy("form_id", "location_id")
         .agg(F.min("cost").alias("cost"))
         .join(size, "location_id")
@@ -351,11 +354,11 @@ def locations(addresses: DataFrame) -> DataFrame:
         .agg(F.min_by("location_id", F.struct("cost", -F.col("size"), "location_id")).alias("location_id"))
     )
     taken = Written(core.select("form_id", "location_id").unionByName(best.select("form_id", "location_id")), "taken").df
-    rest = forms.join(taken, "form_id", "left_anti").select("form_id")
-    loose = marked.join(rest.select(F.col("form_id").alias("a")), "a", "left_semi").join(rest.select(F.col("form_id").alias("b")), "b", "left_semi").select("a", "b")
-    own = components(loose)
+    rest = forms.join(taken.hint("merge"), "form_id", "left_anti").select("form_id")
+    loose = marked.join(rest.select(F.col("form_id").alias("a")).hint("merge"), "a", "left_semi").join(rest.select(F.col("form_id").alias("b")).hint("merge"), "b", "left_semi").select("a", "b")
+    own = components(loose).hint("merge")
     rest = rest.join(own, rest["form_id"] == own["id"], "left").select("form_id", F.coalesce("root", "form_id").alias("location_id"))
-    return parsed.select("address", "form_id").join(taken.unionByName(rest), "form_id").select("address", "location_id")
+    return parsed.select("address", "form_id").join(taken.unionByName(rest).hint("merge"), "form_id").select("address", "location_id")
 
 
 def same_location(df: DataFrame, more: DataFrame | None = None, id_col: str = "party_id", address_col: str = "address") -> DataFrame:
@@ -366,11 +369,11 @@ def same_location(df: DataFrame, more: DataFrame | None = None, id_col: str = "p
     """
     own = df.select(df[id_col].alias("id"), df[address_col].alias("address"))
     texts = own.select("address") if more is None else own.select("address").unionByName(more.select("address"))
-    placed = own.filter("id is not null").join(locations(texts), "address").select("id", "location_id").distinct()
-    return pairs_within(placed, id_col)
+    placed = own.filter("id is not null").join(locations(texts).hint("merge"), "address").select("id", "location_id").distinct()
+    return pairs_within(Written(placed, "placed").df, id_col)
 
 
 def pairs_within(members: DataFrame, id_col: str) -> DataFrame:
     """All pairs of ids of one group ``(id, location_id)``."""
-    a, b = members.alias("a"), members.alias("b")
+    a, b = members.alias("a"), members.alias("b").hint("merge")
     return a.join(b, F.expr("a.location_id = b.location_id and a.id < b.id")).select(F.col("a.id").alias(f"{id_col}_a"), F.col("b.id").alias(f"{id_col}_b")).distinct()

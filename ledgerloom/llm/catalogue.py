@@ -39,7 +39,7 @@ def p2_places(spark: SparkSession, sf: str) -> DataFrame:
     """The place of every party and of every W2 employer's address."""
     parties = _t(spark, sf, "parties").select(F.lit("party").alias("source"), F.col("party_id").alias("id"), "address")
     both = parties.unionByName(_employers(spark, sf).select(F.lit("employer").alias("source"), F.lit(None).cast("long").alias("id"), "address").distinct())
-    return both.join(address.locations(both), "address").select("source", "id", "address", "location_id")
+    return both.join(address.locations(both).hint("merge"), "address").select("source", "id", "address", "location_id")
 
 
 def p4_found(spark: SparkSession, sf: str) -> DataFrame:

@@ -182,15 +182,16 @@ def components(edges: DataFrame) -> DataFrame:
     """``(id, root)``: each id of the edges ``(a, b)`` with the least id of its component.
 
     Labels fall to the least neighbour's label, then to that label's own label, until nothing changes: rounds grow with the
-    logarithm of a component's width. Each round is written, so lost executors cost one round at most.
+    logarithm of a component's width. Each round is written, so lost executors cost one round at most. No join is a broadcast,
+    which the driver would have to hold.
     """
     both = Written(edges.select("a", "b").union(edges.select("b", "a")).filter("a <> b").distinct(), "edges")
     labels = both.df.groupBy(F.col("a").alias("id")).agg(F.least(F.min("b"), F.first("a")).alias("root"))
     held: Written | None = None
     while True:
-        near = both.df.join(labels, both.df["b"] == labels["id"]).groupBy(F.col("a").alias("id")).agg(F.min("root").alias("near"))
-        step = labels.join(near, "id").select("id", F.col("root").alias("old"), F.least("root", "near").alias("root"))
-        up = labels.select(F.col("id").alias("root"), F.col("root").alias("top"))
+        near = both.df.join(labels.hint("merge"), both.df["b"] == labels["id"]).groupBy(F.col("a").alias("id")).agg(F.min("root").alias("near"))
+        step = labels.join(near.hint("merge"), "id").select("id", F.col("root").alias("old"), F.least("root", "near").alias("root"))
+        up = labels.select(F.col("id").alias("root"), F.col("root").alias("top")).hint("merge")
         jumped = step.join(up, "root", "left").select("id", F.least("root", F.coalesce("top", "root")).alias("root"), "old")
         new = Written(jumped, "labels", moved=F.col("root") != F.col("old"))
         if held:

@@ -1,6 +1,7 @@
 import pytest
 
 from ledgerloom.llm import address as A
+from ledgerloom.llm import strings
 
 FULL = dict(number="4743", point="", street="lower ridge", kind="road", unit="5C", city="copperview", state="co", zip="20047", box="")
 
@@ -164,3 +165,24 @@ def test_chains_do_not_drift(spark):
     rows = [(i, f"12 Oak St, {c}, NY") for i, c in enumerate(steps, 1)] + [(9, "12 Oak Street, Copperview, NY")]
     got = {tuple(r) for r in A.same_location(spark.createDataFrame(rows, "party_id long, address string")).collect()}
     assert (1, 9) in got and got & {(1, 2), (2, 3), (3, 4)} and (1, 4) not in got
+
+
+def test_nothing_is_broadcast_by_the_driver(spark, monkeypatch):
+    """Broadcast tables lie in the driver's memory and these grow with the rows: no written table and no result joins by one."""
+    plans = []
+
+    class Seen(A.Written):
+        def __init__(self, df, name="t", **counts):
+            plans.append((name, df._jdf.queryExecution().executedPlan().toString()))
+            super().__init__(df, name, **counts)
+
+    monkeypatch.setattr(A, "Written", Seen)
+    monkeypatch.setattr(strings, "Written", Seen)
+    steps = ["Copperview", "Coppervi", "Copperqqvi", "Copqqperqqvi"]
+    rows = [(i, f"12 Oak St, {c}, NY") for i, c in enumerate(steps, 1)] + [(9, "12 Oak Street, Copperview, NY"), (10, "12 Oak, Copperview NY 11111"), (11, "7 Elm")]
+    found = A.same_location(spark.createDataFrame(rows, "party_id long, address string"))
+    assert (1, 9) in {tuple(r) for r in found.collect()}
+    plans.append(("found", found._jdf.queryExecution().executedPlan().toString()))
+    assert int(spark.conf.get("spark.sql.autoBroadcastJoinThreshold").rstrip("b")) > 0
+    assert [n for n, p in plans if "BroadcastHashJoin" in p or "BroadcastNestedLoopJoin" in p] == []
+    assert {"marked", "labels", "off", "kept", "placed"} <= {n for n, _ in plans}
